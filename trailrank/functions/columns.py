@@ -22,6 +22,7 @@ ERROR_LINE = r"(?m)^\s*([A-Za-z_][\w.]*(?:Error|Exception|Warning)): ?(.*)$"
 ASSERTION_KEY = r"assert|raises|expect|==|!=|approx|isclose|pytest|with .*:"
 HASH_FACTOR = 2654435761
 HASH_RANGE = 4294967296
+SEED_FACTOR = 2246822519
 BRANCH_HEAD = r"^(if|elif|else)\b"
 CONTROL_TRANSFER = r"^(return|raise|break|continue|pass|yield)\b"
 
@@ -31,10 +32,17 @@ def hash_order(item: Column) -> Column:
     return (item.cast("bigint") * F.lit(HASH_FACTOR)) % F.lit(HASH_RANGE)
 
 
+def _xor_shift(h: Column, bits: int) -> Column:
+    return h.bitwiseXOR(F.shiftright(h, bits))
+
+
 def hash_seeded(item: Column, seed: Column) -> Column:
-    """Same idea with a seed mixed in twice, so that seeds give different orders."""
-    mixed = (item.cast("bigint") * F.lit(HASH_FACTOR) + seed.cast("bigint") * F.lit(40503)) % F.lit(HASH_RANGE)
-    return ((mixed.bitwiseXOR(F.shiftright(mixed, 15)) % F.lit(2147483647)) * F.lit(48271)) % F.lit(2147483647)
+    """Uniform draw in [0, 2^32) from (item, seed) by integer arithmetic, so that every engine and
+    every retry draws the same. Items and seeds stay below 2^31."""
+    h = (item.cast("bigint") * F.lit(HASH_FACTOR) + seed.cast("bigint") * F.lit(SEED_FACTOR)) % F.lit(HASH_RANGE)
+    h = (_xor_shift(h, 15) * F.lit(1103515245) + F.lit(12345)) % F.lit(HASH_RANGE)
+    h = (_xor_shift(h, 13) * F.lit(1664525) + F.lit(1013904223)) % F.lit(HASH_RANGE)
+    return _xor_shift(h, 16)
 
 
 def ratio(num: Column, den: Column, empty: float | None = 0.0) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trailrank.functions.columns import ratio
 from trailrank.functions.ordered import first_k
-from trailrank.operators.sets import dilate
 
 
 def flag(col: Column) -> Column:
@@ -160,7 +159,6 @@ def loose_metrics(pred: DataFrame, gold: DataFrame, hunks: DataFrame, spans: Dat
     cols = [*keys, line]
     p = pred.select(*cols).distinct()
     g = gold.select(*cols).distinct()
-    near = dilate(p.withColumn(line, F.col(line) + tolerance), keys, line, tolerance)
     near = (p.withColumn(line, F.explode(F.sequence(F.col(line) - tolerance, F.col(line) + tolerance))).distinct())
     loose = (g.join(near.withColumn("_n", F.lit(1)), cols, "left").join(p.withColumn("_p", F.lit(1)), cols, "left")
              .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gold"), F.count("_p").alias("hits"), F.count("_n").alias("near")))
@@ -200,15 +198,86 @@ def region_quality(regions: DataFrame, gold: DataFrame, item: list[str], instanc
     ).withColumn("density", F.round(F.col("gold_hit") / F.greatest(F.col("median_size"), F.lit(1.0)), 6))
 
 
-def prune_loss(base: DataFrame, kept: DataFrame, gold: DataFrame, keys: list[str], item: list[str],
+def prune_loss(base: DataFrame, kept: DataFrame, gold: DataFrame, item: list[str], arms: list[str],
                instance: str = "instance_id") -> DataFrame:
-    """Gold items of the base list that each pruning arm drops."""
-    gold_base = base.join(gold.select(instance, *item).distinct(), [instance, *item], "left_semi").select(instance, *item).distinct()
-    arms = [r for r in kept.columns if r == "arm"]
-    marked = kept.select(*keys, *item).distinct()
-    flagged = gold_base.join(marked.groupBy(instance, *item).agg(F.collect_set("arm").alias("arms")) if arms else marked,
-                             [instance, *item], "left")
-    return flagged
+    """Gold of the base list that each pruning arm drops. ``kept``: (instance, arm, item)."""
+    cols = [instance, *item]
+    gold_base = base.select(*cols).distinct().join(gold.select(*cols).distinct(), cols, "left_semi")
+    rows = gold_base.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
+    marked = rows.join(kept.select(*cols, "arm").distinct().withColumn("_k", F.lit(1)), [*cols, "arm"], "left")
+    return marked.groupBy("arm").agg(F.count(F.lit(1)).alias("n_gold"), F.count_if(F.col("_k").isNull()).alias("lost"),
+                                     F.round(F.avg(flag(F.col("_k").isNull())), 6).alias("loss_rate"))
+
+
+def executed_function_lines(items: DataFrame, spans: DataFrame, executed: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
+    """Items kept by function-level pruning: some line of their function (or the line) was executed.
+    ``spans``: (keys, name, line)."""
+    cols = [*keys, line]
+    live = spans.join(executed.select(*cols).distinct(), cols, "left_semi").select(*keys, "name").distinct()
+    in_live = spans.join(live, [*keys, "name"], "left_semi").select(*cols)
+    alive = in_live.unionByName(executed.select(*cols)).distinct()
+    return items.join(alive, cols, "left_semi")
+
+
+def invariant_equal_sets(rankings: DataFrame, arms: list[str], item: list[str], instance: str = "instance_id") -> DataFrame:
+    """Items that are missing from some arm, per instance; empty when all arms hold the same set."""
+    seen = rankings.groupBy(instance, *item).agg(F.count_distinct("arm").alias("n_arms"))
+    return (seen.filter(F.col("n_arms") < len(arms)).groupBy(instance).agg(F.count(F.lit(1)).alias("differing")))
+
+
+def coverage_stratum(gold: DataFrame, executed: DataFrame, strata: DataFrame, item: list[str], instance: str = "instance_id") -> DataFrame:
+    """Per stratum: mean share of gold executed, share of instances with any, median executed size.
+    Instances without gold or without coverage are skipped."""
+    sizes = executed.select(instance, *item).distinct().groupBy(instance).agg(F.count(F.lit(1)).alias("n_exec"))
+    counted = gold_sizes(gold, item, instance).join(sizes, instance)
+    hit = (gold.select(instance, *item).distinct().join(executed.select(instance, *item).distinct(), [instance, *item], "left_semi")
+           .groupBy(instance).agg(F.count(F.lit(1)).alias("hits")))
+    per = counted.join(hit, instance, "left").fillna(0, ["hits"]).join(strata, instance)
+    return per.groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n"), F.round(100 * F.avg(F.col("hits") / F.col("n_gold")), 6).alias("gold_exec_rate"),
+        F.round(100 * F.avg(flag(F.col("hits") > 0)), 6).alias("any_gold_rate"), F.median("n_exec").alias("exec_median"))
+
+
+def stratified_table(values: DataFrame, dimensions: list[str], value: str) -> DataFrame:
+    """Mean of a metric by bucket, several dimensions stacked: every row is exploded once per
+    dimension, so there is one aggregation whatever their number."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("bucket")) for d in dimensions]))
+    return (values.select(value, pairs.alias("_d")).select(value, "_d.*").filter("bucket is not null")
+            .groupBy("dimension", "bucket").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg(value), 6).alias("mean")))
+
+
+def mix_counts(rows: DataFrame, group: list[str], category: str) -> DataFrame:
+    """Counts by category with their share of the group. Totals come from the counts."""
+    counts = rows.groupBy(*group, category).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*group).agg(F.sum("n").alias("total"))
+    return counts.join(totals, group).withColumn("share", F.round(F.col("n") / F.col("total"), 6))
+
+
+def rate_by_role_category(answers: DataFrame) -> DataFrame:
+    """YES share by (role, category) with a total per role; only rows that have captured values."""
+    rolled = answers.filter("has_value").rollup("role", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("ans") == "YES").alias("yes"), F.grouping_id().alias("_g"))
+    return (rolled.filter("_g < 3").select("role", F.when(F.col("_g") == 1, "total").otherwise(F.col("category")).alias("category"),
+                                           "n", "yes", F.round(100 * F.col("yes") / F.col("n"), 6).alias("rate")))
+
+
+def overall_gold_drop(records: DataFrame, nested: str) -> DataFrame:
+    """False-drop rate of an elimination test over the known gold elements of nested records:
+    array<array<struct<element, false_drop>>>."""
+    element = records.select(F.explode(nested).alias("_f")).select(F.explode("_f").alias("_e")).select("_e.*")
+    return element.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("false_drop"), 6).alias("drop_rate"))
+
+
+def file_recall(ranking: DataFrame, gold_files: DataFrame, file: str = "file", ks: tuple[int, ...] = (1, 5, 10),
+                top: int = 10, instance: str = "instance_id") -> DataFrame:
+    """Gold-file recall in the first ``top``, hits at k, all-found flag and rank of the first hit (0 if
+    missing)."""
+    g = gold_files.select(instance, file).distinct()
+    found = g.join(ranking.filter(F.col("pos") <= top).select(instance, file, "pos"), [instance, file], "left")
+    per = found.groupBy(instance).agg(F.count(F.lit(1)).alias("n_gold"), F.count("pos").alias("n_found"), F.min("pos").alias("first"))
+    return per.select(instance, F.round(F.col("n_found") / F.col("n_gold"), 6).alias("recall"),
+                      flag(F.col("n_found") == F.col("n_gold")).alias("all_found"), F.coalesce("first", F.lit(0)).alias("hit_rank"),
+                      *[flag(F.col("first") <= k).alias(f"r{k}") for k in ks])
 
 
 def fixed_summary(values: DataFrame, by: list[str], value: str) -> DataFrame:

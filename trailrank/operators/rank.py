@@ -145,11 +145,12 @@ def vote_mass(votes: DataFrame, keys: list[str], item: list[str], region: DataFr
 
 
 def rrf_fuse(items: DataFrame, keys: list[str], signals: list[Signal], ties: Signal, k: int = 20,
-             out: str = "pos") -> DataFrame:
+             out: str = "pos", sliced: bool | None = None) -> DataFrame:
     """Reciprocal-rank fusion: sum of ``1/(k + rank)`` over the signals, ranks 0-based. Each signal
     is a list of sort columns. No row is dropped. The group size is measured once for all
     rankings; the windows share one partitioning."""
-    sliced = needs_slices(items, keys)
+    if sliced is None:
+        sliced = needs_slices(items, keys)
     ranked = items
     for i, signal in enumerate(signals):
         ranked = number_rows(ranked, keys, [*signal, *ties], f"_rank{i}", start=0, sliced=sliced)
@@ -170,6 +171,22 @@ def rrf_grid(items: DataFrame, keys: list[str], signals: list[Signal], ties: Sig
     return number_rows(fused, [*keys, "k"], [F.desc("rrf"), *ties], sliced=sliced)
 
 
+def rank_arms(items: DataFrame, keys: list[str], arms: dict[str, Signal], sliced: bool | None = None) -> DataFrame:
+    """One position column per arm (``pos_<arm>``). The windows share one partitioning, so many
+    arms cost one shuffle of the items."""
+    if sliced is None:
+        sliced = needs_slices(items, keys)
+    for name, order in arms.items():
+        items = number_rows(items, keys, order, f"pos_{name}", sliced=sliced)
+    return items
+
+
+def stack_arms(wide: DataFrame, cols: list[str], arms: list[str]) -> DataFrame:
+    """Long form of ``rank_arms``: (cols, arm, pos)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"pos_{a}").alias("pos")) for a in arms]))
+    return wide.select(*cols, pairs.alias("_a")).select(*cols, "_a.arm", "_a.pos")
+
+
 def rank_consensus(items: DataFrame, keys: list[str], item: str, score: str = "score") -> DataFrame:
     """Sample count first, then mass, then graph score, then the hash order."""
     return number_rows(items, keys, [F.desc("counts"), F.desc("mass"), F.desc(score), hash_order(F.col(item)), F.col(item)])

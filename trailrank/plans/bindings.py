@@ -59,7 +59,8 @@ def seen():
 def fused(spark, sf, items=None) -> DataFrame:
     """The three-signal fusion every arm study starts from."""
     items = vote_items(spark, sf) if items is None else items
-    return R.rrf_fuse(items, ["instance_id"], [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], seen())
+    return R.rrf_fuse(items, ["instance_id"], [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], seen(),
+                      sliced=needs_slices(vote_source(spark, sf), ["instance_id"]))
 
 
 ARMS = ["vote_only", "static_only", "fused", "consensus"]
@@ -67,20 +68,13 @@ ARMS = ["vote_only", "static_only", "fused", "consensus"]
 
 def arm_rankings(spark, sf) -> DataFrame:
     """Four arms from one vote pass: (instance_id, arm, line, pos)."""
-    items = vote_items(spark, sf)
     sliced = needs_slices(vote_source(spark, sf), ["instance_id"])
     hashed = [R.hash_order(F.col("line")), F.asc("line")]
-    arms = {
-        "vote_only": number_rows(items, ["instance_id"], [F.desc("mass"), *hashed], sliced=sliced),
-        "static_only": number_rows(items, ["instance_id"], [F.desc("score"), *hashed], sliced=sliced),
-        "fused": fused(spark, sf, items),
-        "consensus": R.rank_consensus(items, ["instance_id"], "line"),
-    }
-    out = None
-    for name, ranking in arms.items():
-        part = ranking.select("instance_id", F.lit(name).alias("arm"), "line", "pos")
-        out = part if out is None else out.unionByName(part)
-    return out
+    wide = R.rank_arms(vote_items(spark, sf), ["instance_id"], {
+        "vote_only": [F.desc("mass"), *hashed], "static_only": [F.desc("score"), *hashed],
+        "consensus": [F.desc("counts"), F.desc("mass"), F.desc("score"), *hashed]}, sliced)
+    wide = R.rrf_fuse(wide, ["instance_id"], [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], seen(), out="pos_fused", sliced=sliced)
+    return R.stack_arms(wide, ["instance_id", "line"], ARMS)
 
 
 cte("vbest", "SELECT l_partkey AS instance_id, l_linenumber AS sample, l_suppkey AS line, max(l_extendedprice) AS best "
@@ -110,3 +104,13 @@ cte("expected", "SELECT instance_id, arm FROM (SELECT DISTINCT instance_id FROM
                 "(VALUES ('vote_only'),('static_only'),('fused'),('consensus')) t(arm)", "gold")
 cte("hits", "SELECT e.instance_id, e.arm, k, CASE WHEN f.first <= k THEN 1 ELSE 0 END AS hit FROM expected e "
             "LEFT JOIN arm_first f USING (instance_id, arm), (VALUES (1),(3),(5),(10)) t(k)", "expected", "arm_first")
+
+
+def mix_sql(item: str, seed: str) -> str:
+    """The seeded draw of ``hash_seeded`` as SQL text."""
+    def shift(h, bits):
+        return f"xor({h}, ({h}) >> {bits})"
+    h = f"((({item})::BIGINT*2654435761 + ({seed})::BIGINT*2246822519) % 4294967296)"
+    h = f"(({shift(h, 15)}*1103515245 + 12345) % 4294967296)"
+    h = f"(({shift(h, 13)}*1664525 + 1013904223) % 4294967296)"
+    return f"({shift(h, 16)})"

@@ -80,9 +80,8 @@ def e16(spark, sf):
     return R.head_rerank(B.fused(spark, sf).select("instance_id", "line", "pos"), answer, I, L, 5)
 
 
-@query("j10_random_head_control", """SELECT instance_id, line, row_number() OVER (PARTITION BY instance_id ORDER BY pos>10,
- CASE WHEN pos<=10 THEN ((xor(m, m>>15) % 2147483647)*48271) % 2147483647 END NULLS LAST, pos) AS pos
- FROM (SELECT *, (line*2654435761 + 7*40503) % 4294967296 AS m FROM fused)""", "fused")
+@query("j10_random_head_control", f"""SELECT instance_id, line, row_number() OVER (PARTITION BY instance_id ORDER BY pos>10,
+ CASE WHEN pos<=10 THEN {B.mix_sql('line', '7')} END NULLS LAST, pos) AS pos FROM fused""", "fused")
 def j10(spark, sf):
     return R.shuffle_head(B.fused(spark, sf).select("instance_id", "line", "pos"), I, "line", 10, 7)
 

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = {}  # name -> (statement, names of the expressions it uses)
 
 #: Named common table expressions of the reference SQL: name -> (needs, body).
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -31,6 +31,11 @@ def query(name: str, sql: str | None = None, *ctes: str):
     def register(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(sql, *ctes)
+            ORACLES[name] = (sql, ctes)
         return fn
     return register
+
+
+def oracle(name: str) -> str:
+    sql, ctes = ORACLES[name]
+    return with_ctes(sql, *ctes)
