@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailrank.functions.ordered import needs_slices, number_rows
+from trailrank.functions.columns import is_code, tokens
 from trailrank.operators import rank as R
+from trailrank.operators.parse import numbered_lines
 from trailrank.plans.registry import cte
 
 
@@ -114,3 +116,180 @@ def mix_sql(item: str, seed: str) -> str:
     h = f"(({shift(h, 15)}*1103515245 + 12345) % 4294967296)"
     h = f"(({shift(h, 13)}*1664525 + 1013904223) % 4294967296)"
     return f"({shift(h, 16)})"
+
+
+# ---- lines: document text split at newlines; issues: benchmark passages -----------------
+
+def lines(spark, sf) -> DataFrame:
+    return numbered_lines(table(spark, sf, "documents"), ["doc_id"])
+
+
+def doc_sizes(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
+
+
+def issue_docs(spark, sf) -> DataFrame:
+    """Documents that contain an issue's passage, with the line range of the match.
+
+    Both sides meet on a run of four space-separated words (words 2 to 5 of the passage, which a
+    containing text holds unbroken), so only real candidates are compared with ``contains``. Only ids
+    travel through the join; texts come back for the candidates. Every passage of the table has
+    14 words or more."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+    n = F.size(F.split("text", " "))
+    words = F.split("text", " ")
+    pairs = F.zip_with(words, F.slice(words, 2, n), lambda x, y: F.xxhash64(x, y))
+    runs = F.slice(F.zip_with(pairs, F.slice(pairs, 3, n), lambda x, y: F.xxhash64(x, y)), 1, F.greatest(n - 3, F.lit(0)))
+    doc_runs = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
+    w = F.split("item", " ")
+    item_runs = items.select("item_id", F.xxhash64(F.xxhash64(w[1], w[2]), F.xxhash64(w[3], w[4])).alias("run"))
+    near = doc_runs.join(item_runs, "run").select("item_id", "doc_id").distinct()
+    both = near.join(items, "item_id").join(docs, "doc_id").filter(F.contains("text", "item"))
+    before = F.expr("substring(text, 1, instr(text, item) - 1)")
+    start = 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    height = F.length("item") - F.length(F.replace("item", F.lit("\n"), F.lit("")))
+    return both.select("item_id", "doc_id", start.alias("start"), (start + height).alias("end"))
+
+
+def signals(spark, sf) -> DataFrame:
+    """Line signals of every (issue, document) pair: relevance, proximity, slice hops, coverage."""
+    pairs = issue_docs(spark, sf)
+    near = lines(spark, sf).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    token_rows = R.line_tokens(near)
+    idf = R.inverse_frequency(token_rows, doc_sizes(spark, sf), ["doc_id"], "n_lines")
+    wanted = pairs.select("item_id", "doc_id").join(table(spark, sf, "benchmark").select("item_id", F.explode(tokens(F.col("text"))).alias("token")), "item_id")
+    rel = R.token_relevance(token_rows, idf, wanted, ["doc_id"], ["item_id"], ["line_no"])
+    rows = near.filter(is_code(F.col("text"))).join(pairs, "doc_id").join(rel, ["item_id", "doc_id", "line_no"], "left")
+    block, seed = F.floor((F.col("line_no") - 1) / 10), F.floor((F.col("start") - 1) / 10)
+    away = F.abs(F.col("line_no") - F.col("start"))
+    return rows.select("item_id", "doc_id", F.col("line_no").alias("line"), F.coalesce("rel", F.lit(0.0)).alias("rel"),
+                       F.when(block == seed, 1.0).when(block == seed + 1, 0.4).otherwise(0.0).alias("prox"),
+                       F.when(away <= 3, away).alias("hops"), (F.length("text") > 40).cast("int").alias("covered"))
+
+
+def tokens_sql(col: str) -> str:
+    whole = f"regexp_extract_all({col}, '[A-Za-z_][A-Za-z0-9_]*')"
+    part = r"string_split(replace(regexp_replace(m, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '_', ' '), ' ')"
+    both = f"list_concat({whole}, flatten(list_transform({whole}, lambda m: {part})))"
+    return f"list_distinct(list_filter(list_transform({both}, lambda x: lower(x)), lambda x: length(x) >= 3))"
+
+
+cte("lines", "SELECT doc_id, i AS line_no, arr[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents), unnest(range(1, len(arr)+1)) t(i)")
+cte("sizes", "SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents")
+cte("line_tok", f"SELECT doc_id, line_no, unnest({tokens_sql('text')}) AS token FROM lines", "lines")
+cte("line_idf", "SELECT doc_id, token, df, ln(1+n_lines::DOUBLE/df) AS idf FROM (SELECT doc_id, token, count(*) AS df FROM line_tok GROUP BY ALL) JOIN sizes USING (doc_id)", "line_tok", "sizes")
+cte("issue_docs", """SELECT item_id, doc_id, start, start+h AS "end" FROM (SELECT item_id, doc_id, 1+length(pre)-length(replace(pre,chr(10),'')) AS start, h FROM
+ (SELECT b.item_id, d.doc_id, d.text[1:instr(d.text,b.text)-1] AS pre, length(b.text)-length(replace(b.text,chr(10),'')) AS h FROM benchmark b JOIN documents d ON contains(d.text,b.text)))""")
+cte("issue_tok", f"SELECT item_id, unnest({tokens_sql('text')}) AS token FROM benchmark")
+cte("relevance", "SELECT item_id, doc_id, line_no, round(sum(idf),6) AS rel FROM issue_docs JOIN issue_tok USING (item_id) JOIN line_tok USING (doc_id, token) JOIN line_idf USING (doc_id, token) GROUP BY ALL",
+    "issue_docs", "issue_tok", "line_tok", "line_idf")
+CODE_SQL = r"regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' AND NOT starts_with(regexp_replace(text, '^\s+|\s+$', '', 'g'), '#')"
+cte("sig", f"""SELECT item_id, doc_id, line_no AS line, coalesce(rel,0) AS rel, CASE WHEN (line_no-1)//10=(start-1)//10 THEN 1.0::DOUBLE WHEN (line_no-1)//10=(start-1)//10+1 THEN 0.4 ELSE 0 END AS prox,
+ CASE WHEN abs(line_no-start)<=3 THEN abs(line_no-start) END AS hops, (length(text)>40)::INT AS covered FROM (SELECT * FROM lines WHERE {CODE_SQL}) JOIN issue_docs USING (doc_id) LEFT JOIN relevance USING (item_id, doc_id, line_no)""",
+    "lines", "issue_docs", "relevance")
+cte("score1", "SELECT * FROM (SELECT item_id, doc_id, line, round(rel+0.6*prox+1.2*(hops IS NOT NULL)::INT+0.8*covered,6)::DOUBLE AS score FROM sig) WHERE score>0", "sig")
+
+
+def spans(spark, sf) -> DataFrame:
+    """Functions of ten lines and outer functions of thirty, so that spans nest."""
+    s = doc_sizes(spark, sf)
+
+    def blocks(width, letter):
+        i = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_lines") - 1) / width)))
+        b = s.withColumn("_i", i)
+        return b.select("doc_id", F.concat(F.lit(letter), F.col("_i").cast("string")).alias("name"), (F.col("_i") * width + 1).cast("int").alias("start"),
+                        F.least(F.col("_i") * width + width, F.col("n_lines")).cast("int").alias("end"))
+    return blocks(10, "f").unionByName(blocks(30, "g"))
+
+
+cte("spans", """SELECT doc_id, 'f'||i AS name, i*10+1 AS start, least(i*10+10, n_lines) AS "end" FROM sizes, unnest(range(0,(n_lines-1)//10+1)) t(i)
+ UNION ALL SELECT doc_id, 'g'||i, i*30+1, least(i*30+30, n_lines) FROM sizes, unnest(range(0,(n_lines-1)//30+1)) t(i)""", "sizes")
+
+
+# ---- patches: built from document lines --------------------------------------------------
+
+ADDED = ["if flag:", "    return", "    value = 1", "# note", "other = 2"]
+
+
+def patches(spark, sf) -> DataFrame:
+    """One patch per document: every 7th line removed, a line added after every 3rd; French, German
+    and Spanish documents touch a second file."""
+    body = F.split("text", "\n")
+    kinds = F.array(*[F.lit(a) for a in ADDED])
+    rows = F.transform(body, lambda x, i: F.concat(
+        F.when((i + 1) % 7 == 0, "-").otherwise(" "), x,
+        F.when((i + 1) % 3 == 0, F.concat(F.lit("\n+"), F.get(kinds, F.floor((i + 1) / 3).cast("int") % 5))).otherwise("")))
+    head = F.format_string("--- a/docs/%d.py\n+++ b/docs/%d.py\n@@ -1,%d +1,%d @@\n", "doc_id", "doc_id", F.size(body), F.size(body))
+    second = (F.when(F.col("lang") == "de", F.format_string("\n--- a/lib/%d.py\n+++ b/lib/%d.py\n@@ -5,1 +5,1 @@\n-x\n+y", "doc_id", "doc_id"))
+              .when(F.col("lang") != "en", F.format_string("\n--- a/notes/%d.txt\n+++ b/notes/%d.txt\n@@ -5,1 +5,1 @@\n-x\n+y", "doc_id", "doc_id")).otherwise(""))
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", "text", F.concat(head, F.array_join(rows, "\n"), second).alias("patch"))
+
+
+cte("edits", """SELECT DISTINCT * FROM (SELECT doc_id, 'docs/'||doc_id||'.py' AS file, 1 AS hunk, line_no AS line, 'deleted' AS kind FROM lines WHERE line_no%7=0 AND NOT starts_with(text,'--')
+ UNION ALL SELECT doc_id, 'docs/'||doc_id||'.py', 1, line_no - (CASE WHEN line_no%7=0 AND starts_with(text,'--') THEN 1 ELSE 0 END) + d, 'anchor' FROM lines, (VALUES (0),(1)) t(d) WHERE line_no%3=0
+ UNION ALL SELECT doc_id, CASE WHEN lang='de' THEN 'lib/'||doc_id||'.py' ELSE 'notes/'||doc_id||'.txt' END, 2, l, k FROM documents, (VALUES (5,'deleted'),(5,'anchor'),(6,'anchor')) t(l,k) WHERE lang<>'en')""", "lines")
+
+
+# ---- traces: failure text built from events ----------------------------------------------
+
+def traces(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    f1 = F.format_string('  File "src/%s.py", line %d, in u%d', "event_type", "k", "user_id")
+    f2 = F.format_string('  File "lib/m%d.py", line %d, in step_%d', F.col("k") % 5, F.col("k") + 1, "k")
+    text = (F.when(F.col("event_type") == "error", F.concat(F.format_string("Seen by u%d\nTraceback (most recent call last):\n", "user_id"), f1, F.lit("\n    run()\n"), f2,
+                                                           F.format_string("\n    go()\nValueError: bad %d", "k")))
+            .when(F.col("event_type") == "view", F.concat(f1, F.lit("\n"), f2))
+            .when(F.col("event_type") == "click", F.format_string("raise KeyError near click.py:%d", "k"))
+            .when(F.col("event_type") == "purchase", F.format_string("src/purchase.py, line %d looks wrong", "k"))
+            .otherwise(F.format_string("user %d signed up", "user_id")))
+    test = F.when(F.col("event_type") == "purchase", "+    with pytest.raises(ValueError):").otherwise("+    call()")
+    return e.select("event_id", "user_id", "event_type", "value", "k", text.alias("text"), test.alias("test_patch"))
+
+
+cte("ev", "SELECT event_id, user_id, event_type, value, ts, (props->>'$.k')::INT AS k FROM events")
+cte("frames", """SELECT event_id, 0 AS ord, 'src/'||event_type||'.py' AS path, k AS line, 'u'||user_id AS func FROM ev WHERE event_type IN ('error','view')
+ UNION ALL SELECT event_id, 1, 'lib/m'||(k%5)||'.py', k+1, 'step_'||k FROM ev WHERE event_type IN ('error','view')""", "ev")
+
+
+# ---- graph: parts linked by consecutive lines of an order ---------------------------------
+
+def order_rows(spark, sf) -> DataFrame:
+    """Line items numbered inside their order by a total order."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    return number_rows(li, ["l_orderkey"], [F.asc(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")], "at")
+
+
+def part_edges(spark, sf, within: str | None = "p_brand") -> DataFrame:
+    """Distinct links between parts of neighbouring rows; neighbours meet on (order, position)."""
+    rows = order_rows(spark, sf).select("l_orderkey", "at", F.col("l_partkey").alias("src"))
+    nxt = rows.select("l_orderkey", (F.col("at") - 1).alias("at"), F.col("src").alias("dst"))
+    links = rows.join(nxt, ["l_orderkey", "at"]).filter("src <> dst").select("src", "dst").distinct()
+    if within is None:
+        return links
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("src"), F.col(within).alias("grp"))
+    other = part.select(F.col("src").alias("dst"), F.col("grp").alias("_g"))
+    return links.join(part, "src").join(other, "dst").filter("grp = _g").select("grp", "src", "dst")
+
+
+def part_seeds(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").filter("p_size <= 5").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("node"))
+
+
+cte("links", """SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem)
+ WHERE dst IS NOT NULL AND src<>dst""")
+cte("edges", "SELECT a.p_brand AS grp, src, dst FROM links JOIN part a ON a.p_partkey=src JOIN part b ON b.p_partkey=dst WHERE a.p_brand=b.p_brand", "links")
+cte("both_ways", "SELECT grp, src, dst FROM edges UNION SELECT grp, dst, src FROM edges", "edges")
+cte("seeds_p", "SELECT p_brand AS grp, p_partkey AS node FROM part WHERE p_size<=5")
+
+
+def bfs_sql(edges: str, seeds: str, depth: int, keys: str = "grp") -> str:
+    """Smallest hop count by level, as nested statements."""
+    sql = f"SELECT DISTINCT {keys}, node, 0 AS hops FROM {seeds}"
+    for level in range(1, depth + 1):
+        sql = (f"SELECT {keys}, node, min(hops) AS hops FROM (WITH s AS MATERIALIZED ({sql}) SELECT * FROM s UNION ALL "
+               f"SELECT s.{keys}, e.dst, {level} FROM s JOIN {edges} e ON e.src=s.node{'' if edges == 'all_ways' else ' AND e.grp=s.grp'}) GROUP BY ALL")
+    return sql
+
+
+cte("all_ways", "SELECT src, dst FROM links UNION SELECT dst, src FROM links", "links")
