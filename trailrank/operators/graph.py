@@ -31,7 +31,10 @@ def slice_distance(seeds: DataFrame, edges: DataFrame, keys: list[str], edge_key
     per hop."""
     edge_keys = keys if edge_keys is None else edge_keys
     links = directed(edges, edge_keys, direction).filter(F.col("src") != F.col("dst"))
-    ends = links.select(*edge_keys, "src").unionByName(seeds.select(*edge_keys, F.col("node").alias("src"))).distinct()
+    ends = links.select(*edge_keys, "src").unionByName(seeds.select(*edge_keys, F.col("node").alias("src")))
+    if direction in ("forward", "backward"):
+        ends = ends.unionByName(links.select(*edge_keys, F.col("dst").alias("src")))
+    ends = ends.distinct()
     graph = links.unionByName(ends.withColumn("dst", F.col("src"))).withColumnRenamed("src", "node")
     seen = seeds.select(*keys, "node").distinct().withColumn("hops", F.lit(0))
     for level in range(1, depth + 1):

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailrank.functions import columns as C
-from trailrank.functions.ordered import first_k
+from trailrank.functions.ordered import first_k, number_rows
 
 
 def numbered_lines(files: DataFrame, keys: list[str], text: str = "text", line_no: str = "line_no", out: str = "text") -> DataFrame:
@@ -240,11 +240,12 @@ def yes_no(text: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def keep_valid(ranked: DataFrame, valid: DataFrame, keys: list[str], item: str = "line") -> DataFrame:
-    """Drop answers outside the candidate set and close the gaps in the ranks."""
-    kept = ranked.join(valid.select(*keys, item).distinct(), [*keys, item], "left_semi")
-    at = F.row_number().over(W.partitionBy(*keys).orderBy("rank")) - 1
-    return kept.withColumn("rank", at)
+def keep_valid(ranked: DataFrame, valid: DataFrame, keys: list[str], valid_keys: list[str] | None = None, item: str = "line") -> DataFrame:
+    """Drop answers outside the candidate set and close the gaps in the 0-based ranks. The candidate
+    set may be kept per ``valid_keys`` (an instance) while answers are kept per sample."""
+    cols = [*(valid_keys or keys), item]
+    kept = ranked.join(valid.select(*cols).distinct(), cols, "left_semi").withColumnRenamed("rank", "_old")
+    return number_rows(kept, keys, [F.asc("_old")], "rank", start=0).drop("_old")
 
 
 def parse_locations(locs: DataFrame, spans: DataFrame, keys: list[str], text: str = "loc", window: int = 10) -> DataFrame:

@@ -130,7 +130,7 @@ def b10n(spark, sf):
     return P.parse_names(c.select("conv_id", "turn", text.alias("answer")), ["conv_id", "turn"])
 
 
-@query("b10_parse_paths", """SELECT source, rank, path FROM (SELECT source, 0 AS rank, source||'/a.py' AS path, 1 AS o FROM documents UNION SELECT source, 1, source||'/x/'||min(doc_id)||'.py', 2 FROM documents GROUP BY ALL)""")
+@query("b10_parse_paths", """SELECT source, rank, path FROM (SELECT source, 0 AS rank, source||'/a.py' AS path, 1 AS o FROM documents UNION SELECT source, 1, source||'/x/'||m||'.py', 2 FROM (SELECT source, min(doc_id) AS m FROM documents GROUP BY source))""")
 def b10p(spark, sf):
     d = B.table(spark, sf, "documents")
     first = d.groupBy("source").agg(F.min("doc_id").alias("first"))
@@ -158,10 +158,7 @@ def b10y(spark, sf):
 
 @query("b10_keep_valid", "SELECT instance_id, sample, line, row_number() OVER (PARTITION BY instance_id, sample ORDER BY rank)-1 AS rank FROM votes SEMI JOIN executed USING (instance_id, line)", "votes", "executed")
 def b10k(spark, sf):
-    valid = B.vote_executed(spark, sf)
-    kept = B.votes(spark, sf).join(valid, ["instance_id", "line"], "left_semi")
-    from trailrank.functions.ordered import number_rows
-    return number_rows(kept.withColumnRenamed("rank", "_r"), ["instance_id", "sample"], [F.asc("_r")], "rank", 0).drop("_r")
+    return P.keep_valid(B.votes(spark, sf), B.vote_executed(spark, sf), ["instance_id", "sample"], ["instance_id"])
 
 
 @query("b12_skeleton", """SELECT doc_id, 'class C'||doc_id||'(Base)  [L1-'||n_lines||']'||chr(10)||string_agg(row, chr(10) ORDER BY p, i) AS skeleton FROM
