@@ -47,24 +47,40 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return int(top or 0)
 
 
+_MEASURED: dict[tuple, bool] = {}
+
+
 def needs_slices(df: DataFrame, keys: list[str]) -> bool:
-    return largest_group(df, list(keys)) > group_limit(df.sparkSession)
+    """Is some group larger than a task should hold? The answer only selects between two plans with
+    the same result, so it is remembered per logical plan."""
+    limit = group_limit(df.sparkSession)
+    keys = list(keys)
+    slim = df.select(*keys)
+    known = (df.sparkSession.sparkContext.applicationId, slim.semanticHash(), tuple(keys), limit)
+    if known not in _MEASURED:
+        _MEASURED[known] = largest_group(slim, keys) > limit
+    return _MEASURED[known]
+
+
+def frozen(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder and read back from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def freeze_slices(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Range-partition by (keys, order) and store the slice number of each row."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(k).asc() for k in keys], *order)
-    return ranged.withColumn(_SLICE, F.spark_partition_id()).checkpoint()
+    return frozen(ranged.withColumn(_SLICE, F.spark_partition_id()))
 
 
-def _join_slices(frozen: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+def _join_slices(cut: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     names = [*keys, _SLICE]
     right = carry.select(*[F.col(k).alias(f"_r_{k}") for k in names], *[c for c in carry.columns if c not in names])
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in names])
-    return frozen.join(right, cond, "left").drop(*[f"_r_{k}" for k in names])
+    return cut.join(right, cond, "left").drop(*[f"_r_{k}" for k in names])
 
 
 def _earlier(keys: list[str]):
@@ -81,11 +97,11 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column], out: str =
     if not sliced:
         number = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
         return df.withColumn(out, number + F.lit(start - 1))
-    frozen = freeze_slices(df, keys, order)
-    carry = (frozen.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    cut = freeze_slices(df, keys, order)
+    carry = (cut.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
              .select(*keys, _SLICE, F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_before")))
     local = F.row_number().over(W.partitionBy(*keys, _SLICE).orderBy(*order))
-    numbered = _join_slices(frozen.withColumn("_local", local), carry, keys)
+    numbered = _join_slices(cut.withColumn("_local", local), carry, keys)
     return (numbered.withColumn(out, (F.col("_local") + F.col("_before") + F.lit(start - 1)).cast("int"))
             .drop("_local", "_before", _SLICE))
 
@@ -99,11 +115,11 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
     if not sliced:
         frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(frame))
-    frozen = freeze_slices(df, keys, order)
-    carry = (frozen.groupBy(*keys, _SLICE).agg(F.sum(value).alias("_n"))
+    cut = freeze_slices(df, keys, order)
+    carry = (cut.groupBy(*keys, _SLICE).agg(F.sum(value).alias("_n"))
              .select(*keys, _SLICE, F.sum("_n").over(_earlier(keys)).alias("_before")))
     frame = W.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    summed = _join_slices(frozen.withColumn("_local", F.sum(value).over(frame)), carry, keys)
+    summed = _join_slices(cut.withColumn("_local", F.sum(value).over(frame)), carry, keys)
     total = (F.when(F.col("_local").isNull(), F.col("_before"))
              .when(F.col("_before").isNull(), F.col("_local"))
              .otherwise(F.col("_local") + F.col("_before")))
@@ -119,15 +135,15 @@ def running_last(df: DataFrame, keys: list[str], order: list[Column], value: str
     if not sliced:
         frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(frame))
-    frozen = freeze_slices(df, keys, order)
+    cut = freeze_slices(df, keys, order)
     slice_rows = W.partitionBy(*keys, _SLICE).orderBy(*order)
-    frozen = (frozen.withColumn("_at", F.row_number().over(slice_rows))
+    cut = (cut.withColumn("_at", F.row_number().over(slice_rows))
               .withColumn("_local", F.last(value, ignorenulls=True)
                           .over(slice_rows.rowsBetween(W.unboundedPreceding, 0))))
-    carry = (frozen.groupBy(*keys, _SLICE)
+    carry = (cut.groupBy(*keys, _SLICE)
              .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_tail"))
              .select(*keys, _SLICE, F.last("_tail", ignorenulls=True).over(_earlier(keys)).alias("_before")))
-    joined = _join_slices(frozen, carry, keys)
+    joined = _join_slices(cut, carry, keys)
     return joined.withColumn(out, F.coalesce("_local", "_before")).drop("_local", "_before", "_at", _SLICE)
 
 

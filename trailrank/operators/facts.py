@@ -64,21 +64,19 @@ def file_facts(text: str) -> list[tuple]:
     return rows
 
 
-def code_facts(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """All facts of all files in one table; filter by ``kind``. Files that do not parse give one
-    ``status`` row named ``error``."""
+def code_facts(files: DataFrame, keys: list[str], text: str = "text", kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Facts of all files in one table; ``kinds`` limits what leaves the Python workers (a filter
+    after them cannot move below). Files that do not parse give one ``status`` row named ``error``."""
     source = files.select(*keys, text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != text), FACT_COLUMNS])
+    wanted = frozenset(kinds)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for keys_text in batch.itertuples(index=False):
-                rows = pd.DataFrame(file_facts(keys_text[-1] or ""), columns=_FIELDS)
-                for i in range(len(keys)):
-                    rows.insert(i, keys[i], keys_text[i])
-                for c in ("start", "end", "body_start"):
-                    rows[c] = rows[c].astype("Int32")
-                yield rows
+            rows = [(*r[:-1], *fact) for r in batch.itertuples(index=False, name=None) for fact in file_facts(r[-1] or "")
+                    if not wanted or fact[0] in wanted]
+            out = pd.DataFrame(rows, columns=[*keys, *_FIELDS])
+            yield out.astype({c: "Int32" for c in ("start", "end", "body_start")})
 
     return source.mapInPandas(parse, schema)
 

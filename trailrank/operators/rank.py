@@ -88,21 +88,25 @@ def rank_functions(functions: DataFrame, line_scores: DataFrame, covered: DataFr
     return best.unionByName(rest)
 
 
-def rank_files(entities: DataFrame, issue_tokens: DataFrame, issue_names: DataFrame, keys: list[str],
-               file: str = "file", top: int = 10) -> DataFrame:
+def entity_tokens(files: DataFrame, names: str = "names") -> DataFrame:
+    """Adds the distinct tokens of a file's entity names; done once per file, before files are
+    paired with issues."""
+    return files.withColumn("tokens", F.array_distinct(F.flatten(F.transform(names, tokens))))
+
+
+def rank_files(entities: DataFrame, issues: DataFrame, keys: list[str], file: str = "file", top: int = 10) -> DataFrame:
     """TF-IDF over the entity names of candidate files, +2.0 when a file defines a name the issue
-    spells out. ``entities``: (keys, file, name); N = candidate files of the group."""
-    named = entities.select(*keys, file, "name").distinct()
-    files = named.select(*keys, file).distinct()
-    sizes = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"))
-    rows = named.select(*keys, file, F.explode(tokens(F.col("name"))).alias("token")).distinct()
-    idf = inverse_frequency(rows, sizes, keys, "n_files")
-    wanted = issue_tokens.select(*keys, "token").distinct().join(idf, [*keys, "token"])
-    rel = rows.join(wanted, [*keys, "token"]).groupBy(*keys, file).agg(F.sum("idf").alias("rel"))
-    defines = (named.join(issue_names.select(*keys, "name").distinct(), [*keys, "name"], "left_semi")
-               .select(*keys, file).distinct().withColumn("_def", F.lit(2.0)))
-    scored = (files.join(rel, [*keys, file], "left").join(defines, [*keys, file], "left")
-              .select(*keys, file, F.round(F.coalesce("rel", F.lit(0.0)) + F.coalesce("_def", F.lit(0.0)), 6).alias("score")))
+    spells out. ``entities``: one row per (keys, file) with the arrays ``names`` and ``tokens``;
+    ``issues``: (keys, issue_tokens, issue_names); N = candidate files of the group. Only tokens the
+    issue shares leave the row."""
+    shared = F.array_intersect("tokens", "issue_tokens")
+    boost = F.when(F.arrays_overlap("names", "issue_names"), 2.0).otherwise(0.0)
+    rows = entities.join(issues, keys).select(*keys, file, boost.alias("_boost"), F.explode_outer(shared).alias("token"))
+    n_files = entities.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    df = rows.filter("token is not null").groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("_df")).join(n_files, keys)
+    idf = df.select(*keys, "token", F.log1p(F.col("_n") / F.col("_df")).alias("_idf"))
+    scored = (rows.join(idf, [*keys, "token"], "left").groupBy(*keys, file)
+              .agg(F.round(F.coalesce(F.sum("_idf"), F.lit(0.0)) + F.max("_boost"), 6).alias("score")))
     return first_k(scored, keys, [F.desc("score"), F.asc(file)], top)
 
 
@@ -130,18 +134,25 @@ def cosine_rank(files: DataFrame, queries: DataFrame, keys: list[str], item: str
 
 # ---- votes and fusion -----------------------------------------------------------------
 
+SEEN_SHIFT = 4294967296  # first_seen = sample * SEEN_SHIFT + rank
+
+
 def vote_mass(votes: DataFrame, keys: list[str], item: list[str], region: DataFrame | None = None,
-              sample: str = "sample", rank: str = "rank") -> DataFrame:
+              sample: str = "sample", rank: str = "rank", max_samples: int = 63) -> DataFrame:
     """Reciprocal-rank mass, number of samples and first appearance of every voted item.
 
-    ``rank`` is 0-based and counted over the whole answer, before ``region`` removes items.
-    The set of samples per item is bounded by the number of samples, so it is one hash
-    aggregation with map-side combine."""
+    ``rank`` is 0-based and counted over the whole answer, before ``region`` removes items. The
+    samples an item occurs in are or-ed into 63-bit words (a sample number beyond ``max_samples``
+    stops the job), so everything is one hash aggregation with map-side combine."""
     kept = votes if region is None else votes.join(region.select(*keys, *item).distinct(), [*keys, *item], "left_semi")
-    return kept.groupBy(*keys, *item).agg(
+    s = F.when((F.col(sample) < 0) | (F.col(sample) >= max_samples), F.raise_error(F.lit("sample number outside max_samples")).cast("int")).otherwise(F.col(sample))
+    words = range((max_samples + 62) // 63)
+    bits = [F.bit_or(F.when(F.floor(s / 63) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), (s % 63).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"_w{w}") for w in words]
+    out = kept.groupBy(*keys, *item).agg(
         F.round(F.sum(F.lit(1.0) / (1 + F.col(rank))), 6).alias("mass"),
-        F.size(F.collect_set(sample)).alias("counts"),
-        F.min(F.struct(sample, rank)).alias("first_seen"))
+        F.min(F.col(sample).cast("bigint") * SEEN_SHIFT + F.col(rank)).alias("first_seen"), *bits)
+    counts = reduce(lambda x, y: x + y, [F.bit_count(f"_w{w}") for w in words])
+    return out.select(*keys, *item, "mass", counts.alias("counts"), "first_seen")
 
 
 def rrf_fuse(items: DataFrame, keys: list[str], signals: list[Signal], ties: Signal, k: int = 20,
@@ -230,7 +241,7 @@ def interleave(per_file: DataFrame, keys: list[str], file_order: str, out: str =
 
 def interleave_distinct(lists: DataFrame, keys: list[str], item: list[str], list_order: str) -> DataFrame:
     """Round-robin merge that keeps the first appearance of an item and renumbers."""
-    first = lists.groupBy(*keys, *item).agg(F.min(F.struct("pos", list_order)).alias("_at"))
+    first = lists.groupBy(*keys, *item).agg(F.min(F.col("pos") * SEEN_SHIFT + F.col(list_order)).alias("_at"))
     return number_rows(first, keys, [F.col("_at")]).drop("_at")
 
 
@@ -275,7 +286,7 @@ def prune_then_add(pool: DataFrame, keys: list[str], item: list[str], base_sizes
 
 def discovery_order(found: DataFrame, keys: list[str], item: list[str]) -> DataFrame:
     """Union of rounds in the order items were first seen."""
-    first = found.groupBy(*keys, *item).agg(F.min(F.struct("round", "seq")).alias("_first"))
+    first = found.groupBy(*keys, *item).agg(F.min(F.col("round") * SEEN_SHIFT + F.col("seq")).alias("_first"))
     return number_rows(first, keys, [F.col("_first"), *[F.col(c) for c in item]]).drop("_first")
 
 

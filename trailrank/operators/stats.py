@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailrank.functions.columns import HASH_RANGE, hash_seeded, mcnemar_p, wilson_bound
-from trailrank.functions.ordered import first_k, number_rows
+from trailrank.functions.ordered import first_k, frozen, group_limit, number_rows
 
 # Cumulative Poisson(1) probabilities; a draw counts the thresholds it passes.
 POISSON_STEPS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
@@ -30,29 +30,40 @@ def _interval(means: DataFrame, by: list[str], replicates: int) -> DataFrame:
                  F.avg((F.col("m") > 0).cast("double")).alias("p_gt0")))
 
 
+#: Up to this many rows in total the numbered values are sent to every task.
+BROADCAST_ROWS = 500_000
+
+
 def bootstrap_means(values: DataFrame, by: list[str], unit: str, value: str, replicates: int, method: str = "multinomial") -> DataFrame:
     """Mean of every resample: (by, b, m).
 
     ``multinomial`` draws n of n with replacement: every (replicate, slot) picks a row number by
-    hash and joins it to the numbered values; replicate sums are combined on the map side.
-    ``poisson`` gives each row an independent Poisson(1) weight per replicate, which needs no
-    numbering and no join: one pass with map-side combine, for sizes where n x B joins are too
-    many."""
+    hash and joins it to the numbered values; replicate sums are combined on the map side. The
+    values are broadcast up to ``BROADCAST_ROWS`` rows, beyond that the join shuffles. ``poisson``
+    gives each row an independent Poisson(1) weight per replicate, which needs no numbering and no
+    join: one pass with map-side combine, for sizes where n x B draws are too many to shuffle."""
     b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    slim = values.select(*by, unit, value)
     if method == "poisson":
         draw = hash_seeded(F.col(unit), F.col("b")) / F.lit(float(HASH_RANGE))
-        weight = sum((F.when(draw >= s, 1).otherwise(0) for s in POISSON_STEPS), F.lit(0))
-        rows = values.select(*by, unit, value).withColumn("b", b).withColumn("_w", weight)
-        return (rows.groupBy(*by, "b").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("m")))
-    numbered = number_rows(values.select(*by, unit, value), by, [F.col(unit)], "_idx", start=0)
-    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    slots = numbered.select(*by, F.col("_idx").alias("_slot")).join(sizes, by).withColumn("b", b)
+        rows = slim.withColumn("b", b).withColumn("_u", draw)
+        weight = sum((F.when(F.col("_u") >= s, 1).otherwise(0) for s in POISSON_STEPS), F.lit(0))
+        rows = rows.withColumn("_w", weight)
+        return rows.groupBy(*by, "b").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
+    n_rows = slim.count()
+    numbered = number_rows(slim, by, [F.col(unit)], "_idx", start=0, sliced=n_rows > group_limit(values.sparkSession))
+    sizes = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    slots = numbered.select(*by, F.col("_idx").alias("_slot")).join(sizes, by).repartition(*by, "_slot").withColumn("b", b)
     draws = slots.select(*by, "b", (hash_seeded(F.col("_slot"), F.col("b")) % F.col("_n")).cast("int").alias("_idx"))
-    return draws.join(numbered.select(*by, "_idx", value), [*by, "_idx"]).groupBy(*by, "b").agg(F.avg(value).alias("m"))
+    lookup = numbered.select(*by, "_idx", value)
+    lookup = F.broadcast(lookup) if n_rows <= BROADCAST_ROWS else lookup
+    return draws.join(lookup, [*by, "_idx"]).groupBy(*by, "b").agg(F.avg(value).alias("m"))
 
 
 def bootstrap_ci(values: DataFrame, by: list[str], unit: str, value: str, replicates: int = 5000, method: str = "multinomial") -> DataFrame:
-    """Mean with the 95 % percentile interval; a single value gives a degenerate interval."""
+    """Mean with the 95 % percentile interval; a single value gives a degenerate interval. The values
+    are read several times, so they are checkpointed once instead of being computed again."""
+    values = frozen(values.select(*by, unit, value))
     means = bootstrap_means(values, by, unit, value, replicates, method)
     base = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     joined = base.join(_interval(means, by, replicates), by)

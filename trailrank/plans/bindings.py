@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by id. A table of fewer files than cores would be parsed by a few tasks only, so it
+    is spread by ``doc_id``, which also serves every later step per document; a table of many files
+    is left as it is."""
+    docs = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if len(docs.inputFiles()) >= cores else docs.repartition(cores, "doc_id")
+
+
 # ---- votes: instance = part, sample = line number, candidate = supplier -----------------
 
 def vote_source(spark, sf) -> DataFrame:
@@ -48,9 +57,8 @@ def vote_passing(spark, sf) -> DataFrame:
 
 
 def vote_items(spark, sf) -> DataFrame:
-    """Vote mass with the static score; first_seen as one sortable number."""
+    """Vote mass with the static score."""
     mass = R.vote_mass(votes(spark, sf), ["instance_id"], ["line"])
-    mass = mass.withColumn("first_seen", F.col("first_seen.sample").cast("bigint") * 10000000 + F.col("first_seen.rank"))
     return mass.join(vote_static(spark, sf), ["instance_id", "line"])
 
 
@@ -68,14 +76,24 @@ def fused(spark, sf, items=None) -> DataFrame:
 ARMS = ["vote_only", "static_only", "fused", "consensus"]
 
 
-def arm_rankings(spark, sf) -> DataFrame:
-    """Four arms from one vote pass: (instance_id, arm, line, pos)."""
+def arm_positions(spark, sf) -> DataFrame:
+    """Four arms from one vote pass, one position column per arm."""
     sliced = needs_slices(vote_source(spark, sf), ["instance_id"])
     hashed = [R.hash_order(F.col("line")), F.asc("line")]
     wide = R.rank_arms(vote_items(spark, sf), ["instance_id"], {
         "vote_only": [F.desc("mass"), *hashed], "static_only": [F.desc("score"), *hashed],
         "consensus": [F.desc("counts"), F.desc("mass"), F.desc("score"), *hashed]}, sliced)
-    wide = R.rrf_fuse(wide, ["instance_id"], [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], seen(), out="pos_fused", sliced=sliced)
+    return R.rrf_fuse(wide, ["instance_id"], [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], seen(), out="pos_fused", sliced=sliced)
+
+
+def arm_rankings(spark, sf) -> DataFrame:
+    """The same in long form: (instance_id, arm, line, pos)."""
+    return R.stack_arms(arm_positions(spark, sf), ["instance_id", "line"], ARMS)
+
+
+def gold_positions(spark, sf) -> DataFrame:
+    """Positions of the gold items only: gold is joined before the arms are stacked."""
+    wide = arm_positions(spark, sf).join(vote_gold(spark, sf), ["instance_id", "line"], "left_semi")
     return R.stack_arms(wide, ["instance_id", "line"], ARMS)
 
 
@@ -88,7 +106,7 @@ cte("static", "SELECT l_partkey AS instance_id, l_suppkey AS line, max(l_quantit
 cte("executed", "SELECT DISTINCT l_partkey AS instance_id, l_suppkey AS line FROM lineitem WHERE l_linestatus='F'")
 cte("passing", "SELECT DISTINCT l_partkey AS instance_id, l_suppkey AS line FROM lineitem WHERE l_linestatus='O'")
 cte("mass", "SELECT instance_id, line, round(sum(1.0::DOUBLE/(1+rank)),6) AS mass, count(DISTINCT sample) AS counts, "
-            "min(sample::BIGINT*10000000+rank) AS first_seen FROM votes GROUP BY ALL", "votes")
+            "min(sample::BIGINT*4294967296+rank) AS first_seen FROM votes GROUP BY ALL", "votes")
 cte("items", "SELECT m.*, s.score FROM mass m JOIN static s USING (instance_id, line)", "mass", "static")
 HASH = "((line*2654435761) % 4294967296)"
 cte("ranks3", "SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY mass DESC, first_seen)-1 AS r0, "
@@ -121,7 +139,7 @@ def mix_sql(item: str, seed: str) -> str:
 # ---- lines: document text split at newlines; issues: benchmark passages -----------------
 
 def lines(spark, sf) -> DataFrame:
-    return numbered_lines(table(spark, sf, "documents"), ["doc_id"])
+    return numbered_lines(documents(spark, sf), ["doc_id"])
 
 
 def doc_sizes(spark, sf) -> DataFrame:
@@ -135,7 +153,7 @@ def issue_docs(spark, sf) -> DataFrame:
     containing text holds unbroken), so only real candidates are compared with ``contains``. Only ids
     travel through the join; texts come back for the candidates. Every passage of the table has
     14 words or more."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     n = F.size(F.split("text", " "))
     words = F.split("text", " ")
@@ -223,7 +241,7 @@ def patches(spark, sf) -> DataFrame:
     head = F.format_string("--- a/docs/%d.py\n+++ b/docs/%d.py\n@@ -1,%d +1,%d @@\n", "doc_id", "doc_id", F.size(body), F.size(body))
     second = (F.when(F.col("lang") == "de", F.format_string("\n--- a/lib/%d.py\n+++ b/lib/%d.py\n@@ -5,1 +5,1 @@\n-x\n+y", "doc_id", "doc_id"))
               .when(F.col("lang") != "en", F.format_string("\n--- a/notes/%d.txt\n+++ b/notes/%d.txt\n@@ -5,1 +5,1 @@\n-x\n+y", "doc_id", "doc_id")).otherwise(""))
-    return table(spark, sf, "documents").select("doc_id", "lang", "source", "text", F.concat(head, F.array_join(rows, "\n"), second).alias("patch"))
+    return documents(spark, sf).select("doc_id", "lang", "source", "text", F.concat(head, F.array_join(rows, "\n"), second).alias("patch"))
 
 
 cte("edits", """SELECT DISTINCT * FROM (SELECT doc_id, 'docs/'||doc_id||'.py' AS file, 1 AS hunk, line_no AS line, 'deleted' AS kind FROM lines WHERE line_no%7=0 AND NOT starts_with(text,'--')
@@ -293,3 +311,18 @@ def bfs_sql(edges: str, seeds: str, depth: int, keys: str = "grp") -> str:
 
 
 cte("all_ways", "SELECT src, dst FROM links UNION SELECT dst, src FROM links", "links")
+
+
+# ---- sources: Python text built around document lines ---------------------------------------
+
+def python_files(spark, sf) -> DataFrame:
+    """One module per document: a class with a method, then one function under each document line
+    (as a comment). French documents get a line that does not parse."""
+    head = "import os\nfrom pkg.mod import name\n\nclass C:\n    def m(self, a):\n        b = a\n        return b"
+    block = F.transform(F.split("text", "\n"), lambda x, i: F.concat(
+        F.lit("\n# "), x, F.lit("\ndef f"), i.cast("string"), F.lit("(x, y=1):\n    t = x + y\n    u = f"), (i + 1).cast("string"), F.lit("(t)\n    return u")))
+    broken = F.when(F.col("lang") == "fr", "\ndef (:").otherwise("")
+    return documents(spark, sf).select("doc_id", F.concat(F.lit(head), F.array_join(block, ""), broken).alias("text"))
+
+
+cte("pyf", "SELECT doc_id, n_lines AS nb, i FROM sizes JOIN documents USING (doc_id), unnest(range(0, n_lines)) t(i) WHERE lang<>'fr'", "sizes")

@@ -18,7 +18,7 @@ KS = "(VALUES (1),(3),(5),(10)) t(k)"
 
 
 def first(spark, sf):
-    return M.first_gold(B.arm_rankings(spark, sf), B.vote_gold(spark, sf), IA, L)
+    return M.first_gold(B.gold_positions(spark, sf), B.vote_gold(spark, sf), IA, L)
 
 
 def expected(spark, sf):

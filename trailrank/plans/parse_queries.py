@@ -132,7 +132,7 @@ def b10n(spark, sf):
 
 @query("b10_parse_paths", """SELECT source, rank, path FROM (SELECT source, 0 AS rank, source||'/a.py' AS path, 1 AS o FROM documents UNION SELECT source, 1, source||'/x/'||m||'.py', 2 FROM (SELECT source, min(doc_id) AS m FROM documents GROUP BY source))""")
 def b10p(spark, sf):
-    d = B.table(spark, sf, "documents")
+    d = B.documents(spark, sf)
     first = d.groupBy("source").agg(F.min("doc_id").alias("first"))
     valid = (d.select("source", F.concat("source", F.lit("/x/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"))
              .unionByName(first.select("source", F.concat("source", F.lit("/a.py")).alias("path"))).unionByName(first.select("source", F.concat("source", F.lit("/b/__init__.py")).alias("path")))
@@ -177,7 +177,7 @@ def b12(spark, sf):
 @query("b13_normalize_path", r"""SELECT doc_id, p AS path, (NOT regexp_matches(p, '/tests/|conftest') AND NOT regexp_matches(p, '(^|/)test_[^/]*$')) AS repo_source, regexp_matches(p, '(^|/)test_[^/]*$') AS test_file FROM
  (SELECT doc_id, CASE lang WHEN 'en' THEN 'src/'||doc_id||'.py' WHEN 'fr' THEN 'pkg/tests/test_'||doc_id||'.py' WHEN 'de' THEN 'lib/test_'||doc_id||'.py' ELSE 'x/conftest.py' END AS p FROM documents)""")
 def b13(spark, sf):
-    d = B.table(spark, sf, "documents")
+    d = B.documents(spark, sf)
     i = F.col("doc_id").cast("string")
     raw = (F.when(F.col("lang") == "en", F.concat(F.lit("/testbed/src/"), i, F.lit(".py"))).when(F.col("lang") == "fr", F.concat(F.lit("pkg\\tests\\test_"), i, F.lit(".py")))
            .when(F.col("lang") == "de", F.concat(F.lit("./lib/test_"), i, F.lit(".py"))).otherwise("x/conftest.py"))
@@ -186,7 +186,7 @@ def b13(spark, sf):
 
 
 def evidence_rows(spark, sf):
-    d = B.table(spark, sf, "documents")
+    d = B.documents(spark, sf)
     third = F.coalesce(F.get(F.split("text", "\n"), F.lit(2)), F.lit("none"))
     test = (F.when(F.col("lang") == "en", "+++ b/t.py\n+    call()\n+    assert value == 1").when(F.col("lang") == "fr", F.concat(F.lit("+check "), third)).otherwise("+    call()\n+    other()"))
     return d.select("doc_id", F.array(F.concat(F.lit("t_"), F.col("doc_id").cast("string"))).alias("failing"), test.alias("test_patch"), F.col("text").alias("problem"))
@@ -222,7 +222,7 @@ def c10l(spark, sf):
 @query("b15_edit_blocks", """SELECT doc_id, 0 AS block, s AS start, s+1 AS "end" FROM (SELECT doc_id, 1+length(pre)-length(replace(pre,chr(10),'')) AS s FROM (SELECT d.doc_id, d.text[1:instr(d.text, q)-1] AS pre FROM
  (SELECT doc_id, text, string_split(text,chr(10))[2]||chr(10)||string_split(text,chr(10))[3] AS q, len(string_split(text,chr(10))) AS n FROM documents) d WHERE n>=3 AND length(replace(replace(q,chr(10),''),' ',''))>0))""")
 def b15(spark, sf):
-    d = B.table(spark, sf, "documents")
+    d = B.documents(spark, sf)
     parts = F.split("text", "\n")
     answer = F.concat(F.lit("Fix:\n<<<<<<< SEARCH\n2: "), parts[1], F.lit("\n3: "), parts[2], F.lit("\n=======\nnew\n>>>>>>> REPLACE\n<<<<<<< SEARCH\nno such text anywhere\n=======\nx\n>>>>>>> REPLACE"))
     return P.edit_blocks(d.filter(F.size(parts) >= 3).select("doc_id", answer.alias("answer")), d, D)
@@ -258,7 +258,7 @@ def c9(spark, sf):
  WHEN n_lines<3 AND lang='de' THEN ['single_py','one_file','all_py'] WHEN n_lines<3 THEN []::VARCHAR[] WHEN lang='de' THEN ['multi_py','all_py'] ELSE ['single_py'] END) AS rule FROM documents JOIN sizes USING (doc_id)) GROUP BY ALL""", "sizes")
 def c3(spark, sf):
     shape = K.patch_shape(edits(spark, sf), D)
-    inst = B.table(spark, sf, "documents").select("doc_id", F.lit(True).alias("has_failing"))
+    inst = B.documents(spark, sf).select("doc_id", F.lit(True).alias("has_failing"))
     out = None
     for rule in ("single_py", "one_file", "multi_py", "all_py"):
         part = K.select_pool(inst, shape, D, rule).agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
@@ -273,18 +273,18 @@ def funnel_steps():
 @query("c5_selection_funnel", """SELECT step, name, n FROM (SELECT count(*) AS a, count(*) FILTER (lang<>'de') AS b, count(*) FILTER (lang<>'de' AND contains(text,',')) AS c, count(*) FILTER (lang<>'de' AND contains(text,',') AND n_chars>=500) AS d FROM documents),
  LATERAL (VALUES (0,'total',a),(1,'single_py',b),(2,'crash',c),(3,'code_gold',d),(4,'quality',d)) t(step,name,n)""")
 def c5(spark, sf):
-    return K.selection_funnel(B.table(spark, sf, "documents"), funnel_steps())
+    return K.selection_funnel(B.documents(spark, sf), funnel_steps())
 
 
 @query("c5_dropped_at", "SELECT doc_id, CASE WHEN lang='de' THEN 'single_py' WHEN NOT contains(text,',') THEN 'crash' ELSE 'code_gold' END AS dropped_at FROM documents WHERE NOT (lang<>'de' AND contains(text,',') AND n_chars>=500)")
 def c5d(spark, sf):
-    return K.dropped_at(B.table(spark, sf, "documents"), funnel_steps(), "doc_id")
+    return K.dropped_at(B.documents(spark, sf), funnel_steps(), "doc_id")
 
 
 @query("c13_exclude_list", "SELECT doc_id, CASE WHEN toxic=1 THEN 'toxic' WHEN quality=0 THEN 'low quality' END AS reason, CASE WHEN toxic=1 OR quality=0 THEN 'excluded' ELSE 'confirmed' END AS status FROM documents LEFT JOIN labels USING (doc_id)")
 def c13(spark, sf):
     bad = B.table(spark, sf, "labels").withColumn("reason", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low quality")).filter("reason is not null")
-    return K.apply_exclusions(B.table(spark, sf, "documents").select("doc_id"), bad, "doc_id")
+    return K.apply_exclusions(B.documents(spark, sf).select("doc_id"), bad, "doc_id")
 
 
 # ---- frames against gold ------------------------------------------------------------------

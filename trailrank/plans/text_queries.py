@@ -96,19 +96,21 @@ cte("ent_tok", f"SELECT DISTINCT issue, file, unnest({tokens_sql('name')}) AS to
 cte("want", f"SELECT DISTINCT l_orderkey AS issue, p_type, unnest({tokens_sql('p_name || chr(32) || p_type')}) AS token FROM lineitem JOIN part ON p_partkey=l_partkey WHERE l_linenumber=1")
 E7_SQL = """SELECT * FROM (SELECT issue, file, score, row_number() OVER (PARTITION BY issue ORDER BY score DESC, file) AS pos FROM
  (SELECT f.issue, f.file, round(coalesce(rel,0)+CASE WHEN EXISTS(FROM ent e JOIN want w ON w.issue=e.issue AND w.p_type=e.name WHERE e.issue=f.issue AND e.file=f.file) THEN 2.0 ELSE 0 END,6)::DOUBLE AS score
-  FROM (SELECT DISTINCT issue, file FROM ent) f LEFT JOIN (SELECT t.issue, t.file, sum(ln(1+n::DOUBLE/df)) AS rel FROM ent_tok t JOIN (SELECT DISTINCT issue, token FROM want) w USING (issue, token)
+  FROM (SELECT DISTINCT issue, file FROM ent SEMI JOIN want USING (issue)) f LEFT JOIN (SELECT t.issue, t.file, sum(ln(1+n::DOUBLE/df)) AS rel FROM ent_tok t JOIN (SELECT DISTINCT issue, token FROM want) w USING (issue, token)
    JOIN (SELECT issue, token, count(*) AS df FROM ent_tok GROUP BY ALL) USING (issue, token) JOIN (SELECT issue, count(DISTINCT file) AS n FROM ent GROUP BY ALL) USING (issue) GROUP BY ALL) USING (issue, file))) WHERE pos<=5"""
 
 
 @query("e7_rank_files", E7_SQL, "ent", "ent_tok", "want")
 def e7(spark, sf):
     li = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("issue"), F.col("l_partkey").alias("file"), "l_linenumber")
-    part = B.table(spark, sf, "part").select(F.col("p_partkey").alias("file"), "p_name", "p_type", "p_brand")
-    rows = li.join(part, "file")
-    entities = rows.select("issue", "file", F.explode(F.array("p_name", "p_type", "p_brand")).alias("name"))
-    first = rows.filter("l_linenumber = 1")
-    words = first.select("issue", F.explode(tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("token"))
-    return R.rank_files(entities, words, first.select("issue", F.col("p_type").alias("name")), ["issue"], top=5)
+    part = B.table(spark, sf, "part").select(F.col("p_partkey").alias("file"), F.array("p_name", "p_type", "p_brand").alias("names"), "p_name", "p_type")
+    files = R.entity_tokens(part)
+    entities = li.select("issue", "file").distinct().join(files.select("file", "names", "tokens"), "file")
+    words = part.select("file", F.array("p_type").alias("_names"), tokens(F.concat_ws(" ", "p_name", "p_type")).alias("_tokens"))
+    first = li.filter("l_linenumber = 1").select("issue", "file").distinct().join(words, "file")
+    issues = first.groupBy("issue").agg(F.array_distinct(F.flatten(F.collect_set("_tokens"))).alias("issue_tokens"),
+                                        F.array_distinct(F.flatten(F.collect_set("_names"))).alias("issue_names"))
+    return R.rank_files(entities, issues, ["issue"], top=5)
 
 
 DOMAIN = r"^https?://(?:[^/]*\.)?([^./]+\.[^./:]+)(?:[/:?#]|$)"
@@ -227,13 +229,13 @@ def f3(spark, sf):
 @query("c11_bucketize", """SELECT source, bucket, count(*) AS n FROM (SELECT source, CASE WHEN n_chars<=200 THEN '<=200' WHEN n_chars<=1000 THEN '200-1000' WHEN n_chars<=3000 THEN '1000-3000' ELSE '>3000' END AS bucket FROM documents
  WHERE source IN (SELECT source FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 6)) GROUP BY ALL""")
 def c11(spark, sf):
-    d = K.top_groups(B.table(spark, sf, "documents").select("source", "n_chars"), "source", 6)
+    d = K.top_groups(B.documents(spark, sf).select("source", "n_chars"), "source", 6)
     return d.groupBy("source", K.bucket_size(F.col("n_chars")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c4_seeded_sample", f"SELECT doc_id FROM documents ORDER BY {B.mix_sql('doc_id', '3')}, doc_id LIMIT 100")
 def c4(spark, sf):
-    return K.seeded_sample(B.table(spark, sf, "documents").select("doc_id"), "doc_id", 100, 3)
+    return K.seeded_sample(B.documents(spark, sf).select("doc_id"), "doc_id", 100, 3)
 
 
 @query("b8_parse_locations", """SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(range(greatest(1, 3-2), 3+3)) AS line FROM documents UNION ALL SELECT doc_id, unnest(range(greatest(1,n_lines-2), n_lines+1+3)) FROM sizes
