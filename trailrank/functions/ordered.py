@@ -147,8 +147,15 @@ def running_last(df: DataFrame, keys: list[str], order: list[Column], value: str
     return joined.withColumn(out, F.coalesce("_local", "_before")).drop("_local", "_before", "_at", _SLICE)
 
 
+#: Spark cuts groups before the shuffle for limits up to this (its windowGroupLimitThreshold).
+GROUP_CUT = 1000
+
+
 def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "pos") -> DataFrame:
-    """First ``k`` rows of each group. Spark cuts each task's groups to ``k`` rows before the
-    shuffle (window group limit), so a huge group never travels whole."""
+    """First ``k`` rows of each group. Up to ``GROUP_CUT`` Spark cuts each task's groups to ``k``
+    rows before the shuffle (window group limit), so a huge group never travels whole; larger cuts
+    are numbered with the size check."""
+    if k > GROUP_CUT:
+        return number_rows(df, keys, order, out).filter(F.col(out) <= k)
     number = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn(out, number).filter(F.col(out) <= k)

@@ -27,9 +27,15 @@ def path_suffix_join(wanted: DataFrame, known: DataFrame, keys: list[str], mode:
     w, k = F.col("path"), F.col("known")
     tails = path_suffixes if mode == "boundary" else _char_suffixes
     left = wanted.select(*keys, "path").distinct()
-    a = known.withColumn("_s", F.explode(tails(k))).join(left.withColumn("_s", w), [*keys, "_s"])
+
+    def one_per_tail(rows: DataFrame) -> DataFrame:
+        best = F.struct(k != F.col("_s"), F.col("file_ord"))
+        return rows.groupBy(*keys, "_s").agg(F.min_by("known", best).alias("known"), F.min_by("file_ord", best).alias("file_ord"))
+
+    # a tail keeps one candidate before the join: the equal path, else the first in file order
+    a = one_per_tail(known.withColumn("_s", F.explode(tails(k)))).join(left.withColumn("_s", w), [*keys, "_s"])
     whole = F.substring_index(k, "/", -1) if mode == "basename" else k
-    b = known.withColumn("_s", whole).join(left.withColumn("_s", F.explode(tails(w))), [*keys, "_s"])
+    b = one_per_tail(known.withColumn("_s", whole)).join(left.withColumn("_s", F.explode(tails(w))), [*keys, "_s"])
     both = a.select(*keys, "path", "known", "file_ord").unionByName(b.select(*keys, "path", "known", "file_ord"))
     return both.groupBy(*keys, "path").agg(F.min_by("known", F.struct(w != k, F.col("file_ord"))).alias("known"))
 
@@ -78,13 +84,14 @@ def frontier_sweep(items: DataFrame, executed: DataFrame, keys: list[str], delta
     return items.join(band, [*keys, line]).withColumn("delta", F.explode(steps)).drop("_d")
 
 
-def last_definition(statements: DataFrame, scope: list[str], stmt: list[str], var: str = "var") -> DataFrame:
+def last_definition(statements: DataFrame, scope: list[str], stmt: list[str], var: str = "var", sliced: bool | None = None) -> DataFrame:
     """As-of join: each use of a variable with the statement that last defined it before, inside the
     scope. Rows: (scope, stmt..., var, kind in 'def'/'use'). A use comes before a definition in the
-    same statement, and a definition in the same statement is not its own source."""
+    same statement, and a definition in the same statement is not its own source. ``sliced=False`` skips
+    the size check where a scope is known to be small (one function of one file)."""
     rows = statements.withColumn("_def", F.when(F.col("kind") == "def", F.struct(*stmt)))
     order = [*[F.asc(c) for c in stmt], F.desc("kind")]
-    seen = running_last(rows, [*scope, var], order, "_def", "_last")
+    seen = running_last(rows, [*scope, var], order, "_def", "_last", sliced)
     me = F.struct(*stmt)
     uses = seen.filter("kind = 'use' and _last is not null").filter(F.col("_last") != me)
     return uses.select(*scope, var, *stmt, *[F.col(f"_last.{c}").alias(f"def_{c}") for c in stmt]).distinct()

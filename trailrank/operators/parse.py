@@ -212,9 +212,9 @@ def parse_paths(answers: DataFrame, valid: DataFrame, keys: list[str], text: str
     cleaned = F.translate(F.regexp_replace(C.strip(F.col("_c")), r"^[`\-*0-9. \t]+|[`\-*0-9. \t]+$", ""), "\\", "/")
     rows = rows.select(*keys, "ord", cleaned.alias("cand")).filter("cand <> '' and not endswith(cand, '/')")
     known = valid.select(*keys, F.col(path).alias("_valid")).distinct()
-    tails = known.withColumn("cand", F.explode(path_suffixes(F.col("_valid"))))
-    hit = rows.join(tails, [*keys, "cand"]).groupBy(*keys, "ord", "cand").agg(
+    tails = known.withColumn("cand", F.explode(path_suffixes(F.col("_valid")))).groupBy(*keys, "cand").agg(
         F.max(F.when(F.col("_valid") == F.col("cand"), F.col("_valid"))).alias("_exact"), F.count(F.lit(1)).alias("_n"), F.min("_valid").alias("_one"))
+    hit = rows.join(tails, [*keys, "cand"])
     chosen = hit.withColumn("path", F.coalesce("_exact", F.when(F.col("_n") == 1, F.col("_one")))).filter("path is not null")
     firsts = chosen.groupBy(*keys, "path").agg(F.min("ord").alias("ord"))
     return firsts.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("ord")) - 1).select(*keys, "rank", "path")

@@ -30,7 +30,7 @@ def b11s(spark, sf):
 @query("b11_def_use", """SELECT doc_id, i AS func, v AS var, 9+5*i+u AS stmt, 9+5*i+d AS def_stmt FROM pyf, (VALUES ('x',1,0),('y',1,0),('t',2,1),('u',3,2)) t(v,u,d)
  UNION ALL SELECT doc_id, nb, v, u, d FROM pyf, (VALUES ('a',6,5),('b',7,6)) t(v,u,d) WHERE i=0""", "pyf")
 def b11d(spark, sf):
-    return J.last_definition(A.variable_events(facts(spark, sf, "statement", "header"), D), ["doc_id", "func"], ["stmt"])
+    return J.last_definition(A.variable_events(facts(spark, sf, "statement", "header"), D), ["doc_id", "func"], ["stmt"], sliced=False)
 
 
 @query("b11_statements", """SELECT doc_id, 9+5*i+u AS stmt, 9+5*i+u AS "end" FROM pyf, (VALUES (1),(2),(3)) t(u) UNION ALL SELECT doc_id, u, u FROM pyf, (VALUES (6),(7)) t(u) WHERE i=0""", "pyf")

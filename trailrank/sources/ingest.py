@@ -30,7 +30,7 @@ def instance_pool(rows: DataFrame, n_pool: int | None = None) -> DataFrame:
 
 def read_source_files(spark: SparkSession, root: str) -> DataFrame:
     """Whole files below ``root`` as (path, text)."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     return files.select(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/").alias("path"), F.col("value").alias("text"))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,8 +29,10 @@ def run_incremental(spark: SparkSession, source: str, schema: str, sink: str, ch
 
 def stored(spark: SparkSession, sink: str, key: str, before: int) -> DataFrame | None:
     """Keys written by batches before ``before``; None while nothing is stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path) or before == 0:
+    if before == 0:
         return None
-    return spark.read.parquet(sink).filter(F.col("batch") < before).select(key).distinct()
+    try:
+        rows = spark.read.parquet(sink)
+    except AnalysisException:  # nothing written yet
+        return None
+    return rows.filter(F.col("batch") < before).select(key).distinct()
