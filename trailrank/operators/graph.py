@@ -11,14 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailrank.functions.columns import identifiers, is_code, tokens
-from trailrank.functions.ordered import first_k
+from trailrank.functions.ordered import first_k, frozen
 
 
-def directed(edges: DataFrame, edge_keys: list[str], direction: str) -> DataFrame:
-    fwd = edges.select(*edge_keys, "src", "dst")
-    bwd = edges.select(*edge_keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    chosen = {"forward": fwd, "backward": bwd}.get(direction)
-    return fwd.unionByName(bwd) if chosen is None else chosen
+def with_loops(edges: DataFrame, seeds: DataFrame, edge_keys: list[str], direction: str) -> DataFrame:
+    """Links in the asked direction plus a self-loop per node, from one pass over the edges; stored
+    once, because every level reads it."""
+    s, d = F.col("src"), F.col("dst")
+    ways = {"forward": [(s, d)], "backward": [(d, s)], "both": [(s, d), (d, s)]}[direction]
+    pairs = F.explode(F.array(*[F.struct(x.alias("node"), y.alias("dst")) for x, y in [*ways, (s, s), (d, d)]]))
+    links = edges.select(*edge_keys, pairs.alias("_p")).select(*edge_keys, "_p.node", "_p.dst")
+    return frozen(links.unionByName(seeds.select(*edge_keys, "node", F.col("node").alias("dst"))).distinct())
 
 
 def slice_distance(seeds: DataFrame, edges: DataFrame, keys: list[str], edge_keys: list[str] | None = None, depth: int = 3,
@@ -30,12 +33,7 @@ def slice_distance(seeds: DataFrame, edges: DataFrame, keys: list[str], edge_key
     nodes; the whole level is kept, so it may exceed the cap. That level is found from the counts
     per hop."""
     edge_keys = keys if edge_keys is None else edge_keys
-    links = directed(edges, edge_keys, direction).filter(F.col("src") != F.col("dst"))
-    ends = links.select(*edge_keys, "src").unionByName(seeds.select(*edge_keys, F.col("node").alias("src")))
-    if direction in ("forward", "backward"):
-        ends = ends.unionByName(links.select(*edge_keys, F.col("dst").alias("src")))
-    ends = ends.distinct()
-    graph = links.unionByName(ends.withColumn("dst", F.col("src"))).withColumnRenamed("src", "node")
+    graph = with_loops(edges, seeds, edge_keys, direction)
     seen = seeds.select(*keys, "node").distinct().withColumn("hops", F.lit(0))
     for level in range(1, depth + 1):
         stay = F.col("node") == F.col("dst")
@@ -106,11 +104,11 @@ def limit_files(files: DataFrame, keys: list[str], cap: int) -> DataFrame:
     return first_k(files, keys, [F.desc("known"), F.desc("n_exec"), F.asc("file")], cap)
 
 
-def bfs_gain(reach: DataFrame, node_lines: DataFrame, base: DataFrame, gold: DataFrame, keys: list[str], item: list[str], depth: int) -> DataFrame:
-    """For each K up to ``depth``: share of instances whose base pool plus the slice up to K hops holds
+def bfs_gain(reached: DataFrame, base: DataFrame, gold: DataFrame, keys: list[str], item: list[str], depth: int) -> DataFrame:
+    """``reached``: (keys, item, hops), the executed lines of the reached nodes. For each K up to ``depth``: share of instances whose base pool plus the slice up to K hops holds
     all gold, mean pool size, and how much of the missed gold the slice reaches."""
     cols = [*keys, *item]
-    sliced = reach.join(node_lines, [*keys, "node"]).groupBy(*cols).agg(F.min("hops").alias("hops"))
+    sliced = reached.groupBy(*cols).agg(F.min("hops").alias("hops"))
     b = base.select(*cols).distinct().withColumn("_b", F.lit(1))
     g = gold.select(*cols).distinct().withColumn("_g", F.lit(1))
     ks = F.explode(F.array(*[F.lit(k) for k in range(depth + 1)]))

@@ -87,6 +87,13 @@ def mcnemar(pairs: DataFrame, by: list[str]) -> DataFrame:
                           F.round(mcnemar_p(F.col("wins"), F.col("losses")), 6).alias("p"))
 
 
+def paired_report(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Both rates, wins, losses and the exact p from one aggregation of the pairs."""
+    counted = pairs.groupBy(*by).agg(F.round(100 * F.avg("a"), 6).alias("rate_a"), F.round(100 * F.avg("b"), 6).alias("rate_b"),
+                                     F.count_if(F.expr("a = 1 and b = 0")).alias("wins"), F.count_if(F.expr("a = 0 and b = 1")).alias("losses"))
+    return counted.withColumn("p", F.round(mcnemar_p(F.col("wins"), F.col("losses")), 6))
+
+
 def wilson(counts: DataFrame, k: str, n: str) -> DataFrame:
     return counts.withColumns({"lo": F.round(wilson_bound(F.col(k), F.col(n), -1), 6), "hi": F.round(wilson_bound(F.col(k), F.col(n), 1), 6)})
 

@@ -70,8 +70,7 @@ def f6(spark, sf):
     seeds = B.part_seeds(spark, sf)
     reach = G.slice_distance(seeds, B.part_edges(spark, sf, None), GR, [], 2)
     part = B.table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("line"), "p_size")
-    node_lines = reach.select("grp", "node", F.col("node").alias("line"))
-    return G.bfs_gain(reach, node_lines, seeds.withColumnRenamed("node", "line"), part.filter("p_size between 5 and 8"), GR, L, 2)
+    return G.bfs_gain(reach.withColumnRenamed("node", "line"), seeds.withColumnRenamed("node", "line"), part.filter("p_size between 5 and 8"), GR, L, 2)
 
 
 @query("f6_limit_files", """SELECT p_brand AS grp, file, known, n_exec, pos FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY known DESC, n_exec DESC, file) AS pos FROM

@@ -170,7 +170,5 @@ def j11(spark, sf):
 @query("flagship_arm_report", """SELECT k, round(100*avg(a),6) AS fused_recall, round(100*avg(b),6) AS vote_recall, any_value(m.wins) AS wins, any_value(m.losses) AS losses, any_value(m.p) AS p
  FROM pairs JOIN mcn m USING (k) GROUP BY k""", "pairs", "mcn")
 def flagship(spark, sf):
-    """Wins, losses and both recalls come from one aggregation of the paired hits."""
-    p = pairs(spark, sf)
-    rec = p.groupBy("k").agg(F.round(100 * F.avg("a"), 6).alias("fused_recall"), F.round(100 * F.avg("b"), 6).alias("vote_recall"))
-    return rec.join(T.mcnemar(p, ["k"]).drop("discordant"), "k")
+    report = T.paired_report(pairs(spark, sf), ["k"])
+    return report.withColumnsRenamed({"rate_a": "fused_recall", "rate_b": "vote_recall"})
