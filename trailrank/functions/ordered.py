@@ -16,6 +16,7 @@ The order must be total inside a group, otherwise the result depends on the run.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trailrank-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Row count of the biggest group. Counts are combined before the shuffle."""
     top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]

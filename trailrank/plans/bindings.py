@@ -254,7 +254,11 @@ cte("edits", """SELECT DISTINCT * FROM (SELECT doc_id, 'docs/'||doc_id||'.py' AS
 # ---- traces: failure text built from events ----------------------------------------------
 
 def traces(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return trace_text(table(spark, sf, "events"))
+
+
+def trace_text(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     f1 = F.format_string('  File "src/%s.py", line %d, in u%d', "event_type", "k", "user_id")
     f2 = F.format_string('  File "lib/m%d.py", line %d, in step_%d', F.col("k") % 5, F.col("k") + 1, "k")
     text = (F.when(F.col("event_type") == "error", F.concat(F.format_string("Seen by u%d\nTraceback (most recent call last):\n", "user_id"), f1, F.lit("\n    run()\n"), f2,

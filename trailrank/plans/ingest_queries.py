@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailrank.operators import rank as R
+from trailrank.functions.ordered import shared_folder
+from trailrank.operators import classify as K
 from trailrank.plans import bindings as B
 from trailrank.plans.registry import query
 from trailrank.plans.text_queries import pages
-from trailrank.sources import ingest
+from trailrank.sources import ingest, sinks
+from trailrank.streaming.incremental import run_incremental
 
 
 @query("a1_read_instances", """SELECT instance_id, len(f) AS n_failing, f[1] AS first_failing FROM (SELECT 'd'||lpad(doc_id::VARCHAR,9,'0') AS instance_id, CASE lang WHEN 'en' THEN ['t_a','t_b'] WHEN 'fr' THEN ['t_plain'] ELSE []::VARCHAR[] END AS f FROM documents) ORDER BY instance_id LIMIT 300""")
@@ -107,3 +109,26 @@ def m8(spark, sf):
     from pyspark.sql import Window as W
     items = B.vote_items(spark, sf).select("instance_id", "line", "mass", "counts")
     return items.withColumn("r", F.rank().over(W.partitionBy("instance_id").orderBy(F.desc("mass")))).filter("r <= 3")
+
+
+@query("a9_write_results", "SELECT CASE WHEN quality=1 THEN 'good' ELSE 'rest' END AS run, doc_id, toxic FROM labels")
+def a9(spark, sf):
+    """Two runs appended to one result folder and read back with their partition column."""
+    out = shared_folder(spark, "results")
+    labels = B.table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    sinks.write_results(labels.filter("quality = 1").drop("quality"), out, "good")
+    sinks.write_results(labels.filter("quality <> 1").drop("quality"), out, "rest")
+    return spark.read.parquet(out)
+
+
+@query("a10_incremental_run", """SELECT event_id, CASE event_type WHEN 'error' THEN 'traceback' WHEN 'view' THEN 'frames>=2' WHEN 'purchase' THEN 'raises' ELSE 'none' END AS rule FROM events""")
+def a10s(spark, sf):
+    """The event table as a stream of arriving files: one labelled record per new event."""
+    def work(batch):
+        t = B.trace_text(batch)
+        return t.select("event_id", K.crash_rule(F.col("text"), F.col("test_patch")).alias("rule"))
+
+    out = shared_folder(spark, "labelled")
+    schema = B.table(spark, sf, "events").schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    run_incremental(spark, sf, schema, out, shared_folder(spark, "progress"), "event_id", work, "parquet", {"pathGlobFilter": "events.parquet"}).awaitTermination()
+    return spark.read.parquet(out).drop("batch")

@@ -413,6 +413,6 @@ def e25(spark, sf):
     return M.oracle_union(hits(spark, sf), ["instance_id", "k"])
 
 
-@query("a9_arm_metrics_long", "SELECT instance_id, arm, k, hit FROM hits", "hits")
+@query("m11_arm_metrics", "SELECT instance_id, arm, k, hit FROM hits", "hits")
 def m11(spark, sf):
     return hits(spark, sf)

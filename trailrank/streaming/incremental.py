@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def run_incremental(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, key: str,
-                    work: Callable[[DataFrame], DataFrame], file_format: str = "json") -> StreamingQuery:
+                    work: Callable[[DataFrame], DataFrame], file_format: str = "json",
+                    options: dict[str, str] | None = None) -> StreamingQuery:
     """Read the files that arrived since the last run and write one record per new key.
 
     A batch is written to its own ``batch`` partition in overwrite mode, so a batch that is run
@@ -23,7 +24,7 @@ def run_incremental(spark: SparkSession, source: str, schema: str, sink: str, ch
         out = work(fresh).withColumn("batch", F.lit(batch_id))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
 
-    stream = spark.readStream.schema(schema).format(file_format).load(source)
+    stream = spark.readStream.schema(schema).format(file_format).options(**(options or {})).load(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
