@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trailrank.functions import columns as C
 from trailrank.functions.columns import hash_seeded
-from trailrank.functions.ordered import first_k
 
 
 def crash_rule(problem: Column, test_patch: Column) -> Column:

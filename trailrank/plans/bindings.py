@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailrank.functions.ordered import needs_slices, number_rows
+from trailrank.functions.ordered import frozen, needs_slices, number_rows
 from trailrank.functions.columns import is_code, tokens
 from trailrank.operators import rank as R
 from trailrank.operators.parse import numbered_lines
@@ -154,7 +154,7 @@ def issue_docs(spark, sf) -> DataFrame:
     Both sides meet on a run of four space-separated words (words 2 to 5 of the passage, which a
     containing text holds unbroken), so only real candidates are compared with ``contains``. Only ids
     travel through the join; texts come back for the candidates. Every passage of the table has
-    14 words or more."""
+    14 words or more. The matches are checkpointed, since callers read them several times."""
     docs = documents(spark, sf).select("doc_id", "text")
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     n = F.size(F.split("text", " "))
@@ -169,12 +169,12 @@ def issue_docs(spark, sf) -> DataFrame:
     before = F.expr("substring(text, 1, instr(text, item) - 1)")
     start = 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
     height = F.length("item") - F.length(F.replace("item", F.lit("\n"), F.lit("")))
-    return both.select("item_id", "doc_id", start.alias("start"), (start + height).alias("end"))
+    return frozen(both.select("item_id", "doc_id", start.alias("start"), (start + height).alias("end")))
 
 
-def signals(spark, sf) -> DataFrame:
+def signals(spark, sf, pairs: DataFrame | None = None) -> DataFrame:
     """Line signals of every (issue, document) pair: relevance, proximity, slice hops, coverage."""
-    pairs = issue_docs(spark, sf)
+    pairs = issue_docs(spark, sf) if pairs is None else pairs
     near = lines(spark, sf).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     token_rows = R.line_tokens(near)
     idf = R.inverse_frequency(token_rows, doc_sizes(spark, sf), ["doc_id"], "n_lines")

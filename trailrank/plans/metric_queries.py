@@ -3,13 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailrank.functions.ordered import needs_slices, number_rows
+from trailrank.functions.ordered import number_rows
 from trailrank.operators import metrics as M
 from trailrank.operators import rank as R
 from trailrank.operators import sets as S
-from trailrank.operators import stats as T
 from trailrank.plans import bindings as B
-from trailrank.plans.bindings import ARMS, HASH
+from trailrank.plans.bindings import ARMS
 from trailrank.plans.registry import cte, query
 
 I, L, IL = ["instance_id"], ["line"], ["instance_id", "line"]

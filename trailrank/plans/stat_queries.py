@@ -3,12 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailrank.functions.columns import hash_seeded
 from trailrank.operators import metrics as M
 from trailrank.operators import stats as T
 from trailrank.plans import bindings as B
 from trailrank.plans.bindings import mix_sql
-from trailrank.plans.metric_queries import IL, I, L, expected, first, hits
+from trailrank.plans.metric_queries import I, L, expected, first, hits
 from trailrank.plans.registry import cte, query
 
 REPLICATES = 500

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailrank.functions.columns import identifiers, is_code, tokens
+from trailrank.functions.columns import is_code, tokens
 from trailrank.operators import classify as K
 from trailrank.operators import graph as G
 from trailrank.operators import joins as J
@@ -84,8 +84,8 @@ cte("fscore", FN[len("fscore AS ("):-1], "issue_docs", "spans", "score1", "sig")
  UNION ALL SELECT item_id, doc_id, name, start, "end", 0, pos FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY start, "end" DESC) AS pos FROM fscore f
   WHERE NOT EXISTS(FROM fscore g WHERE g.item_id=f.item_id AND g.doc_id=f.doc_id AND g.score>0)) WHERE pos<=6""", "fscore")
 def e6(spark, sf):
-    sig = B.signals(spark, sf)
     pairs = B.issue_docs(spark, sf)
+    sig = B.signals(spark, sf, pairs)
     funcs = B.spans(spark, sf).join(pairs.select(*ID), "doc_id")
     named = pairs.select(*ID, F.concat(F.lit("f"), F.floor((F.col("start") - 1) / 10).cast("string")).alias("name"))
     return R.rank_functions(funcs, R.line_score(sig), sig.filter("covered = 1"), named, ID)
