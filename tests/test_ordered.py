@@ -64,3 +64,38 @@ def test_first_k_beyond_group_cut(spark, rows, monkeypatch):
     a = O.first_k(rows, ["g"], order(), 5).count()
     monkeypatch.setattr(O, "GROUP_CUT", 1000)
     assert a == O.first_k(rows, ["g"], order(), 5).count()
+
+
+def test_operators_with_a_hot_instance(spark):
+    """A third of all votes in one instance: fusion and metrics equal plain Python."""
+    from trailrank.operators import rank as R
+    rng = random.Random(9)
+    raw = [(0 if rng.random() < 0.34 else rng.randrange(1, 30), rng.randrange(5), rng.randrange(200)) for _ in range(4000)]
+    raw = sorted(set(raw))
+    seen, votes = {}, []
+    for i, s, line in sorted(raw, key=lambda r: (r[0], r[1], r[2] * 7919 % 211)):
+        rank = seen.get((i, s), 0)
+        seen[(i, s)] = rank + 1
+        votes.append((i, s, rank, line))
+    df = spark.createDataFrame(votes, "instance_id int, sample int, rank int, line int")
+    mass, counts, first = {}, {}, {}
+    for i, s, r, line in votes:
+        mass[i, line] = mass.get((i, line), 0) + 1 / (1 + r)
+        counts[i, line] = counts.get((i, line), 0) + 1
+        first[i, line] = min(first.get((i, line), (9, 9)), (s, r))
+    want = {}
+    for inst in {i for i, _ in mass}:
+        items = [k for k in mass if k[0] == inst]
+        score = dict.fromkeys(items, 0.0)
+        for signal in (lambda k: -round(mass[k], 6), lambda k: -counts[k]):
+            for n, k in enumerate(sorted(items, key=lambda k: (signal(k), first[k]))):
+                score[k] += 1 / (20 + n)
+        for n, k in enumerate(sorted(items, key=lambda k: (-score[k], first[k])), 1):
+            want[k] = n
+    spark.conf.set(O.MAX_GROUP_ROWS_CONF, "100")
+    try:
+        items = R.vote_mass(df, ["instance_id"], ["line"])
+        fused = R.rrf_fuse(items, ["instance_id"], [[F.desc("mass")], [F.desc("counts")]], [F.asc("first_seen")])
+        assert {(r.instance_id, r.line): r.pos for r in fused.collect()} == want
+    finally:
+        spark.conf.unset(O.MAX_GROUP_ROWS_CONF)
