@@ -58,6 +58,8 @@ def test_mcnemar_and_wilson(spark):
     assert p == pytest.approx(0.109375) and one(spark, C.mcnemar_p(F.col("w"), F.col("l")), w=0, l=0) == 1.0
     big = one(spark, C.mcnemar_p(F.col("w"), F.col("l")), w=900, l=1100)
     assert big == pytest.approx(min(1, 2 * sum(math.comb(2000, i) for i in range(901)) / 2 ** 2000), rel=1e-9)
+    far = one(spark, C.mcnemar_p(F.col("w"), F.col("l")), w=500_010_000, l=499_990_000)
+    assert far == pytest.approx(math.erfc(2e4 / math.sqrt(1e9) / math.sqrt(2)), abs=1e-4)
     lo = one(spark, C.wilson_bound(F.col("k"), F.col("n"), -1), k=199, n=300)
     hi = one(spark, C.wilson_bound(F.col("k"), F.col("n"), 1), k=199, n=300)
     assert (round(lo, 1), round(hi, 1)) == (60.8, 71.4)

@@ -74,19 +74,32 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def log_gamma(x: Column) -> Column:
+    """Stirling's series at x + 10, stepped back to x; for x >= 1."""
+    y = x + 10
+    series = (y - 0.5) * F.log(y) - y + F.lit(0.9189385332046727) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    back = F.log(x)
+    for i in range(1, 10):
+        back = back + F.log(x + i)
+    return series - back
+
+
 def mcnemar_p(wins: Column, losses: Column) -> Column:
-    """Two-sided exact binomial p-value on discordant pairs, summed in log space so that
-    it does not overflow: term(i) = log C(n,i) - n log 2."""
-    n = (wins + losses).cast("int")
-    k = F.least(wins, losses).cast("int")
-    step = F.aggregate(
-        F.sequence(F.lit(0), k),
-        F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.lit(0.0).alias("total")),
-        lambda acc, i: F.struct(
-            (acc["term"] + F.log((n - i).cast("double")) - F.log(i.cast("double") + 1)).alias("term"),
-            (acc["total"] + F.exp(acc["term"])).alias("total")),
-        lambda acc: acc["total"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * step))
+    """Two-sided exact binomial p-value on discordant pairs. Terms are summed in log space from
+    the largest, C(n, k) / 2^n, downward; past 100 standard deviations they are zero in double
+    precision, so the number of terms grows with the square root of n only."""
+    n = (wins + losses).cast("double")
+    k = F.least(wins, losses).cast("bigint")
+    last = F.least(k, (F.sqrt(n) * 50 + 200).cast("bigint"))
+    top = log_gamma(n + 1) - log_gamma(k + F.lit(1.0)) - log_gamma(n - k + 1) - n * F.log(F.lit(2.0))
+
+    def step(acc, j):
+        i = (k - j).cast("double")
+        return F.struct((acc["term"] + F.log(i) - F.log(n - i + 1)).alias("term"), (acc["total"] + F.exp(acc["term"])).alias("total"))
+
+    start = F.struct(top.alias("term"), F.lit(0.0).alias("total"))
+    total = F.aggregate(F.sequence(F.lit(0).cast("bigint"), last), start, step, lambda acc: acc["total"])
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * total))
 
 
 def wilson_bound(k: Column, n: Column, sign: int, z: float = 1.96) -> Column:
