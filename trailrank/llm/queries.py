@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, merkle, packing, secrets, substring_dedup
+from . import bagminhash, bpe, langid, merkle, packing, secrets, substring_dedup
 
 JSON_50K = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -59,3 +59,8 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
