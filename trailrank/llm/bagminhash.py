@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, drop, store, with_columns
-from .links import connect
+from .links import connect, shared
 from .textarrays import byte_hash, mix, range_hash, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -149,9 +149,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     classes, _ = store(signed.filter("c1 is not null").groupBy("c1", "c2").agg(
         F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .select("c1", "c2", F.struct(F.col("first.doc_id").alias("id"), F.col("c1").alias("c")).alias("node"), F.col("first.text_key").alias("text_key"), "n", "bands"))
-    banded = classes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    candidates, candidates_path = store(banded.join(shared, "key"))
+    candidates, candidates_path = shared(classes.select("node", F.explode("bands").alias("key")))
     nodes = classes.join(candidates.select("node").distinct(), "node", "left_semi")
     bagged, bagged_path = store(_bags_of(docs, nodes, shingle))
 

@@ -15,6 +15,15 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
+def shared(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The ``rows(key, node)`` whose key has another row, stored. The keys are written first, so that a key with very many rows
+    joins between two plain shuffles, which Spark can split."""
+    keys, path = store(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    out, out_path = store(rows.join(keys, "key"))
+    drop(rows.sparkSession, path)
+    return out, out_path
+
+
 def connect(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, pivots: int = PIVOTS) -> DataFrame:
     """Groups of ``rows(key, node)``: ``(node, component)`` for nodes linked to another, where two nodes that share a key are
     linked if ``verify(pairs)`` keeps their pair ``(a, b)``.
@@ -25,10 +34,8 @@ def connect(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], small: in
     rounds in which all groups are checked with one more node each.
     """
     spark = rows.sparkSession
-    made, made_path = store(rows.select("key", "node").distinct())
-    buckets = made.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    members, members_path = store(made.join(buckets, "key"))
-    drop(spark, made_path)
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    members, members_path = store(rows.join(buckets, "key"))
     links, _ = store(verify(_pairs(members.select(F.col("node").alias("a"), F.col("least").alias("b")))))
     for turn in range(pivots + 1):
         nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
