@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, langid, line_dedup, merkle, packing, secrets, substring_dedup
+from . import bagminhash, bpe, cross_polytope, langid, line_dedup, merkle, packing, secrets, substring_dedup
 
 JSON_50K = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -69,3 +69,8 @@ def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(_table(spark, sf_dir, "embeddings"))
