@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, cross_polytope, langid, line_dedup, merkle, packing, secrets, substring_dedup
+from . import bagminhash, bpe, cross_polytope, html_extract, langid, line_dedup, merkle, packing, secrets, substring_dedup
 
 JSON_50K = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -74,3 +74,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
