@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, drop, store, with_columns
+from .common import documents, drop, store, whole_rows, with_columns
 from .links import connect, shared
 from .textarrays import byte_hash, mix, range_hash, slices, words
 
@@ -169,3 +169,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
                                                           F.coalesce("component_id", "doc_id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).select(real("doc_id"), "text_key", "n_shingles", real("class_id"), real("component_id"), "kept")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows and columns of ``docs``, one row of each group; of rows that repeat id and text one stays."""
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"))
+    rows = whole_rows(docs, id_col, text_col).select("row", "doc_id", "text_key")
+    stay = rows.join(kept, rows["doc_id"].eqNullSafe(kept["k_id"]) & (rows["text_key"] == kept["k_key"]), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return stay.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,9 +58,17 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
-def same_row(left: DataFrame, right: DataFrame):
-    """The join condition on ``doc_id`` (null equals null) and ``text_key``."""
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
+def whole_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``documents``, with every column of the row in the struct ``row``, out of reach of other names."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+
+
+def with_text(rows: DataFrame, columns: list[str], new: Column, text_col: str = "text") -> DataFrame:
+    """The columns of ``row`` with another text (null stays null) and, where there is one, its count ``n_chars``."""
+    text = F.when(F.col("row")[text_col].isNotNull(), new)
+    swap = {text_col: text, "n_chars": F.when(F.col("row")[text_col].isNotNull(), F.length(new).cast("long")).otherwise(F.col("row")["n_chars"])} if "n_chars" in columns else {text_col: text}
+    return rows.select(*[swap.get(c, F.col("row")[c]).alias(c) for c in columns])
 
 
 def with_columns(batch, schema: T.StructType, values: dict):

@@ -134,9 +134,9 @@ def train(docs: DataFrame, learn: Column | None = None, lang_col: str = "lang",
     return fit(x, y, labels)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with ``lang_pred``, ``score`` and ``rejected``, from whole texts alone."""
-    source = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_said"))
+    source = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("said"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            T.StructField("rejected", T.BooleanType())])
 

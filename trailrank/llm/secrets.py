@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, store
+from .common import documents, store, whole_rows, with_text
 
 # The base patterns and the least length that their matches need, in the order in which ties are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -150,12 +150,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
     """The rows and columns of ``docs``, each stretch of its text under spans replaced by ``mark``; null text stays null."""
     hits = scan(docs, id_col, text_col).filter(F.size("spans") > 0).groupBy("doc_id", "text_key").agg(F.first("spans").alias("_spans"))
     hits = hits.select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), "_spans")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(hits, docs[id_col].cast("long").eqNullSafe(hits["_hit_id"]) & (F.xxhash64(text) == hits["_hit_key"]), "left")
+    rows = whole_rows(docs, id_col, text_col)
+    joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_hit_id"]) & (rows["text_key"] == hits["_hit_key"]), "left")
+    text = F.col("text")
 
     def step(acc, s):
-        return F.struct(F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")).alias("out"),
-                        F.greatest(acc["at"], s["end"]).alias("at"))
+        between = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")
+        return F.struct(F.concat(acc["out"], between).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     clean = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.select(*[F.when(F.col("_spans").isNull(), docs[c]).otherwise(clean).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return with_text(joined, docs.columns, F.when(F.col("_spans").isNull(), text).otherwise(clean), text_col)
