@@ -1,8 +1,8 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and runs of words.
 
 A text is cut into paragraphs at line feeds; a paragraph into leaves after words whose hash is a multiple of
-four, so a leaf's cuts depend on its own words alone and an edit moves no cut away from it; a
-section ends with an empty paragraph or one whose hash is a multiple of eight. A node's hash covers its
+four, so a leaf's cuts depend on its own words alone and an edit moves no cut away from it (a text's first
+words are leaves of their own, so short texts have several); a section ends with an empty paragraph or one whose hash is a multiple of eight. A node's hash covers its
 children's hashes. The fingerprint writes the root, each section's hash, and each leaf as its hash
 and length, so it can be compared with another without the texts: equal roots for equal texts, equal
 sections skipped, differing leaves with their places.
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import documents, with_columns
 from .textarrays import Slice, byte_hash, mix, range_hash, slices, words
 
-LEAF_WORDS, SECTION_PARAGRAPHS = 4, 8  # mean words of a leaf, mean paragraphs of a section
+LEAF_WORDS, SECTION_PARAGRAPHS, FIRST_WORDS = 4, 8, 16  # mean words of a leaf, mean paragraphs of a section, leaves of one word
 _CODE = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 _BACK = np.zeros(256, np.int64)
@@ -52,8 +52,9 @@ def _leaves(part: Slice) -> tuple[np.ndarray, ...]:
     p_end[:-1] = p_start[1:] - 1
     last = np.append(p_doc[1:] != p_doc[:-1], True)
     p_end[last] = offsets[1:][p_doc[last]]
-    w_start, w_end, _ = words(part)
-    cut = np.flatnonzero(byte_hash(data, w_start, w_end, 3)[:-1] % np.uint64(LEAF_WORDS) == 0) + 1 if len(w_start) else np.zeros(0, np.int64)
+    w_start, w_end, w_first = words(part)
+    early = np.arange(len(w_start)) - np.repeat(w_first[:-1], np.diff(w_first)) < FIRST_WORDS
+    cut = np.flatnonzero(early[:-1] | (byte_hash(data, w_start, w_end, 3)[:-1] % np.uint64(LEAF_WORDS) == 0)) + 1 if len(w_start) else np.zeros(0, np.int64)
     # paragraphs of a text start one byte apart at least, empty ones included; texts are told apart by their number
     filled = np.flatnonzero(p_end > p_start)
     at = filled[np.searchsorted(p_start[filled], w_start[cut], side="right") - 1] if len(filled) else np.zeros(0, np.int64)
