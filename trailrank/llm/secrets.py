@@ -70,7 +70,7 @@ def _upper_normal(z: Column) -> Column:
 
 def _battery(value: Column) -> Column:
     """(encoding, n, chi-squared, runs and serial-correlation p-values) of one string."""
-    body = F.translate(F.rtrim(F.lit("="), value), "-_", "+/")
+    body = F.translate(F.rtrim(value, F.lit("=")), "-_", "+/")
     kind = (F.when(body.rlike("^[0-9a-f]+$"), "hex").when(body.rlike("^[0-9A-F]+$"), "HEX").when(body.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64"))
     alphabet = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])[kind]
     return F.struct(kind.alias("kind"), alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("cells"), F.length(body).cast("double").alias("n"), body.alias("body"))
