@@ -8,8 +8,10 @@ document with one anchor form a passage. The passages of one anchor are a shard
 1. equal passages are one row with the least id that has them: in every later document they go whole;
 2. where an anchor has several different passages, these are streamed, by ascending id, past the suffix automaton of
    the earlier ones: a matching statistic of WINDOW words or more marks a window, and the marks join to maximal spans;
-3. an anchor with more than HOT different passages would be one large task: its passages are cut into single windows, and equal
-   windows are brought together by hash like the passages of point 1.
+3. an anchor with more than HOT different passages would be one large task: these passages are cut again by anchors of LONG
+   words, which tell more apart, and points 1 and 2 hold for the pieces;
+4. what is still hot then has LONG words in common: its pieces are cut into single windows, and equal windows are brought together by
+   hash like the passages of point 1.
 
 Defined results: words are the runs of characters other than 0x20 and 0x09-0x0D; null text has none; windows are judged on
 the input; equal or null ids never remove from each other (null counts as the smallest id); repeated rows get the same answer; documents
@@ -21,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, drop, store, with_columns
 from .textarrays import byte_hash, range_hash, slices, words
 
-WINDOW, ANCHOR, HOT = 50, 8, 128
+WINDOW, ANCHOR, LONG, HOT = 50, 8, 40, 128
+KEY = ["anchor", "h1", "h2"]
 _L, _I = T.LongType(), T.IntegerType()
 PASSAGES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", _L), ("text_key", _L), ("start", _I), ("windows", _I), ("anchor", _L), ("h1", _L), ("h2", _L))])
 SPANS = T.StructType([T.StructField(n, t) for n, t in (("anchor", _L), ("h1", _L), ("h2", _L), ("begin", _I), ("stop", _I))])
@@ -98,40 +101,66 @@ def _word_hashes(part) -> tuple[np.ndarray, np.ndarray]:
     return byte_hash(part.data, starts, ends, 11), firsts
 
 
-def passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Every window of every document, in runs with one anchor: first word, windows, anchor, hash of all their words."""
+def _cut(h: np.ndarray, firsts: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor in sequences of word hashes that lie end to end: first word, windows, sequence, anchor."""
     width = window - anchor + 1
+    grams = range_hash(h, np.arange(len(h) - anchor + 1), np.arange(anchor, len(h) + 1), 12)
+    low = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)  # ties: the first place
+    step = 1
+    while 2 * step <= width:
+        low = np.minimum(low[:len(low) - step], low[step:])
+        step *= 2
+    low = np.minimum(low[:len(low) - (width - step)], low[width - step:]) if width > step else low
+    place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    of = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    whole = of[:len(place)] == of[window - 1:]
+    begins = whole & np.append(True, (place[1:] != place[:-1]) | ~whole[:-1] | (of[1:len(place)] != of[:len(place) - 1]))
+    at = np.flatnonzero(begins)
+    counted = np.append(0, np.cumsum(whole))
+    count = counted[np.append(at[1:], len(whole))] - counted[at]
+    return at, count, of[at], grams[place[at]]
+
+
+def _hashes(h: np.ndarray, at: np.ndarray, stop: np.ndarray) -> dict[str, np.ndarray]:
+    return {"h1": _SIGNED(range_hash(h, at, stop, 13)), "h2": _SIGNED(range_hash(h, at, stop, 14))}
+
 
+def passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """Every window of every document, in runs with one anchor: first word, windows, anchor, hash of all their words."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
                 h, firsts = _word_hashes(part)
                 if len(h) < window:
                     continue
-                grams = range_hash(h, np.arange(len(h) - anchor + 1), np.arange(anchor, len(h) + 1), 12)
-                low = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)  # ties: the first place
-                step = 1
-                while 2 * step <= width:
-                    low = np.minimum(low[:len(low) - step], low[step:])
-                    step *= 2
-                low = np.minimum(low[:len(low) - (width - step)], low[width - step:]) if width > step else low
-                place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-                whole = doc[:len(place)] == doc[window - 1:]
-                begins = whole & np.append(True, (place[1:] != place[:-1]) | ~whole[:-1] | (doc[1:len(place)] != doc[:len(place) - 1]))
-                at = np.flatnonzero(begins)
-                if not len(at):
-                    continue
-                counted = np.append(0, np.cumsum(whole))
-                count = counted[np.append(at[1:], len(whole))] - counted[at]
-                row = pa.array(part.first + doc[at])
+                at, count, of, anchors = _cut(h, firsts, window, anchor)
+                row = pa.array(part.first + of)
                 yield with_columns(batch, PASSAGES, {
-                    "doc_id": batch.column("doc_id").take(row), "text_key": batch.column("text_key").take(row),
-                    "start": (at - firsts[doc[at]]).astype(np.int32), "windows": count.astype(np.int32), "anchor": _SIGNED(grams[place[at]]),
-                    "h1": _SIGNED(range_hash(h, at, at + count + window - 1, 13)), "h2": _SIGNED(range_hash(h, at, at + count + window - 1, 14))})
+                    "doc_id": batch.column("doc_id").take(row), "text_key": batch.column("text_key").take(row), "start": (at - firsts[of]).astype(np.int32),
+                    "windows": count.astype(np.int32), "anchor": _SIGNED(anchors), **_hashes(h, at, at + count + window - 1)})
     return docs.mapInArrow(work, PASSAGES)
 
 
+def _pieces(contents: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The passages of hot anchors cut again: ``owner`` (the passage) and, as in ``passages``, its pieces with their words."""
+    owner = T.StructType([T.StructField(n, _L) for n in ("anchor", "h1", "h2")])
+    schema = T.StructType([T.StructField("owner", owner), T.StructField("doc_id", _L), *PASSAGES.fields[2:], T.StructField("words", T.ArrayType(_L))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            h, firsts = lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            if not len(h):
+                continue
+            at, count, of, anchors = _cut(h, firsts, window, anchor)
+            stop, row = at + count + window - 1, pa.array(of)
+            own = pa.StructArray.from_arrays([batch.column(c).take(row) for c in owner.names], names=owner.names)
+            words_of = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(stop - at)).astype(np.int32)), pa.array(_SIGNED(np.concatenate([h[a:b] for a, b in zip(at, stop)]))))
+            yield with_columns(batch, schema, {"owner": own, "doc_id": batch.column("doc_id").take(row), "start": (at - firsts[of]).astype(np.int32),
+                                               "windows": count.astype(np.int32), "anchor": _SIGNED(anchors), **_hashes(h, at, stop), "words": words_of})
+    return contents.mapInArrow(work, schema)
+
+
 def _contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The word hashes of the passages ``wanted`` (content key, and where it first stands), fetched from the texts."""
     schema = T.StructType([T.StructField(n, t) for n, t in (("anchor", _L), ("h1", _L), ("h2", _L), ("doc_id", _L), ("hot", T.BooleanType()), ("words", T.ArrayType(_L)))])
@@ -163,7 +192,7 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
 
 def _matched(contents: DataFrame, window: int) -> DataFrame:
     """Windows (begin to stop, counted in the passage) of each passage that a passage of a smaller id has too."""
-    rows = contents.filter("not hot").select("anchor", "doc_id", "h1", "h2", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h1", "h2")
+    rows = contents.select("anchor", "doc_id", "h1", "h2", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h1", "h2")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton, waiting, of = None, SuffixAutomaton(), [], None
@@ -201,34 +230,54 @@ def _hot_windows(contents: DataFrame, window: int) -> DataFrame:
             take = pa.array(row)
             yield with_columns(batch, schema, {**{c: batch.column(c).take(take) for c in ("anchor", "h1", "h2", "doc_id")}, "begin": place.astype(np.int32),
                                                "w1": _SIGNED(range_hash(flat, at, at + window, 15)), "w2": _SIGNED(range_hash(flat, at, at + window, 16))})
-    return contents.filter("hot").mapInArrow(work, schema)
+    return contents.mapInArrow(work, schema)
+
+
+def _first(found: DataFrame, place: Column) -> DataFrame:
+    """One row per different passage: the least place that has it, and whether a larger id has it too (``copied``)."""
+    return (found.groupBy(*KEY).agg(F.min(place).alias("first"), F.max("doc_id").alias("last"))
+            .select(*KEY, "first.*", (F.col("last") > F.col("first.doc_id")).alias("copied")))
+
+
+def _shards(distinct: DataFrame, hot: int) -> DataFrame:
+    """The anchors that have different passages in different documents, and whether they have more than ``hot``."""
+    counts = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    return counts.filter("n > 1 and low < high").select("anchor", (F.col("n") > hot).alias("hot"))
+
 
+def _verdicts(distinct: DataFrame, spans: DataFrame) -> DataFrame:
+    """What goes of each passage: everything in ids above ``first_id`` if ``copied``, ``parts`` of it in ``first_id``."""
+    parts = spans.groupBy(*KEY).agg(F.collect_list(F.struct("begin", "stop")).alias("parts"))
+    return distinct.select(*KEY, F.col("doc_id").alias("first_id"), "copied").join(parts, KEY, "left").filter("copied or parts is not null")
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _applied(found: DataFrame, verdicts: DataFrame, *owner: str) -> DataFrame:
+    """The windows that go, begin to stop, by owner of the passages."""
+    whole = F.expr("array(struct(0 as begin, windows as stop))")
+    part = found.join(verdicts, KEY).withColumn("part", F.explode(F.when(F.col("doc_id") > F.col("first_id"), whole).otherwise(F.col("parts"))))
+    return part.select(*owner, (F.col("start") + F.col("part.begin")).alias("begin"), (F.col("start") + F.col("part.stop")).alias("stop"))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, long: int = LONG, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``spans`` (words removed, begin to stop) and ``kept`` (the other words, one space
     between them)."""
     spark = docs.sparkSession
     docs = documents(docs, id_col, text_col)
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     found, found_path = store(passages(keyed, window, anchor))
-    key = ["anchor", "h1", "h2"]
-    distinct, distinct_path = store(found.groupBy(*key).agg(F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("first"), F.max("doc_id").alias("last"))
-                                    .select(*key, "first.*", (F.col("last") > F.col("first.doc_id")).alias("copied")))
-    shards = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("n > 1 and low < high")
-    wanted = distinct.join(shards.select("anchor", (F.col("n") > hot).alias("hot")), "anchor")
-    contents, contents_path = store(_contents(keyed, wanted, window))
-    singles = _hot_windows(contents, window)
-    singles, singles_path = store(singles)
+    distinct, distinct_path = store(_first(found, F.struct("doc_id", "text_key", "start", "windows")))
+    contents, contents_path = store(_contents(keyed, distinct.join(_shards(distinct, hot), "anchor"), window))
+    pieces, pieces_path = store(_pieces(contents.filter("hot"), window, long))
+    of_pieces, of_pieces_path = store(_first(pieces, F.struct("doc_id", "words")))
+    ranked, ranked_path = store(of_pieces.join(_shards(of_pieces, hot), "anchor"))
+    singles, singles_path = store(_hot_windows(ranked.filter("hot"), window))
     least, least_path = store(singles.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("w1", "w2", "low"))
-    hot_spans = singles.join(least, ["w1", "w2"]).filter("low < doc_id").select(*key, "begin", (F.col("begin") + 1).alias("stop"))
-    spans, spans_path = store(_matched(contents, window).unionByName(hot_spans))
-    drop(spark, contents_path, singles_path, least_path)
-    parts = spans.groupBy(*key).agg(F.collect_list(F.struct("begin", "stop")).alias("parts"))
-    verdicts, verdicts_path = store(distinct.select(*key, F.col("doc_id").alias("first_id"), "copied").join(parts, key, "left").filter("copied or parts is not null"))
-    drop(spark, distinct_path, spans_path)
-    whole = F.expr("array(struct(0 as begin, windows as stop))")
-    cut = (found.join(verdicts, key).withColumn("part", F.explode(F.when(F.col("doc_id") > F.col("first_id"), whole).otherwise(F.col("parts"))))
-           .select("doc_id", "text_key", (F.col("start") + F.col("part.begin")).alias("begin"), (F.col("start") + F.col("part.stop") + (window - 1)).alias("stop")))
+    same = singles.join(least, ["w1", "w2"]).filter("low < doc_id").select(*KEY, "begin", (F.col("begin") + 1).alias("stop"))
+    inner, inner_path = store(_verdicts(of_pieces, _matched(ranked.filter("not hot"), window).unionByName(same)))
+    again = _applied(pieces, inner, "owner").select("owner.*", "begin", "stop")
+    verdicts, verdicts_path = store(_verdicts(distinct, _matched(contents.filter("not hot"), window).unionByName(again)))
+    drop(spark, distinct_path, contents_path, pieces_path, of_pieces_path, ranked_path, singles_path, least_path, inner_path)
+    cut = _applied(found, verdicts, "doc_id", "text_key").withColumn("stop", F.col("stop") + (window - 1))
     cuts = cut.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("begin", "stop"))).alias("cuts")).withColumnsRenamed({"doc_id": "c_id", "text_key": "c_key"})
     cuts, _ = store(cuts)
     drop(spark, found_path, verdicts_path)
