@@ -46,11 +46,10 @@ def test_shuffled_head_keeps_set_and_tail(spark):
     assert sorted(got[:8]) == list(range(1, 9)) and got[8:] == list(range(9, 21)) and got[:8] != list(range(1, 9))
 
 
-def test_vote_mass_rejects_sample_out_of_range(spark):
-    votes = spark.createDataFrame([(1, 70, 0, 5), (1, 3, 1, 5)], "i int, sample int, rank int, line int")
-    assert R.vote_mass(votes, ["i"], ["line"], max_samples=100).first().counts == 2
-    with pytest.raises(Exception, match="max_samples"):
-        R.vote_mass(votes, ["i"], ["line"]).collect()
+def test_vote_mass_counts_any_number_of_samples(spark):
+    votes = spark.createDataFrame([(1, s, 0, 5) for s in range(100)] + [(1, 70, 4, 5), (1, 10 ** 6, 1, 6)], "i int, sample int, rank int, line int")
+    rows = {r.line: r for r in R.vote_mass(votes, ["i"], ["line"]).collect()}
+    assert (rows[5].counts, rows[5].mass, rows[5].first_seen) == (100, 100.2, 0) and rows[6].counts == 1
 
 
 def test_mcnemar_and_wilson(spark):
@@ -187,7 +186,7 @@ def test_patch_kind(spark):
     rows = [(1, 1, 0, "if a:"), (1, 2, 4, "return"), (2, 1, 0, "if a:"), (2, 2, 4, "return"), (2, 3, 4, "x = 1"), (3, 1, 0, "y = 2"),
             (4, 1, 4, "if a:"), (4, 2, 8, "return"), (4, 3, 0, "x = 1")]
     df = spark.createDataFrame(rows, "i int, ord int, indent int, text string")
-    assert dict(col(K.patch_kind(df, ["i"]), "i", "kind")) == {1: "DL", 2: "CF", 3: "DL", 4: "DL"}
+    assert dict(col(K.patch_kind(spark.range(1, 6).selectExpr("cast(id as int) as i"), df, ["i"]), "i", "kind")) == {1: "DL", 2: "CF", 3: "DL", 4: "DL", 5: "DL"}
 
 
 def test_holm_and_verdict(spark):
@@ -203,7 +202,7 @@ def test_edit_blocks_and_locations(spark):
     assert col(P.edit_blocks(a, f, ["i"]), "start", "end") == [(2, 3)]
     spans = spark.createDataFrame([(1, "f", 30, 32)], "i int, name string, start int, end int")
     loc = spark.createDataFrame([(1, "line: 12\nfunction: K.f"), (1, "line: 15-16")], "i int, loc string")
-    got = sorted(col(P.parse_locations(loc, spans, ["i"], window=1), "line"))
+    got = sorted(col(P.parse_locations(loc, spans, spark.createDataFrame([(1, 400)], "i int, n_lines int"), ["i"], window=1), "line"))
     assert got == [11, 12, 13, 14, 15, 16, 17, 30, 31, 32]
 
 

@@ -18,7 +18,9 @@ RAISES = r"pytest\.raises|assertRaises|with\s+raises|\.raises\("
 RAISES_ALT = r"pytest\.raises|assertRaises|assert_raises"
 ERROR_NAME = r"\b\w+Error\b|\b\w+Exception\b"
 EXCEPTION_TYPE = r"\b([A-Z][A-Za-z0-9_]*(?:Error|Exception|Warning))\b"
-ERROR_LINE = r"(?m)^\s*([A-Za-z_][\w.]*(?:Error|Exception|Warning)): ?(.*)$"
+ERROR_LINE = r"(?m)^([A-Za-z_][\w.]*(?:Error|Exception|Warning|Exit)):?\s*(.*)$"
+ERROR_CHARS = 200
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 ASSERTION_KEY = r"assert|raises|expect|==|!=|approx|isclose|pytest|with .*:"
 HASH_FACTOR = 2654435761
 HASH_RANGE = 4294967296
@@ -28,8 +30,16 @@ CONTROL_TRANSFER = r"^(return|raise|break|continue|pass|yield)\b"
 
 
 def hash_order(item: Column) -> Column:
-    """Tie-break value that does not follow the item order. Items stay below 2^31."""
-    return (item.cast("bigint") * F.lit(HASH_FACTOR)) % F.lit(HASH_RANGE)
+    """Tie-break value that does not follow the item order, for items of any size."""
+    return _times(item, HASH_FACTOR)
+
+
+def _times(x: Column, factor: int) -> Column:
+    """``x * factor`` modulo 2^32. x is reduced first and multiplied in halves of 16 bits, so no
+    64-bit product overflows."""
+    x = F.pmod(x.cast("bigint"), F.lit(HASH_RANGE))
+    high, low = F.shiftright(x, 16), x.bitwiseAND(F.lit(0xFFFF))
+    return (high * F.lit(factor) % F.lit(1 << 16) * F.lit(1 << 16) + low * F.lit(factor)) % F.lit(HASH_RANGE)
 
 
 def _xor_shift(h: Column, bits: int) -> Column:
@@ -38,8 +48,8 @@ def _xor_shift(h: Column, bits: int) -> Column:
 
 def hash_seeded(item: Column, seed: Column) -> Column:
     """Uniform draw in [0, 2^32) from (item, seed) by integer arithmetic, so that every engine and
-    every retry draws the same. Items and seeds stay below 2^31."""
-    h = (item.cast("bigint") * F.lit(HASH_FACTOR) + seed.cast("bigint") * F.lit(SEED_FACTOR)) % F.lit(HASH_RANGE)
+    every retry draws the same, for items and seeds of any size."""
+    h = (_times(item, HASH_FACTOR) + _times(seed, SEED_FACTOR)) % F.lit(HASH_RANGE)
     h = (_xor_shift(h, 15) * F.lit(1103515245) + F.lit(12345)) % F.lit(HASH_RANGE)
     h = (_xor_shift(h, 13) * F.lit(1664525) + F.lit(1013904223)) % F.lit(HASH_RANGE)
     return _xor_shift(h, 16)
@@ -70,6 +80,12 @@ def is_code(text: Column) -> Column:
     return (body != "") & ~body.startswith("#")
 
 
+def split_lines(text: Column) -> Column:
+    """Lines of a text; a line break at its end begins no further line, and an empty text has none."""
+    parts = F.split(text, LINE_BREAK, -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

@@ -35,10 +35,12 @@ def group_limit(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a local one only where none is set."""
+    """Use the shared folder the cluster names; a local one only in local mode, where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trailrank-checkpoint-"))
 
 
@@ -54,19 +56,12 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return int(top or 0)
 
 
-_MEASURED: dict[tuple, bool] = {}
-
-
 def needs_slices(df: DataFrame, keys: list[str]) -> bool:
     """Is some group larger than a task should hold? The answer only selects between two plans with
-    the same result, so it is remembered per logical plan."""
-    limit = group_limit(df.sparkSession)
+    the same result. It is measured anew each time, since a table can grow between two calls; callers that
+    know a bound pass it on instead."""
     keys = list(keys)
-    slim = df.select(*keys)
-    known = (df.sparkSession.sparkContext.applicationId, slim.semanticHash(), tuple(keys), limit)
-    if known not in _MEASURED:
-        _MEASURED[known] = largest_group(slim, keys) > limit
-    return _MEASURED[known]
+    return largest_group(df.select(*keys), keys) > group_limit(df.sparkSession)
 
 
 def frozen(df: DataFrame) -> DataFrame:
@@ -76,9 +71,10 @@ def frozen(df: DataFrame) -> DataFrame:
 
 
 def freeze_slices(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Range-partition by (keys, order) and store the slice number of each row."""
+    """Range-partition by (keys, order) into slices of at most about ``MAX_GROUP_ROWS`` rows and store
+    the slice number of each row."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // MAX_GROUP_ROWS))
     ranged = df.repartitionByRange(n, *[F.col(k).asc() for k in keys], *order)
     return frozen(ranged.withColumn(_SLICE, F.spark_partition_id()))
 
@@ -103,36 +99,16 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column], out: str =
         sliced = needs_slices(df, keys)
     if not sliced:
         number = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(out, number + F.lit(start - 1))
+        return df.withColumn(out, (number + F.lit(start - 1)).cast("bigint"))
     cut = freeze_slices(df, keys, order)
     carry = (cut.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
              .select(*keys, _SLICE, F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_before")))
     local = F.row_number().over(W.partitionBy(*keys, _SLICE).orderBy(*order))
     numbered = _join_slices(cut.withColumn("_local", local), carry, keys)
-    return (numbered.withColumn(out, (F.col("_local") + F.col("_before") + F.lit(start - 1)).cast("int"))
+    return (numbered.withColumn(out, (F.col("_local") + F.col("_before") + F.lit(start - 1)).cast("bigint"))
             .drop("_local", "_before", _SLICE))
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str,
-                sliced: bool | None = None) -> DataFrame:
-    """Sum of ``value`` from the first row of the group to the current row."""
-    keys = list(keys)
-    if sliced is None:
-        sliced = needs_slices(df, keys)
-    if not sliced:
-        frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(frame))
-    cut = freeze_slices(df, keys, order)
-    carry = (cut.groupBy(*keys, _SLICE).agg(F.sum(value).alias("_n"))
-             .select(*keys, _SLICE, F.sum("_n").over(_earlier(keys)).alias("_before")))
-    frame = W.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    summed = _join_slices(cut.withColumn("_local", F.sum(value).over(frame)), carry, keys)
-    total = (F.when(F.col("_local").isNull(), F.col("_before"))
-             .when(F.col("_before").isNull(), F.col("_local"))
-             .otherwise(F.col("_local") + F.col("_before")))
-    return summed.withColumn(out, total).drop("_local", "_before", _SLICE)
-
-
 def running_last(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str,
                  sliced: bool | None = None) -> DataFrame:
     """Last non-null ``value`` seen up to and including the current row."""
@@ -165,4 +141,4 @@ def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: st
     if k > GROUP_CUT:
         return number_rows(df, keys, order, out).filter(F.col(out) <= k)
     number = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(out, number).filter(F.col(out) <= k)
+    return df.withColumn(out, number.cast("bigint")).filter(F.col(out) <= k)

@@ -56,9 +56,11 @@ def assign_quadrant(instances: DataFrame, gold: DataFrame, coverage: DataFrame,
     return j.select(*keys, F.when(F.col("_c").isNull(), "nocov").otherwise(F.concat_ws("_", kind, path)).alias("subset"), F.col("_p.file").alias("file"))
 
 
-def patch_shape(edits: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts that pool predicates test: files, python files, python files with a hunk."""
-    files = edits.groupBy(*keys, "file").agg(F.count("hunk").alias("_h"))
+def patch_shape(files: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts that pool predicates test: files, python files, python files with a hunk. ``files`` (keys, file) holds
+    every file of the patch (``parse.patch_files``), also one whose hunks touch no line of the original."""
+    hunks = edits.groupBy(*keys, "file").agg(F.count("hunk").alias("_h"))
+    files = files.join(hunks, [*keys, "file"], "left").fillna(0, ["_h"])
     py = F.col("file").endswith(".py")
     return files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(py).alias("n_py"), F.count_if(py & (F.col("_h") > 0)).alias("n_py_hunks"))
 
@@ -69,7 +71,7 @@ def select_pool(instances: DataFrame, shape: DataFrame, keys: list[str], rule: s
     ``all_py``), that have failing tests, and optionally come from listed repositories or have a
     file of the asked length."""
     rules = {"single_py": F.col("n_py") == 1, "one_file": (F.col("n_files") == 1) & (F.col("n_py") == 1),
-             "multi_py": F.col("n_py") >= 2, "all_py": (F.col("n_py_hunks") > 0) & (F.col("n_py_hunks") == F.col("n_files"))}
+             "multi_py": F.col("n_py") >= 2, "all_py": (F.col("n_py_hunks") > 0) & (F.col("n_py_hunks") == F.col("n_py"))}
     j = instances.join(shape, keys).filter(rules[rule] & F.col("has_failing"))
     if repos is not None:
         j = j.filter(F.col("repo").isin(repos))
@@ -101,9 +103,10 @@ def dropped_at(instances: DataFrame, steps: list[tuple[str, Column]], key: str)
     return instances.select(key, reason.alias("dropped_at")).filter("dropped_at is not null")
 
 
-def patch_kind(added: DataFrame, keys: list[str]) -> DataFrame:
+def patch_kind(instances: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
     """CF when an added if/elif/else gets a body that holds a statement other than a control
-    transfer, else DL; ``naive`` is CF for any such header. ``added``: (keys, ord, indent, text).
+    transfer, else DL; ``naive`` is CF for any such header. ``added``: (keys, ord, indent, text). Every
+    instance gets a row; one without added lines is DL.
 
     Lines are cut into segments that end with a non-transfer line. A header ends its segment, so
     its body reaches a real statement exactly when the next segment is complete and all of it is
@@ -117,13 +120,17 @@ def patch_kind(added: DataFrame, keys: list[str]) -> DataFrame:
     nxt = W.partitionBy(*keys).orderBy("_seg")
     deep = (F.col("_ends_head") == 1) & (F.lead("_full").over(nxt) == 1) & (F.lead("_min").over(nxt) > F.col("_at"))
     out = segs.withColumn("_cf", F.coalesce(deep, F.lit(False))).groupBy(*keys).agg(F.max("_cf").alias("_cf"), F.max("_any").alias("_any"))
-    return out.select(*keys, F.when(F.col("_cf"), "CF").otherwise("DL").alias("kind"), F.when(F.col("_any") == 1, "CF").otherwise("DL").alias("naive"))
+    return instances.select(*keys).join(out, keys, "left").select(
+        *keys, F.when(F.col("_cf"), "CF").otherwise("DL").alias("kind"), F.when(F.col("_any") == 1, "CF").otherwise("DL").alias("naive"))
 
 
 def offpath_mechanism(instances: DataFrame, edits: DataFrame, functions: DataFrame, executed: DataFrame, keys: list[str]) -> DataFrame:
     """Why gold was not executed: a pure insertion, a branch missed inside an executed function, or a
-    function never reached; ``other`` without data. ``edits``: (keys, file, line, kind)."""
+    function never reached; ``other`` without data. ``edits``: (keys, file, file_ord, line, kind). Only the
+    patch's first python file that has edit lines is looked at."""
     cols = [*keys, "file"]
+    first = edits.filter(F.col("file").endswith(".py")).groupBy(*keys).agg(F.min_by("file", "file_ord").alias("file"))
+    edits = edits.join(first, cols, "left_semi")
     dels = edits.groupBy(*keys).agg(F.max((F.col("kind") == "deleted").cast("int")).alias("_del"))
     spans = functions.select(*cols, "name", "start", F.explode(F.sequence("start", "end")).alias("line"))
     gold_f = spans.join(edits.select(*cols, "line").distinct(), [*cols, "line"], "left_semi").select(*cols, "name", "start").distinct()

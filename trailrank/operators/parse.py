@@ -14,13 +14,13 @@ from trailrank.functions.ordered import first_k, number_rows
 
 def numbered_lines(files: DataFrame, keys: list[str], text: str = "text", line_no: str = "line_no", out: str = "text") -> DataFrame:
     """One row per line, 1-based."""
-    rows = files.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("_p", "_t"))
+    rows = files.select(*keys, F.posexplode(C.split_lines(F.col(text))).alias("_p", "_t"))
     return rows.select(*keys, (F.col("_p") + 1).alias(line_no), F.col("_t").alias(out))
 
 
 # ---- patches --------------------------------------------------------------------------
 
-HUNK = r"^@@.*?-(\d+)(?:,(\d+))? \+(\d+)"  # fixed value: hunk header
+HUNK = r"@@ -(\d+)(?:,(\d+))? \+(\d+)"  # fixed value: hunk header, in lines that start with @@
 
 
 def diff_to_edit_lines(patches: DataFrame, keys: list[str], patch: str = "patch", mode: str = "strict") -> DataFrame:
@@ -35,7 +35,7 @@ def diff_to_edit_lines(patches: DataFrame, keys: list[str], patch: str = "patch"
     w = W.partitionBy(*keys).orderBy("ord")
     t = F.col("t")
     if mode == "strict":
-        path = F.when(t.startswith("+++ b/"), F.trim(F.expr("substring(t, 7)")))
+        path = F.when(t.startswith("+++ b/"), C.strip(F.expr("substring(t, 7)")))
         minus_head, plus_head, blank = t.startswith("---"), t.startswith("+++"), F.lit(False)
     else:
         before, after = F.lag("t").over(w), F.lead("t").over(w)
@@ -43,10 +43,10 @@ def diff_to_edit_lines(patches: DataFrame, keys: list[str], patch: str = "patch"
         rows = rows.withColumn("_plus", t.startswith("+++ ") & F.coalesce(before.startswith("--- "), F.lit(False)))
         rows = rows.withColumn("_old_path", F.regexp_extract(before, r"^--- (?:a/)?(.*)$", 1)).withColumn("_last", after.isNull())
         new_path = F.regexp_extract("t", r"^\+\+\+ (?:b/)?(.*)$", 1)
-        path = F.when(F.col("_plus"), F.trim(F.when(new_path == "/dev/null", F.col("_old_path")).otherwise(new_path)))
+        path = F.when(F.col("_plus"), C.strip(F.when(new_path == "/dev/null", F.col("_old_path")).otherwise(new_path)))
         minus_head, plus_head, blank = F.col("_minus"), F.col("_plus"), (t == "") & ~F.col("_last")
     rows = rows.withColumn("file", F.last(path, ignorenulls=True).over(w))
-    start = F.regexp_extract("t", HUNK, 1)
+    start = F.when(t.startswith("@@"), F.regexp_extract("t", HUNK, 1)).otherwise("")
     rows = rows.withColumn("_start", F.when(F.col("file").isNotNull() & (start != ""), F.try_to_number(start, F.lit("9999999999")).cast("int")))
     rows = rows.withColumn("hunk", F.count("_start").over(w)).withColumn("_from", F.last("_start", ignorenulls=True).over(w))
     removed, added = t.startswith("-") & ~minus_head, t.startswith("+") & ~plus_head
@@ -59,6 +59,13 @@ def diff_to_edit_lines(patches: DataFrame, keys: list[str], patch: str = "patch"
             .filter("line >= 1").distinct())
 
 
+def patch_files(patches: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
+    """Files that a patch names as its result, with or without lines that count: (keys, file)."""
+    t = F.col("t")
+    rows = patches.select(*keys, F.explode(F.split(F.col(patch), "\n")).alias("t")).filter(t.startswith("+++ b/"))
+    return rows.select(*keys, C.strip(F.expr("substring(t, 7)")).alias("file")).distinct()
+
+
 def region_lines(edits: DataFrame, keys: list[str]) -> DataFrame:
     return edits.select(*keys, "file", "line").distinct()
 
@@ -142,7 +149,7 @@ def exception_facts(rows: DataFrame, keys: list[str], text: str = "text") -> Dat
     error = F.try_element_at(F.regexp_extract_all(t, F.lit(C.ERROR_LINE), 1), F.lit(-1))
     message = F.try_element_at(F.regexp_extract_all(t, F.lit(C.ERROR_LINE), 2), F.lit(-1))
     real = F.filter(kinds, lambda e: (e.endswith("Error") | e.endswith("Exception")) & (e != "AssertionError"))
-    return rows.select(*keys, error.alias("error"), C.strip(message).alias("message"), kinds.alias("kinds"), real.alias("real_errors"))
+    return rows.select(*keys, error.alias("error"), F.substring(C.strip(message), 1, C.ERROR_CHARS).alias("message"), kinds.alias("kinds"), real.alias("real_errors"))
 
 
 def test_evidence(instances: DataFrame, keys: list[str], lines: int = 24, cap: int = 1600) -> DataFrame:
@@ -248,15 +255,18 @@ def keep_valid(ranked: DataFrame, valid: DataFrame, keys: list[str], valid_keys:
     return number_rows(kept, keys, [F.asc("_old")], "rank", start=0).drop("_old")
 
 
-def parse_locations(locs: DataFrame, spans: DataFrame, keys: list[str], text: str = "loc", window: int = 10) -> DataFrame:
+def parse_locations(locs: DataFrame, spans: DataFrame, sizes: DataFrame, keys: list[str], text: str = "loc", window: int = 10) -> DataFrame:
     """Location strings to lines: ``line: N`` and ``line: a-b`` widened by ``window``, and the whole
-    span of every ``function:`` / ``class:`` they name. ``spans``: (keys, name, start, end)."""
+    span of every ``function:`` / ``class:`` they name. ``spans``: (keys, name, start, end); ``sizes``: (keys,
+    n_lines), which bounds every range before it is expanded, whatever numbers an answer names."""
     t = F.col(text)
     single = F.transform(F.regexp_extract_all(t, F.lit(r"line:\s*(\d+)(?!\d|\s*-)"), 1), lambda x: F.struct(x.alias("a"), x.alias("b")))
     ranged = F.arrays_zip(F.regexp_extract_all(t, F.lit(r"line:\s*(\d+)\s*-\s*(\d+)"), 1).alias("a"),
                           F.regexp_extract_all(t, F.lit(r"line:\s*(\d+)\s*-\s*(\d+)"), 2).alias("b"))
     marks = locs.select(*keys, F.explode(F.concat(single, ranged)).alias("_p")).selectExpr(*keys, "try_cast(_p.a as int) as a", "try_cast(_p.b as int) as b")
-    by_line = marks.select(*keys, F.explode(F.sequence(F.greatest(F.lit(1), F.col("a") - window), F.greatest(F.col("a"), F.col("b")) + window)).alias("line"))
+    bounds = marks.join(sizes.select(*keys, "n_lines"), keys).selectExpr(
+        *keys, f"greatest(1L, cast(a as bigint) - {window}) as a", f"least(cast(n_lines as bigint), cast(greatest(a, b) as bigint) + {window}) as b").filter("a <= b")
+    by_line = bounds.select(*keys, F.explode(F.sequence("a", "b")).alias("line")).withColumn("line", F.col("line").cast("int"))
     named = locs.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?:function|class):\s*([\w.]+)"), 1))).alias("_n"))
     named = named.withColumn("name", F.substring_index("_n", ".", -1))
     by_name = named.join(spans, [*keys, "name"]).select(*keys, F.explode(F.sequence("start", "end")).alias("line"))

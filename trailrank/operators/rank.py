@@ -138,21 +138,16 @@ SEEN_SHIFT = 4294967296  # first_seen = sample * SEEN_SHIFT + rank
 
 
 def vote_mass(votes: DataFrame, keys: list[str], item: list[str], region: DataFrame | None = None,
-              sample: str = "sample", rank: str = "rank", max_samples: int = 63) -> DataFrame:
+              sample: str = "sample", rank: str = "rank") -> DataFrame:
     """Reciprocal-rank mass, number of samples and first appearance of every voted item.
 
-    ``rank`` is 0-based and counted over the whole answer, before ``region`` removes items. The
-    samples an item occurs in are or-ed into 63-bit words (a sample number beyond ``max_samples``
-    stops the job), so everything is one hash aggregation with map-side combine."""
+    ``rank`` is 0-based and counted over the whole answer, before ``region`` removes items. Votes
+    are aggregated per sample first, so any number of samples is counted and both steps combine on the map side."""
     kept = votes if region is None else votes.join(region.select(*keys, *item).distinct(), [*keys, *item], "left_semi")
-    s = F.when((F.col(sample) < 0) | (F.col(sample) >= max_samples), F.raise_error(F.lit("sample number outside max_samples")).cast("int")).otherwise(F.col(sample))
-    words = range((max_samples + 62) // 63)
-    bits = [F.bit_or(F.when(F.floor(s / 63) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), (s % 63).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"_w{w}") for w in words]
-    out = kept.groupBy(*keys, *item).agg(
-        F.round(F.sum(F.lit(1.0) / (1 + F.col(rank))), 6).alias("mass"),
-        F.min(F.col(sample).cast("bigint") * SEEN_SHIFT + F.col(rank)).alias("first_seen"), *bits)
-    counts = reduce(lambda x, y: x + y, [F.bit_count(f"_w{w}") for w in words])
-    return out.select(*keys, *item, "mass", counts.alias("counts"), "first_seen")
+    per_sample = kept.groupBy(*keys, *item, sample).agg(
+        F.sum(F.lit(1.0) / (1 + F.col(rank))).alias("_mass"), F.min(F.col(sample).cast("bigint") * SEEN_SHIFT + F.col(rank)).alias("_seen"))
+    return per_sample.groupBy(*keys, *item).agg(
+        F.round(F.sum("_mass"), 6).alias("mass"), F.count(F.lit(1)).alias("counts"), F.min("_seen").alias("first_seen"))
 
 
 def rrf_fuse(items: DataFrame, keys: list[str], signals: list[Signal], ties: Signal, k: int = 20,

@@ -22,10 +22,12 @@ def pair_arms(metrics: DataFrame, a: str, b: str, keys: list[str], value: str, a
 
 
 def _interval(means: DataFrame, by: list[str], replicates: int) -> DataFrame:
-    """Order statistics ``sorted[int(p*B)]``; a group holds one row per replicate."""
+    """Order statistics ``sorted[int(p*B)]`` over the B resamples that drew anything; a group holds one
+    row per replicate."""
     at = F.row_number().over(W.partitionBy(*by).orderBy("m")) - 1
-    lo, hi = int(0.025 * replicates), int(0.975 * replicates)
-    return (means.withColumn("_i", at).groupBy(*by)
+    drawn = F.count(F.lit(1)).over(W.partitionBy(*by))
+    lo, hi = F.floor(0.025 * F.col("_b")), F.floor(0.975 * F.col("_b"))
+    return (means.filter("m is not null").withColumn("_b", drawn).withColumn("_i", at).groupBy(*by)
             .agg(F.max(F.when(F.col("_i") == lo, F.col("m"))).alias("lo"), F.max(F.when(F.col("_i") == hi, F.col("m"))).alias("hi"),
                  F.avg((F.col("m") > 0).cast("double")).alias("p_gt0")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailrank.functions.ordered import frozen, needs_slices, number_rows
-from trailrank.functions.columns import is_code, tokens
+from trailrank.functions.columns import is_code, split_lines, tokens
 from trailrank.operators import rank as R
 from trailrank.operators.parse import numbered_lines
 from trailrank.plans.registry import cte
@@ -17,12 +17,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents by id. A table of fewer files than cores would be parsed by a few tasks only, so it
-    is spread by ``doc_id``, which also serves every later step per document; a table of many files
-    is left as it is."""
-    docs = table(spark, sf, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs if len(docs.inputFiles()) >= cores else docs.repartition(cores, "doc_id")
+    """Documents by id, read by splits."""
+    return table(spark, sf, "documents")
 
 
 # ---- votes: instance = part, sample = line number, candidate = supplier -----------------
@@ -145,31 +141,57 @@ def lines(spark, sf) -> DataFrame:
 
 
 def doc_sizes(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
+    return table(spark, sf, "documents").select("doc_id", F.size(split_lines(F.col("text"))).alias("n_lines"))
 
 
-def issue_docs(spark, sf) -> DataFrame:
-    """Documents that contain an issue's passage, with the line range of the match.
+RUN = 4  # words that a passage and a text that contains it share unbroken
+GRAM = 8  # characters, for passages too short to hold such a run
 
-    Both sides meet on a run of four space-separated words (words 2 to 5 of the passage, which a
-    containing text holds unbroken), so only real candidates are compared with ``contains``. Only ids
-    travel through the join; texts come back for the candidates. Every passage of the table has
-    14 words or more. The matches are checkpointed, since callers read them several times."""
-    docs = documents(spark, sf).select("doc_id", "text")
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+
+def _met(doc_keys: DataFrame, item_keys: DataFrame) -> DataFrame:
+    """(item_id, doc_id) that share the passage's rarest key. Frequencies are counted over all documents;
+    a common key of a passage is never joined where it has a rarer one."""
+    hits = frozen(doc_keys.join(item_keys.select("key").distinct(), "key"))
+    df = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = item_keys.join(df, "key", "left").groupBy("item_id").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+    return hits.join(rarest, "key").select("item_id", "doc_id").distinct()
+
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) that contain an item (item_id, item), with the line range of the first
+    match. An item of six words or more has a run of ``RUN`` whole words between its first and last, which a
+    containing text holds unbroken; a shorter one is met by its runs of up to ``GRAM`` characters. Only ids travel
+    through these joins, and candidates are compared with ``contains``. An empty item is in no document."""
     n = F.size(F.split("text", " "))
     words = F.split("text", " ")
     pairs = F.zip_with(words, F.slice(words, 2, n), lambda x, y: F.xxhash64(x, y))
-    runs = F.slice(F.zip_with(pairs, F.slice(pairs, 3, n), lambda x, y: F.xxhash64(x, y)), 1, F.greatest(n - 3, F.lit(0)))
-    doc_runs = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
-    w = F.split("item", " ")
-    item_runs = items.select("item_id", F.xxhash64(F.xxhash64(w[1], w[2]), F.xxhash64(w[3], w[4])).alias("run"))
-    near = doc_runs.join(item_runs, "run").select("item_id", "doc_id").distinct()
-    both = near.join(items, "item_id").join(docs, "doc_id").filter(F.contains("text", "item"))
+    runs = F.slice(F.zip_with(pairs, F.slice(pairs, 3, n), lambda x, y: F.xxhash64(x, y)), 1, F.greatest(n - RUN + 1, F.lit(0)))
+    sized = items.withColumn("_n", F.size(F.split("item", " ")))
+    inner = F.slice(runs, 2, F.greatest(n - RUN - 1, F.lit(0)))
+    long = sized.filter(F.col("_n") >= RUN + 2).select("item_id", F.col("item").alias("text"))
+    near = _met(docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("key")), long.select("item_id", F.explode(F.array_distinct(inner)).alias("key")))
+    short = sized.filter((F.col("_n") < RUN + 2) & (F.col("item") != "")).select("item_id", F.col("item").alias("text"))
+    if not short.isEmpty():
+        wide = [r[0] for r in short.select(F.least(F.length("text"), F.lit(GRAM)).alias("w")).distinct().orderBy("w").collect()]  # GRAM values at most
+
+        def grams(w):
+            return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - w + 1), lambda i: F.substring(F.col("text"), i, F.lit(w))))
+
+        for w in wide:
+            of_docs = docs.filter(F.length("text") >= w).select("doc_id", F.explode(grams(w)).alias("key"))
+            near = near.unionByName(_met(of_docs, short.filter(F.least(F.length("text"), F.lit(GRAM)) == w).select("item_id", F.explode(grams(w)).alias("key"))))
+    both = near.distinct().join(items, "item_id").join(docs, "doc_id").filter(F.contains("text", "item"))
     before = F.expr("substring(text, 1, instr(text, item) - 1)")
     start = 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
     height = F.length("item") - F.length(F.replace("item", F.lit("\n"), F.lit("")))
-    return frozen(both.select("item_id", "doc_id", start.alias("start"), (start + height).alias("end")))
+    return both.select("item_id", "doc_id", start.alias("start"), (start + height).alias("end"))
+
+
+def issue_docs(spark, sf) -> DataFrame:
+    """Documents that contain an issue's passage, with the line range of the match; checkpointed, since
+    callers read them several times."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    return frozen(contained(docs, table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))))
 
 
 def signals(spark, sf, pairs: DataFrame | None = None) -> DataFrame:

@@ -131,4 +131,4 @@ def a10s(spark, sf):
     out = shared_folder(spark, "labelled")
     schema = B.table(spark, sf, "events").schema.simpleString()[len("struct<"):-1].replace(":", " ")
     run_incremental(spark, sf, schema, out, shared_folder(spark, "progress"), "event_id", work, "parquet", {"pathGlobFilter": "events.parquet"}).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(out).drop("run", "batch")

@@ -53,9 +53,10 @@ def b3(spark, sf):
     return P.added_lines(B.patches(spark, sf), D).groupBy("doc_id", "indent", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c6_patch_kind", """SELECT doc_id, CASE WHEN n_lines>=21 OR (lang<>'en' AND FALSE) THEN 'CF' ELSE 'DL' END AS kind, CASE WHEN n_lines>=15 THEN 'CF' ELSE 'DL' END AS naive FROM documents JOIN sizes USING (doc_id) WHERE n_lines>=3 OR lang<>'en'""", "sizes")
+@query("c6_patch_kind", """SELECT doc_id, CASE WHEN n_lines>=21 THEN 'CF' ELSE 'DL' END AS kind, CASE WHEN n_lines>=15 THEN 'CF' ELSE 'DL' END AS naive FROM documents JOIN sizes USING (doc_id)""", "sizes")
 def c6(spark, sf):
-    return K.patch_kind(P.added_lines(B.patches(spark, sf), D), D)
+    patches = B.patches(spark, sf)
+    return K.patch_kind(patches, P.added_lines(patches, D), D)
 
 
 @query("b5_traceback_frames", "SELECT event_id, ord, path, line, func FROM frames", "frames")
@@ -254,10 +255,10 @@ def c9(spark, sf):
     return B.traces(spark, sf).select("event_id", K.fail_mode(log, F.col("event_type") != "signup").alias("mode"))
 
 
-@query("c3_select_pool", """SELECT rule, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT doc_id, unnest(CASE WHEN lang='en' AND n_lines>=3 THEN ['single_py','one_file','all_py'] WHEN lang='en' THEN []::VARCHAR[]
- WHEN n_lines<3 AND lang='de' THEN ['single_py','one_file','all_py'] WHEN n_lines<3 THEN []::VARCHAR[] WHEN lang='de' THEN ['multi_py','all_py'] ELSE ['single_py'] END) AS rule FROM documents JOIN sizes USING (doc_id)) GROUP BY ALL""", "sizes")
+@query("c3_select_pool", """SELECT rule, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT doc_id, unnest(list_concat(CASE lang WHEN 'en' THEN ['single_py','one_file'] WHEN 'de' THEN ['multi_py'] ELSE ['single_py'] END,
+ CASE WHEN n_lines>=3 THEN ['all_py'] ELSE []::VARCHAR[] END)) AS rule FROM documents JOIN sizes USING (doc_id)) GROUP BY ALL""", "sizes")
 def c3(spark, sf):
-    shape = K.patch_shape(edits(spark, sf), D)
+    shape = K.patch_shape(P.patch_files(B.patches(spark, sf), D), edits(spark, sf), D)
     inst = B.documents(spark, sf).select("doc_id", F.lit(True).alias("has_failing"))
     out = None
     for rule in ("single_py", "one_file", "multi_py", "all_py"):
@@ -340,13 +341,15 @@ def c2(spark, sf):
 
 @query("c7_offpath_mechanism", """SELECT user_id, day, CASE WHEN d IS NULL THEN 'other' WHEN d=0 THEN 'insertion' WHEN ran THEN 'missed-branch' ELSE 'func-never-reached' END AS mechanism FROM (SELECT DISTINCT user_id, day FROM rn)
  LEFT JOIN (SELECT user_id, day, max((kind='deleted')::INT) AS d, bool_or(EXISTS(FROM rcov c WHERE c.user_id=g.user_id AND c.day=g.day AND c.file=g.file AND c.line//5=g.line//5)) AS ran FROM
-  (SELECT DISTINCT user_id, day, file, line, CASE WHEN event_type='error' THEN 'deleted' ELSE 'anchor' END AS kind FROM rn WHERE event_type IN ('error','purchase')) g GROUP BY ALL) USING (user_id, day)""", "rn", "rcov")
+  (SELECT DISTINCT user_id, day, file, line, CASE WHEN event_type='error' THEN 'deleted' ELSE 'anchor' END AS kind FROM rn WHERE event_type IN ('error','purchase') AND file%5<>4
+   QUALIFY file=min(file) OVER (PARTITION BY user_id, day)) g GROUP BY ALL) USING (user_id, day)""", "rn", "rcov")
 def c7(spark, sf):
     r = runs(spark, sf)
-    ed = r.filter("event_type in ('error', 'purchase')").select(*R_, "file", "line", F.when(F.col("event_type") == "error", "deleted").otherwise("anchor").alias("kind")).distinct()
+    r = r.withColumn("file_ord", F.col("file")).withColumn("file", F.concat(F.lit("m"), F.col("file"), F.when(F.col("file") % 5 == 4, ".txt").otherwise(".py")))
+    ed = r.filter("event_type in ('error', 'purchase')").select(*R_, "file", "file_ord", "line", F.when(F.col("event_type") == "error", "deleted").otherwise("anchor").alias("kind")).distinct()
     low = (F.floor(F.col("line") / 5) * 5).cast("int")
     funcs = r.select(*R_, "file", low.cast("string").alias("name"), low.alias("start"), (low + 4).alias("end")).distinct()
-    return K.offpath_mechanism(r.select(*R_).distinct(), ed, funcs, run_cov(spark, sf), R_)
+    return K.offpath_mechanism(r.select(*R_).distinct(), ed, funcs, r.filter("event_type <> 'error'").select(*R_, "file", "line").distinct(), R_)
 
 
 MISS = """SELECT g.user_id, g.day, g.file, g.line, CASE WHEN NOT EXISTS(FROM rcov x WHERE x.user_id=g.user_id AND x.day=g.day AND x.file=g.file) THEN 'outfile'

@@ -238,9 +238,9 @@ def c4(spark, sf):
     return K.seeded_sample(B.documents(spark, sf).select("doc_id"), "doc_id", 100, 3)
 
 
-@query("b8_parse_locations", """SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(range(greatest(1, 3-2), 3+3)) AS line FROM documents UNION ALL SELECT doc_id, unnest(range(greatest(1,n_lines-2), n_lines+1+3)) FROM sizes
+@query("b8_parse_locations", """SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(range(1, least(3+2, n_lines)+1)) AS line FROM sizes UNION ALL SELECT doc_id, unnest(range(greatest(1,n_lines-2), n_lines+1)) FROM sizes
  UNION ALL SELECT doc_id, unnest(range(start, "end"+1)) FROM spans WHERE name IN ('f1','g0'))""", "sizes", "spans")
 def b8(spark, sf):
     s = B.doc_sizes(spark, sf)
     loc = F.concat(F.lit("line: 3\nclass: g0\nfunction: mod.f1\nline: "), F.col("n_lines").cast("string"), F.lit("-"), (F.col("n_lines") + 1).cast("string"))
-    return P.parse_locations(s.select("doc_id", loc.alias("loc")), B.spans(spark, sf), D, window=2)
+    return P.parse_locations(s.select("doc_id", loc.alias("loc")), B.spans(spark, sf), s, D, window=2)

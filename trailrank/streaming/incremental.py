@@ -1,9 +1,9 @@
 """Incremental runs: process what arrived, skip what is stored, survive a restart."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,29 +11,34 @@ from pyspark.sql.streaming import StreamingQuery
 
 def run_incremental(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, key: str,
                     work: Callable[[DataFrame], DataFrame], file_format: str = "json",
-                    options: dict[str, str] | None = None) -> StreamingQuery:
+                    options: dict[str, str] | None = None, order: list[str] | None = None) -> StreamingQuery:
     """Read the files that arrived since the last run and write one record per new key.
 
-    A batch is written to its own ``batch`` partition in overwrite mode, so a batch that is run
-    again after a failure replaces itself; keys that earlier batches stored are skipped."""
+    A batch is written to its own partition (``run``, ``batch``) in overwrite mode, so a batch that is run
+    again after a failure replaces itself and nothing else; the run is named after the checkpoint folder, so a
+    restart with a new one leaves earlier runs as they are. Keys stored by other batches are skipped. Of rows
+    that repeat a key in a batch the first by ``order`` (default: all columns) is taken."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        done = stored(spark, sink, key, batch_id)
+        whole = F.struct(*batch.columns)
+        first = batch.groupBy(key).agg(F.min_by(whole, F.struct(*order) if order else whole).alias("_first"))
+        fresh = first.select("_first.*")
+        done = stored(spark, sink, key, run, batch_id)
         if done is not None:
             fresh = fresh.join(done, key, "left_anti")
-        out = work(fresh).withColumn("batch", F.lit(batch_id))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
+        out = work(fresh).withColumn("run", F.lit(run)).withColumn("batch", F.lit(batch_id))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch").parquet(sink)
 
     stream = spark.readStream.schema(schema).format(file_format).options(**(options or {})).load(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored(spark: SparkSession, sink: str, key: str, before: int) -> DataFrame | None:
-    """Keys written by batches before ``before``; None while nothing is stored."""
-    if before == 0:
-        return None
-    try:
-        rows = spark.read.parquet(sink)
-    except AnalysisException:  # nothing written yet
+def stored(spark: SparkSession, sink: str, key: str, run: str, batch: int) -> DataFrame | None:
+    """Keys stored by all batches but (``run``, ``batch``); None while nothing is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path) or not any(s.getPath().getName().startswith("run=") for s in files.listStatus(path)):
         return None
-    return rows.filter(F.col("batch") < before).select(key).distinct()
+    rows = spark.read.parquet(sink)
+    return rows.filter((F.col("run").cast("string") != run) | (F.col("batch") != batch)).select(key).distinct()
