@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from .common import documents, with_columns
 from .packing import _lists
 
 _ENCODERS: dict[str, PrefixEncoder] = {}
-KEPT = 400_000  # pieces remembered by a worker; older ones are worked out again
+KEPT = 1_000_000  # pieces, and pairs of tokens, that a worker remembers; others are worked out again
 
 
 class PrefixEncoder:
@@ -34,7 +35,14 @@ class PrefixEncoder:
         self.token = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable: dict[int, bool] = {}
+        self.sizes = np.array([len(self.token.get(i, b"")) for i in range(max(self.token) + 1)], np.int64)
+
+        self.tokens = ahocorasick.Automaton()
+        for b, i in ranks.items():
+            if len(b) == 1 or self.parts(i) is not None:  # merging can make it
+                self.tokens.add_word(b.decode("latin-1"), (i, len(b)))
+        self.tokens.make_automaton()
 
     def parts(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes t; None for a single byte or a token that merging its own
@@ -53,9 +61,9 @@ class PrefixEncoder:
     def stable(self, s: int, t: int) -> bool:
         """Whether s followed by t is its own encoding: unmaking the later of the merges that formed
         the two, step by step, no merge across the border comes before the ones still standing."""
-        key = (s, t)
+        key = s << 32 | t
         if key not in self._stable:
-            if len(self._stable) > 4 * KEPT:
+            if len(self._stable) > KEPT:
                 self._stable.clear()
             self._stable[key] = self._border(s, t)
         return self._stable[key]
@@ -77,20 +85,28 @@ class PrefixEncoder:
             else:
                 until_s, s = min(until_s, s), left[1]
 
-    def extend(self, piece: bytes, last: list[int], begins: int = 0) -> list[int]:
+    def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Fill in ``last`` (last token of each prefix, by its length; entry 0 is -1) for the bytes of the piece
         that it does not cover yet."""
-        rank, stable, longest = self.ranks, self.stable, self.longest
+        stable, size = self._stable, self.longest
         if not last:
             last = [-1]
-        for end in range(len(last), len(piece) + 1):
-            for start in range(max(begins, end - longest), end):
-                t = rank.get(piece[start:end])
-                if t is not None and (not start or stable(last[start], t)) and (end - start == 1 or self.parts(t) is not None):
-                    last.append(t)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+        done, begin = len(last), max(0, len(last) - size)
+        # every token that ends at each byte, the longest first; exactly one of them follows its prefix's last token
+        for end, (t, n) in self.tokens.iter(piece.decode("latin-1"), begin):
+            end += 1
+            if end < done:
+                continue
+            start = end - n
+            if start:
+                key = last[start] << 32 | t
+                ok = stable.get(key)
+                if not (self.stable(last[start], t) if ok is None else ok):
+                    continue
+            last.append(t)
+            done = end + 1
+        if len(last) <= len(piece):
+            raise ValueError("the vocabulary lacks a byte")
         return last
 
     def read(self, last: list[int]) -> list[int]:
@@ -135,27 +151,27 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
                     if len(known) > KEPT:
                         known.clear()
                     for new in set(pieces).difference(known):
-                        known[new] = np.array(enc.encode(new.encode()), np.int32)
-                    out.append(np.concatenate([known[p] for p in pieces]) if pieces else np.zeros(0, np.int32))
+                        known[new] = np.array(enc.encode(new.encode()), np.int32).tobytes()
+                    out.append(np.frombuffer(b"".join([known[p] for p in pieces]), np.int32))
                 yield with_columns(batch, schema, {"doc_id": batch.column("doc_id"), "ids": _lists(out)})
     return documents(docs, id_col, text_col).select("doc_id", "text").mapInArrow(work, schema)
 
 
-def decode(encoded: DataFrame, ranks: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks: str, rows: int = 256) -> DataFrame:
     """``doc_id``, ``ids``, ``decoded`` (bytes) of a table with ``doc_id`` and ``ids``; null ids decode to nothing."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("decoded", T.BinaryType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = prefix_encoder(ranks).token
-        for batch in batches:
-            flat = batch.column("ids")
-            values = b"".join([token[i] for i in flat.flatten().to_pylist()])
-            size = np.array([len(token.get(i, b"")) for i in range(max(token) + 1)], np.int64)
-            ends = np.zeros(len(flat.flatten()) + 1, np.int64)
-            np.cumsum(size[flat.flatten().to_numpy(zero_copy_only=False)] if len(ends) > 1 else ends[:0], out=ends[1:])
-            cuts = np.zeros(len(flat) + 1, np.int64)
-            np.cumsum(flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=cuts[1:])
-            cuts = ends[cuts]
-            yield with_columns(batch, schema, {"doc_id": batch.column("doc_id"), "ids": flat, "decoded": [values[a:b] for a, b in zip(cuts[:-1], cuts[1:])]})
+        enc = prefix_encoder(ranks)
+        token, size = enc.token, enc.sizes
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                lists = batch.column("ids")
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                values = b"".join([token[i] for i in flat.tolist()])
+                ends = np.append(0, np.cumsum(size[flat]))
+                cuts = ends[np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))]
+                yield with_columns(batch, schema, {"doc_id": batch.column("doc_id"), "ids": lists, "decoded": [values[a:b] for a, b in zip(cuts[:-1], cuts[1:])]})
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(work, schema)
