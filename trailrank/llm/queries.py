@@ -19,6 +19,35 @@ def query(f):
     return f
 
 
+WORDS = r"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents"
+#: Least id that links reach; nodes(id), links(a, b) in both directions.
+REACHED = "reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), comp AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a)"
+
+ORACLES["op1_substring_dedup"] = f"""WITH w AS ({WORDS}),
+ win AS (SELECT doc_id, i, array_to_string(ws[i:i+49], ' ') AS k FROM w, unnest(range(1, len(ws) - 48)) t(i)),
+ least AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least USING (k) WHERE d < doc_id),
+ said AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS s FROM said ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+ LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)"""
+
+ORACLES["op4_bagminhash"] = f"""WITH RECURSIVE w AS ({WORDS}),
+ sh AS (SELECT doc_id, s, count(*) AS c FROM (SELECT doc_id, array_to_string(ws[i:i+4], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) t(i) WHERE len(ws) > 0) GROUP BY ALL),
+ n AS (SELECT doc_id, sum(c)::BIGINT AS n FROM sh GROUP BY doc_id),
+ over AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS m FROM sh x JOIN sh y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+ near AS (SELECT a, b, m, p.n AS na, q.n AS nb FROM over JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE m >= 0.8 * (p.n + q.n - m)),
+ nodes AS (SELECT doc_id AS id FROM documents), links AS (SELECT a, b FROM near), {REACHED},
+ class AS (SELECT a, min(b) AS b FROM near WHERE m = na AND m = nb GROUP BY a)
+ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, b) AS class_id, c AS component_id, doc_id = c AS kept FROM documents LEFT JOIN n USING (doc_id)
+ JOIN comp ON id = doc_id LEFT JOIN class ON a = doc_id"""
+
+ORACLES["op9_cross_polytope"] = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+ sound AS (SELECT * FROM nodes WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+ links AS (SELECT x.id AS a, y.id AS b FROM sound x JOIN sound y ON x.id <> y.id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95), {REACHED}
+ SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, id = c AS kept FROM comp LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = id"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
