@@ -31,9 +31,9 @@ def vote_source(spark, sf) -> DataFrame:
 
 def votes(spark, sf) -> DataFrame:
     src = vote_source(spark, sf)
-    sliced = needs_slices(src, ["instance_id", "sample"])
-    if not sliced:  # groups are known to be small: one shuffle serves the aggregate and the ranks
-        src = src.select("instance_id", "sample", "line", "l_extendedprice").repartition("instance_id", "sample")
+    sliced = needs_slices(src, ["instance_id"])
+    if not sliced:  # instances are known to be small: one shuffle serves the aggregate, the ranks and the vote mass
+        src = src.select("instance_id", "sample", "line", "l_extendedprice").repartition("instance_id")
     best = src.groupBy("instance_id", "sample", "line").agg(F.max("l_extendedprice").alias("best"))
     return number_rows(best, ["instance_id", "sample"], [F.desc("best"), F.asc("line")], "rank", 0, sliced).drop("best")
 
