@@ -2,10 +2,11 @@ import os
 import sys
 
 import pytest
-from pyspark.sql import Row
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import brute  # noqa: E402
+
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards brew strong tea in an old tower near red hills".split()
 
 
@@ -31,12 +32,7 @@ def texts():
     return out
 
 
-def table(spark, texts, lang=None):
-    rows = [Row(text=t, doc_id=d, lang=lang and lang.get(d), source="s", n_chars=len(t or ""), row="clash", kept=True, bands=1, text_key="x", node=None) for d, t in texts.items()]
-    return spark.createDataFrame(rows, "text string, doc_id long, lang string, source string, n_chars long, row string, kept boolean, bands int, text_key string, node string")
-
-
 @pytest.fixture(scope="session")
 def docs(spark, texts):
     """The texts, with columns whose names the operators use inside."""
-    return table(spark, texts).repartition(3).cache()
+    return brute.table(spark, texts).repartition(3).cache()

@@ -136,13 +136,27 @@ def test_weighted_similarity_is_unbiased():
     assert (sign[0] == sign[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.03)
 
 
-def test_large_bucket_with_stragglers(spark):
-    """A chain in one bucket, longer than a small bucket, whose ends are alike only through those between them."""
+@pytest.mark.parametrize("block", [512, 7])
+def test_large_bucket_with_stragglers(spark, block):
+    """Chains in one bucket whose ends are alike only through the nodes between them, and nodes that are alone."""
+    import numpy as np
+    from trailrank.llm.common import store
     from trailrank.llm.links import connect
-    rows = spark.range(40).select(F.lit(1).alias("key"), F.col("id").alias("node"))
-    near = connect(rows, lambda pairs: pairs.filter("b - a <= 2 and not (a < 30 and b >= 30)"), small=4, pivots=2)
-    got = {r.node: r.component for r in near.collect()}
-    assert got == {i: 0 if i < 30 else 30 for i in range(40)}
+    sets = {i: set(range(i * 5, i * 5 + 95)) for i in range(40)} | {i: set(range(i * 5 + 5000, i * 5 + 5095)) for i in range(40, 60)} | {i: {i * 1000 + j for j in range(90, 140)} for i in range(60, 70)}
+    rows, _ = store(spark.createDataFrame([(1, i) for i in sets], "key long, node long"))
+    table, _ = store(spark.createDataFrame([(i, len(s), " ".join(map(str, sorted(s)))) for i, s in sets.items()], "node long, n long, body string"))
+
+    def numbers(column):
+        found = [np.array(t.split(), np.uint64) for t in column.to_pylist()]
+        return np.append(0, np.cumsum([len(x) for x in found])), np.concatenate(found)
+
+    groups = brute.Union()
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                groups.join(a, b)
+    got = {r.node: r.component for r in connect(rows, table, numbers, 0.8, block=block).collect()}
+    assert {i: got.get(i, i) for i in sets} == {i: groups.find(i) for i in sets} and len(set(got.values())) == 2
 
 
 def test_language(spark):

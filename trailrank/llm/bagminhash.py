@@ -121,22 +121,15 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = S
     return docs.mapInArrow(work, schema)
 
 
-def _bags_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """``node``, ``bag``: the shingles of a class, each occurrence as one number, so set overlap is multiset overlap."""
-    schema = T.StructType([nodes.schema["node"], T.StructField("bag", T.ArrayType(_L))])
-    both = docs.join(nodes.select("node", F.col("node.id").alias("n_id"), F.col("text_key").alias("n_key")),
-                     (docs["doc_id"] == F.col("n_id")) & (docs["text_key"] == F.col("n_key"))).select("node", "text")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.column("text"), 1 << 21):
-                here, n = batch.slice(part.first, part.last - part.first), part.last - part.first
-                doc, hashes, weight = bags(part, shingle)
-                each = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
-                values = mix(np.repeat(hashes, weight) + each.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 28)
-                ends = np.append(0, np.cumsum(np.bincount(doc, weights=weight, minlength=n))).astype(np.int32)
-                yield with_columns(here, schema, {"node": here.column("node"), "bag": pa.ListArray.from_arrays(pa.array(ends), pa.array(_SIGNED(values)))})
-    return both.mapInArrow(work, schema)
+def occurrences(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each text, each occurrence as one number, so that set overlap is multiset overlap."""
+    sizes, values = [], []
+    for part in slices(column, 1 << 21):
+        doc, hashes, weight = bags(part, shingle)
+        each = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+        values.append(mix(np.repeat(hashes, weight) + each.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 28))
+        sizes.append(np.bincount(doc, weights=weight, minlength=part.last - part.first).astype(np.int64))
+    return np.append(0, np.cumsum(np.concatenate(sizes))), np.concatenate(values)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE,
@@ -150,19 +143,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .select("c1", "c2", F.struct(F.col("first.doc_id").alias("id"), F.col("c1").alias("c")).alias("node"), F.col("first.text_key").alias("text_key"), "n", "bands"))
     candidates, candidates_path = shared(classes.select("node", F.explode("bands").alias("key")))
-    nodes = classes.join(candidates.select("node").distinct(), "node", "left_semi")
-    bagged, bagged_path = store(_bags_of(docs, nodes, shingle))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        size = classes.select("node", "n")
-        close = (pairs.join(size.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-                 .filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
-        both = close.join(bagged.withColumnsRenamed({"node": "a", "bag": "x"}), "a").join(bagged.withColumnsRenamed({"node": "b", "bag": "y"}), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.withColumn("common", common).filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct()
-
-    groups, _ = store(connect(candidates, verify))
-    drop(spark, candidates_path, bagged_path)
+    nodes = classes.join(candidates.select("node").distinct(), "node", "left_semi").select("node", "n", F.col("node.id").alias("n_id"), F.col("text_key").alias("n_key"))
+    bodies, bodies_path = store(docs.join(nodes, (docs["doc_id"] == nodes["n_id"]) & (docs["text_key"] == nodes["n_key"])).select("node", "n", F.col("text").alias("body")))
+    groups, _ = store(connect(candidates, bodies, lambda column: occurrences(column, shingle), similarity))
+    drop(spark, candidates_path, bodies_path)
     named, _ = store(classes.select("c1", "c2", "node").join(groups, "node", "left").select(
         "c1", "c2", F.col("node.id").alias("class_id"), F.coalesce("component.id", "node.id").alias("component_id")))
     out = signed.join(named, ["c1", "c2"], "left").select("doc_id", "text_key", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"),

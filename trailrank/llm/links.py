@@ -1,18 +1,27 @@
-"""Connected groups from banded buckets: which pairs to check, and when no link can be missing."""
+"""Connected groups of similar sets from banded buckets, without a pair for every two members of a bucket.
+
+1. Nodes that share a bucket, directly or through others, form a cluster; a link can only lie within one.
+2. Each node is checked with the least node of each of its buckets, which joins most of a bucket of near copies at once.
+3. Where a cluster still falls into several groups, every node outside its largest group is compared with every node of
+   the cluster, inside tasks that hold one block of either and put out spanning links only.
+
+Links within the largest group join nothing new, so the groups are those of comparing all pairs of a cluster.
+"""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, drop, store
-
-SMALL, PIVOTS = 16, 3
-
+from .common import components, drop, store, with_columns
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+BLOCK = 512
+#: Sets of hashes: where each begins (one more entry than sets), and the values, distinct within a set.
+Sets = tuple[np.ndarray, np.ndarray]
 
 
 def shared(rows: DataFrame) -> tuple[DataFrame, str]:
@@ -24,42 +33,122 @@ def shared(rows: DataFrame) -> tuple[DataFrame, str]:
     return out, out_path
 
 
-def connect(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL, pivots: int = PIVOTS) -> DataFrame:
-    """Groups of ``rows(key, node)``: ``(node, component)`` for nodes linked to another, where two nodes that share a key are
-    linked if ``verify(pairs)`` keeps their pair ``(a, b)``.
+def _groups(links: DataFrame) -> tuple[DataFrame, list[str]]:
+    return components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links)
+
+
+def _common(x: Sets, y: Sets) -> np.ndarray:
+    """Size of the overlap of each pair of sets."""
+    n = len(x[0]) - 1
+    owner = np.concatenate([np.repeat(np.arange(n), np.diff(s[0])) for s in (x, y)])
+    values = np.concatenate((x[1], y[1]))
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    return np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (values[1:] == values[:-1])], minlength=n)
+
+
+def similar(pairs: DataFrame, bodies: DataFrame, sets: Callable[[pa.Array], Sets], similarity: float, rows: int = 64) -> DataFrame:
+    """The ``pairs(a, b)`` whose bodies' sets have a Jaccard similarity of at least ``similarity``."""
+    if "n" in bodies.columns:  # sizes too far apart need no texts
+        size = bodies.select("node", "n")
+        pairs = (pairs.join(size.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
+                 .filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b"))
+    text = bodies.select("node", "body")
+    both = pairs.join(text.withColumnsRenamed({"node": "a", "body": "x"}), "a").join(text.withColumnsRenamed({"node": "b", "body": "y"}), "b").select("a", "b", "x", "y")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                x, y = sets(batch.column("x")), sets(batch.column("y"))
+                common = _common(x, y)
+                yield batch.select(["a", "b"]).filter(pa.array(common >= similarity * (np.diff(x[0]) + np.diff(y[0]) - common)))
+    return both.mapInArrow(work, both.select("a", "b").schema)
+
+
+def _spanning(labels: np.ndarray, asking: np.ndarray, offsets: np.ndarray, values: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join groups: each row of ``asking`` against all rows. Rows are sets ``values[offsets[i]:offsets[i+1]]``."""
+    n, size = len(labels), np.diff(offsets)
+    token = np.unique(values, return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(token, kind="stable")
+    posting, first = owner[order], np.append(0, np.cumsum(np.bincount(token)))
+    root = np.unique(labels, return_inverse=True)[1]
+    links = []
+    for i in asking.tolist():
+        t = token[offsets[i]:offsets[i + 1]]
+        counts = first[t + 1] - first[t]
+        at = np.repeat(first[t] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        common = np.bincount(posting[at], minlength=n)
+        for j in np.flatnonzero((common >= similarity * (size[i] + size - common)) & (root != root[i])).tolist():
+            if root[j] != root[i]:
+                links.append((i, j))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def _compared(rows: DataFrame, sets: Callable[[pa.Array], Sets], similarity: float) -> DataFrame:
+    """Spanning links of blocks: ``rows(cluster, ask, block, node, label, asks, body)``, one group for each (cluster, ask, block)."""
+    node = rows.schema["node"].dataType
+    schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
+    keys = ("cluster", "ask", "block")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+
+    def found(parts: list[pa.Table]) -> pa.RecordBatch | None:
+        part = pa.concat_tables(parts).combine_chunks()
+        column = {c: part.column(c).combine_chunks() for c in part.column_names}
+        column = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in column.items()}
+        links = _spanning(column["label"].to_numpy(), np.flatnonzero(column["asks"].to_numpy(zero_copy_only=False)), *sets(column["body"]), similarity)
+        if not links:
+            return None
+        a, b = (pa.array(x) for x in zip(*links))
+        return with_columns(None, schema, {"a": column["node"].take(a), "b": column["node"].take(b)})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                mine = tuple(key[low].tolist())
+                if mine != held:
+                    if group and (out := found(group)):
+                        yield out
+                    held, group = mine, []
+                group.append(pa.Table.from_batches([batch.slice(low, high - low).select(["node", "label", "asks", "body"])]))
+        if group and (out := found(group)):
+            yield out
+    return dealt.mapInArrow(work, schema)
+
 
-    The groups are those of checking every pair that shares a key, but pairs within a group already found are not made: each
-    bucket's nodes are first checked with its least one, which joins a bucket of near copies at once. Only in buckets whose nodes
-    still lie in different groups are further pairs made, across groups alone: at once in small buckets; in large ones after a few
-    rounds in which all groups are checked with one more node each.
-    """
+def connect(rows: DataFrame, bodies: DataFrame, sets: Callable[[pa.Array], Sets], similarity: float, block: int = BLOCK) -> DataFrame:
+    """Groups ``(node, component)`` of the nodes of ``rows(key, node)``, those alone left out: nodes of a cluster are linked if
+    their sets are alike. ``bodies(node, body)`` has each node's text, and if ``n``, the size of its set; texts travel, and ``sets``
+    turns them into sets where they are compared. Both tables are stored ones."""
     spark = rows.sparkSession
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-    members, members_path = store(rows.join(buckets, "key"))
-    links, _ = store(verify(_pairs(members.select(F.col("node").alias("a"), F.col("least").alias("b")))))
-    for turn in range(pivots + 1):
-        nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        groups, _ = components(nodes, links)
-        labelled = members.filter("n > 2").join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        split, split_path = store(labelled.join(split, "key").select("key", "node", "least", "n", "label"))
-        if split.limit(1).count() == 0:
-            break
-        last = turn == pivots
-        left = split if last else split.filter(F.col("n") <= small)
-        other = left.filter("node <> least").select("key", F.col("node").alias("a"), F.col("label").alias("at"))
-        pairs = other.join(other.withColumnsRenamed({"a": "b", "at": "bt"}), "key").filter("a < b and at <> bt").select("a", "b")
-        if not last:
-            large = split.filter(F.col("n") > small)
-            pivot = large.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
-            pairs = pairs.unionByName(large.join(pivot, "key").filter(F.col("label") != F.col("pivot.label")).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")))
-        found, _ = store(verify(_pairs(pairs)))
-        members, members_before = store(split.filter(F.col("n") > small).select("key", "node", "n", "least"))
-        drop(spark, split_path, members_path)
-        members_path = members_before
-        links = links.unionByName(found)
-        if last or members.limit(1).count() == 0:
-            nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            groups, _ = components(nodes, links)
-            break
-    return groups
+    least = rows.groupBy("key").agg(F.min("node").alias("least"))
+    stars, stars_path = store(rows.join(least, "key").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    clusters, cluster_paths = _groups(stars)
+    links, _ = store(similar(stars, bodies, sets, similarity))
+    groups, paths = _groups(links)
+    named = clusters.withColumnRenamed("component", "cluster").join(groups, "node", "left").select(
+        "node", F.xxhash64("cluster").alias("cluster"), F.xxhash64(F.coalesce("component", "node")).alias("label"))
+    named, named_path = store(named)
+    drop(spark, stars_path, *cluster_paths)
+    counts = named.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).filter("n > main.n")
+    mixed = mixed.select("cluster", F.col("main.label").alias("main"), F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("asks"))
+    mixed, mixed_path = store(mixed)
+    spread = named.join(mixed, "cluster").withColumn("own", F.xxhash64("node", F.lit("block")))
+    every = spread.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)).alias("ask"), F.pmod("own", "blocks").alias("block"), "node", "label", F.lit(False).alias("asks_"))
+    asking = spread.filter(F.col("label") != F.col("main")).select("cluster", F.pmod("own", "asks").alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+                                                                  "node", "label", F.lit(True).alias("asks_"))
+    dealt = every.unionByName(asking).withColumnRenamed("asks_", "asks").join(bodies.select("node", "body"), "node")
+    more, _ = store(_compared(dealt, sets, similarity))
+    drop(spark, named_path, mixed_path)
+    if more.isEmpty():
+        return groups
+    drop(spark, *paths)
+    return _groups(links.unionByName(more))[0]
