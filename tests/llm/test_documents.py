@@ -206,6 +206,27 @@ def test_packing(spark, docs, texts, small):
     brute.check_packing(queries.op7_packing(spark, SMALL).collect(), _ids(small))
 
 
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True, "rstrip": True}, {"single_word": True}, {"normalized": True, "lstrip": True}])
+def test_packing_added_tokens(spark, tmp_path, flags):
+    """Special strings in a text, against a Tokenizer left at its defaults; one more token overlaps the first."""
+    import json
+
+    from tokenizers import Tokenizer
+    spec = json.load(open(queries.JSON_50K, encoding="utf-8"))
+    plain = dict.fromkeys(("single_word", "lstrip", "rstrip", "normalized"), False)
+    if flags:
+        spec["added_tokens"] += [{"id": 50257, "content": "<|endoftext|>s", "special": False} | plain | flags, {"id": 50258, "content": "mark", "special": True} | plain | flags]
+    path = str(tmp_path / "tokenizer.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    end = "<|endoftext|>"
+    said = [f"a {end} b", end, f"{end}{end}", f"x\n {end}\t\n{end}s  mark y marks remark mark", f"<|endoftext |> {end[:-1]}", f"é{end}sé \u3000mark\u00a0mark", f"  {end}  ", "no such token"]
+    texts = dict(enumerate(said))
+    reference = Tokenizer.from_file(path)
+    ids = {d: x.ids + [1] for d, x in zip(texts, reference.encode_batch(said, add_special_tokens=False))}
+    assert ids[0] == [64, 220, 50256, 275, 1] or flags
+    brute.check_packing(packing.pack(brute.table(spark, texts), path, window=16).collect(), ids, 16)
+
+
 def test_bpe(spark, docs, texts, small):
     import tiktoken
     path = queries.MULTI_50K

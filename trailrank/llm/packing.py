@@ -5,13 +5,14 @@ tokens before it there. The partitions' totals (one small row each) give, by a p
 where each partition starts in the whole stream; the second pass adds that to each row and cuts at the
 multiples of the window. Text and ids are never shuffled, and no task sees another's rows.
 
-Defined results: null text is an empty document of one token, its end mark; a repeated row is
+Defined results: an added token of the tokenizers file (a special string) that a text spells is its own id; null text is an empty document of one token, its end mark; a repeated row is
 packed each time it occurs; an empty table gives no pieces; other columns are not read. Documents lie in the
 order in which their partitions were read. Only the last window can be short.
 """
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ IDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part",
                     T.StructField("ids", T.ArrayType(T.IntegerType()))])
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
                       + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _unicode_bytes() -> dict[str, int]:
@@ -38,17 +39,55 @@ def _unicode_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(path: str):
-    """The byte-level vocabulary of a tokenizers file as an encoder of ordinary text; its added
-    tokens (special strings) are left out, so their spelling in a text is text."""
-    if path not in _ENCODERS:
+class Encoder:
+    """Texts to ids as the tokenizers library gives them with add_special_tokens=False: added tokens that a text spells become
+    their ids, and the stretches between them are encoded each on its own."""
+
+    def __init__(self, spec: dict):
         import public_tokenizers
         import tiktoken
+        vocab, to_byte = spec["model"]["vocab"], _unicode_bytes()
+        # an added token that merges make too is an ordinary one besides, and has that one's id
+        merged = {m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in spec["model"]["merges"]}
+        names = {t["content"] for t in spec["added_tokens"]} - merged - set(to_byte)
+        ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if token not in names}
+        self.plain = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = {c: t | {"id": vocab.get(c, t["id"])} for t in spec["added_tokens"] if (c := t["content"])}
+        # tokens that are sought before normalization come first; the longest of those that begin at a place is taken
+        self.rounds = [re.compile("|".join(re.escape(c) for c in sorted(of, key=len, reverse=True)))
+                       for kind in (False, True) if (of := [c for c, t in self.added.items() if bool(t.get("normalized")) is kind])]
+
+    def _split(self, text: str, pattern: re.Pattern) -> Iterator[str | int]:
+        at = 0
+        for m in pattern.finditer(text):
+            token, (start, end) = self.added[m[0]], m.span()
+            if token.get("single_word") and (re.match(r"\w", text[start - 1:start]) or re.match(r"\w", text[end:end + 1])):
+                continue
+            if token.get("lstrip"):
+                start = max(at, len(text[:start].rstrip()))
+            if token.get("rstrip"):
+                end += len(text) - end - len(text[end:].lstrip())
+            if at < start:
+                yield text[at:start]
+            yield token["id"]
+            at = end
+        if at < len(text):
+            yield text[at:]
+
+    def encode(self, text: str) -> list[int]:
+        if not any(c in text for c in self.added):
+            return self.plain.encode_ordinary(text)
+        parts = [text]
+        for pattern in self.rounds:
+            parts = [y for x in parts for y in (self._split(x, pattern) if isinstance(x, str) else [x])]
+        return [i for x in parts for i in (self.plain.encode_ordinary(x) if isinstance(x, str) else [x])]
+
+
+def encoder(path: str) -> Encoder:
+    """The byte-level vocabulary of a tokenizers file, its added tokens included."""
+    if path not in _ENCODERS:
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        special, to_byte = {t["content"] for t in spec["added_tokens"]}, _unicode_bytes()
-        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _ENCODERS[path] = Encoder(json.load(f))
     return _ENCODERS[path]
 
 
@@ -69,7 +108,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 1, rows: int = 256, id
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                ids = [np.concatenate((np.asarray(enc.encode_ordinary(t), np.int32), end)) for t in batch.column("text").to_pylist()]
+                ids = [np.concatenate((np.asarray(enc.encode(t), np.int32), end)) for t in batch.column("text").to_pylist()]
                 lengths = np.array([len(x) for x in ids], np.int64)
                 starts = before + np.cumsum(lengths) - lengths
                 before += int(lengths.sum())
