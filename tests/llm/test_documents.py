@@ -111,6 +111,27 @@ def test_secrets_battery(spark):
     assert all(said[10 + i].text == p for i, p in enumerate(plain))
 
 
+def test_secrets_without_digits(spark):
+    """Keys without a digit, and the parts of keys outside base spans, among long words, identifiers, rules and numbers."""
+    random.seed(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    stems = "inter national communi cation trans forma tional bundes ausbildungs förderungs gesetz respons ability docu mentation extra ordinary distri bution".split()
+    words = ["".join(random.choice([x for x in stems if x.isascii()]) for _ in range(4)) for _ in range(300)]
+    long = [w for w in words if len(w) >= 20]
+    plain = [*long, *(w.upper() for w in long[:40]), *("".join(x.title() for x in (w[:7], w[7:13], w[13:])) for w in long[40:80]),
+             *("_".join((w[:7], w[7:13], w[13:])).upper() for w in long[80:120]), "-" * 40, "=" * 30, "_" * 25]
+    mixed = ["".join(random.choice(letters) for _ in range(40)) for _ in range(8)]
+    upper = ["".join(random.choice(letters[:26]) for _ in range(40)) for _ in range(4)]
+    half = "".join(random.choice(letters + "0123456789") for _ in range(40))
+    cut = f"{half}_AKIA{'Q7' * 10}"  # the base span ends the run
+    keys = [*mixed, *upper]
+    rows = [*((i, p) for i, p in enumerate(plain)), *((1000 + i, f"see {k}.") for i, k in enumerate(keys)), (2000, f"see {cut}"), (2001, f"token={half[:30]} x")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[1000 + i] == [(4, 3, 4 + len(k))] for i, k in enumerate(keys))
+    assert not any(got[i] for i in range(len(plain)))
+    assert got[2000] == [(4, 3, 4 + 41), (45, 1, 45 + 24)] and got[2001] == [(0, 0, 36)]
+
+
 def test_near_duplicates(docs, texts):
     want = brute.near_duplicates(texts)
     rows = bagminhash.near_duplicates(docs).collect()

@@ -1,20 +1,22 @@
 """Secret scans: fixed patterns, and a randomness test battery for the strings they do not name.
 
 Base spans come from three patterns. Further candidates are runs of 20 or more characters of one encoding (hexadecimal,
-base 32 or base 64 with its variants) that hold a digit. Each gets three p-values under uniform draws from its encoding's
+base 32 or base 64 with its variants), or what base spans leave of them where that is as long. Each gets three p-values under uniform draws from its encoding's
 alphabet: chi-squared over the alphabet's cells, runs of characters above and below the alphabet's middle, and lag-one serial
 correlation. A string that fails any (Bonferroni) is no random key. For the rest the null is turned round: exp(-gain),
-where gain is its log-likelihood under uniform draws less that under the character frequencies of all candidates that failed,
-bounds the chance that plain text looks so random (Markov's inequality on the likelihood ratio). Benjamini-Hochberg over these
+where gain is its log-likelihood under uniform draws less that under the frequencies of pairs of characters in all candidates that failed,
+bounds the chance that plain text looks so random (Markov's inequality on the likelihood ratio). Both sides take capitals for small
+letters, so words are words in any case. Benjamini-Hochberg over these
 p-values, within bands of length counted over all documents, controls the share of false finds. Plain DataFrame expressions
-throughout; the driver holds one count per character of the alphabets and one limit per band.
+throughout; the driver holds one count per pair of characters of the alphabets and one limit per band.
 
 Defined results: null text is empty and has no span; offsets count characters, end exclusive; repeated rows get equal
-spans; an empty table gives no rows; other columns are kept out. Spans of the battery that overlap a base span are left out.
+spans; an empty table gives no rows; other columns are kept out. Spans of the battery do not overlap base spans.
 """
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,10 +30,12 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ACCESS, LEAST_HEX, LEAST_VALUE = 20, 24, 6
 
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+LEAST_CANDIDATE = 20
+CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_CANDIDATE
 #: Alphabets by inferred encoding, in the order of their digits.
 ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
              "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+FOLDED = "abcdefghijklmnopqrstuvwxyz0123456789+/"  # without case
 LEVEL, FALSE_SHARE = 1e-4, 1e-3  # of rejecting randomness; of false finds
 BAND, LAST_BAND = 8, 63  # characters of a length band; the last one is open
 
@@ -102,6 +106,28 @@ def score(candidates: DataFrame, value_col: str = "value") -> DataFrame:
     return d.drop("_x", "_g", "_cell", "_sq", "_up", "_n1", "_n0", "_runs", "_m", "_v", "_r", "alphabet")
 
 
+def _outside(x: Column, base: Column) -> Column:
+    """The parts of a candidate outside the sorted base spans that are long enough for candidates of their own."""
+    def part(start, end):
+        return F.struct(start.alias("start"), end.alias("end"), F.substring(x["value"], start - x["start"] + 1, F.greatest(end - start, F.lit(0))).alias("value"))
+
+    touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    ran = F.aggregate(touching, F.struct(x["start"].alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out")),
+                      lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.array_append(acc["out"], part(acc["at"], b["start"])).alias("out")),
+                      lambda acc: F.array_append(acc["out"], part(acc["at"], x["end"])))
+    return F.when(F.size(touching) == 0, F.array(x)).otherwise(F.filter(ran, lambda p: F.length(F.rtrim(p["value"], F.lit("="))) >= LEAST_CANDIDATE))
+
+
+def _pair_costs(counts: dict[int, int]) -> tuple[list[float], list[float]]:
+    """Negative logarithms of the shares of characters, and of pairs among those that begin alike (shrunk to the
+    characters' shares). counts: of character c at -1 - c, of characters a, b at a * len(FOLDED) + b."""
+    k, n = len(FOLDED), Counter(counts)
+    total = sum(n[-1 - c] for c in range(k)) + k
+    one = [(n[-1 - c] + 1) / total for c in range(k)]
+    begun = [sum(n[a * k + b] for b in range(k)) for a in range(k)]
+    return [-math.log(x) for x in one], [-math.log((n[a * k + b] + k * one[b]) / (begun[a] + k)) for a in range(k) for b in range(k)]
+
+
 def _searched(docs: DataFrame) -> DataFrame:
     """One row per document, without its text: base spans, and the candidates outside them."""
     text = F.col("text")
@@ -110,20 +136,24 @@ def _searched(docs: DataFrame) -> DataFrame:
                     F.filter(_matches(text, ACCESS), lambda x: x["end"] - x["start"] >= LEAST_ACCESS).alias("_access"),
                     # runs are greedy and do not overlap, so those that are long enough are the ones a lower bound finds
                     _matches(text, HEX.replace("+", "{%d,}" % LEAST_HEX)).alias("_hex"),
-                    F.filter(_matches(text, CANDIDATE), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")).alias("_more"))
+                    _matches(text, CANDIDATE).alias("_more"))
     d = d.select("doc_id", "text_key", "_more", F.array_sort(F.concat(_as_spans(F.col("_assign"), 0), _as_spans(F.col("_access"), 1), _as_spans(F.col("_hex"), 2))).alias("base"))
     return d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", "base",
-                    F.filter("_more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))).alias("more"))
+                    F.flatten(F.transform("_more", lambda x: _outside(x, F.col("base")))).alias("more"))
 
 
 def _discoveries(candidates: DataFrame) -> DataFrame:
     """The candidates that are held to be random keys."""
-    letters = F.explode(F.expr("filter(split(body, ''), c -> c <> '')")).alias("c")
-    plain = {r["c"]: r["n"] for r in candidates.filter("not looks_random").select(letters).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    alphabet = sorted(set("".join(ALPHABETS.values())))
-    total = sum(plain.values()) + len(alphabet)
-    cost = F.create_map(*[F.lit(x) for c in alphabet for x in (c, -math.log((plain.get(c, 0) + 1) / total))])
-    gain = F.aggregate(F.expr("filter(split(body, ''), c -> c <> '')"), F.lit(0.0), lambda a, c: a + F.coalesce(cost[c], F.lit(0.0))) - F.col("n") * F.log("cells")
+    k = len(FOLDED)
+    candidates = candidates.withColumn("_c", F.expr(f"transform(filter(split(lower(body), ''), c -> c <> ''), c -> instr('{FOLDED}', c) - 1)"))
+    pairs = F.expr(f"transform(sequence(1, size(_c) - 1), i -> _c[i - 1] * {k} + _c[i])")
+    said = candidates.filter("not looks_random").select(F.explode(F.concat(F.transform("_c", lambda c: -1 - c), pairs)).alias("p"))
+    one, two = _pair_costs({r["p"]: r["n"] for r in said.groupBy("p").agg(F.count("*").alias("n")).collect()})
+    first, then = (F.expr(f"array({','.join(f'{x!r}D' for x in costs)})") for costs in (one, two))
+    cost = F.aggregate(pairs, first[F.col("_c")[0]], lambda a, p: a + then[p])
+    # under uniform draws from base 64 a letter of either case comes twice as often as another character
+    twice = F.when(F.col("encoding") == "base64", F.length(F.regexp_replace("body", "[^A-Za-z]", ""))).otherwise(0)
+    gain = cost - F.col("n") * F.log("cells") + twice * math.log(2)
     scored = candidates.filter("looks_random").withColumn("step", F.floor(gain * 10)).withColumn("band", F.least(F.floor(F.col("n") / BAND), F.lit(LAST_BAND)))
     tested = candidates.groupBy(F.least(F.floor(F.col("n") / BAND), F.lit(LAST_BAND)).alias("band")).agg(F.count("*").alias("tested"))
     # step-up limits from counts by band and tenths of gain, a table that does not grow with the input
