@@ -68,6 +68,21 @@ def test_odd_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_labels_that_name_a_subject():
+    """Headings, sections and spans whose ids are about sharing, adverts or comments stay; short adverts and threads of comments go."""
+    long = "Long text, with commas, and much to say about it. " * 12
+    parts = [("<h2 id='discussion'>Discussion one</h2>", "Discussion one"), (f"<section id='discussion'><h3>D</h3><p>{long}</p></section>", "D\n" + long.strip()),
+             ("<h2><span id='Social_structure'>Social structure</span> of ants</h2>", "Social structure of ants"),
+             ("<section id='data-sharing'><h3>Data</h3><p>Data, short.</p></section>", "Data\nData, short."),
+             ("<div id='advertising-in-the-1920s'><p>Adverts, then.</p></div>", "Adverts, then."), ("<h2 id='comments'>Comments in code</h2>", "Comments in code"),
+             ("<pre>x = 1 <span class='token comment'># why</span></pre>", "x = 1 # why"), (f"<div class='notice-of-motion'><p>{long}</p></div>", long.strip())]
+    junk = "<div class='ad'>Buy, now</div><div class='comments'><div class='comment'><p>" + long + "</p></div><div class='comment'><p>" + long + "</p></div></div>"
+    body = "".join(h for h, _ in parts)
+    want = "\n".join([long.strip(), *(x for _, x in parts)])
+    for page in (f"<article><p>{long}</p>{body}{junk}</article>", f"<body><div><p>{long}</p>{body}{junk}</div></body>"):
+        assert html_extract.main_text(page) == want
+
+
 def test_long_page():
     page = "<html><body><article>" + "".join(f"<p>Paragraph {i}, with, commas.</p>" for i in range(20000)) + "</article></body></html>"
     assert html_extract.main_text(page).count("\n") == 19999

@@ -4,7 +4,8 @@ The markup is read into a tree with the usual implied end tags. Each paragraph p
 ancestors, whole to the parent and less with every step up; an element's points are discounted by the share of its text that stands
 in links, and weighed by its name and class. The best container, its fellows of comparable points, and all their blocks are kept,
 but for elements that are no part of an article wherever they stand (menus, page headers and footers, sidebars, notices, adverts,
-forms, scripts, reader comments) and lists made of links.
+forms, scripts, reader comments) and lists made of links. A name or class alone ends no long text: it counts against an element, and
+cuts it only where it is short, made of links or a thread of comments (see ``_cut``).
 
 Defined results: null or empty html has no text; character references are decoded; white space in a block is one space; blocks are joined
 in page order by a line feed; unclosed and truncated markup is read as far as it goes; repeated rows get equal texts; an empty table gives
@@ -37,12 +38,15 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
         "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 ROLES_APART = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in a class or id that mark what is no article, always or unless a word of the third set stands beside them.
+#: Words in a class or id that speak against an article, always or unless a word of the third set stands beside them.
 NEVER = frozenset("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion comment comments
 commentlist disqus replies reply respond discussion cookie cookies consent gdpr nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar
 footer masthead newsletter subscribe signup login popup modal overlay share sharing social notice notices skip""".split())
 HARDLY = frozenset("""aside header banner widget widgets related recommended recommendations alert message pager pagination toolbar search form hidden
 legal side foot rail teaser teasers tags meta disclaimer topbar""".split())
+THREAD = frozenset("comment comments commentlist disqus replies reply respond".split())
+AMBIGUOUS = frozenset({"discussion"})  # as an id it is rather a section of a paper
+SHORT = 300  # characters of a block that a label can cut
 LIKELY = frozenset("article articles body content main post entry story text page column".split())
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -50,46 +54,72 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Element:
-    __slots__ = ("name", "parent", "apart", "points", "text", "linked", "weight", "links")
+    __slots__ = ("name", "parent", "apart", "points", "text", "linked", "weight", "links", "doubt", "threads", "headings")
 
     def __init__(self, name: str, parent: Element | None, apart: bool, weight: float):
         self.name, self.parent, self.apart, self.weight = name, parent, apart, weight
         self.points = self.text = self.linked = 0.0
-        self.links = 0
+        self.links = self.doubt = self.threads = self.headings = 0
 
 
-def _judge(name: str, attributes: str) -> tuple[bool, float]:
-    """Whether an element is apart from any article, and the weight of its name and class."""
+#: Doubts about an element: by a word among others in a class, by a whole class or id, by a whole class; with THREAD_DOUBT of comments.
+SOME, WHOLE, CLASS, THREAD_DOUBT = 1, 2, 4, 8
+
+
+def _judge(name: str, attributes: str) -> tuple[bool, float, int]:
+    """Whether an element is apart from any article, the weight of its name and class, and the doubts that these raise."""
     weight = {"article": 25.0, "main": 10.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "div": 5.0, "section": 5.0}.get(name, 0.0)
     if name in APART:
-        return True, weight
+        return True, weight, 0
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False, weight
+        return False, weight, 0
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True, weight
+        return True, weight, 0
     role = found.get("role", "")
     if role in ROLES_APART:
-        return True, weight
+        return True, weight, 0
     if role in ("main", "article") or "articleBody" in found.get("itemprop", ""):
         weight += 25
-    words = []
-    for label in f"{found.get('class', '')} {found.get('id', '')}".split():
-        said = [w.lower() for w in _WORD.findall(label)]
-        words += said[:0] if said[:1] and said[0] in ("no", "has", "with", "without") else said
-    if name in ("html", "body", "main") or not words:
-        return False, weight
-    likely = not LIKELY.isdisjoint(words)
-    never = not NEVER.isdisjoint(words)
-    if never and not (name == "article" and likely) or not HARDLY.isdisjoint(words) and not likely and name not in ("article", *HEADINGS):
-        return True, weight
-    return False, weight + 25 * likely
+    labels = []
+    for kind in ("class", "id"):
+        for label in found.get(kind, "").split():
+            said = [w.lower() for w in _WORD.findall(label)]
+            if said and said[0] not in ("no", "has", "with", "without"):
+                labels.append((kind, said))
+    if name in ("html", "body", "main", *HEADINGS) or not labels:
+        return False, weight, 0
+    likely = any(not LIKELY.isdisjoint(said) for _, said in labels)
+    against = (NEVER if not likely or name != "article" else frozenset()) | (HARDLY if not likely and name != "article" else frozenset())
+    doubt = 0
+    for kind, said in labels:
+        bad = against - AMBIGUOUS if kind == "id" else against
+        if bad.issuperset(said):
+            doubt |= SOME | WHOLE | (CLASS if kind == "class" else 0)
+        elif kind == "class" and not bad.isdisjoint(said):  # an id of several words is a slug, which says what a text is about
+            doubt |= SOME
+        if doubt and not THREAD.isdisjoint(said):
+            doubt |= THREAD_DOUBT
+    return False, weight + 25 * likely - 25 * bool(doubt), doubt
 
 
-def _read(source: str) -> list[tuple[Element, str]]:
-    """The blocks of a page in order: the element that holds each, and its text."""
+def _cut(e: Element) -> bool:
+    """Whether the doubts about a block suffice to cut it, now that its text is known: inside an article a whole class that is
+    short and has no heading, elsewhere what is short or made of links; and threads of comments anywhere."""
+    if e.doubt & THREAD_DOUBT and e.threads:
+        return True
+    up = e.parent
+    while up is not None and up.name != "article":
+        up = up.parent
+    if up is not None:
+        return bool(e.doubt & CLASS) and e.text <= SHORT and not e.headings
+    return e.text <= SHORT or e.linked > 0.5 * e.text
+
+
+def _read(source: str) -> list[tuple[Element, str, float]]:
+    """The blocks of a page in order: the element that holds each, its text and how much of that stands in links."""
     root = Element("", None, False, 0.0)
-    stack, blocks, run = [root], [], []
+    stack, blocks, run, elements = [root], [], [], []
     holder = root
     in_link = 0
     linked = 0.0
@@ -100,8 +130,8 @@ def _read(source: str) -> list[tuple[Element, str]]:
             text = " ".join(entities.unescape("".join(run)).split())
             run.clear()
             if text:
-                blocks.append((holder, text))
                 e, share = holder, min(linked, len(text))
+                blocks.append((holder, text, share))
                 while e is not None:
                     e.text += len(text)
                     e.linked += share
@@ -177,8 +207,18 @@ def _read(source: str) -> list[tuple[Element, str]]:
                     if name not in ("tr", "tbody", "tfoot"):
                         break
         parent = stack[-1]
-        apart, weight = _judge(name, m[3])
+        apart, weight, doubt = _judge(name, m[3])
+        if doubt and name not in BLOCKS:  # inside a sentence, a heading or code it is text
+            apart = bool(doubt & CLASS) and not any(x.name in ("p", "pre", "code", *HEADINGS) for x in stack)
+            doubt = 0
         e = Element(name, parent, parent.apart or apart, weight)
+        elements.append(e)
+        if doubt or name in HEADINGS:
+            e.doubt, up = doubt, parent
+            while up is not None:
+                up.threads += bool(doubt & THREAD_DOUBT)
+                up.headings += name in HEADINGS
+                up = up.parent
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             if name == "hr":
                 close()
@@ -197,6 +237,8 @@ def _read(source: str) -> list[tuple[Element, str]]:
                 up = up.parent
         stack.append(e)
     close()
+    for e in elements:  # parents come first
+        e.apart = e.apart or e.parent.apart or bool(e.doubt) and _cut(e)
     return blocks
 
 
@@ -215,7 +257,8 @@ def _kept(e: Element, top: Element) -> bool:
 
 def main_text(source: str) -> str:
     """The article of a page."""
-    blocks = [(e, t) for e, t in _read(source) if not e.apart]
+    read = _read(source)
+    blocks = [(e, t) for e, t, _ in read if not e.apart]
     scored: dict[int, Element] = {}
     for e, text in blocks:
         if e.name in HEADINGS or e.name == "header":
