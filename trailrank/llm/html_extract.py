@@ -2,9 +2,9 @@
 
 The markup is read into a tree with the usual implied end tags. Each paragraph passes points for its length and its commas to its
 ancestors, whole to the parent and less with every step up; an element's points are discounted by the share of its text that stands
-in links, and weighed by its name and class. The best container, its fellows of comparable points, and all their blocks are kept,
-but for elements that are no part of an article wherever they stand (menus, page headers and footers, sidebars, notices, adverts,
-forms, scripts, reader comments) and lists made of links. A name or class alone ends no long text: it counts against an element, and
+in links, and weighed by its name and class. The best container, its siblings of any name and size, and all their blocks are kept (beside an article element
+only other articles), but for elements that are no part of an article wherever they stand (menus, page headers and footers, sidebars, notices, adverts,
+forms, scripts, reader comments) and, outside article elements, menus of short links. A name or class alone ends no long text: it counts against an element, and
 cuts it only where it is short, made of links or a thread of comments (see ``_cut``).
 
 Defined results: null or empty html has no text; character references are decoded; white space in a block is one space; blocks are joined
@@ -47,6 +47,7 @@ legal side foot rail teaser teasers tags meta disclaimer topbar""".split())
 THREAD = frozenset("comment comments commentlist disqus replies reply respond".split())
 AMBIGUOUS = frozenset({"discussion"})  # as an id it is rather a section of a paper
 SHORT = 300  # characters of a block that a label can cut
+MENU_LINK = 25  # mean characters of a link in a menu; references are longer
 LIKELY = frozenset("article articles body content main post entry story text page column".split())
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -243,16 +244,19 @@ def _read(source: str) -> list[tuple[Element, str, float]]:
 
 
 def _kept(e: Element, top: Element) -> bool:
-    """Whether a block lies below ``top`` with nothing apart, no list of links and no page header between them."""
-    heading, below = False, e
+    """Whether a block lies below ``top`` with nothing apart, no menu of links and no page header between them."""
+    heading, below, menu = False, e, False
     while below is not None and below is not top:
         heading = heading or below.name in HEADINGS
         if below.apart or below.name == "header" and not heading:
             return False
-        if below.name in ("ul", "ol", "dl", "div", "section", "table") and below.links > 1 and below.linked > 0.6 * below.text:
-            return False
+        if below.name in ("ul", "div", "section", "table"):
+            menu = menu or below.links > 1 and 0.6 * below.text < below.linked < MENU_LINK * below.links
         below = below.parent
-    return below is top
+    up = top
+    while menu and up is not None and up.name != "article":
+        up = up.parent
+    return below is top and not (menu and up is None)
 
 
 def main_text(source: str) -> str:
@@ -282,17 +286,23 @@ def main_text(source: str) -> str:
             if up.name == "article":
                 break
         up = up.parent
-    best = value(top)
-    tops = {id(top): top}
-    for x in candidates:
-        if x.parent is top.parent and x is not top and x.name == top.name and value(x) > max(10.0, 0.2 * best):
-            tops[id(x)] = x
+    while top.name not in ("article", "main") and top.parent.name not in ("body", "html", "") and top.parent.text == top.text:
+        top = top.parent  # a wrapper of this one alone
+    # beside an article element stand other articles; any other container is one of the parts of its parent, however short the others are
+    told, around, tops = top.name in ("article", "main"), top.parent, {id(top): top}
     out = []
-    for e, text in blocks:
-        up = e
+    for e, text, linked in read:
+        if e.apart:
+            continue
+        part, up = e, e
         while up is not None and id(up) not in tops:
-            up = up.parent
-        if up is not None and _kept(e, up):
+            part, up = up, up.parent
+            if up is around and (part.name == top.name if told else part.name != "header") and not part.doubt and part.linked <= 0.5 * part.text:
+                up = tops[id(part)] = part
+        if up is not None:
+            if _kept(e, up):
+                out.append(text)
+        elif e is around and not told and linked <= 0.5 * len(text):  # text of the parent's own
             out.append(text)
     return "\n".join(out)
 
