@@ -76,6 +76,29 @@ def test_merkle_places_of_edits():
     assert len(flat) == 40 and merkle.differing(a, b) == [flat[17]] and 0.9 < merkle.likeness(a, b) < 1
 
 
+def test_merkle_text_without_spaces():
+    """Long words are cut by content: an edit of the last quarter leaves the rest alike and has its place, and leaves tell their lengths."""
+    import pyarrow as pa
+    random.seed(4)
+    chinese = "".join(chr(random.randrange(0x4E00, 0x9000)) for _ in range(1200))
+    base64 = "".join(random.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(5000))
+    texts = [chinese, base64, chinese[:60], "a" * 1000 + " b", " " * 500 + "x", "word " * 400, "é" * 70, "x\n" + chinese[:300] + "\n\n" + base64[:30], chinese[7:], "ab" * 300]
+    edited = [t[:len(t) - len(t) // 4] + (base64[::-1] if t is chinese else chinese)[:len(t) // 4] for t in texts]
+    texts += [f"a{i} is {'w' * 6} of many more" * 9 for i in range(4)] + ["short words only " * 3]
+    edited += texts[len(edited):]
+    prints, leaves = merkle.fingerprints(pa.array(texts))
+    changed, _ = merkle.fingerprints(pa.array(edited))
+    for t, f, a in zip(texts, prints, leaves):
+        lengths = [n for _, ps in merkle.read(f) for p in ps for _, n in p]
+        assert max(lengths) <= 63 and sum(lengths) == len(t.replace("\n", "")) and len(lengths) == len(a)
+        for n in range(0, 200, 9):  # starts of the texts, each alone
+            merkle.fingerprints(pa.array([t[:n]]))
+        assert merkle.fingerprints(pa.array([t]))[0] == [f]
+    for i in (0, 1):
+        assert 0.7 < merkle.likeness(prints[i], changed[i]) < 0.8 and merkle.likeness(prints[0], prints[1]) < 0.01
+    assert merkle.likeness(prints[2], changed[2]) > 0.4 and merkle.likeness(prints[0], prints[8]) > 0.95
+
+
 def test_merkle_single_row_and_parallel_ranges(spark):
     one = spark.createDataFrame([(7, "abcd efgh")], "doc_id long, text string")
     assert merkle.compare_edited(one).first().edited_sha256 == brute.sha("abcd efab")

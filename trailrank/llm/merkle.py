@@ -2,7 +2,9 @@
 
 A text is cut into paragraphs at line feeds; a paragraph into leaves after words whose hash is a multiple of
 four, so a leaf's cuts depend on its own words alone and an edit moves no cut away from it (a text's first
-words are leaves of their own, so short texts have several); a section ends with an empty paragraph or one whose hash is a multiple of eight. A node's hash covers its
+words are leaves of their own, so short texts have several). A long word, or a leaf of more than LEAF_CHARS characters, is cut
+again after characters that a hash of the last few picks, and where none is picked after LEAF_CHARS, so script without spaces has leaves
+too and every leaf tells its true length. A section ends with an empty paragraph or one whose hash is a multiple of eight. A node's hash covers its
 children's hashes. The fingerprint writes the root, each section's hash, and each leaf as its hash
 and length, so it can be compared with another without the texts: equal roots for equal texts, equal
 sections skipped, differing leaves with their places.
@@ -27,6 +29,8 @@ from .common import documents, with_columns
 from .textarrays import Slice, byte_hash, mix, range_hash, slices, words
 
 LEAF_WORDS, SECTION_PARAGRAPHS, FIRST_WORDS = 4, 8, 16  # mean words of a leaf, mean paragraphs of a section, leaves of one word
+LEAF_CHARS, WORD_BYTES, LAST_CHARS = 63, 24, 3  # most characters of a leaf, bytes of a word that stays whole, characters that pick a cut
+IN_WORD, IN_LEAF = 8, 32  # mean characters between the cuts in a long word, and in a long leaf of several words
 _CODE = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 _BACK = np.zeros(256, np.int64)
@@ -38,6 +42,42 @@ def _hex(values: np.ndarray, digits: int) -> np.ndarray:
     return _HEX[((values[:, None] >> shifts) & np.uint64(15)).astype(np.int64)]
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers first[i]:last[i] one range after another, and i of each."""
+    n = np.maximum(last - first, 0)
+    of = np.repeat(np.arange(len(n)), n)
+    return first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
+
+
+def _inner_cuts(data: np.ndarray, start: np.ndarray, end: np.ndarray, w_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places inside leaves at which they are cut again, and the number of the leaf of each. They depend on the leaf's text alone."""
+    wide = np.flatnonzero(end - start > WORD_BYTES)
+    if not len(wide):
+        return np.zeros(0, np.int64), wide
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # of each character
+    low, high = np.searchsorted(at, start[wide]), np.searchsorted(at, end[wide])
+    one = np.searchsorted(w_start, end[wide]) - np.searchsorted(w_start, start[wide]) <= 1
+    long = np.flatnonzero(one | (high - low > LEAF_CHARS))
+    wide, low, high, one = wide[long], low[long], high[long], one[long]
+    if not len(wide):
+        return np.zeros(0, np.int64), wide
+    char, of = _ranges(low + LAST_CHARS, high)
+    picked = byte_hash(data, at[char - LAST_CHARS], at[char], 4)
+    # a run of one character is not cut at each
+    again = np.append(False, (picked[1:] == picked[:-1]) & (of[1:] == of[:-1])) if len(of) else np.zeros(0, bool)
+    cut = (picked % np.where(one, np.uint64(IN_WORD), np.uint64(IN_LEAF))[of] == 0) & ~again
+    # pieces that are still too long
+    p_low, p_of = np.concatenate((low, char[cut])), np.concatenate((np.arange(len(low)), of[cut]))
+    order = np.lexsort((p_low, p_of))
+    p_low, p_of = p_low[order], p_of[order]
+    p_high = np.append(p_low[1:], 0)
+    closing = np.append(p_of[1:] != p_of[:-1], True)
+    p_high[closing] = high[p_of[closing]]
+    turn, piece = _ranges(np.ones(len(p_low), np.int64), 1 + np.maximum(p_high - p_low - 1, 0) // LEAF_CHARS)
+    places = np.concatenate((char[cut], p_low[piece] + turn * LEAF_CHARS))
+    return at[places], wide[np.concatenate((of[cut], p_of[piece]))]
+
+
 def _leaves(part: Slice) -> tuple[np.ndarray, ...]:
     """Starts, ends, number of the text and of the paragraph of each leaf, in order; paragraphs' first leaves."""
     data, offsets = part.data, part.offsets
@@ -69,6 +109,16 @@ def _leaves(part: Slice) -> tuple[np.ndarray, ...]:
     l_end = np.append(l_start[1:], 0)
     closing = np.append(first[1:], True)
     l_end[closing] = p_end[l_par[closing]]
+    inner, leaf = _inner_cuts(data, l_start, l_end, w_start)
+    if len(inner):
+        l_of = np.concatenate((np.arange(len(l_start)), leaf))
+        n_start = np.concatenate((l_start, inner))
+        order = np.lexsort((n_start, l_of))
+        n_start, l_of = n_start[order], l_of[order]
+        opens, closes = np.append(True, l_of[1:] != l_of[:-1]), np.append(l_of[1:] != l_of[:-1], True)
+        n_end = np.append(n_start[1:], 0)
+        n_end[closes] = l_end[l_of[closes]]
+        l_start, l_end, l_par, first = n_start, n_end, l_par[l_of], opens & first[l_of]
     return l_start, l_end, p_doc[l_par], first, p_end > p_start
 
 
@@ -89,7 +139,7 @@ def fingerprints(column: pa.Array) -> tuple[list[str], list[np.ndarray]]:
         s_doc = p_doc[s_first]
         d_first = np.searchsorted(s_doc, np.arange(len(part.offsets)))
         roots = np.hstack((_hex(range_hash(s_hash, d_first[:-1], d_first[1:], 8), 16), _hex(range_hash(mix(s_hash, 9), d_first[:-1], d_first[1:], 9), 16)))
-        code = ((h >> np.uint64(40)) << np.uint64(6)) | np.minimum(length, np.uint64(63))
+        code = ((h >> np.uint64(40)) << np.uint64(6)) | length
         section = np.zeros(len(h), bool)
         section[p_first[s_first]] = True
         size = 5 + first.astype(np.int64) + 9 * section
