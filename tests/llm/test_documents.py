@@ -225,6 +225,15 @@ def test_language_edges(spark, docs):
     assert {r.lang_pred for r in told} == {"und"} and {r.doc_id for r in told if r.rejected} == {1, 2, 3, 20}
 
 
+def test_every_language_is_learned(spark):
+    """Rare labels behind 220 frequent ones, one row each."""
+    rows = [(3 * i + k, f"{chr(0x4E00 + i)} und {i} die", f"noise{i}") for i in range(220) for k in range(2)] + [(9000 + i, chr(0x3041 + i) * 9, f"rare{i}") for i in range(10)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == sorted({r[2] for r in rows}) and model.logits.shape[1] == 230
+    got = langid.predict(spark.createDataFrame(rows[-10:], "doc_id long, text string, lang string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {r[0]: r[2] for r in rows[-10:]}
+
+
 def test_lines(docs, texts):
     want = brute.line_dedup(texts)
     rows = line_dedup.remove_lines(docs).collect()

@@ -24,8 +24,8 @@ from .common import with_columns
 from .textarrays import LETTER, SPACE, classes, code_points, slices
 
 BUCKETS, WIDTH, ORDERS = 8192, 16, 3
-#: Bounds of the training sample: rows of each language, and languages (the most frequent ones).
-SAMPLE_ROWS, SAMPLE_LANGUAGES = 600, 200
+#: Bounds of the training sample: rows of each language, and of all; many languages have fewer rows each, one at least.
+SAMPLE_ROWS, SAMPLE_ALL = 600, 120_000
 UNKNOWN = "und"
 
 
@@ -75,6 +75,9 @@ def fit(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 40, batch
     random = np.random.default_rng(seed)
     order = random.permutation(len(y))
     back, train = order[:len(y) // 5], order[len(y) // 5:]
+    # a label whose rows are all held back is learned from its first one
+    alone = [np.flatnonzero(y[back] == i)[0] for i in np.setdiff1d(y[back], y[train])]
+    train, back = np.append(train, back[alone]) if alone else train, np.delete(back, alone) if alone else back
     table = random.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weights, bias = random.normal(0, 0.3, (WIDTH, len(labels))).astype(np.float32), np.zeros(len(labels), np.float32)
     for epoch in range(epochs):
@@ -104,17 +107,18 @@ def fit(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 40, batch
 
 
 def train(docs: DataFrame, learn: Column | None = None, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """Fit on a bounded sample of the labelled rows that meet ``learn``: at most SAMPLE_ROWS of each language,
+    """Fit on a bounded sample of the labelled rows that meet ``learn``: at most SAMPLE_ROWS of each language, none left out,
     chosen by a hash of the id. Executors reduce each sampled text, read whole, to its BUCKETS counts."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = (rows if learn is None else rows.filter(learn)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
                                                                   F.xxhash64(F.col(id_col), F.lit("sample")).alias("draw"))
-    sizes = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGUAGES).collect()]
+    sizes = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     labels = sorted(lang for lang, _ in sizes)
     if not labels:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    # half as many again as are wanted, then exactly the first ones by the hash
-    share = F.create_map(*[F.lit(v) for lang, n in sizes for v in (lang, min(1.0, 1.5 * SAMPLE_ROWS / n))])
+    each = min(SAMPLE_ROWS, max(1, SAMPLE_ALL // len(labels)))
+    # half as many again as are wanted (and a few, so that none of a language is not drawn by chance), then exactly the first ones by the hash
+    share = F.create_map(*[F.lit(v) for lang, n in sizes for v in (lang, min(1.0, (1.5 * each + (0 if each == SAMPLE_ROWS else 50)) / n))])
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("draw", T.LongType()), T.StructField("bag", T.BinaryType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +131,11 @@ def train(docs: DataFrame, learn: Column | None = None, lang_col: str = "lang",
 
     drawn = rows.filter((F.col("draw").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))) < share[F.col("lang")])
     from pyspark.sql import Window
-    first = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))).filter(F.col("nth") <= SAMPLE_ROWS)
+    first = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))).filter(F.col("nth") <= each)
     got = first.select("lang", "text", "draw").mapInArrow(count, schema).toArrow().sort_by([("lang", "ascending"), ("draw", "ascending"), ("bag", "ascending")])
     x = np.stack([np.frombuffer(b.as_py(), np.float32) for b in got.column("bag")])
-    y = np.array([labels.index(v) for v in got.column("lang").to_pylist()])
+    number = {v: i for i, v in enumerate(labels)}
+    y = np.array([number[v] for v in got.column("lang").to_pylist()])
     return fit(x, y, labels)
 
 
