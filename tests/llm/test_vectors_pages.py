@@ -41,6 +41,21 @@ def test_query_vectors(spark):
     assert got == _brute(rows)
 
 
+def test_agreement_by_width():
+    """The shares that set the number of tables are not above those of the real hashes, at any width."""
+    draw = np.random.default_rng(8)
+    for width in (64, 256, 1024):
+        x, z = draw.normal(size=(2, 1000, width))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        y = 0.95 * x + np.sqrt(1 - 0.95 ** 2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        (a, pa), (b, pb) = cross_polytope.codes(x, 1, 4), cross_polytope.codes(y, 1, 4)
+        same, near = a == b, (a == b) | (a == pb[:, :, 0]) | (pa[:, :, 0] == b)
+        first, second = cross_polytope.agreement(width)
+        assert first <= same.mean() + 0.012 and second <= near.mean() + 0.012
+    assert cross_polytope.tables(3, width=64) == cross_polytope.tables(3) < cross_polytope.tables(3, width=256) < cross_polytope.tables(3, width=1024)
+
+
 def test_no_vectors(spark):
     assert cross_polytope.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     got = cross_polytope.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()

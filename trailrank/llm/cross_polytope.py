@@ -14,6 +14,7 @@ table gives no rows; other columns are not read.
 """
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -28,15 +29,42 @@ from .links import shared
 from .textarrays import mix
 
 COSINE, BLOCK, MISS = 0.95, 1024, 1e-5
-#: Shares of pairs at cosine 0.95 that agree in a hash, and in its first or the other's second axis (measured at 64 dimensions).
+#: Shares of pairs at cosine 0.95 that agree in a hash, and in its first or the other's second axis, up to 64 dimensions; wider ones are simulated.
 FIRST, SECOND = 0.60, 0.87
 NO_ID = -(1 << 63)
 _L = T.LongType()
 
 
-def tables(hashes: int, miss: float = MISS) -> int:
-    """How many tables of so many hashes lose no more than ``miss`` of the pairs at the threshold."""
-    meet = FIRST ** hashes + hashes * FIRST ** (hashes - 1) * (SECOND - FIRST)
+@functools.cache
+def agreement(width: int) -> tuple[float, float]:
+    """FIRST and SECOND at a width: of seeded pairs at the threshold, less two standard errors."""
+    if width <= 64:
+        return FIRST, SECOND
+    random, pairs, first, second = np.random.default_rng(width), 20_000, 0, 0
+    at_once = max(1, (1 << 21) // width)
+    for at in range(0, pairs, at_once):
+        # in random directions, rotated ones are as good as normal ones
+        x, z = random.normal(size=(2, min(at_once, pairs - at), width))
+        y = COSINE * x + math.sqrt(1 - COSINE ** 2) * z
+        ax, ay = np.abs(x).argmax(axis=1), np.abs(y).argmax(axis=1)
+        row = np.arange(len(x))
+        same = (ax == ay) & (x[row, ax] * y[row, ay] > 0)
+        rest = np.abs(y)
+        rest[row, ay] = -1
+        by = rest.argmax(axis=1)
+        back = np.abs(x)
+        back[row, ax] = -1
+        bx = back.argmax(axis=1)
+        near = (ax == by) & (x[row, ax] * y[row, by] > 0) | (bx == ay) & (x[row, bx] * y[row, ay] > 0)
+        first, second = first + int(same.sum()), second + int((same | near).sum())
+    low = lambda n: n / pairs - 2 * math.sqrt(n / pairs * (1 - n / pairs) / pairs)
+    return min(FIRST, low(first)), min(SECOND, low(second))
+
+
+def tables(hashes: int, miss: float = MISS, width: int = 64) -> int:
+    """How many tables of so many hashes at a width lose no more than ``miss`` of the pairs at the threshold."""
+    first, second = agreement(width)
+    meet = first ** hashes + hashes * first ** (hashes - 1) * (second - first)
     return math.ceil(math.log(miss) / math.log(1 - meet))
 
 
@@ -192,7 +220,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     total = max(classes.count(), 1)
     axes = 2 * (1 << max(1, math.ceil(math.log2(max(classes.agg(F.max(F.size("vec"))).first()[0] or 2, 2)))))
     hashes = max(1, round(math.log(total) / math.log(axes)))
-    coded, coded_path = store(_coded(classes, hashes, tables(hashes, miss)))
+    coded, coded_path = store(_coded(classes, hashes, tables(hashes, miss, axes // 2)))
     keys, keys_path = shared(coded.select("node", F.explode(F.concat("home", "probes")).alias("key")))
     homes = coded.select(F.explode("home").alias("key")).distinct()
     sizes, sizes_path = store(keys.groupBy("key").agg(F.count("*").alias("n")).join(homes, "key", "left_semi"))
