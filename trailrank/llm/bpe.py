@@ -41,9 +41,13 @@ class PrefixEncoder:
         self.tokens = ahocorasick.Automaton()
         for b, i in ranks.items():
             if len(b) == 1 or self.parts(i) is not None:  # merging can make it
-                self.tokens.add_word(b.decode("latin-1"), (i, len(b)))
+                self.tokens.add_word(self.letters(b), (i, len(b)))
         self.tokens.make_automaton()
 
+    def letters(self, piece) -> str:
+        """The units that merging starts from, one character each."""
+        return piece.decode("latin-1")
+
     def parts(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes t; None for a single byte or a token that merging its own
         bytes never makes."""
@@ -93,7 +97,7 @@ class PrefixEncoder:
             last = [-1]
         done, begin = len(last), max(0, len(last) - size)
         # every token that ends at each byte, the longest first; exactly one of them follows its prefix's last token
-        for end, (t, n) in self.tokens.iter(piece.decode("latin-1"), begin):
+        for end, (t, n) in self.tokens.iter(self.letters(piece), begin):
             end += 1
             if end < done:
                 continue

@@ -5,10 +5,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, cross_polytope, html_extract, langid, line_dedup, merkle, packing, secrets, substring_dedup
+from . import bagminhash, bpe, cross_polytope, html_extract, langid, line_dedup, merkle, packing, secrets, sentencepieces, substring_dedup
 
 JSON_50K = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +109,10 @@ def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = sentencepieces.decode(sentencepieces.encode(_table(spark, sf_dir, "documents"), PIECES_32K), PIECES_32K)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("n_bytes"))
