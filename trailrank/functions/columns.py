@@ -1,6 +1,8 @@
 """Column expressions shared by the operators."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,16 +84,28 @@ def is_code(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text; a line break at its end begins no further line, and an empty text has none."""
-    parts = F.split(text, LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    def ended(parts):
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    # the pieces are bound to a name: written into a condition, the text would be split once for each mention
+    return F.element_at(F.transform(F.array(F.split(text, LINE_BREAK, -1)), ended), 1)
 
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_gamma(x: Column) -> Column:
     """Stirling's series at x + 10, stepped back to x; for x >= 1."""
+    return let(x, _log_gamma)
+
+
+def _log_gamma(x: Column) -> Column:
     y = x + 10
     series = (y - 0.5) * F.log(y) - y + F.lit(0.9189385332046727) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
     back = F.log(x)
@@ -100,6 +114,54 @@ def log_gamma(x: Column) -> Column:
     return series - back
 
 
+def uniform(item: Column, seed: Column) -> Column:
+    """``hash_seeded`` as a number strictly between 0 and 1."""
+    return (hash_seeded(item, seed) + 0.5) / F.lit(float(HASH_RANGE))
+
+
+def _quantile(u: Column, low: Column, high: Column, first: Column, ratio_: Callable[[Column], Column]) -> Column:
+    """How many terms from ``low`` on their running sum needs to pass ``u``, plus ``low``: ``first`` is the term at low, ``ratio_(k)`` the term at
+    k + 1 over that at k."""
+    def step(acc, k):
+        total = acc["total"] + acc["term"]
+        return F.struct((acc["term"] * ratio_(k.cast("double"))).alias("term"), total.alias("total"), (acc["n"] + F.when(total <= u, 1).otherwise(0)).alias("n"))
+
+    start = F.struct(first.alias("term"), F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    return low + F.aggregate(F.sequence(low, high), start, step, lambda acc: acc["n"])
+
+
+def binomial_quantile(n: Column, p: Column, u: Column) -> Column:
+    """The value of a binomial variable at ``u``, by inverse transform over twelve standard deviations to either side, outside which
+    terms are zero in double precision: the steps grow with the square root of n."""
+    def drawn(x):
+        size, part, low = x["size"], x["part"], x["low"]
+        at = low.cast("double")
+        first = F.exp(log_gamma(size + 1) - log_gamma(at + 1) - log_gamma(size - at + 1) + at * F.log(part) + (size - at) * F.log(1 - part))
+        return F.least(_quantile(x["u"], low, x["high"], first, lambda k: (size - k) / (k + 1) * (part / (1 - part))), size.cast("bigint"))
+
+    def window(x):
+        mean, spread = x["size"] * x["part"], F.sqrt(x["size"] * x["part"] * (1 - x["part"])) * 12 + 12
+        low, high = F.greatest(F.lit(0.0), F.floor(mean - spread).cast("double")), F.least(x["size"], F.ceil(mean + spread).cast("double"))
+        return F.struct(x["size"].alias("size"), x["part"].alias("part"), low.cast("bigint").alias("low"), high.cast("bigint").alias("high"), x["u"].alias("u"))
+
+    def of(x):
+        return (F.when((x["size"] == 0) | (x["part"] <= 0), F.lit(0).cast("bigint")).when(x["part"] >= 1, x["size"].cast("bigint"))
+                .otherwise(let(window(x), drawn)))
+    return let(F.struct(n.cast("double").alias("size"), p.alias("part"), u.alias("u")), of)
+
+
+def poisson_quantile(mean: Column, u: Column) -> Column:
+    """The value of a Poisson variable at ``u``, likewise."""
+    def drawn(x):
+        rate, at = x["rate"], x["low"].cast("double")
+        first = F.exp(at * F.log(rate) - rate - log_gamma(at + 1))
+        return _quantile(x["u"], x["low"], F.ceil(rate + F.sqrt(rate) * 12 + 12).cast("bigint"), first, lambda k: rate / (k + 1))
+
+    rate = mean.cast("double")
+    low = F.greatest(F.lit(0.0), F.floor(rate - F.sqrt(rate) * 12 - 12).cast("double")).cast("bigint")
+    return let(F.struct(rate.alias("rate"), low.alias("low"), u.alias("u")), drawn)
+
+
 def mcnemar_p(wins: Column, losses: Column) -> Column:
     """Two-sided exact binomial p-value on discordant pairs. Terms are summed in log space from
     the largest, C(n, k) / 2^n, downward; past 100 standard deviations they are zero in double

@@ -130,6 +130,36 @@ def running_last(df: DataFrame, keys: list[str], order: list[Column], value: str
     return joined.withColumn(out, F.coalesce("_local", "_before")).drop("_local", "_before", "_at", _SLICE)
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str, sliced: bool | None = None) -> DataFrame:
+    """Sum of ``value`` up to and including the current row."""
+    keys = list(keys)
+    if sliced is None:
+        sliced = needs_slices(df, keys)
+    if not sliced:
+        return df.withColumn(out, F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    cut = freeze_slices(df, keys, order)
+    carry = (cut.groupBy(*keys, _SLICE).agg(F.sum(value).alias("_n"))
+             .select(*keys, _SLICE, F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_before")))
+    local = F.sum(value).over(W.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    joined = _join_slices(cut.withColumn("_local", local), carry, keys)
+    return joined.withColumn(out, F.col("_local") + F.col("_before")).drop("_local", "_before", _SLICE)
+
+
+def value_counts(df: DataFrame, by: list[str], value: str, **more: Column) -> DataFrame:
+    """One row per distinct value of each group, stored: ``_c`` rows (0 for null values, which are kept) with the sums of ``more`` over them, the rows up
+    to and including it ``_to`` and the group's rows ``_n``. Means, shares and medians of a group follow from these rows alone."""
+    counted = frozen(df.groupBy(*by, value).agg(F.count(value).alias("_c"), F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(n) for n, c in more.items()]))
+    total = counted.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    return running_sum(counted, by, [F.asc_nulls_first(value)], "_c", "_to").join(total, by)
+
+
+def median_of(value: str) -> Column:
+    """Aggregate over ``value_counts`` rows: the value in the middle, or the mean of the two there."""
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_to") - F.col("_c") <= place) & (F.col("_to") > place), F.col(value)))
+    return (at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2
+
+
 #: Spark cuts groups before the shuffle for limits up to this (its windowGroupLimitThreshold).
 GROUP_CUT = 1000
 

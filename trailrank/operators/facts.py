@@ -64,6 +64,10 @@ def file_facts(text: str) -> list[tuple]:
     return rows
 
 
+#: Facts that leave a worker at a time.
+FACTS = 10_000
+
+
 def code_facts(files: DataFrame, keys: list[str], text: str = "text", kinds: tuple[str, ...] = ()) -> DataFrame:
     """Facts of all files in one table; ``kinds`` limits what leaves the Python workers (a filter
     after them cannot move below). Files that do not parse give one ``status`` row named ``error``."""
@@ -71,12 +75,21 @@ def code_facts(files: DataFrame, keys: list[str], text: str = "text", kinds: tup
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != text), FACT_COLUMNS])
     wanted = frozenset(kinds)
 
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*keys, *_FIELDS]).astype({c: "Int32" for c in ("start", "end", "body_start")})
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for batch in batches:
-            rows = [(*r[:-1], *fact) for r in batch.itertuples(index=False, name=None) for fact in file_facts(r[-1] or "")
-                    if not wanted or fact[0] in wanted]
-            out = pd.DataFrame(rows, columns=[*keys, *_FIELDS])
-            yield out.astype({c: "Int32" for c in ("start", "end", "body_start")})
+            for r in batch.itertuples(index=False, name=None):
+                for fact in file_facts(r[-1] or ""):
+                    if not wanted or fact[0] in wanted:
+                        rows.append((*r[:-1], *fact))
+                    if len(rows) >= FACTS:
+                        yield frame(rows)
+                        rows = []
+        if rows:
+            yield frame(rows)
 
     return source.mapInPandas(parse, schema)
 

@@ -1,52 +1,75 @@
 """Bounded traversals over edge tables.
 
-A level is one join and one aggregation. Every node carries a self-loop, so the frontier and the
-nodes already seen come out of the same inner join: the plan grows linearly with the depth, the
-aggregated side keeps its partitioning for the next join, and a hub's edges can be split by the
-skew join."""
+A level joins only the nodes found by the level before with their links, drops what is already seen by an anti-join, and is
+written down, so no node is expanded twice and no plan holds more than one level. The links of a node that has more
+than ``HUB`` of them are dealt over parts, and the node meets each part in another task."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailrank.functions.columns import identifiers, is_code, tokens
 from trailrank.functions.ordered import first_k, frozen
 
+HUB = 100_000
+#: Nodes with parts are sent to every task up to this many; more are joined by shuffle.
+HUBS_SENT = 100_000
+
 
-def with_loops(edges: DataFrame, seeds: DataFrame, edge_keys: list[str], direction: str) -> DataFrame:
-    """Links in the asked direction plus a self-loop per node, from one pass over the edges; stored
-    once, because every level reads it."""
+def adjacency(edges: DataFrame, edge_keys: list[str], direction: str, hub: int = HUB) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct links (edge_keys, node, part, dst) in the asked direction, stored, and the number of parts of the nodes that have
+    more than one; None where no node has."""
     s, d = F.col("src"), F.col("dst")
     ways = {"forward": [(s, d)], "backward": [(d, s)], "both": [(s, d), (d, s)]}[direction]
-    pairs = F.explode(F.array(*[F.struct(x.alias("node"), y.alias("dst")) for x, y in [*ways, (s, s), (d, d)]]))
-    links = edges.select(*edge_keys, pairs.alias("_p")).select(*edge_keys, "_p.node", "_p.dst")
-    return frozen(links.unionByName(seeds.select(*edge_keys, "node", F.col("node").alias("dst"))).distinct())
+    pairs = F.explode(F.array(*[F.struct(x.alias("node"), y.alias("dst")) for x, y in ways]))
+    links = frozen(edges.filter("src <> dst").select(*edge_keys, pairs.alias("_p")).select(*edge_keys, "_p.node", "_p.dst").distinct())
+    degree = links.groupBy(*edge_keys, "node").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hub)
+    hubs = frozen(degree.select(*edge_keys, "node", F.ceil(F.col("_n") / hub).cast("int").alias("parts")))
+    n = hubs.limit(HUBS_SENT + 1).count()
+    if not n:
+        return links.withColumn("part", F.lit(0)), None
+    hubs = F.broadcast(hubs) if n <= HUBS_SENT else hubs
+    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0))
+    return links.join(hubs, [*edge_keys, "node"], "left").withColumn("part", part).drop("parts"), hubs
 
 
 def slice_distance(seeds: DataFrame, edges: DataFrame, keys: list[str], edge_keys: list[str] | None = None, depth: int = 3,
-                   direction: str = "both", cap: int | None = None) -> DataFrame:
+                   direction: str = "both", cap: int | None = None, extra: int | None = None, hub: int = HUB) -> DataFrame:
     """Nodes within ``depth`` hops of a seed with their smallest hop count: (keys, node, hops).
 
     ``seeds``: (keys, node). ``edges``: (edge_keys, src, dst), where ``edge_keys`` are the keys the
-    graph itself is split by. With ``cap`` a group stops after the level that brings it to ``cap``
-    nodes; the whole level is kept, so it may exceed the cap. That level is found from the counts
-    per hop."""
+    graph itself is split by. With ``cap``, or with ``extra`` nodes beyond its seeds, a group leaves the frontier after the level
+    that brings it there; the whole level is kept, so it may hold more."""
     edge_keys = keys if edge_keys is None else edge_keys
-    graph = with_loops(edges, seeds, edge_keys, direction)
-    seen = seeds.select(*keys, "node").distinct().withColumn("hops", F.lit(0))
+    graph, hubs = adjacency(edges, edge_keys, direction, hub)
+    cols = [*keys, "node"]
+    front = frozen(seeds.select(*cols).distinct().withColumn("hops", F.lit(0)))
+    levels = [front]
     for level in range(1, depth + 1):
-        stay = F.col("node") == F.col("dst")
-        reached = seen.join(graph, [*edge_keys, "node"]).filter(stay | (F.col("hops") == level - 1))
-        hop = F.when(stay, F.col("hops")).otherwise(level)
-        seen = reached.groupBy(*keys, F.col("dst").alias("node")).agg(F.min(hop).alias("hops"))
-    if cap is None:
-        return seen
-    per_level = seen.groupBy(*keys, "hops").agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(W.partitionBy(*keys).orderBy("hops").rowsBetween(W.unboundedPreceding, 0))
-    stop = (per_level.withColumn("_t", total).groupBy(*keys)
-            .agg(F.coalesce(F.min(F.when((F.col("hops") >= 1) & (F.col("_t") >= cap), F.col("hops"))), F.lit(depth)).alias("_stop")))
-    return seen.join(stop, keys).filter(F.col("hops") <= F.col("_stop")).drop("_stop")
+        if front.isEmpty():
+            break
+        asked = front.select(*cols)
+        if hubs is None:
+            asked = asked.withColumn("part", F.lit(0))
+        else:
+            asked = asked.join(hubs, [*edge_keys, "node"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        met = asked.join(graph, [*edge_keys, "node", "part"]).select(*keys, F.col("dst").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, levels)
+        new = met.join(seen.select(*cols), cols, "left_anti").withColumn("hops", F.lit(level))
+        if level < depth:
+            new = frozen(new)
+        levels.append(new)
+        front = new
+        if level < depth and (cap is not None or extra is not None):
+            sizes = reduce(DataFrame.unionByName, levels).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("hops") == 0).alias("_s"))
+            limit = F.lit(cap) if cap is not None else F.col("_s") + extra
+            front = new.join(sizes.filter(F.col("_n") < limit).select(*keys), keys, "left_semi")
+    return reduce(DataFrame.unionByName, levels)
 
 
 def dataflow_slice(seeds: DataFrame, edges: DataFrame, keys: list[str], direction: str = "both", depth: int = 3, cap: int = 80) -> DataFrame:
@@ -78,12 +101,13 @@ def seed_lines(functions: DataFrame, classes: DataFrame, lines: DataFrame, issue
 
 
 def expand_candidates(voted: DataFrame, edges: DataFrame, spans: DataFrame, region: DataFrame, keys: list[str], depth: int = 1,
-                      cap: int | None = None) -> DataFrame:
+                      extra: int | None = None) -> DataFrame:
     """Voted lines plus the lines of slice-neighbour statements inside the region. New lines get a
-    thousandth of the group's smallest mass. ``spans``: (keys, stmt, end); ``voted``: (keys, line, mass)."""
+    thousandth of the group's smallest mass. A group that has grown by ``extra`` statements or more beyond those it voted for grows no
+    further. ``spans``: (keys, stmt, end); ``voted``: (keys, line, mass)."""
     lines = spans.select(*keys, F.col("stmt").alias("node"), F.explode(F.sequence("stmt", "end")).alias("line"))
     seeds = voted.join(lines, [*keys, "line"]).select(*keys, "node").distinct()
-    grown = slice_distance(seeds, edges, keys, None, depth, "both", cap)
+    grown = slice_distance(seeds, edges, keys, None, depth, "both", extra=extra)
     new = grown.join(lines, [*keys, "node"]).select(*keys, "line").distinct()
     new = new.join(region.select(*keys, "line").distinct(), [*keys, "line"], "left_semi").join(voted, [*keys, "line"], "left_anti")
     low = voted.groupBy(*keys).agg((F.min("mass") * 1e-3).alias("mass"))
@@ -99,6 +123,15 @@ def callgraph_khop(seeds: DataFrame, calls: DataFrame, function_lines: DataFrame
     return lines.join(executed.select(*keys, "line").distinct(), [*keys, "line"], "left_semi")
 
 
+def call_reach(seeds: DataFrame, links: DataFrame, keys: list[str], hops: int) -> DataFrame:
+    """Functions within ``hops`` calls of the seeds (keys, node) over ``call_links``: (keys, node, hops). Names are
+    nodes on the way, so a call is two levels, and a name that many call and many define costs the sum of both."""
+    kind = seeds.schema["node"].dataType.simpleString()
+    start = seeds.select(*keys, F.struct(F.lit("f").alias("of"), F.col("node").cast("string").alias("id")).alias("node"))
+    reach = slice_distance(start, links, keys, None, 2 * hops, "forward").filter(F.col("node.of") == "f")
+    return reach.select(*keys, F.col("node.id").cast(kind).alias("node"), (F.col("hops") / 2).cast("int").alias("hops"))
+
+
 def limit_files(files: DataFrame, keys: list[str], cap: int) -> DataFrame:
     """At most ``cap`` files per instance: known files first, then those with most executed lines."""
     return first_k(files, keys, [F.desc("known"), F.desc("n_exec"), F.asc("file")], cap)
@@ -123,25 +156,54 @@ def bfs_gain(reached: DataFrame, base: DataFrame, gold: DataFrame, keys: list[st
                                 F.round(F.avg("size"), 6).alias("loc"), F.sum("missed").alias("missed"), F.sum("reached").alias("reached"))
 
 
-def backward_slice(lines: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
+def backward_slice(lines: DataFrame, seeds: DataFrame, keys: list[str], statements: DataFrame | None = None) -> DataFrame:
     """Scan the executed lines of a file from the bottom with a set of needed variables: a line that
-    defines one joins the slice, its definitions stop being needed and its uses become needed.
-
-    ``lines``: (keys, line, defs, uses), one row per executed line; the group is one source file, so
-    the ordered fold runs over at most one file's lines. ``seeds``: (keys, line)."""
-    marked = lines.join(seeds.select(*keys, "line").distinct().withColumn("_s", F.lit(True)), [*keys, "line"], "left").fillna(False, ["_s"])
-    rows = F.reverse(F.array_sort(F.collect_list(F.struct("line", "defs", "uses", "_s"))))
-    files = marked.groupBy(*keys).agg(rows.alias("_r")).filter(F.exists("_r", lambda r: r["_s"]))
-    start = F.array_distinct(F.flatten(F.transform(F.filter("_r", lambda r: r["_s"]), lambda r: r["uses"])))
-    init = F.struct(start.alias("need"), F.array().cast("array<int>").alias("hit"))
-
-    def step(acc, r):
-        take = F.arrays_overlap(r["defs"], acc["need"])
-        need = F.when(take, F.array_union(F.array_except(acc["need"], r["defs"]), r["uses"])).otherwise(acc["need"])
-        hit = F.when(take | r["_s"], F.concat(acc["hit"], F.array(r["line"].cast("int")))).otherwise(acc["hit"])
-        return F.struct(need.alias("need"), hit.alias("hit"))
-
-    return files.select(*keys, F.explode(F.aggregate("_r", init, step, lambda a: a["hit"])).alias("line"))
+    defines one joins the slice, its definitions stop being needed and its uses become needed. What the seeds use is needed from the
+    start, whether they were executed or not; the slice holds executed lines only.
+
+    ``lines``: (keys, line, defs, uses), one row per executed line; ``statements``: the same for all lines, where unexecuted ones can
+    be seeds. ``seeds``: (keys, line). Rows come to a task sorted by file and from the last line up, so the scan is one pass that holds the needed
+    names of one file and a batch of rows, and no file is put into one row."""
+    asked = seeds.select(*keys, "line").distinct()
+    of_seeds = (lines if statements is None else statements).join(asked, [*keys, "line"], "left_semi")
+    names = F.array().cast("array<string>")
+
+    def rows(df, turn, line, defs, uses):
+        return df.select(*keys, F.lit(turn).alias("_turn"), line.cast("long").alias("_line"), defs.alias("_defs"), uses.alias("_uses"))
+
+    top, line = F.lit(None).cast("long"), F.col("line")
+    files = asked.select(*keys).distinct()
+    start = rows(of_seeds, 0, top, names, F.col("uses"))  # before the first line
+    marks = rows(asked, 1, line, F.lit(None).cast("array<string>"), names)  # before their line
+    body = rows(lines.join(files, keys, "left_semi"), 2, line, F.coalesce("defs", names), F.coalesce("uses", names))
+    every = start.unionByName(marks).unionByName(body)
+    ordered = every.repartition(*keys).sortWithinPartitions(*keys, F.desc_nulls_first("_line"), "_turn")
+    schema = T.StructType([*[every.schema[k] for k in keys], T.StructField("line", T.IntegerType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, needed, marked = None, set(), None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "_line", "_defs", "_uses")]
+            out, said = [], []
+            for n, (*key, at, defs, uses) in enumerate(zip(*columns)):
+                if key != file:
+                    file, needed, marked = key, set(), None
+                if at is None:
+                    needed.update(uses)
+                elif defs is None:
+                    marked = at
+                else:
+                    taken = not needed.isdisjoint(defs)
+                    if taken:
+                        needed.difference_update(defs)
+                        needed.update(uses)
+                    if taken or marked == at:
+                        out.append(n)
+                        said.append(at)
+            kept = pa.array(out, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(kept) for k in keys], pa.array(said, pa.int32())], names=[*keys, "line"])
+
+    return ordered.mapInArrow(scan, schema)
 
 
 def expansion_ladder(steps: list[tuple[str, DataFrame]], executed: DataFrame, keys: list[str], item: list[str]) -> DataFrame:

@@ -17,25 +17,31 @@ def _char_suffixes(path):
     return F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.substr(path, i, F.length(path)))
 
 
+def _tail_keys(tails):
+    """Length and hash of each tail: a row per tail of a path costs the same, however long the tail is."""
+    return F.transform(tails, lambda t: F.struct(F.length(t).alias("n"), F.xxhash64(t).alias("h")))
+
+
 def path_suffix_join(wanted: DataFrame, known: DataFrame, keys: list[str], mode: str = "boundary") -> DataFrame:
     """Match each wanted path (keys, path) to one known path (keys, known, file_ord): the equal one,
     else the first suffix match by ``file_ord``.
 
     ``boundary``: one path is a tail of the other after a slash. ``suffix``: plain string suffix either
     way. ``basename``: known ends with wanted, or wanted ends with known's base name (pairs
-    ``sym_expr.py`` with ``expr.py``; kept for recorded results)."""
+    ``sym_expr.py`` with ``expr.py``; kept for recorded results). Tails meet by length and hash, and what met is compared as text."""
     w, k = F.col("path"), F.col("known")
     tails = path_suffixes if mode == "boundary" else _char_suffixes
     left = wanted.select(*keys, "path").distinct()
 
-    def one_per_tail(rows: DataFrame) -> DataFrame:
-        best = F.struct(k != F.col("_s"), F.col("file_ord"))
+    def one_per_tail(rows: DataFrame, best) -> DataFrame:
         return rows.groupBy(*keys, "_s").agg(F.min_by("known", best).alias("known"), F.min_by("file_ord", best).alias("file_ord"))
 
     # a tail keeps one candidate before the join: the equal path, else the first in file order
-    a = one_per_tail(known.withColumn("_s", F.explode(tails(k)))).join(left.withColumn("_s", w), [*keys, "_s"])
     whole = F.substring_index(k, "/", -1) if mode == "basename" else k
-    b = one_per_tail(known.withColumn("_s", whole)).join(left.withColumn("_s", F.explode(tails(w))), [*keys, "_s"])
+    a = one_per_tail(known.withColumn("_s", F.explode(_tail_keys(tails(k)))), F.struct(F.length(k) != F.col("_s.n"), F.col("file_ord")))
+    a = a.join(left.withColumn("_s", _tail_keys(F.array(w))[0]), [*keys, "_s"]).filter(F.endswith(k, w))
+    b = one_per_tail(known.withColumn("_s", _tail_keys(F.array(whole))[0]), F.struct("file_ord"))
+    b = b.join(left.withColumn("_s", F.explode(_tail_keys(tails(w)))), [*keys, "_s"]).filter(F.endswith(w, whole))
     both = a.select(*keys, "path", "known", "file_ord").unionByName(b.select(*keys, "path", "known", "file_ord"))
     return both.groupBy(*keys, "path").agg(F.min_by("known", F.struct(w != k, F.col("file_ord"))).alias("known"))
 
@@ -98,13 +104,23 @@ def last_definition(statements: DataFrame, scope: list[str], stmt: list[str], va
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame, keys: list[str], caller: str = "caller", name: str = "callee") -> DataFrame:
-    """Call edges by name to every function of that name in the group; self-loops dropped. The fan-out
-    is the number of functions that share the name."""
+    """Call edges by name to every function of that name in the group; self-loops dropped. These are callers x functions rows for each
+    name; traversals use ``call_links``, which are callers + functions."""
     targets = functions.select(*keys, F.col("name").alias(name), F.col("func_id").alias("target")).distinct()
     return (calls.select(*keys, caller, name).distinct().join(targets, [*keys, name])
             .filter(F.col(caller) != F.col("target")).select(*keys, F.col(caller).alias("src"), F.col("target").alias("dst")).distinct())
 
 
+def call_links(calls: DataFrame, functions: DataFrame, keys: list[str], caller: str = "caller", name: str = "callee") -> DataFrame:
+    """The same calls with the name as a node between callers and functions: (keys, src, dst), nodes are (of, id) with ``of`` f or n.
+    A call is two steps long."""
+    def node(of, c):
+        return F.struct(F.lit(of).alias("of"), F.col(c).cast("string").alias("id"))
+    up = calls.select(*keys, node("f", caller).alias("src"), node("n", name).alias("dst"))
+    down = functions.select(*keys, node("n", "name").alias("src"), node("f", "func_id").alias("dst"))
+    return up.unionByName(down).distinct()
+
+
 def resolve_imports(imports: DataFrame, paths: DataFrame, present: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
     """Files a set of files imports and does not hold yet, in name order, at most ``most`` per group.
     ``imports``: (keys, module); ``paths``: (keys, path)."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailrank.functions.columns import ratio
-from trailrank.functions.ordered import first_k
+from trailrank.functions.ordered import first_k, median_of, value_counts
 
 
 def flag(col: Column) -> Column:
@@ -26,9 +26,14 @@ def instance_arms(gold: DataFrame, arms: list[str], instance: str = "instance_id
     return gold.select(instance).distinct().withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
 
 
-def hit_at_k(first: DataFrame, expected: DataFrame, keys: list[str], ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+def expect(first: DataFrame, expected: DataFrame | None, keys: list[str]) -> DataFrame:
+    """First positions of the expected rankings, null where there is none; without ``expected``, ``first`` holds them all already."""
+    return first if expected is None else expected.join(first, keys, "left")
+
+
+def hit_at_k(first: DataFrame, expected: DataFrame | None, keys: list[str], ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """(keys, k, hit) for every expected ranking."""
-    return (expected.join(first, keys, "left").withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    return (expect(first, expected, keys).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
             .select(*keys, "k", flag(F.col("first") <= F.col("k")).alias("hit")))
 
 
@@ -36,14 +41,14 @@ def recall_at_k(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg("hit"), 6).alias("recall"))
 
 
-def reciprocal_rank(first: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    return expected.join(first, keys, "left").select(*keys, F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
+def reciprocal_rank(first: DataFrame, expected: DataFrame | None, keys: list[str]) -> DataFrame:
+    return expect(first, expected, keys).select(*keys, F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
-def exam(ranking: DataFrame, first: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+def exam(ranking: DataFrame, first: DataFrame, expected: DataFrame | None, keys: list[str]) -> DataFrame:
     """Share of the list read before the first gold item; 1 when there is none."""
     sizes = ranking.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return (expected.join(first, keys, "left").join(sizes, keys, "left")
+    return (expect(first, expected, keys).join(sizes, keys, "left")
             .select(*keys, F.coalesce(F.col("first") / F.col("n"), F.lit(1.0)).alias("exam")))
 
 
@@ -155,7 +160,7 @@ def per_sample_vs_merged(samples: DataFrame, gold: DataFrame, item: list[str], i
 def loose_metrics(pred: DataFrame, gold: DataFrame, hunks: DataFrame, spans: DataFrame, keys: list[str], line: str = "line",
                   tolerance: int = 2) -> DataFrame:
     """Recall within a tolerance, share of hunks hit, share of gold functions hit (null without any)
-    and over-prediction. ``hunks``: (keys, hunk, line); ``spans``: (keys, name, line)."""
+    and over-prediction. ``hunks``: (keys, hunk, line); ``spans``: (keys, name, line). ``loose_summary`` averages them."""
     cols = [*keys, line]
     p = pred.select(*cols).distinct()
     g = gold.select(*cols).distinct()
@@ -176,6 +181,15 @@ def loose_metrics(pred: DataFrame, gold: DataFrame, hunks: DataFrame, spans: Dat
         ("func_hit", F.col("func_hits") / F.col("n_func")), ("over", F.col("n_pred") / F.col("n_gold")))])
 
 
+def loose_summary(metrics: DataFrame, parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """Means of ``loose_metrics`` over all instances, function hits over those with a gold function, and the answers that could not be
+    parsed. ``parsed``: (keys, parsed); an instance without a row there has no answer, which counts as not parsed."""
+    told = parsed.groupBy(*keys).agg(F.max("parsed").alias("_ok"))
+    rows = metrics.join(told, keys, "left")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce("_ok", F.lit(False))).alias("parse_fail"),
+                    *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("exact", "precision", "loose", "hunk_hit", "func_hit", "over")])
+
+
 def ceilings(region: DataFrame, voted: DataFrame, covered: DataFrame, gold: DataFrame, group: list[str], item: list[str]) -> DataFrame:
     """Per group (file): share of gold inside the region and among the voted items, then the mean of
     both; beside them the pooled share of gold covered (ratio of sums)."""
@@ -189,12 +203,25 @@ def ceilings(region: DataFrame, voted: DataFrame, covered: DataFrame, gold: Data
                    F.round(F.sum("c") / F.sum("n"), 6).alias("covered_recall"))
 
 
+def recall_given_found(pred: DataFrame, gold: DataFrame, found: DataFrame, item: list[str], file: str = "file", instance: str = "instance_id") -> DataFrame:
+    """Per instance: share of all gold that is predicted, and of the gold in files that were found (0 where none was).
+    ``pred`` and ``gold``: (instance, file, item); ``found``: (instance, file)."""
+    cols = [instance, file, *item]
+    g = gold.select(*cols).distinct().join(pred.select(*cols).distinct().withColumn("_p", F.lit(1)), cols, "left")
+    g = g.join(found.select(instance, file).distinct().withColumn("_f", F.lit(1)), [instance, file], "left")
+    per = g.groupBy(instance).agg(F.count(F.lit(1)).alias("n_gold"), F.count("_f").alias("gold_in_found"), F.count("_p").alias("hits"))
+    return per.select(instance, "n_gold", "gold_in_found", "hits", F.round(F.col("hits") / F.col("n_gold"), 6).alias("recall"),
+                      F.round(ratio(F.col("hits"), F.col("gold_in_found")), 6).alias("recall_given_found"))
+
+
 def region_quality(regions: DataFrame, gold: DataFrame, item: list[str], instance: str = "instance_id") -> DataFrame:
     """Per arm: gold-hit percent, median and mean region size, density = percent per median line."""
     sized = overlap(regions, gold, [instance, "arm"], item, instance)
-    return sized.groupBy("arm").agg(
-        F.count(F.lit(1)).alias("n"), F.round(100 * F.avg(flag(F.col("hits") > 0)), 6).alias("gold_hit"),
-        F.median("n_pred").alias("median_size"), F.round(F.avg("n_pred"), 6).alias("mean_size")
+    rows = value_counts(sized.select("arm", "n_pred", "hits"), ["arm"], "n_pred", hit=flag(F.col("hits") > 0))
+    n = F.sum("_c")
+    return rows.groupBy("arm").agg(
+        n.alias("n"), F.round(100 * F.sum("hit") / n, 6).alias("gold_hit"), median_of("n_pred").alias("median_size"),
+        F.round(F.sum(F.col("_c") * F.col("n_pred")) / n, 6).alias("mean_size")
     ).withColumn("density", F.round(F.col("gold_hit") / F.greatest(F.col("median_size"), F.lit(1.0)), 6))
 
 
@@ -233,9 +260,10 @@ def coverage_stratum(gold: DataFrame, executed: DataFrame, strata: DataFrame, it
     hit = (gold.select(instance, *item).distinct().join(executed.select(instance, *item).distinct(), [instance, *item], "left_semi")
            .groupBy(instance).agg(F.count(F.lit(1)).alias("hits")))
     per = counted.join(hit, instance, "left").fillna(0, ["hits"]).join(strata, instance)
-    return per.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"), F.round(100 * F.avg(F.col("hits") / F.col("n_gold")), 6).alias("gold_exec_rate"),
-        F.round(100 * F.avg(flag(F.col("hits") > 0)), 6).alias("any_gold_rate"), F.median("n_exec").alias("exec_median"))
+    rows = value_counts(per, ["stratum"], "n_exec", share=F.col("hits") / F.col("n_gold"), any_=flag(F.col("hits") > 0))
+    n = F.sum("_c")
+    return rows.groupBy("stratum").agg(n.alias("n"), F.round(100 * F.sum("share") / n, 6).alias("gold_exec_rate"),
+                                       F.round(100 * F.sum("any_") / n, 6).alias("any_gold_rate"), median_of("n_exec").alias("exec_median"))
 
 
 def stratified_table(values: DataFrame, dimensions: list[str], value: str) -> DataFrame:
@@ -282,8 +310,9 @@ def file_recall(ranking: DataFrame, gold_files: DataFrame, file: str = "file", k
 
 def fixed_summary(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean and median over non-null values."""
-    return values.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"),
-                                   F.round(F.median(value), 6).alias("median"))
+    rows = value_counts(values, by, value)
+    mean = F.sum(F.col("_c") * F.col(value)) / F.nullif(F.sum("_c"), F.lit(0))
+    return rows.groupBy(*by).agg(F.sum("_c").alias("n"), F.round(mean, 6).alias("mean"), F.round(median_of(value), 6).alias("median"))
 
 
 # ---- arms and settings ----------------------------------------------------------------
@@ -364,7 +393,28 @@ def recovery_audit(gold: DataFrame, base: DataFrame, added: DataFrame, reachable
 
 
 def label_flips(old: DataFrame, new: DataFrame, key: str, label: str) -> DataFrame:
-    """Items whose re-derived label differs from the stored one."""
-    o = old.select(key, F.col(label).alias("old_label"))
-    n = new.select(key, F.col(label).alias("new_label"))
-    return o.join(n, key).filter(~F.col("old_label").eqNullSafe(F.col("new_label")))
+    """Items whose re-derived label is not the stored one, and how: ``flip`` between two labels, ``added`` or ``dropped`` where only one labelling
+    holds the item (or gives it a label)."""
+    o = old.groupBy(key).agg(F.max(label).alias("old_label"))
+    n = new.groupBy(key).agg(F.max(label).alias("new_label"))
+    change = F.when(F.col("old_label").isNull(), "added").when(F.col("new_label").isNull(), "dropped").otherwise("flip")
+    return o.join(n, key, "full_outer").filter(~F.col("old_label").eqNullSafe(F.col("new_label"))).withColumn("change", change)
+
+
+def relabel_summary(labels: DataFrame, subsets: list[str]) -> DataFrame:
+    """Counts of a second labelling against the first over (key, subset, crash, onpath_old, onpath_new, error): rows without error, crashes confirmed and not, flips of
+    ``onpath``, and members that leave each subset. A null label is unknown and counts for neither side."""
+    ok = F.col("error").isNull()
+    flipped = ok & F.col("onpath_new").isNotNull() & ~F.col("onpath_new").eqNullSafe(F.col("onpath_old"))
+    denied = ok & (F.col("crash") == F.lit(False))
+    return labels.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_err"), F.count_if(ok & F.col("crash")).alias("crash_confirmed"),
+                      F.count_if(denied).alias("crash_denied"), F.count_if(flipped).alias("onpath_flips"),
+                      *[F.count_if(ok & (F.col("subset") == s)).alias(f"n_{s}") for s in subsets],
+                      *[F.count_if((denied | flipped) & (F.col("subset") == s)).alias(f"changed_{s}") for s in subsets])
+
+
+def rule_disagreements(stored: DataFrame, derived: DataFrame, key: str, rule: str = "rule") -> DataFrame:
+    """How often each stored rule meets each derived one: (stored, derived, n, agrees). Items of one side only have a null on the other."""
+    s, d = stored.select(key, F.col(rule).alias("stored")), derived.select(key, F.col(rule).alias("derived"))
+    both = s.join(d, key, "full_outer").groupBy("stored", "derived").agg(F.count(F.lit(1)).alias("n"))
+    return both.withColumn("agrees", F.col("stored").eqNullSafe(F.col("derived")))

@@ -90,19 +90,32 @@ def added_lines(patches: DataFrame, keys: list[str], patch: str = "patch", comme
     return rows.select(*keys, "ord", indent.alias("indent"), F.col("body").alias("text"), "raw")
 
 
-def edit_blocks(answers: DataFrame, files: DataFrame, keys: list[str], answer: str = "answer", text: str = "text") -> DataFrame:
+# Fixed value: an edit block with its file, SEARCH text and REPLACE text.
+EDIT_BLOCK = r"(?s)<<<<<<< SEARCH(?: file=([^\n]+?))?\s*\n(.*?)\n=======\s*\n(.*?)\n>>>>>>> REPLACE"
+
+
+def edit_blocks(answers: DataFrame, files: DataFrame, keys: list[str], answer: str = "answer", text: str = "text", file: str | None = None) -> DataFrame:
     """SEARCH/REPLACE blocks to the line range their SEARCH text occupies in the file; when the text
-    is not found, line-number prefixes are stripped and it is tried again. First occurrence only."""
-    block = r"(?s)<<<<<<< SEARCH(?: file=[^\n]+?)?\s*\n(.*?)\n=======\s*\n(.*?)\n>>>>>>> REPLACE"  # fixed value
-    rows = answers.select(*keys, F.posexplode(F.regexp_extract_all(answer, F.lit(block), 1)).alias("block", "search"))
-    rows = rows.filter(C.strip(F.col("search")) != "").join(files.select(*keys, F.col(text).alias("_src")), keys)
+    is not found, line-number prefixes are stripped and it is tried again. First occurrence only, in the file as it was.
+
+    With ``file``, the column of ``files`` that names a file of the keys, a block that says ``file=`` is searched in that file only, and in none if
+    there is no such file; a block that does not is searched in all. The result then has that column too."""
+    both = F.arrays_zip(F.regexp_extract_all(answer, F.lit(EDIT_BLOCK), 1).alias("at"), F.regexp_extract_all(answer, F.lit(EDIT_BLOCK), 2).alias("search"))
+    rows = answers.select(*keys, F.posexplode(both).alias("block", "_b")).select(*keys, "block", C.strip(F.col("_b.at")).alias("_at"), "_b.search").filter(C.strip(F.col("search")) != "")
+    out = [*keys, *([file] if file else [])]
+    source = files.select(*out, F.col(text).alias("_src"))
+    if file:
+        named = rows.filter("_at <> ''").withColumnRenamed("_at", file).join(source, out)
+        rows = named.unionByName(rows.filter("_at = ''").drop("_at").join(source, keys))
+    else:
+        rows = rows.join(source, keys)
     bare = F.regexp_replace("search", r"(?m)^\s*\d+:\s?", "")
     found = F.when(F.contains("_src", "search"), F.col("search")).when(F.contains("_src", bare), bare)
     rows = rows.withColumn("_s", found).filter("_s is not null")
     before = F.expr("substring(_src, 1, instr(_src, _s) - 1)")
     start = 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
     height = F.length("_s") - F.length(F.replace("_s", F.lit("\n"), F.lit("")))
-    return rows.select(*keys, "block", start.alias("start"), (start + height).alias("end"))
+    return rows.select(*out, "block", start.alias("start"), (start + height).alias("end"))
 
 
 # ---- failure text ---------------------------------------------------------------------
@@ -209,6 +222,16 @@ def parse_names(answers: DataFrame, keys: list[str], text: str = "answer") -> Da
     return answers.select(*keys, F.posexplode(names).alias("rank", "name"))
 
 
+def parse_path_list(answers: DataFrame, keys: list[str], text: str = "answer") -> DataFrame:
+    """Strings of the first bracketed list when it is a JSON array (other elements are passed over), else every quoted path that ends in ``.py``:
+    (keys, rank, path), ranks 0-based."""
+    rows = answers.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    rows = rows.withColumn("_l", F.expr("cast(try_parse_json(regexp_extract(_t, '(?s)(\\\\[.*?\\\\])', 1)) as array<variant>)"))
+    listed = F.expr("transform(filter(_l, x -> schema_of_variant(x) = 'STRING'), x -> cast(x as string))")
+    loose = F.regexp_extract_all("_t", F.lit(r'"([^"]+\.py)"'), 1)
+    return rows.select(*keys, F.posexplode(F.coalesce(listed, loose)).alias("rank", "path"))
+
+
 def parse_paths(answers: DataFrame, valid: DataFrame, keys: list[str], text: str = "answer", path: str = "path") -> DataFrame:
     """Paths of the fenced answer, kept when they exist or are the unique ``/``-suffix of an existing
     path; ``valid`` is (keys, path). First mention wins."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailrank.functions.columns import cosine, hash_order, hash_seeded, tokens
-from trailrank.functions.ordered import first_k, needs_slices, number_rows
+from trailrank.functions.ordered import first_k, frozen, needs_slices, number_rows
 
 Signal = list[Column]
 
@@ -124,11 +124,17 @@ def prefilter_paths(paths: DataFrame, issue_tokens: DataFrame, keys: list[str],
     return best.unionByName(first).distinct()
 
 
+#: Bytes of query vectors that are sent to every task; more are joined by shuffle.
+QUERY_BYTES = 64 << 20
+
+
 def cosine_rank(files: DataFrame, queries: DataFrame, keys: list[str], item: str, vector: str = "embedding",
                 top: int = 10) -> DataFrame:
-    """Best files of each query group by cosine similarity; one query vector per group."""
-    q = queries.select(*keys, F.col(vector).alias("_query"))
-    scored = files.join(q, keys).select(*keys, item, F.round(cosine(F.col(vector), F.col("_query")), 6).alias("similarity"))
+    """Best files of each query group by cosine similarity; one query vector per group. Query vectors are counted: up to ``QUERY_BYTES``
+    they go to the files, which then stay where they are, and groups are cut to ``top`` rows in each task."""
+    q = frozen(queries.select(*keys, F.col(vector).alias("_query")))
+    size = q.agg(F.sum(8 * F.size("_query"))).first()[0] or 0
+    scored = files.join(F.broadcast(q) if size <= QUERY_BYTES else q, keys).select(*keys, item, F.round(cosine(F.col(vector), F.col("_query")), 6).alias("similarity"))
     return first_k(scored, keys, [F.desc("similarity"), F.asc(item)], top)
 
 
@@ -138,16 +144,18 @@ SEEN_SHIFT = 4294967296  # first_seen = sample * SEEN_SHIFT + rank
 
 
 def vote_mass(votes: DataFrame, keys: list[str], item: list[str], region: DataFrame | None = None,
-              sample: str = "sample", rank: str = "rank") -> DataFrame:
+              sample: str = "sample", rank: str = "rank", carry: dict[str, Column] | None = None) -> DataFrame:
     """Reciprocal-rank mass, number of samples and first appearance of every voted item.
 
     ``rank`` is 0-based and counted over the whole answer, before ``region`` removes items. Votes
-    are aggregated per sample first, so any number of samples is counted and both steps combine on the map side."""
+    are aggregated per sample first, so any number of samples is counted and both steps combine on the map side. ``carry``: further
+    columns of the votes as aggregates that can be taken twice (max, min)."""
     kept = votes if region is None else votes.join(region.select(*keys, *item).distinct(), [*keys, *item], "left_semi")
+    more = [c.alias(n) for n, c in (carry or {}).items()]
     per_sample = kept.groupBy(*keys, *item, sample).agg(
-        F.sum(F.lit(1.0) / (1 + F.col(rank))).alias("_mass"), F.min(F.col(sample).cast("bigint") * SEEN_SHIFT + F.col(rank)).alias("_seen"))
+        F.sum(F.lit(1.0) / (1 + F.col(rank))).alias("_mass"), F.min(F.col(sample).cast("bigint") * SEEN_SHIFT + F.col(rank)).alias("_seen"), *more)
     return per_sample.groupBy(*keys, *item).agg(
-        F.round(F.sum("_mass"), 6).alias("mass"), F.count(F.lit(1)).alias("counts"), F.min("_seen").alias("first_seen"))
+        F.round(F.sum("_mass"), 6).alias("mass"), F.count(F.lit(1)).alias("counts"), F.min("_seen").alias("first_seen"), *more)
 
 
 def rrf_fuse(items: DataFrame, keys: list[str], signals: list[Signal], ties: Signal, k: int = 20,
@@ -165,9 +173,10 @@ def rrf_fuse(items: DataFrame, keys: list[str], signals: list[Signal], ties: Sig
     return number_rows(fused, keys, [F.desc("rrf"), *ties], out, sliced=sliced)
 
 
-def rrf_grid(items: DataFrame, keys: list[str], signals: list[Signal], ties: Signal, ks: list[int]) -> DataFrame:
+def rrf_grid(items: DataFrame, keys: list[str], signals: list[Signal], ties: Signal, ks: list[int], sliced: bool | None = None) -> DataFrame:
     """The same fusion for a list of constants; ranks are computed once."""
-    sliced = needs_slices(items, keys)
+    if sliced is None:
+        sliced = needs_slices(items, keys)
     ranked = items
     for i, signal in enumerate(signals):
         ranked = number_rows(ranked, keys, [*signal, *ties], f"_rank{i}", start=0, sliced=sliced)
@@ -193,19 +202,20 @@ def stack_arms(wide: DataFrame, cols: list[str], arms: list[str]) -> DataFrame:
     return wide.select(*cols, pairs.alias("_a")).select(*cols, "_a.arm", "_a.pos")
 
 
-def rank_consensus(items: DataFrame, keys: list[str], item: str, score: str = "score") -> DataFrame:
-    """Sample count first, then mass, then graph score, then the hash order."""
-    return number_rows(items, keys, [F.desc("counts"), F.desc("mass"), F.desc(score), hash_order(F.col(item)), F.col(item)])
+def rank_consensus(items: DataFrame, keys: list[str], item: str, score: str = "score", sliced: bool | None = None) -> DataFrame:
+    """Sample count first, then mass, then graph score, then the hash order. ``sliced``: what the largest group of a table that bounds the
+    items asks for (``needs_slices``), so that they need not be computed to be measured."""
+    return number_rows(items, keys, [F.desc("counts"), F.desc("mass"), F.desc(score), hash_order(F.col(item)), F.col(item)], sliced=sliced)
 
 
-def rank_coverage_tier(items: DataFrame, keys: list[str], item: str, score: str = "score", k: int = 20) -> DataFrame:
+def rank_coverage_tier(items: DataFrame, keys: list[str], item: str, score: str = "score", k: int = 20, sliced: bool | None = None) -> DataFrame:
     """Fusion with a fourth arm from execution: tier 3 crash-frame function, 2 executed, 1 not.
     Needs 0/1 columns ``on_frame`` and ``executed``."""
     tiered = items.withColumn("tier", F.when(F.col("on_frame") == 1, 3).when(F.col("executed") == 1, 2).otherwise(1))
     signals = [[F.desc("mass"), F.asc("first_seen")], [F.desc(score), F.asc("first_seen")],
                [F.desc("counts"), F.asc("first_seen")],
                [F.desc("tier"), F.desc("counts"), F.desc("mass"), F.asc("first_seen")]]
-    return rrf_fuse(tiered, keys, signals, [hash_order(F.col(item)), F.col(item)], k)
+    return rrf_fuse(tiered, keys, signals, [hash_order(F.col(item)), F.col(item)], k, sliced=sliced)
 
 
 def head_rerank(ranking: DataFrame, answer: DataFrame, keys: list[str], item: list[str], n: int) -> DataFrame:
@@ -228,16 +238,16 @@ def shuffle_head(ranking: DataFrame, keys: list[str], item: str, n: int, seed: i
     return head.select(*ranking.columns).unionByName(ranking.filter(F.col("pos") > n))
 
 
-def interleave(per_file: DataFrame, keys: list[str], file_order: str, out: str = "pos") -> DataFrame:
+def interleave(per_file: DataFrame, keys: list[str], file_order: str, out: str = "pos", sliced: bool | None = None) -> DataFrame:
     """Round-robin merge of per-file rankings: first of each file, then second of each, and so on."""
     renamed = per_file.withColumnRenamed("pos", "file_pos")
-    return number_rows(renamed, keys, [F.col("file_pos"), F.col(file_order)], out)
+    return number_rows(renamed, keys, [F.col("file_pos"), F.col(file_order)], out, sliced=sliced)
 
 
-def interleave_distinct(lists: DataFrame, keys: list[str], item: list[str], list_order: str) -> DataFrame:
+def interleave_distinct(lists: DataFrame, keys: list[str], item: list[str], list_order: str, sliced: bool | None = None) -> DataFrame:
     """Round-robin merge that keeps the first appearance of an item and renumbers."""
     first = lists.groupBy(*keys, *item).agg(F.min(F.col("pos") * SEEN_SHIFT + F.col(list_order)).alias("_at"))
-    return number_rows(first, keys, [F.col("_at")]).drop("_at")
+    return number_rows(first, keys, [F.col("_at")], sliced=sliced).drop("_at")
 
 
 def adjacency_tier(items: DataFrame, executed: DataFrame, keys: list[str], line: str = "line", band: int = 2) -> DataFrame:

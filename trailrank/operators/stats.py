@@ -5,13 +5,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailrank.functions.columns import HASH_RANGE, hash_seeded, mcnemar_p, wilson_bound
-from trailrank.functions.ordered import first_k, frozen, group_limit, number_rows
-
-# Cumulative Poisson(1) probabilities; a draw counts the thresholds it passes.
-POISSON_STEPS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-                 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-                 0.999998874797402, 0.9999998885745217]
+from trailrank.functions.columns import binomial_quantile, let, log_gamma, mcnemar_p, poisson_quantile, uniform, wilson_bound
+from trailrank.functions.ordered import frozen, number_rows
 
 
 def pair_arms(metrics: DataFrame, a: str, b: str, keys: list[str], value: str, arm: str = "arm") -> DataFrame:
@@ -32,34 +27,57 @@ def _interval(means: DataFrame, by: list[str], replicates: int) -> DataFrame:
                  F.avg((F.col("m") > 0).cast("double")).alias("p_gt0")))
 
 
-#: Up to this many rows in total the numbered values are sent to every task.
-BROADCAST_ROWS = 500_000
+#: Values, or blocks of values, that one row of a replicate spreads its draws over.
+FAN = 256
+
+
+def _spread(drawn, replicates_seed, items):
+    """Draws dealt to the items of an array (at, weight, value) one after the other: a binomial of what is left, with the item's part of the
+    weight that is left. Returns the array of counts in a struct with the sum of count x value."""
+    whole = F.aggregate(items, F.lit(0).cast("bigint"), lambda s, x: s + x["weight"])
+
+    def step(acc, x):
+        share = x["weight"].cast("double") / acc["weight"]
+        return let(binomial_quantile(acc["left"], share, uniform(x["at"], replicates_seed)), lambda n: F.struct(
+            (acc["left"] - n).alias("left"), (acc["weight"] - x["weight"]).alias("weight"), (acc["total"] + n * x["value"]).alias("total"),
+            F.concat(acc["counts"], F.array(n)).alias("counts")))
+
+    none = F.array().cast("array<bigint>")
+    start = F.struct(drawn.cast("bigint").alias("left"), whole.alias("weight"), F.lit(0.0).alias("total"), none.alias("counts"))
+    return F.aggregate(items, start, step)
 
 
 def bootstrap_means(values: DataFrame, by: list[str], unit: str, value: str, replicates: int, method: str = "multinomial") -> DataFrame:
-    """Mean of every resample: (by, b, m).
+    """Mean of every resample: (by, b, m). Rows of equal value are interchangeable, so a resample is how often it drew each distinct value.
 
-    ``multinomial`` draws n of n with replacement: every (replicate, slot) picks a row number by
-    hash and joins it to the numbered values; replicate sums are combined on the map side. The
-    values are broadcast up to ``BROADCAST_ROWS`` rows, beyond that the join shuffles. ``poisson``
-    gives each row an independent Poisson(1) weight per replicate, which needs no numbering and no
-    join: one pass with map-side combine, for sizes where n x B draws are too many to shuffle."""
+    ``multinomial`` draws n of n with replacement: the counts are dealt to the values in ascending order, each a binomial of
+    what is left. More than ``FAN`` values are dealt to blocks of ``FAN`` values first, so a row holds an array of that size at most. ``poisson`` gives
+    every row an independent Poisson(1) weight, which add up to a Poisson of its count for each value. Either way a replicate has rows by distinct values, not by rows."""
     b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    slim = values.select(*by, unit, value)
+    counted = values.groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("weight"))
     if method == "poisson":
-        draw = hash_seeded(F.col(unit), F.col("b")) / F.lit(float(HASH_RANGE))
-        rows = slim.withColumn("b", b).withColumn("_u", draw)
-        weight = sum((F.when(F.col("_u") >= s, 1).otherwise(0) for s in POISSON_STEPS), F.lit(0))
-        rows = rows.withColumn("_w", weight)
-        return rows.groupBy(*by, "b").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
-    n_rows = slim.count()
-    numbered = number_rows(slim, by, [F.col(unit)], "_idx", start=0, sliced=n_rows > group_limit(values.sparkSession))
-    sizes = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    slots = numbered.select(*by, F.col("_idx").alias("_slot")).join(sizes, by).repartition(*by, "_slot").withColumn("b", b)
-    draws = slots.select(*by, "b", (hash_seeded(F.col("_slot"), F.col("b")) % F.col("_n")).cast("int").alias("_idx"))
-    lookup = numbered.select(*by, "_idx", value)
-    lookup = F.broadcast(lookup) if n_rows <= BROADCAST_ROWS else lookup
-    return draws.join(lookup, [*by, "_idx"]).groupBy(*by, "b").agg(F.avg(value).alias("m"))
+        at = number_rows(frozen(counted), by, [F.col("value")], "at", start=0)
+        drawn = at.withColumn("b", b).withColumn("n", poisson_quantile(F.col("weight"), uniform(F.col("at"), F.col("b"))))
+        return drawn.groupBy(*by, "b").agg((F.sum(F.col("n") * F.col("value")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+    level = frozen(number_rows(frozen(counted), by, [F.col("value")], "at", start=0))
+    levels = []
+    while True:  # values, blocks of values, blocks of blocks, ... up to one block for each group
+        item = F.struct("at", "weight", "value")
+        blocks = (level.withColumn("block", F.floor(F.col("at") / FAN)).groupBy(*by, "block")
+                  .agg(F.sum("weight").alias("weight"), F.sort_array(F.collect_list(item)).alias("items")))
+        levels.append(blocks)
+        if not level.filter(F.col("at") >= FAN).limit(1).count():
+            break
+        level = frozen(blocks.select(*by, F.col("block").alias("at"), "weight", F.lit(0.0).alias("value")))
+    drawn = levels[-1].select(*by, "block", F.col("weight").alias("n")).withColumn("b", b).repartition(*by, "b")
+    for depth in range(len(levels) - 1, -1, -1):
+        seed = F.col("b") + depth * replicates
+        dealt = drawn.join(levels[depth].select(*by, "block", "items"), [*by, "block"]).withColumn("_s", _spread(F.col("n"), seed, F.col("items")))
+        if depth:
+            each = F.explode(F.arrays_zip(F.col("items.at").alias("block"), F.col("_s.counts").alias("n")))
+            drawn = frozen(dealt.select(*by, "b", each.alias("_e")).select(*by, "b", "_e.block", "_e.n").filter("n > 0"))
+    sums = dealt.groupBy(*by, "b").agg(F.sum("_s.total").alias("total"), F.sum("n").alias("n"))
+    return sums.select(*by, "b", (F.col("total") / F.col("n")).alias("m"))
 
 
 def bootstrap_ci(values: DataFrame, by: list[str], unit: str, value: str, replicates: int = 5000, method: str = "multinomial") -> DataFrame:
@@ -110,22 +128,26 @@ def holm_adjust(tests: DataFrame, family: list[str], name: str, p: str = "p") ->
     return ranked.withColumn("_raw", raw).withColumn("p_adj", F.round(run, 6)).drop("_m", "_r", "_raw")
 
 
-def random_tie_control(items: DataFrame, gold: DataFrame, keys: list[str], item: str, primary: str | None, tops: list[int],
-                       seeds: int) -> DataFrame:
-    """Share of seeds for which all gold of a group is inside the top N when ties under ``primary``
-    are ordered at random (``primary=None``: the whole order is random). Each seed keeps at most
-    max(N) rows per group before the shuffle."""
-    rows = items.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    order = ([F.desc(primary)] if primary else []) + [hash_seeded(F.col(item), F.col("seed")), F.col(item)]
-    cut = first_k(rows, [*keys, "seed"], order, max(tops))
-    sizes = gold.select(*keys, item).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gold"))
-    inside = (cut.join(gold.select(*keys, item).distinct(), [*keys, item], "left_semi")
-              .withColumn("n_top", F.explode(F.filter(F.array(*[F.lit(n) for n in tops]), lambda n: n >= F.col("pos"))))
-              .groupBy(*keys, "seed", "n_top").agg(F.count(F.lit(1)).alias("c")))
-    full = (inside.join(sizes, keys).filter("c = n_gold").groupBy(*keys, "n_top").agg(F.count(F.lit(1)).alias("ok")))
-    expected = sizes.withColumn("n_top", F.explode(F.array(*[F.lit(n) for n in tops])))
-    return (expected.join(full, [*keys, "n_top"], "left").fillna(0, ["ok"])
-            .select(*keys, "n_top", (F.col("ok") / F.lit(float(seeds))).alias("prob")))
+def random_tie_control(items: DataFrame, gold: DataFrame, keys: list[str], item: str, primary: str | None, tops: list[int]) -> DataFrame:
+    """Probability that all gold of a group is inside the top N when ties under ``primary`` are ordered at random (``primary=None``: the whole
+    order is random): (keys, n_top, prob).
+
+    Blocks of equal ``primary`` that end above N are inside, those that begin below it are not, and of the s tied items that lie across the
+    cut, r go in: m gold items among them are all inside with probability C(s-m, r-m) / C(s, r). Rows are one for each distinct value of a group."""
+    by = F.col(primary) if primary else F.lit(0)
+    blocks = items.groupBy(*keys, by.alias("_p")).agg(F.count(F.lit(1)).alias("_s"))
+    above = F.coalesce(F.sum("_s").over(W.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.withColumn("_above", above)
+    wanted = gold.select(*keys, item).distinct()
+    where = items.select(*keys, item, by.alias("_p"))
+    held = wanted.join(where, [*keys, item], "left").groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_m"))
+    rows = held.join(placed, [*keys, "_p"], "left").withColumn("n_top", F.explode(F.array(*[F.lit(n) for n in tops])))
+    s, m, r = (F.col(c).cast("double") for c in ("_s", "_m", "_r"))
+    some = F.exp(log_gamma(r + 1) - log_gamma(r - m + 1) - log_gamma(s + 1) + log_gamma(s - m + 1))
+    inside = (F.when(F.col("_s").isNull(), 0.0).when(F.col("_r") >= F.col("_s"), 1.0).when(F.col("_r") < F.col("_m"), 0.0).otherwise(some))
+    rows = rows.withColumn("_r", F.col("n_top") - F.col("_above"))
+    # at most one block of a group lies across the cut, so the least factor is the product
+    return rows.groupBy(*keys, "n_top").agg(F.round(F.min(inside), 6).alias("prob"))
 
 
 def win_loss(flags: DataFrame, control: DataFrame, keys: list[str], tau: float = 0.5) -> DataFrame:

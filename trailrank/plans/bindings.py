@@ -29,15 +29,28 @@ def vote_source(spark, sf) -> DataFrame:
                                                "l_returnflag", "l_linestatus")
 
 
-def votes(spark, sf) -> DataFrame:
+def vote_slices(spark, sf) -> bool:
+    """Whether some instance has more votes than a task should hold. Ids are counted in the source, which bounds every table of
+    items, votes or rankings derived from it, so none of those is computed to be measured."""
+    return needs_slices(vote_source(spark, sf), ["instance_id"])
+
+
+def ranked_votes(spark, sf, sliced: bool | None = None) -> DataFrame:
+    """Votes with their rank and, of the same rows, what the static score and the flags of an item are made of."""
     src = vote_source(spark, sf)
-    sliced = needs_slices(src, ["instance_id"])
+    sliced = vote_slices(spark, sf) if sliced is None else sliced
     if not sliced:  # instances are known to be small: one shuffle serves the aggregate, the ranks and the vote mass
-        src = src.select("instance_id", "sample", "line", "l_extendedprice").repartition("instance_id")
-    best = src.groupBy("instance_id", "sample", "line").agg(F.max("l_extendedprice").alias("best"))
+        src = src.repartition("instance_id")
+    best = src.groupBy("instance_id", "sample", "line").agg(
+        F.max("l_extendedprice").alias("best"), F.max("l_quantity").alias("score"), F.max((F.col("l_linestatus") == "F").cast("int")).alias("executed"),
+        F.max((F.col("l_linestatus") == "O").cast("int")).alias("passing"), F.max(F.expr("l_returnflag = 'R' AND l_quantity >= 45").cast("int")).alias("gold"))
     return number_rows(best, ["instance_id", "sample"], [F.desc("best"), F.asc("line")], "rank", 0, sliced).drop("best")
 
 
+def votes(spark, sf) -> DataFrame:
+    return ranked_votes(spark, sf).select("instance_id", "sample", "line", "rank")
+
+
 def vote_gold(spark, sf) -> DataFrame:
     return (vote_source(spark, sf).filter("l_returnflag = 'R' AND l_quantity >= 45").select("instance_id", "line").distinct())
 
@@ -54,34 +67,43 @@ def vote_passing(spark, sf) -> DataFrame:
     return vote_source(spark, sf).filter("l_linestatus = 'O'").select("instance_id", "line").distinct()
 
 
-def vote_items(spark, sf) -> DataFrame:
+def vote_rows(spark, sf, sliced: bool | None = None) -> DataFrame:
+    """One wide row per voted item, from one scan and one shuffle: vote mass, counts, first_seen, static score, and 0/1 whether it was executed,
+    passed and is gold."""
+    flags = {c: F.max(c) for c in ("score", "executed", "passing", "gold")}
+    return R.vote_mass(ranked_votes(spark, sf, sliced), ["instance_id"], ["line"], carry=flags)
+
+
+def vote_items(spark, sf, sliced: bool | None = None) -> DataFrame:
     """Vote mass with the static score."""
-    mass = R.vote_mass(votes(spark, sf), ["instance_id"], ["line"])
-    return mass.join(vote_static(spark, sf), ["instance_id", "line"])
+    return vote_rows(spark, sf, sliced).drop("executed", "passing", "gold")
 
 
 def seen():
     return [F.asc("first_seen")]
 
 
-def fused(spark, sf, items=None) -> DataFrame:
+def fuse(items: DataFrame, sliced: bool, out: str = "pos") -> DataFrame:
     """The three-signal fusion every arm study starts from."""
-    items = vote_items(spark, sf) if items is None else items
-    return R.rrf_fuse(items, ["instance_id"], [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], seen(),
-                      sliced=needs_slices(vote_source(spark, sf), ["instance_id"]))
+    return R.rrf_fuse(items, ["instance_id"], [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], seen(), out=out, sliced=sliced)
+
+
+def fused(spark, sf, items=None) -> DataFrame:
+    sliced = vote_slices(spark, sf)
+    return fuse(vote_items(spark, sf, sliced) if items is None else items, sliced)
 
 
 ARMS = ["vote_only", "static_only", "fused", "consensus"]
 
 
 def arm_positions(spark, sf) -> DataFrame:
-    """Four arms from one vote pass, one position column per arm."""
-    sliced = needs_slices(vote_source(spark, sf), ["instance_id"])
+    """Four arms from one vote pass, one position column per arm, beside the items' flags."""
+    sliced = vote_slices(spark, sf)
     hashed = [R.hash_order(F.col("line")), F.asc("line")]
-    wide = R.rank_arms(vote_items(spark, sf), ["instance_id"], {
+    wide = R.rank_arms(vote_rows(spark, sf, sliced), ["instance_id"], {
         "vote_only": [F.desc("mass"), *hashed], "static_only": [F.desc("score"), *hashed],
         "consensus": [F.desc("counts"), F.desc("mass"), F.desc("score"), *hashed]}, sliced)
-    return R.rrf_fuse(wide, ["instance_id"], [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], seen(), out="pos_fused", sliced=sliced)
+    return fuse(wide, sliced, "pos_fused")
 
 
 def arm_rankings(spark, sf) -> DataFrame:
@@ -90,9 +112,8 @@ def arm_rankings(spark, sf) -> DataFrame:
 
 
 def gold_positions(spark, sf) -> DataFrame:
-    """Positions of the gold items only: gold is joined before the arms are stacked."""
-    wide = arm_positions(spark, sf).join(vote_gold(spark, sf), ["instance_id", "line"], "left_semi")
-    return R.stack_arms(wide, ["instance_id", "line"], ARMS)
+    """Positions of the gold items only; every gold item has a vote, so the flag of its row tells."""
+    return R.stack_arms(arm_positions(spark, sf).filter("gold = 1"), ["instance_id", "line"], ARMS)
 
 
 cte("vbest", "SELECT l_partkey AS instance_id, l_linenumber AS sample, l_suppkey AS line, max(l_extendedprice) AS best "

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailrank.functions.columns import tokens
+from trailrank.functions.ordered import frozen
 from trailrank.operators import graph as G
 from trailrank.operators import joins as J
 from trailrank.operators import metrics as M
@@ -51,6 +52,20 @@ def f4(spark, sf):
     return G.expand_candidates(voted, B.part_edges(spark, sf), spans, part.filter("p_size <= 40"), GR)
 
 
+GROWN = """SELECT grp, node, hops FROM bfs3 JOIN (SELECT grp, coalesce(min(hops) FILTER (hops>=1 AND t>=s+25), 3) AS stop FROM (SELECT grp, hops, sum(count(*)) OVER (PARTITION BY grp ORDER BY hops) AS t,
+ first_value(count(*)) OVER (PARTITION BY grp ORDER BY hops) AS s FROM bfs3 GROUP BY grp, hops) GROUP BY grp) USING (grp) WHERE hops<=stop"""
+cte("grown", GROWN, "bfs3")
+
+
+@query("f4_expand_candidates_capped", """SELECT grp, line, mass, false AS added FROM pmass UNION ALL SELECT b.grp, b.node, m*1e-3, true FROM grown b JOIN (SELECT grp, min(mass) AS m FROM pmass GROUP BY ALL) USING (grp) JOIN part ON p_partkey=b.node
+ WHERE hops>=1 AND p_size<=40""", "grown", "pmass")
+def f4c(spark, sf):
+    part = B.table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("line"), "p_size")
+    voted = part.filter("p_size <= 5").select("grp", "line", (1 + F.col("p_size") % 3).cast("double").alias("mass"))
+    spans = part.select("grp", F.col("line").alias("stmt"), F.col("line").alias("end"))
+    return G.expand_candidates(voted, B.part_edges(spark, sf), spans, part.filter("p_size <= 40"), GR, 3, 25)
+
+
 @query("f5_callgraph_khop", """SELECT b.grp, b.node AS line, b.hops FROM bfs2f b WHERE b.node IN (SELECT l_partkey FROM lineitem WHERE l_linestatus='F' AND l_returnflag='R')""", "bfs2f")
 def f5(spark, sf):
     part = B.table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("node"))
@@ -59,6 +74,23 @@ def f5(spark, sf):
     return G.callgraph_khop(B.part_seeds(spark, sf), B.part_edges(spark, sf), lines, executed.withColumnRenamed("node", "line"), GR, 2)
 
 
+cte("named_calls", """SELECT DISTINCT grp, src, p.p_partkey AS dst FROM (SELECT DISTINCT grp, src, b.p_name||'_'||(dst//128) AS callee FROM edges JOIN part b ON b.p_partkey=dst) c JOIN part p ON p.p_brand=c.grp AND p.p_name||'_'||(p.p_partkey//128)=c.callee WHERE src<>p.p_partkey""", "edges")
+cte("callreach", bfs_sql("named_calls", "seeds_p", 2), "named_calls", "seeds_p")
+
+
+def named_calls(spark, sf):
+    """Calls by name and the functions that have the names."""
+    funcs = B.table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("func_id"),
+                                              F.concat("p_name", F.lit("_"), F.floor(F.col("p_partkey") / 128).cast("string")).alias("name"))
+    calls = B.part_edges(spark, sf).join(funcs.select("grp", F.col("func_id").alias("dst"), F.col("name").alias("callee")), ["grp", "dst"])
+    return calls.select("grp", F.col("src").alias("caller"), "callee"), funcs
+
+
+@query("f5_call_reach", "SELECT grp, node, hops FROM callreach", "callreach")
+def f5r(spark, sf):
+    return G.call_reach(B.part_seeds(spark, sf), J.call_links(*named_calls(spark, sf), GR), GR, 2)
+
+
 cte("allreach", bfs_sql("all_ways", "seeds_p", 2), "all_ways", "seeds_p")
 cte("pgold", "SELECT p_brand AS grp, p_partkey AS node FROM part WHERE p_size BETWEEN 5 AND 8")
 
@@ -89,17 +121,29 @@ def line_vars(spark, sf):
 
 cte("lvar", f"SELECT doc_id, line_no AS line, t[1] AS d, t[2:] AS u FROM (SELECT doc_id, line_no, list_sort({B.tokens_sql('text')}) AS t FROM lines) WHERE len(t)>1", "lines")
 cte("lseed", "SELECT doc_id, max(line) AS line FROM lvar GROUP BY ALL", "lvar")
+F7 = """SELECT doc_id, line FROM (WITH RECURSIVE uses AS (SELECT doc_id, line, unnest(u) AS v FROM lrun), link AS (SELECT u.doc_id, u.line AS at, max(l.line) AS def FROM uses u JOIN lrun l ON l.doc_id=u.doc_id AND l.d=u.v AND l.line<u.line GROUP BY u.doc_id, u.line, u.v),
+ start AS (SELECT s.doc_id, max(l.line) AS line FROM lseed s JOIN (SELECT doc_id, line, unnest(u) AS v FROM lvar) u ON u.doc_id=s.doc_id AND u.line=s.line JOIN lrun l ON l.doc_id=s.doc_id AND l.d=u.v GROUP BY s.doc_id, u.v),
+ sl AS (SELECT doc_id, line FROM start UNION SELECT k.doc_id, k.def FROM sl JOIN link k ON k.doc_id=sl.doc_id AND k.at=sl.line)
+ SELECT doc_id, line FROM sl UNION SELECT doc_id, line FROM lseed SEMI JOIN lrun USING (doc_id, line))"""
+cte("lrun_all", "SELECT * FROM lvar", "lvar")
+cte("lrun_part", "SELECT * FROM lvar ANTI JOIN lseed USING (doc_id, line) WHERE line%5<>0", "lvar", "lseed")
 
 
-@query("f7_backward_slice", """SELECT doc_id, line FROM (WITH RECURSIVE uses AS (SELECT doc_id, line, unnest(u) AS v FROM lvar), link AS (SELECT u.doc_id, u.line AS at, max(l.line) AS def FROM uses u JOIN lvar l ON l.doc_id=u.doc_id AND l.d=u.v AND l.line<u.line GROUP BY u.doc_id, u.line, u.v),
- start AS (SELECT s.doc_id, max(l.line) AS line FROM lseed s JOIN uses u ON u.doc_id=s.doc_id AND u.line=s.line JOIN lvar l ON l.doc_id=s.doc_id AND l.d=u.v GROUP BY s.doc_id, u.v),
- sl AS (SELECT doc_id, line FROM start UNION SELECT k.doc_id, k.def FROM sl JOIN link k ON k.doc_id=sl.doc_id AND k.at=sl.line)
- SELECT doc_id, line FROM sl UNION SELECT doc_id, line FROM lseed)""", "lvar", "lseed")
+@query("f7_backward_slice", F7.replace("lrun", "lrun_all"), "lvar", "lseed", "lrun_all")
 def f7(spark, sf):
-    rows = line_vars(spark, sf)
+    rows = frozen(line_vars(spark, sf))
     return G.backward_slice(rows, rows.groupBy("doc_id").agg(F.max("line").alias("line")), ["doc_id"])
 
 
+@query("f7_backward_slice_unexecuted", F7.replace("lrun", "lrun_part"), "lvar", "lseed", "lrun_part")
+def f7u(spark, sf):
+    """Seeds, and every fifth line, were not executed: the slice starts from what the seeds use."""
+    rows = frozen(line_vars(spark, sf))
+    seeds = rows.groupBy("doc_id").agg(F.max("line").alias("line"))
+    ran = rows.filter("line % 5 <> 0").join(seeds, ["doc_id", "line"], "left_anti")
+    return G.backward_slice(ran, seeds, ["doc_id"], rows)
+
+
 LADDER = """SELECT instance_id, line, min(step) AS step FROM (SELECT instance_id, line, 0 AS step FROM cut5 UNION ALL SELECT v.instance_id, v.line, 1 FROM vcut10 v SEMI JOIN executed e ON e.instance_id=v.instance_id AND e.line=v.line
  UNION ALL SELECT s.instance_id, s.line, 2 FROM (SELECT * FROM static WHERE score>=40) s SEMI JOIN executed e ON e.instance_id=s.instance_id AND e.line=s.line) GROUP BY ALL"""
 cte("ladder", LADDER, "cut5", "vcut10", "static", "executed")
@@ -148,12 +192,9 @@ def d6(spark, sf):
     return J.last_definition(rows, ["l_orderkey"], ["at"])
 
 
-@query("d7_resolve_calls", """SELECT DISTINCT grp, src, p.p_partkey AS dst FROM (SELECT DISTINCT grp, src, b.p_name||'_'||(dst//128) AS callee FROM edges JOIN part b ON b.p_partkey=dst) c JOIN part p ON p.p_brand=c.grp AND p.p_name||'_'||(p.p_partkey//128)=c.callee WHERE src<>p.p_partkey""", "edges")
+@query("d7_resolve_calls", "SELECT * FROM named_calls", "named_calls")
 def d7(spark, sf):
-    funcs = B.table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("func_id"),
-                                              F.concat("p_name", F.lit("_"), F.floor(F.col("p_partkey") / 128).cast("string")).alias("name"))
-    calls = B.part_edges(spark, sf).join(funcs.select("grp", F.col("func_id").alias("dst"), F.col("name").alias("callee")), ["grp", "dst"])
-    return J.resolve_calls(calls.select("grp", F.col("src").alias("caller"), "callee"), funcs, GR)
+    return J.resolve_calls(*named_calls(spark, sf), GR)
 
 
 # ---- coverage joins and spectra -------------------------------------------------------------

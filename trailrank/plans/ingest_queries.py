@@ -27,6 +27,18 @@ def a3(spark, sf):
     return ingest.list_paths(p.withColumn("path", named), ["domain"])
 
 
+@query("a3_remote_tree", """SELECT doc_id, n_chars>5000 AS truncated, 'src/'||doc_id||'.py' AS path FROM documents WHERE lang<>'de' UNION SELECT doc_id, n_chars>5000, 'lib/'||source||'.py' FROM documents WHERE lang<>'de' AND source IS NOT NULL
+ UNION SELECT doc_id, n_chars>5000, NULL FROM documents WHERE lang='de'""")
+def a3r(spark, sf):
+    """A tree listing per document; German ones hold no source files."""
+    blob = '{"path": "%s", "type": "blob"}'
+    d = B.documents(spark, sf)
+    some = F.when(F.col("lang") != "de", F.concat_ws(", ", F.format_string(blob % "src/%d.py", "doc_id"), F.when(F.col("source").isNotNull(), F.format_string(blob % "lib/%s.py", "source")),
+                                                     F.format_string(blob % "src/%d.py", "doc_id"))).otherwise(blob % "setup.cfg")
+    tree = F.concat(F.lit('{"sha": "0", "truncated": '), (F.col("n_chars") > 5000).cast("string"), F.lit(', "tree": [{"path": "pkg.py", "type": "tree"}, '), some, F.lit("]}"))
+    return ingest.list_remote_tree(d.filter("lang is not null").select("doc_id", tree.alias("tree")), ["doc_id"])
+
+
 @query("a5_read_coverage_json", "SELECT event_id, 'src/'||event_type||'.py' AS file, 0 AS file_ord, unnest([k,k+1]) AS line FROM ev UNION ALL SELECT event_id, 'lib/m.py', 2, k FROM ev WHERE k%2=0", "ev")
 def a5(spark, sf):
     t = B.traces(spark, sf)

@@ -17,15 +17,13 @@ KS = "(VALUES (1),(3),(5),(10)) t(k)"
 
 
 def first(spark, sf):
-    return M.first_gold(B.gold_positions(spark, sf), B.vote_gold(spark, sf), IA, L)
-
-
-def expected(spark, sf):
-    return M.instance_arms(B.vote_gold(spark, sf), ARMS)
+    """First gold position of every arm of every instance with gold: every gold item has a vote, so all are there."""
+    best = B.arm_positions(spark, sf).filter("gold = 1").groupBy("instance_id").agg(*[F.min(f"pos_{a}").alias(f"pos_{a}") for a in ARMS])
+    return R.stack_arms(best, I, ARMS).withColumnRenamed("pos", "first")
 
 
 def hits(spark, sf):
-    return M.hit_at_k(first(spark, sf), expected(spark, sf), IA)
+    return M.hit_at_k(first(spark, sf), None, IA)
 
 
 def fused_cut(spark, sf, n):
@@ -51,14 +49,14 @@ def g1(spark, sf):
 
 @query("g2_mrr", "SELECT arm, round(avg(coalesce(1.0::DOUBLE/first,0)),6) AS mrr FROM expected LEFT JOIN arm_first USING (instance_id, arm) GROUP BY ALL", "expected", "arm_first")
 def g2(spark, sf):
-    rr = M.reciprocal_rank(first(spark, sf), expected(spark, sf), IA)
+    rr = M.reciprocal_rank(first(spark, sf), None, IA)
     return rr.groupBy("arm").agg(F.round(F.avg("rr"), 6).alias("mrr"))
 
 
 @query("g3_exam", """SELECT arm, round(avg(coalesce(first::DOUBLE/n,1)),6) AS exam FROM expected LEFT JOIN arm_first USING (instance_id, arm)
  LEFT JOIN (SELECT instance_id, arm, count(*) AS n FROM arms GROUP BY ALL) USING (instance_id, arm) GROUP BY ALL""", "expected", "arm_first", "arms")
 def g3(spark, sf):
-    e = M.exam(B.arm_rankings(spark, sf), first(spark, sf), expected(spark, sf), IA)
+    e = M.exam(B.arm_rankings(spark, sf), first(spark, sf), None, IA)
     return e.groupBy("arm").agg(F.round(F.avg("exam"), 6).alias("exam"))
 
 
@@ -86,6 +84,23 @@ def g5(spark, sf):
     return M.loose_metrics(fused_cut(spark, sf, 5), gold, hunks, spans, I)
 
 
+cte("loose5", """SELECT instance_id, round(hits::DOUBLE/n_gold,6) AS exact, round(hits::DOUBLE/5,6) AS precision, round(near::DOUBLE/n_gold,6) AS loose,
+ round(hh::DOUBLE/nh,6) AS hunk_hit, round(fh::DOUBLE/nf,6) AS func_hit, round(5::DOUBLE/n_gold,6) AS "over" FROM
+ (SELECT instance_id, count(*) AS n_gold, count(*) FILTER (exact) AS hits, count(*) FILTER (near) AS near, count(DISTINCT line//10) AS nh,
+  count(DISTINCT line//10) FILTER (exact) AS hh, count(DISTINCT line//20) AS nf, count(DISTINCT line//20) FILTER (fn) AS fh
+  FROM (SELECT g.*, EXISTS(FROM cut5 c WHERE c.instance_id=g.instance_id AND c.line=g.line) AS exact,
+   EXISTS(FROM cut5 c WHERE c.instance_id=g.instance_id AND abs(c.line-g.line)<=2) AS near,
+   EXISTS(FROM cut5 c WHERE c.instance_id=g.instance_id AND c.line//20=g.line//20) AS fn FROM gold g) GROUP BY ALL)""", "gold", "cut5")
+
+
+@query("g5_loose_summary", """SELECT count(*) AS n, count(*) FILTER (NOT coalesce(ok, false)) AS parse_fail, round(avg(exact),6) AS mean_exact, round(avg(precision),6) AS mean_precision, round(avg(loose),6) AS mean_loose,
+ round(avg(hunk_hit),6) AS mean_hunk_hit, round(avg(func_hit),6) AS mean_func_hit, round(avg("over"),6) AS mean_over FROM loose5 LEFT JOIN (SELECT instance_id, max(sample)>=3 AS ok FROM votes GROUP BY ALL) USING (instance_id)""", "loose5", "votes")
+def g5s(spark, sf):
+    """An instance's answer counts as parsed when a third sample was read."""
+    parsed = B.votes(spark, sf).select("instance_id", (F.col("sample") >= 3).alias("parsed"))
+    return M.loose_summary(g5(spark, sf), parsed, I)
+
+
 FILES = "SELECT instance_id, file, row_number() OVER (PARTITION BY instance_id ORDER BY m DESC, file) AS pos FROM (SELECT instance_id, s_nationkey AS file, max(score) AS m FROM static JOIN supplier ON s_suppkey=line GROUP BY ALL)"
 
 
@@ -109,6 +124,19 @@ def g7(spark, sf):
     return M.ceilings(B.vote_executed(spark, sf), voted, B.vote_passing(spark, sf), B.vote_gold(spark, sf), I, L)
 
 
+@query("g7_recall_given_found", """SELECT instance_id, count(*) AS n_gold, count(f.file) AS gold_in_found, count(p.line) AS hits, round(count(p.line)::DOUBLE/count(*),6) AS recall,
+ round(CASE WHEN count(f.file)>0 THEN count(p.line)::DOUBLE/count(f.file) ELSE 0 END,6)::DOUBLE AS recall_given_found FROM (SELECT instance_id, line%10 AS file, line FROM gold) g
+ LEFT JOIN (SELECT DISTINCT instance_id, line%10 AS file FROM votes WHERE rank<1) f USING (instance_id, file) LEFT JOIN (SELECT DISTINCT instance_id, line FROM votes WHERE rank<3 AND
+  (instance_id, line%10) IN (SELECT instance_id, line%10 FROM votes WHERE rank<1)) p USING (instance_id, line) GROUP BY ALL""", "gold", "votes")
+def g7f(spark, sf):
+    """Files are last digits; a file is found when a first vote lies in it, and only found files' lines are predicted."""
+    in_file = lambda df: df.select("instance_id", (F.col("line") % 10).alias("file"), "line")
+    votes = B.votes(spark, sf).filter("rank < 3")
+    found = in_file(votes.filter("rank < 1")).select("instance_id", "file").distinct()
+    pred = in_file(votes).join(found, ["instance_id", "file"], "left_semi")
+    return M.recall_given_found(pred, in_file(B.vote_gold(spark, sf)), found, ["line"])
+
+
 @query("g8_superset_any", """SELECT instance_id, coalesce(h=n_gold,false)::INT AS superset, coalesce(h>0,false)::INT AS any_hit, coalesce(np,0) AS loc FROM ng LEFT JOIN
  (SELECT d.instance_id, count(*) AS np, count(g.line) AS h FROM (SELECT DISTINCT instance_id, unnest(range(greatest(1,line-1), least(n,line+1)+1)) AS line
   FROM cut10 JOIN (SELECT instance_id, max(line) AS n FROM static GROUP BY ALL) USING (instance_id)) d LEFT JOIN gold g USING (instance_id, line) GROUP BY ALL) USING (instance_id)""",
@@ -274,7 +302,7 @@ def g22(spark, sf):
  (SELECT k, instance_id, line, row_number() OVER (PARTITION BY instance_id, k ORDER BY 1.0::DOUBLE/(k+r0)+1.0::DOUBLE/(k+r1)+1.0::DOUBLE/(k+r2) DESC, first_seen) AS pos
   FROM ranks3, (VALUES (1),(5),(20),(60)) t(k)) JOIN gold USING (instance_id, line) GROUP BY ALL) USING (instance_id, k) GROUP BY k)""", "ng", "ranks3", "gold")
 def g23(spark, sf):
-    g = R.rrf_grid(B.vote_items(spark, sf), I, [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], B.seen(), [1, 5, 20, 60])
+    g = R.rrf_grid(B.vote_items(spark, sf), I, [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], B.seen(), [1, 5, 20, 60], B.vote_slices(spark, sf))
     gold = B.vote_gold(spark, sf)
     grid = gold.select("instance_id").distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 5, 20, 60)])))
     f = M.first_gold(g, gold, ["instance_id", "k"], L)
@@ -308,15 +336,36 @@ def g26(spark, sf):
     return M.recovery_audit(B.vote_gold(spark, sf), fused_cut(spark, sf, 5), vote_cut(spark, sf, 10), near, IL)
 
 
-@query("g27_label_flips", """SELECT doc_id, quality AS old_label, (n_chars>=200)::INT AS new_label FROM labels JOIN documents USING (doc_id) WHERE quality<>(n_chars>=200)::INT""")
+@query("g27_label_flips", """SELECT doc_id, old_label, new_label, CASE WHEN old_label IS NULL THEN 'added' WHEN new_label IS NULL THEN 'dropped' ELSE 'flip' END AS change FROM
+ (SELECT doc_id, max(quality) AS old_label FROM labels GROUP BY ALL) FULL JOIN (SELECT doc_id, (n_chars>=200)::INT AS new_label FROM documents WHERE lang<>'es') USING (doc_id) WHERE old_label IS DISTINCT FROM new_label""")
 def g27(spark, sf):
-    new = B.table(spark, sf, "documents").select("doc_id", (F.col("n_chars") >= 200).cast("int").alias("quality"))
+    """The new labelling leaves the Spanish documents out and covers all others, labelled before or not."""
+    new = B.table(spark, sf, "documents").filter("lang <> 'es'").select("doc_id", (F.col("n_chars") >= 200).cast("int").alias("quality"))
     return M.label_flips(B.table(spark, sf, "labels"), new, "doc_id", "quality")
 
 
+@query("g27_relabel_summary", """SELECT count(*) AS n_total, count(*) FILTER (NOT err) AS n_ok, count(*) FILTER (err) AS n_err, count(*) FILTER (NOT err AND crash) AS crash_confirmed, count(*) FILTER (NOT err AND NOT crash) AS crash_denied,
+ count(*) FILTER (NOT err AND new<>old) AS onpath_flips, count(*) FILTER (NOT err AND subset='good') AS n_good, count(*) FILTER (NOT err AND subset='bad') AS n_bad,
+ count(*) FILTER (NOT err AND subset='good' AND (NOT crash OR new<>old)) AS changed_good, count(*) FILTER (NOT err AND subset='bad' AND (NOT crash OR new<>old)) AS changed_bad FROM
+ (SELECT CASE WHEN quality=1 THEN 'good' ELSE 'bad' END AS subset, n_chars>=100 AS crash, quality=1 AS old, CASE WHEN lang<>'fr' THEN n_chars>=200 END AS new, coalesce(source='src3', false) AS err FROM labels JOIN documents USING (doc_id))""")
+def g27s(spark, sf):
+    j = B.table(spark, sf, "labels").join(B.table(spark, sf, "documents"), "doc_id")
+    rows = j.select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("subset"), (F.col("n_chars") >= 100).alias("crash"), (F.col("quality") == 1).alias("onpath_old"),
+                    F.when(F.col("lang") != "fr", F.col("n_chars") >= 200).alias("onpath_new"), F.when(F.col("source") == "src3", "no run").alias("error"))
+    return M.relabel_summary(rows, ["good", "bad"])
+
+
+@query("g27_rule_disagreements", """SELECT stored, derived, count(*) AS n, stored IS NOT DISTINCT FROM derived AS agrees FROM (SELECT doc_id, CASE WHEN quality=1 THEN 'keep' WHEN toxic=1 THEN 'toxic' ELSE 'short' END AS stored FROM labels) s
+ FULL JOIN (SELECT doc_id, CASE WHEN n_chars>=200 THEN 'keep' ELSE 'short' END AS derived FROM documents WHERE lang<>'es') d USING (doc_id) GROUP BY ALL""")
+def g27r(spark, sf):
+    stored = B.table(spark, sf, "labels").select("doc_id", F.expr("CASE WHEN quality=1 THEN 'keep' WHEN toxic=1 THEN 'toxic' ELSE 'short' END").alias("rule"))
+    derived = B.table(spark, sf, "documents").filter("lang <> 'es'").select("doc_id", F.expr("CASE WHEN n_chars>=200 THEN 'keep' ELSE 'short' END").alias("rule"))
+    return M.rule_disagreements(stored, derived, "doc_id")
+
+
 @query("g28_fixed_dispersion", """SELECT arm, count(first) AS n, round(avg(first),6) AS mean, round(median(first),6) AS median FROM expected LEFT JOIN arm_first USING (instance_id, arm) GROUP BY ALL""", "expected", "arm_first")
 def g28(spark, sf):
-    return M.fixed_summary(expected(spark, sf).join(first(spark, sf), IA, "left"), ["arm"], "first")
+    return M.fixed_summary(first(spark, sf), ["arm"], "first")
 
 
 @query("g29_overall_gold_drop", """SELECT element, count(*) AS n, round(avg(fd),6) AS drop_rate FROM (SELECT 'quality' AS element, (quality=0)::INT AS fd FROM labels UNION ALL

@@ -142,6 +142,15 @@ def b10p(spark, sf):
     return P.parse_paths(first.select("source", text.alias("answer")), valid, ["source"])
 
 
+@query("b10_parse_path_list", """SELECT conv_id, turn, unnest(CASE role WHEN 'user' THEN [0,1] WHEN 'assistant' THEN [0,1] ELSE [] END) AS rank,
+ unnest(CASE role WHEN 'user' THEN ['src/'||length(text)||'.py','a "b".txt'] WHEN 'assistant' THEN ['x/'||turn||'.py','y.py'] ELSE [] END) AS path FROM conversations""")
+def b10l(spark, sf):
+    c = B.table(spark, sf, "conversations")
+    text = (F.when(F.col("role") == "user", F.format_string('Files: ["src/%d.py", %d, null, "a \\"b\\".txt"] and ["no.py"]', F.length("text"), "turn"))
+            .when(F.col("role") == "assistant", F.format_string('I would edit ["x/%d.py" or "y.py", not "z.txt"', "turn")).otherwise('none: [] but not "q.py"'))
+    return P.parse_path_list(c.select("conv_id", "turn", text.alias("answer")), ["conv_id", "turn"])
+
+
 @query("b10_parse_triples", "SELECT conv_id, turn, 'src/'||role||'.py' AS file, 'f'||turn AS func, length(text) AS line, 0 AS ord FROM conversations")
 def b10t(spark, sf):
     c = B.table(spark, sf, "conversations")
@@ -229,6 +238,19 @@ def b15(spark, sf):
     return P.edit_blocks(d.filter(F.size(parts) >= 3).select("doc_id", answer.alias("answer")), d, D)
 
 
+@query("b15_edit_blocks_files", """SELECT inst, file, block, s AS start, s+1 AS "end" FROM (SELECT inst, file, block, 1+length(pre)-length(replace(pre,chr(10),'')) AS s FROM (SELECT *, text[1:instr(text, q)-1] AS pre FROM
+ (SELECT doc_id//2 AS inst, 'docs/'||doc_id||'.py' AS file, text, row_number() OVER (PARTITION BY doc_id//2 ORDER BY doc_id)-1 AS block, string_split(text,chr(10))[2]||chr(10)||string_split(text,chr(10))[3] AS q FROM documents
+  WHERE len(string_split(text,chr(10)))>=3) WHERE length(replace(replace(q,chr(10),''),' ',''))>0))""")
+def b15f(spark, sf):
+    """Two files to an instance, and an answer with a block for each that has three lines, and one for a file that is not there."""
+    d = B.documents(spark, sf).select(F.floor(F.col("doc_id") / 2).alias("inst"), "doc_id", F.format_string("docs/%d.py", "doc_id").alias("file"), "text")
+    parts = F.split("text", "\n")
+    block = F.concat(F.lit("<<<<<<< SEARCH file="), F.col("file"), F.lit("\n2: "), parts[1], F.lit("\n3: "), parts[2], F.lit("\n=======\nnew\n>>>>>>> REPLACE\n"))
+    two = d.filter(F.size(parts) >= 3).groupBy("inst").agg(F.array_sort(F.collect_list(F.struct("doc_id", block.alias("b")))).alias("bs"))
+    answer = F.concat(F.array_join(F.transform("bs", lambda x: x["b"]), ""), F.lit("<<<<<<< SEARCH file=gone.py\n"), F.element_at(F.split(F.col("bs")[0]["b"], "\n"), 2), F.lit("\n=======\nx\n>>>>>>> REPLACE"))
+    return P.edit_blocks(two.select("inst", answer.alias("answer")), d, ["inst"], file="file")
+
+
 @query("b16_called_files", """SELECT DISTINCT instance_id, file FROM (SELECT l_partkey AS instance_id, l_returnflag AS file, l_suppkey AS line FROM lineitem) WHERE line%10 BETWEEN 3 AND 7""")
 def b16(spark, sf):
     executed = B.vote_source(spark, sf).select("instance_id", F.col("l_returnflag").alias("file"), "line").distinct()

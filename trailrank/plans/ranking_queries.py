@@ -33,13 +33,13 @@ def e9(spark, sf):
 @query("e9_rrf_grid", """SELECT k, instance_id, line, row_number() OVER (PARTITION BY instance_id, k ORDER BY
  1.0::DOUBLE/(k+r0)+1.0::DOUBLE/(k+r1)+1.0::DOUBLE/(k+r2) DESC, first_seen) AS pos FROM ranks3, (VALUES (1),(5),(20),(60)) t(k)""", "ranks3")
 def e9_grid(spark, sf):
-    g = R.rrf_grid(B.vote_items(spark, sf), I, [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], B.seen(), [1, 5, 20, 60])
+    g = R.rrf_grid(B.vote_items(spark, sf), I, [[F.desc("mass")], [F.desc("score")], [F.desc("counts")]], B.seen(), [1, 5, 20, 60], B.vote_slices(spark, sf))
     return g.select("k", "instance_id", "line", "pos")
 
 
 @query("e10_rank_consensus", "SELECT instance_id, line, pos FROM arms WHERE arm='consensus'", "arms")
 def e10(spark, sf):
-    return R.rank_consensus(B.vote_items(spark, sf), I, "line").select("instance_id", "line", "pos")
+    return R.rank_consensus(B.vote_items(spark, sf), I, "line", sliced=B.vote_slices(spark, sf)).select("instance_id", "line", "pos")
 
 
 TIERED = f"""t AS (SELECT i.*, CASE WHEN f.line IS NOT NULL THEN 3 WHEN e.line IS NOT NULL THEN 2 ELSE 1 END AS tier FROM items i
@@ -59,7 +59,7 @@ def e11(spark, sf):
         F.max((F.col("l_linestatus") == "F").cast("int")).alias("executed"),
         F.max(((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R")).cast("int")).alias("on_frame"))
     items = B.vote_items(spark, sf).join(marks, ["instance_id", "line"])
-    return R.rank_coverage_tier(items, I, "line").select("instance_id", "line", "tier", "pos")
+    return R.rank_coverage_tier(items, I, "line", sliced=B.vote_slices(spark, sf)).select("instance_id", "line", "tier", "pos")
 
 
 @query("e12_hash_tiebreak", f"SELECT s_suppkey AS line, {HASH.replace('line', 's_suppkey')} AS h FROM supplier")
@@ -95,14 +95,14 @@ def per_file(spark, sf):
 
 @query("e17_interleave", f"SELECT instance_id, file, line, row_number() OVER (PARTITION BY instance_id ORDER BY pos, file) AS pos FROM ({FILE_POS})", "static")
 def e17(spark, sf):
-    return R.interleave(per_file(spark, sf), I, "file").select("instance_id", "file", "line", "pos")
+    return R.interleave(per_file(spark, sf), I, "file", sliced=B.vote_slices(spark, sf)).select("instance_id", "file", "line", "pos")
 
 
 @query("e17_interleave_distinct", """SELECT instance_id, line, row_number() OVER (PARTITION BY instance_id ORDER BY rank, sample) AS pos FROM
  (SELECT *, row_number() OVER (PARTITION BY instance_id, line ORDER BY rank, sample) AS d FROM votes) WHERE d=1""", "votes")
 def e17d(spark, sf):
     lists = B.votes(spark, sf).withColumnRenamed("rank", "pos")
-    return R.interleave_distinct(lists, I, L, "sample")
+    return R.interleave_distinct(lists, I, L, "sample", B.vote_slices(spark, sf))
 
 
 cte("adj", """SELECT instance_id, line, max(CASE WHEN d=0 THEN 2 ELSE 1 END) AS tier FROM

@@ -7,7 +7,7 @@ from trailrank.operators import metrics as M
 from trailrank.operators import stats as T
 from trailrank.plans import bindings as B
 from trailrank.plans.bindings import mix_sql
-from trailrank.plans.metric_queries import I, L, expected, first, hits
+from trailrank.plans.metric_queries import I, L, first, hits
 from trailrank.plans.registry import cte, query
 
 REPLICATES = 500
@@ -17,15 +17,35 @@ cte("pairs", """SELECT instance_id, k, max(hit) FILTER (arm='fused') AS a, max(h
 cte("rr10", "SELECT instance_id, 'fused' AS arm, coalesce(1.0::DOUBLE/first,0) AS rr FROM ng LEFT JOIN (SELECT * FROM arm_first WHERE arm='fused') USING (instance_id)", "ng", "arm_first")
 
 
-def boot_sql(src: str, by: str, value: str) -> str:
-    """Reference SQL of the multinomial bootstrap over ``src(by, instance_id, value)``."""
-    return f"""SELECT {by}, n, mean, lo, hi, p_gt0 FROM
- (SELECT {by}, count(*) AS n, round(avg({value}),6) AS mean FROM {src} GROUP BY ALL) JOIN
+def drawn_sql(low: str, high: str, term: str, u: str) -> str:
+    """Inverse transform: the least k from ``low`` to ``high`` whose running sum of ``term(k)`` passes ``u``."""
+    terms = f"list_transform(range({low}, {high}+1), lambda k: {{'t': {term}, 's': 0.0::DOUBLE, 'c': 0::BIGINT}})"
+    add = f"lambda a, x: {{'t': x.t, 's': a.s+x.t, 'c': a.c+(a.s+x.t<={u})::BIGINT}}"
+    return f"({low}+list_reduce(list_prepend({{'t': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'c': 0::BIGINT}}, {terms}), {add}).c)"
+
+
+def binomial_sql(n: str, p: str, u: str) -> str:
+    spread = f"(sqrt({n}*{p}*(1-{p}))*12+12)"
+    low, high = f"greatest(0, floor({n}*{p}-{spread}))::BIGINT", f"least({n}, ceil({n}*{p}+{spread}))::BIGINT"
+    term = f"exp(lgamma({n}+1)-lgamma(k+1)-lgamma({n}-k+1)+k*ln({p})+({n}-k)*ln(1-{p}))"
+    return f"CASE WHEN {n}=0 THEN 0 WHEN {p}>=1 THEN {n} ELSE least({n}, {drawn_sql(low, high, term, u)}) END"
+
+
+def interval_sql(src: str, by: str, value: str, means: str) -> str:
+    """Mean and percentile interval of ``src(by, value)`` from the resampled ``means(by, b, m)``."""
+    return f"""SELECT {by}, n, mean, lo, hi, p_gt0 FROM (SELECT {by}, count(*) AS n, round(avg({value}),6) AS mean FROM {src} GROUP BY ALL) JOIN
  (SELECT {by}, round(max(m) FILTER (i={LO}),6) AS lo, round(max(m) FILTER (i={HI}),6) AS hi, round(avg((m>0)::INT),6) AS p_gt0 FROM
-  (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY m)-1 AS i FROM
-   (SELECT s.{by} AS {by}, b, avg(v.{value}) AS m FROM (SELECT {by}, slot, n, b FROM (SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY instance_id)-1 AS slot,
-      count(*) OVER (PARTITION BY {by}) AS n FROM {src}), reps) s JOIN
-     (SELECT {by}, {value}, row_number() OVER (PARTITION BY {by} ORDER BY instance_id)-1 AS idx FROM {src}) v ON v.{by}=s.{by} AND v.idx = {mix_sql('s.slot', 's.b')} % s.n GROUP BY ALL)) GROUP BY ALL) USING ({by})"""
+  (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY m)-1 AS i FROM ({means})) GROUP BY ALL) USING ({by})"""
+
+
+def boot_sql(src: str, by: str, value: str) -> str:
+    """Reference SQL of the multinomial bootstrap over ``src(by, instance_id, value)``: counts dealt to the distinct values in ascending order."""
+    vals = f"SELECT {by}, {value}::DOUBLE AS v, count(*) AS w, row_number() OVER (PARTITION BY {by} ORDER BY {value})-1 AS i FROM {src} GROUP BY {by}, {value}"
+    draw = binomial_sql("left_n", "(w::DOUBLE/left_w)", f"(({mix_sql('i', 'b')}+0.5)/4294967296.0::DOUBLE)")
+    means = f"""WITH RECURSIVE vals AS ({vals}), walk AS (SELECT {by}, b, 0::BIGINT AS i, n, n AS left_n, n AS left_w, 0.0::DOUBLE AS s FROM (SELECT {by}, sum(w)::BIGINT AS n FROM vals GROUP BY {by}), reps
+  UNION ALL SELECT {by}, b, i+1, n, left_n-c, left_w-w, s+c*v FROM (SELECT *, ({draw})::BIGINT AS c FROM walk JOIN vals USING ({by}, i)))
+  SELECT {by}, b, s/n AS m FROM walk WHERE left_w=0"""
+    return interval_sql(src, by, value, means)
 
 
 def pairs(spark, sf):
@@ -39,18 +59,17 @@ def d10(spark, sf):
 
 @query("j1_bootstrap_ci", boot_sql("rr10", "arm", "rr"), "rr10", "reps")
 def j1(spark, sf):
-    rr = M.reciprocal_rank(first(spark, sf), expected(spark, sf), ["instance_id", "arm"]).filter("arm = 'fused'")
+    rr = M.reciprocal_rank(first(spark, sf), None, ["instance_id", "arm"]).filter("arm = 'fused'")
     return T.bootstrap_ci(rr, ["arm"], "instance_id", "rr", REPLICATES)
 
 
-POISSON = "+".join(f"(u>={s})::INT" for s in T.POISSON_STEPS)
+POISSON = drawn_sql("greatest(0, floor(w-sqrt(w)*12-12))::BIGINT", "ceil(w+sqrt(w)*12+12)::BIGINT", "exp(k*ln(w)-w-lgamma(k+1))", f"(({mix_sql('i', 'b')}+0.5)/4294967296.0::DOUBLE)")
 
 
-@query("j1_bootstrap_ci_poisson", f"""SELECT arm, n, mean, lo, hi, p_gt0 FROM (SELECT arm, count(*) AS n, round(avg(rr),6) AS mean FROM rr10 GROUP BY ALL) JOIN
- (SELECT arm, round(max(m) FILTER (i={LO}),6) AS lo, round(max(m) FILTER (i={HI}),6) AS hi, round(avg((m>0)::INT),6) AS p_gt0 FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY m)-1 AS i FROM
- (SELECT arm, b, sum(w*rr)/sum(w) AS m FROM (SELECT arm, b, rr, {POISSON} AS w FROM (SELECT *, {mix_sql('instance_id', 'b')}/4294967296.0::DOUBLE AS u FROM rr10, reps)) GROUP BY ALL)) GROUP BY ALL) USING (arm)""", "rr10", "reps")
+@query("j1_bootstrap_ci_poisson", interval_sql("rr10", "arm", "rr", f"""SELECT arm, b, sum(c*rr)/sum(c) AS m FROM (SELECT arm, b, rr, {POISSON} AS c FROM
+  (SELECT arm, rr, count(*)::DOUBLE AS w, row_number() OVER (PARTITION BY arm ORDER BY rr)-1 AS i FROM rr10 GROUP BY arm, rr), reps) GROUP BY ALL"""), "rr10", "reps")
 def j1p(spark, sf):
-    rr = M.reciprocal_rank(first(spark, sf), expected(spark, sf), ["instance_id", "arm"]).filter("arm = 'fused'")
+    rr = M.reciprocal_rank(first(spark, sf), None, ["instance_id", "arm"]).filter("arm = 'fused'")
     return T.bootstrap_ci(rr, ["arm"], "instance_id", "rr", REPLICATES, "poisson")
 
 
@@ -94,17 +113,21 @@ def j5(spark, sf):
     return T.holm_adjust(tests, ["family"], "k").select("k", "p", "p_adj")
 
 
-SEEDS = 20
-cte("seeds", f"SELECT range AS seed FROM range({SEEDS})")
-cte("tieprob", f"""SELECT instance_id, n_top, coalesce(ok,0)/{SEEDS}.0::DOUBLE AS prob FROM (SELECT * FROM ng, (VALUES (5),(10)) t(n_top)) LEFT JOIN
- (SELECT instance_id, n_top, count(*) AS ok FROM (SELECT instance_id, seed, n_top, count(*) AS c FROM
-  (SELECT instance_id, line, seed, row_number() OVER (PARTITION BY instance_id, seed ORDER BY counts DESC, {mix_sql('line', 'seed')}, line) AS pos FROM mass, seeds)
-  JOIN gold USING (instance_id, line) JOIN (VALUES (5),(10)) t(n_top) ON pos<=n_top GROUP BY ALL) JOIN ng USING (instance_id) WHERE c=n_gold GROUP BY ALL) USING (instance_id, n_top)""",
-    "ng", "seeds", "mass", "gold")
+def tie_sql(primary: str) -> str:
+    """Probability that all gold lies in the top N under random ties of ``primary``."""
+    return f"""SELECT instance_id, n_top, round(min(CASE WHEN s IS NULL THEN 0 WHEN n_top-above>=s THEN 1 WHEN n_top-above<m THEN 0
+  ELSE exp(lgamma(n_top-above+1)-lgamma(n_top-above-m+1)-lgamma(s+1)+lgamma(s-m+1)) END),6)::DOUBLE AS prob FROM (SELECT g.instance_id, t.p, count(*) AS m FROM gold g LEFT JOIN
+  (SELECT instance_id, line, {primary} AS p FROM mass) t USING (instance_id, line) GROUP BY ALL) h LEFT JOIN
+  (SELECT *, coalesce(sum(s) OVER (PARTITION BY instance_id ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM (SELECT instance_id, {primary} AS p, count(*) AS s FROM mass GROUP BY ALL)) b USING (instance_id, p),
+  (VALUES (5),(10)) t(n_top) GROUP BY ALL"""
+
+
+cte("tieprob", tie_sql("counts"), "mass", "gold")
+cte("orderprob", tie_sql("0"), "mass", "gold")
 
 
 def tie_prob(spark, sf):
-    return T.random_tie_control(B.vote_items(spark, sf), B.vote_gold(spark, sf), I, "line", "counts", [5, 10], SEEDS)
+    return T.random_tie_control(B.vote_items(spark, sf), B.vote_gold(spark, sf), I, "line", "counts", [5, 10])
 
 
 @query("j6_random_tiebreak_control", "SELECT * FROM tieprob", "tieprob")
@@ -112,13 +135,9 @@ def j6(spark, sf):
     return tie_prob(spark, sf)
 
 
-@query("j6_random_order_control", f"""SELECT n_top, count(*) AS n, round(avg(p),6) AS prob FROM (SELECT instance_id, n_top, coalesce(ok,0)/{SEEDS}.0::DOUBLE AS p FROM (SELECT * FROM ng, (VALUES (5),(10)) t(n_top)) LEFT JOIN
- (SELECT instance_id, n_top, count(*) AS ok FROM (SELECT instance_id, seed, n_top, count(*) AS c FROM
-  (SELECT instance_id, line, seed, row_number() OVER (PARTITION BY instance_id, seed ORDER BY {mix_sql('line', 'seed')}, line) AS pos FROM mass, seeds)
-  JOIN gold USING (instance_id, line) JOIN (VALUES (5),(10)) t(n_top) ON pos<=n_top GROUP BY ALL) JOIN ng USING (instance_id) WHERE c=n_gold GROUP BY ALL) USING (instance_id, n_top)) GROUP BY ALL""",
-       "ng", "seeds", "mass", "gold")
+@query("j6_random_order_control", "SELECT n_top, count(*) AS n, round(avg(prob),6) AS prob FROM orderprob GROUP BY ALL", "orderprob")
 def j6r(spark, sf):
-    p = T.random_tie_control(B.vote_items(spark, sf), B.vote_gold(spark, sf), I, "line", None, [5, 10], SEEDS)
+    p = T.random_tie_control(B.vote_items(spark, sf), B.vote_gold(spark, sf), I, "line", None, [5, 10])
     return p.groupBy("n_top").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prob"), 6).alias("prob"))
 
 

@@ -43,8 +43,17 @@ def list_paths(files: DataFrame, keys: list[str], path: str = "path", suffix: st
     return files.filter(F.col(path).endswith(suffix)).select(*keys, F.col(path).alias("path")).distinct()
 
 
-def list_remote_tree(tree: DataFrame, keys: list[str]) -> DataFrame:
-    return tree.select(*keys, "truncated", F.explode("paths").alias("path")).filter(F.col("path").endswith(".py")).distinct()
+#: The part of a tree listing that is read.
+TREE = "truncated boolean, tree array<struct<path: string, type: string>>"
+
+
+def list_remote_tree(raw: DataFrame, keys: list[str], text: str = "tree", suffix: str = ".py") -> DataFrame:
+    """Source paths of a tree listing (JSON text) and whether the listing was cut short: (keys, truncated, path). A listing without
+    source files, or that cannot be read, gives one row with a null path, so a cut that hides all of them is seen."""
+    t = F.from_json(F.col(text), TREE)
+    files = F.array_distinct(F.transform(F.filter(t["tree"], lambda x: (x["type"] == "blob") & x["path"].endswith(suffix)), lambda x: x["path"]))
+    rows = raw.select(*keys, F.coalesce(t["truncated"], F.lit(False)).alias("truncated"), F.explode_outer(files).alias("path"))
+    return rows.distinct()
 
 
 def corpus_grep(lines: DataFrame, pattern: str, file_keys: list[str], per_file: int | None = None, limit: int | None = None, width: int = 300) -> DataFrame:
