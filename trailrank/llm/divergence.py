@@ -1,8 +1,8 @@
 """How far the sources of a language are apart in their words, from an index built in memory block by block.
 
 Each task reads its documents once and counts terms in a block of postings, (language, source, term) with its occurrences and
-(language, term) with its documents. A block that has grown to ``block`` entries is spilled as a run, sorted by term, and a new one
-begun. Runs go to shards by the hash of language and term, where Spark's external sort merges them through a heap of its sorted
+documents; a document has one source, so a language's documents of a term are the sum over its sources. A block that has grown to ``block`` entries is spilled
+as a run, sorted by term, and a new one begun. Runs go to shards by the hash of language and term, where Spark's external sort merges them through a heap of its sorted
 spills, and equal entries are added up into frequencies. A term that too few documents of its language hold ends there.
 
 The distance of two sources is a sum over all kept terms, most of which neither has. So it is taken as if no source had any term, and
@@ -33,7 +33,7 @@ from .common import drop, store, with_columns
 
 DOCUMENTS, TERMS = 30, 50
 SCALE, ADD = 1_000_000_000, 5
-BLOCK, SLICE, PAIRS = 400_000, 1 << 22, 1 << 20
+BLOCK, SLICE, PAIRS = 500_000, 1 << 22, 1 << 20
 SMALL = 50_000  # sources (of all languages) whose totals are sent to every task; more are joined by shuffle
 
 #: ASCII letters in lower case and all bytes of other characters stay, the rest of ASCII parts terms.
@@ -61,38 +61,39 @@ def _slices(raw: bytes) -> Iterator[bytes]:
 
 
 def runs(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Spilled runs: occurrences of (lang, source, term), and, where source is null, documents of (lang, term).
-    ``docs`` has ``lang``, ``source``, ``text`` without nulls."""
+    """Spilled runs: occurrences and documents of (lang, source, term). ``docs`` has ``lang``, ``source``, ``text`` without nulls."""
     schema = T.StructType.fromDDL(_RUNS)
-
-    def spilled(found: dict, held: dict) -> Iterator[pa.RecordBatch]:
-        rows = sorted([(lang, term, source, n, 0) for (lang, source), counts in found.items() for term, n in counts.items()]
-                      + [(lang, term, "", 0, n) for lang, counts in held.items() for term, n in counts.items()])
-        for at in range(0, len(rows), 65_536):
-            lang, term, source, n, of = zip(*rows[at:at + 65_536])
-            own = np.array(n, np.int64) > 0
-            yield with_columns(None, schema, {"lang": pa.array(lang, pa.string()), "term": pa.array(term, pa.binary()).cast(pa.string()), "n": np.array(n, np.int64),
-                                              "source": pa.array(source, pa.string(), mask=~own), "docs": np.array(of, np.int64)})
+    of_term = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+
+    def spilled(found: dict) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for (lang, source), (counts, held) in found.items():
+            size = len(counts)
+            term = pa.array(counts.keys(), pa.binary(), size=size).cast(pa.string())
+            docs_of = np.fromiter(map(held.__getitem__, counts), np.int64, size)
+            same = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(size, np.int32)), pa.array([x], pa.string())).cast(pa.string()) for x in (lang, source)]
+            parts.append(pa.Table.from_arrays([*same, term, pa.array(np.fromiter(counts.values(), np.int64, size)), pa.array(docs_of)], schema=of_term))
+        run = pa.concat_tables(parts, promote_options="none") if parts else of_term.empty_table()
+        yield from run.sort_by([("lang", "ascending"), ("term", "ascending"), ("source", "ascending")]).combine_chunks().to_batches(65_536)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held, size = {}, {}, 0
+        found, size = {}, 0
         for batch in batches:
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
                 raw = text.as_buffer()
-                counts = found.setdefault((lang, source), Counter())
-                of = held.setdefault(lang, Counter())
-                before = len(counts) + len(of)
+                counts, held = found.setdefault((lang, source), (Counter(), Counter()))
+                before = len(counts)
                 seen = set()
                 for part in _slices(raw.to_pybytes()) if raw.size else ():
                     said = terms(part)
                     counts.update(said)
                     seen.update(said)
-                of.update(seen)
-                size += len(counts) + len(of) - before
+                held.update(seen)
+                size += len(counts) - before
                 if size >= block:
-                    yield from spilled(found, held)
-                    found, held, size = {}, {}, 0
-        yield from spilled(found, held)
+                    yield from spilled(found)
+                    found, size = {}, 0
+        yield from spilled(found)
     return docs.select("lang", "source", "text").mapInArrow(work, schema)
 
 
@@ -103,7 +104,7 @@ def frequencies(docs: DataFrame, documents: int = DOCUMENTS, block: int = BLOCK)
     merged = sorted_runs.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")
     return (merged.withColumn("lang_n", F.sum("n").over(term)).withColumn("lang_docs", F.sum("docs").over(term))
-            .filter((F.col("lang_docs") >= documents) & F.col("source").isNotNull()).select("lang", "term", "source", "n", "lang_n"))
+            .filter(F.col("lang_docs") >= documents).select("lang", "term", "source", "n", "lang_n"))
 
 
 def _share(n: Column, total: Column, kept: Column) -> Column:
