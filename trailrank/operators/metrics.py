@@ -114,10 +114,16 @@ def sweep_curve(ranking: DataFrame, gold: DataFrame, item: list[str], grid: list
         F.round(100 * F.avg(flag(F.col("hits") > 0)), 6).alias("any_hit"), F.round(F.avg("n_pred"), 6).alias("loc"))
 
 
+def _beside(curve: DataFrame, baseline: DataFrame) -> DataFrame:
+    """The curve with the baseline's size and superset; several rows of the baseline count as their mean, so what is sent to the tasks is one row."""
+    one = baseline.agg(F.avg("loc").alias("base_loc"), F.avg("superset").alias("base_superset"))
+    return curve.join(F.broadcast(one))
+
+
 def matched_operating_point(curve: DataFrame, baseline: DataFrame) -> DataFrame:
     """Grid point whose size is nearest the baseline's (one row each; ties go to the smaller cut).
     The curve has one row per grid value."""
-    near = curve.join(F.broadcast(baseline.select(F.col("loc").alias("base_loc"), F.col("superset").alias("base_superset"))))
+    near = _beside(curve, baseline)
     best = F.min_by(F.struct("n_top", "superset", "any_hit", "loc", "base_loc", "base_superset"),
                     F.struct(F.abs(F.col("loc") - F.col("base_loc")), F.col("n_top")))
     return near.agg(best.alias("b")).select("b.*")
@@ -126,7 +132,7 @@ def matched_operating_point(curve: DataFrame, baseline: DataFrame) -> DataFrame:
 def pareto_best(curve: DataFrame, baseline: DataFrame) -> DataFrame:
     """Points at least as good as the baseline on both axes and better on one; the best by superset
     gain plus ten times the relative size saving."""
-    near = curve.join(F.broadcast(baseline.select(F.col("loc").alias("base_loc"), F.col("superset").alias("base_superset"))))
+    near = _beside(curve, baseline)
     gain = F.col("superset") - F.col("base_superset")
     saving = F.col("base_loc") - F.col("loc")
     good = near.filter((gain >= 0) & (saving >= 0) & ((gain > 0) | (saving > 0)))
@@ -392,6 +398,15 @@ def recovery_audit(gold: DataFrame, base: DataFrame, added: DataFrame, reachable
                    F.count_if(recoverable & flipped).alias("recoverable_flipped"))
 
 
+def pool_health(expected: DataFrame, pools: DataFrame, by: list[str], most: float = 0.1, instance: str = "instance_id") -> DataFrame:
+    """Per run: instances that should have a pool of votes, how many pools are empty or missing, and whether that is few enough to go on.
+    ``expected``: (by, instance); ``pools``: (by, instance, ...), any number of rows for a pool that is not empty."""
+    cols = [*by, instance]
+    held = pools.select(*cols).distinct().withColumn("_h", F.lit(1))
+    per = expected.select(*cols).distinct().join(held, cols, "left").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_h").isNull()).alias("empty"))
+    return per.withColumn("share", F.round(F.col("empty") / F.col("n"), 6)).withColumn("healthy", F.col("empty") <= most * F.col("n"))
+
+
 def label_flips(old: DataFrame, new: DataFrame, key: str, label: str) -> DataFrame:
     """Items whose re-derived label is not the stored one, and how: ``flip`` between two labels, ``added`` or ``dropped`` where only one labelling
     holds the item (or gives it a label)."""

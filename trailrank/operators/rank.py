@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailrank.functions.columns import cosine, hash_order, hash_seeded, tokens
@@ -81,11 +82,11 @@ def rank_functions(functions: DataFrame, line_scores: DataFrame, covered: DataFr
     total = (F.col("s") + F.when(F.col("_cov") == 1, 1.5).otherwise(0.0)
              + F.when(F.col("_named") == 1, 2.0).otherwise(0.0))
     scored = summed.select(*keys, "name", "start", "end", F.round(total, 6).alias("score"))
-    best = first_k(scored.filter("score > 0"), keys, [F.desc("score"), F.asc("start"), F.asc("end")], top)
-    rest = functions.join(best.select(*keys).distinct(), keys, "left_anti")
-    rest = first_k(rest.select(*keys, "name", "start", "end", F.lit(0.0).alias("score")), keys,
-                   [F.asc("start"), F.desc("end")], top)
-    return best.unionByName(rest)
+    # one ranking for both: functions with a score first, the others in the order of the file behind them
+    good = F.col("score") > 0
+    order = [F.desc(good), F.when(good, F.col("score")).desc(), F.asc("start"), F.when(good, F.col("end")).asc(), F.when(~good, F.col("end")).desc()]
+    cut = first_k(scored, keys, order, top).withColumn("_any", F.max(good).over(W.partitionBy(*keys)))
+    return cut.filter(good | ~F.col("_any")).withColumn("score", F.greatest(F.col("score"), F.lit(0.0))).drop("_any")
 
 
 def entity_tokens(files: DataFrame, names: str = "names") -> DataFrame:
@@ -101,8 +102,9 @@ def rank_files(entities: DataFrame, issues: DataFrame, keys: list[str], file: st
     issue shares leave the row."""
     shared = F.array_intersect("tokens", "issue_tokens")
     boost = F.when(F.arrays_overlap("names", "issue_names"), 2.0).otherwise(0.0)
-    rows = entities.join(issues, keys).select(*keys, file, boost.alias("_boost"), F.explode_outer(shared).alias("token"))
-    n_files = entities.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = frozen(entities.join(issues, keys).select(*keys, file, boost.alias("_boost"), shared.alias("_shared")))  # read three times
+    rows = pairs.select(*keys, file, "_boost", F.explode_outer("_shared").alias("token"))
+    n_files = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     df = rows.filter("token is not null").groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("_df")).join(n_files, keys)
     idf = df.select(*keys, "token", F.log1p(F.col("_n") / F.col("_df")).alias("_idf"))
     scored = (rows.join(idf, [*keys, "token"], "left").groupBy(*keys, file)

@@ -203,6 +203,22 @@ def g13z(spark, sf):
     return marked.agg(F.round(F.avg(M.flag(F.col("_e").isNull())), 6).alias("zero_share"), F.count(F.lit(1)).alias("n"))
 
 
+@query("g13_differing_sets", "SELECT instance_id, count(*) AS differing FROM (SELECT instance_id, line, count(DISTINCT arm) AS n FROM arms WHERE pos<=5 GROUP BY ALL) WHERE n<4 GROUP BY ALL", "arms")
+def g13d(spark, sf):
+    """Arms cut at five hold different sets."""
+    return M.invariant_equal_sets(B.arm_rankings(spark, sf).filter("pos <= 5"), ARMS, L)
+
+
+@query("i4_pool_health", """SELECT sample, count(*) AS n, count(*) FILTER (v.instance_id IS NULL) AS empty, round((count(*) FILTER (v.instance_id IS NULL))::DOUBLE/count(*),6) AS share,
+ count(*) FILTER (v.instance_id IS NULL)<=0.1*count(*) AS healthy FROM (SELECT DISTINCT l_partkey AS instance_id, s.sample FROM lineitem, (SELECT DISTINCT l_linenumber AS sample FROM lineitem) s) e
+ LEFT JOIN (SELECT DISTINCT instance_id, sample FROM votes) v USING (instance_id, sample) GROUP BY ALL""", "votes")
+def g_health(spark, sf):
+    """Every voted instance should have a pool in each of the seven samples."""
+    votes = B.votes(spark, sf)
+    expected = B.vote_source(spark, sf).select("instance_id").distinct().withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    return M.pool_health(expected, votes, ["sample"])
+
+
 @query("g14_coverage_stratum", """SELECT stratum, count(*) AS n, round(100*avg(h::DOUBLE/n_gold),6) AS gold_exec_rate, round(100*avg((h>0)::INT),6) AS any_gold_rate, median(ne) AS exec_median FROM
  (SELECT p_type AS stratum, n_gold, ne, coalesce(h,0) AS h FROM ng JOIN (SELECT instance_id, count(*) AS ne FROM executed GROUP BY ALL) USING (instance_id)
  LEFT JOIN (SELECT instance_id, count(*) AS h FROM gold SEMI JOIN executed USING (instance_id, line) GROUP BY ALL) USING (instance_id) JOIN part ON p_partkey=instance_id) GROUP BY ALL""",

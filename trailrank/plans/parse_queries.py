@@ -111,10 +111,11 @@ def b9(spark, sf):
     return P.parse_ranked_answer(answers(spark, sf), ["conv_id", "turn"])
 
 
-@query("b9_parse_free_text", r"""SELECT conv_id, turn, unnest(range(0,len(l))) AS rank, unnest(l) AS line FROM (SELECT conv_id, turn, list_transform(list_filter(list_distinct_ordered, lambda x: x IS NOT NULL), lambda x: x) AS l FROM
- (SELECT conv_id, turn, list_reduce(list_transform(regexp_extract_all(text, '\d+'), lambda x: [TRY_CAST(x AS BIGINT)]), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END, []::BIGINT[]) AS list_distinct_ordered FROM conversations))""")
+@query("b9_parse_free_text", r"""SELECT doc_id, unnest(range(0,len(l))) AS rank, unnest(l) AS line FROM (SELECT doc_id, list_reduce(list_prepend([]::BIGINT[], list_transform(list_filter(list_transform(
+ regexp_extract_all(text, '[0-9]+'), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x IS NOT NULL), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS l FROM documents)""")
 def b9f(spark, sf):
-    return P.parse_ranked_answer(B.table(spark, sf, "conversations"), ["conv_id", "turn"], "text")
+    """Whole documents as answers without a list: every number of the text counts."""
+    return P.parse_ranked_answer(B.documents(spark, sf), ["doc_id"], "text")
 
 
 @query("b10_parse_ranges", """SELECT DISTINCT conv_id, turn, true AS parsed, unnest(range(least(a,b), greatest(a,b)+1)) AS line FROM (SELECT conv_id, turn, turn+9 AS a, turn+7 AS b FROM conversations UNION ALL SELECT conv_id, turn, length(text), length(text)+turn FROM conversations)""")

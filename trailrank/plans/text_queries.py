@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailrank.functions.columns import is_code, tokens
+from trailrank.functions.columns import IDENTIFIER, is_code, tokens
+from trailrank.functions.ordered import frozen
 from trailrank.operators import classify as K
 from trailrank.operators import graph as G
 from trailrank.operators import joins as J
@@ -85,7 +86,7 @@ cte("fscore", FN[len("fscore AS ("):-1], "issue_docs", "spans", "score1", "sig")
   WHERE NOT EXISTS(FROM fscore g WHERE g.item_id=f.item_id AND g.doc_id=f.doc_id AND g.score>0)) WHERE pos<=6""", "fscore")
 def e6(spark, sf):
     pairs = B.issue_docs(spark, sf)
-    sig = B.signals(spark, sf, pairs)
+    sig = frozen(B.signals(spark, sf, pairs).select(*ID, "line", "rel", "prox", "hops", "covered"))
     funcs = B.spans(spark, sf).join(pairs.select(*ID), "doc_id")
     named = pairs.select(*ID, F.concat(F.lit("f"), F.floor((F.col("start") - 1) / 10).cast("string")).alias("name"))
     return R.rank_functions(funcs, R.line_score(sig), sig.filter("covered = 1"), named, ID)
@@ -160,6 +161,22 @@ def e21(spark, sf):
     return G.build_region(lines, B.doc_sizes(spark, sf), first, module, None, module, D, small_file=20, module_lines=12, budget=30)
 
 
+cte("region_raw", f"""SELECT doc_id, line_no AS line FROM lines JOIN sizes USING (doc_id) WHERE n_lines<=20 AND {CODE_SQL} UNION SELECT doc_id, unnest(range(start, least("end",n_lines)+1)) FROM spans JOIN sizes USING (doc_id) WHERE n_lines>20 AND name='f0'
+ UNION SELECT doc_id, unnest(range(greatest(1,line-2), least(n_lines,line+2)+1)) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) AS p FROM mod_score WHERE score>0) JOIN sizes USING (doc_id) WHERE n_lines>20 AND p<=12""",
+    "lines", "sizes", "spans", "mod_score")
+
+
+@query("e21_build_region_executed", """SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) AS pos FROM (SELECT r.doc_id, r.line, coalesce(score,0) AS score FROM
+ (SELECT *, bool_or(line%4=3) OVER (PARTITION BY doc_id) AS ran FROM region_raw) r LEFT JOIN mod_score m ON m.doc_id=r.doc_id AND m.line=r.line WHERE NOT ran OR r.line%4=3)) WHERE pos<=8""", "region_raw", "mod_score")
+def e21x(spark, sf):
+    """Every fourth line was executed; a region without one stays whole."""
+    lines = B.lines(spark, sf).filter(is_code(F.col("text"))).withColumnRenamed("line_no", "line")
+    common = F.array(*[F.lit(w) for w in ("the", "and", "les", "der", "que")])
+    module = lines.filter("line > 10").withColumn("score", F.size(F.array_intersect(tokens(F.col("text")), common)) + F.when(F.length("text") > 40, 1.5).otherwise(0.0))
+    ran = B.lines(spark, sf).select("doc_id", F.col("line_no").alias("line")).filter("line % 4 = 3")
+    return G.build_region(lines, B.doc_sizes(spark, sf), B.spans(spark, sf).filter("name = 'f0'"), module, ran, module, D, small_file=20, module_lines=12, budget=8)
+
+
 @query("d3_line_in_function", """SELECT doc_id, line, arg_max(name, (start, -"end", name)) AS name FROM (SELECT l.doc_id, l.line_no AS line, s.name, s.start, s."end" FROM lines l LEFT JOIN spans s ON s.doc_id=l.doc_id AND l.line_no BETWEEN s.start AND s."end") GROUP BY ALL""", "lines", "spans")
 def d3(spark, sf):
     lines = B.lines(spark, sf).select("doc_id", F.col("line_no").alias("line"))
@@ -226,6 +243,26 @@ def f3(spark, sf):
     return G.seed_lines(funcs, none, lines, issue, frames, named, ID)
 
 
+@query("f3_seed_classes", """SELECT DISTINCT i.item_id, i.doc_id, l.line_no AS line FROM issue_docs i JOIN benchmark b USING (item_id) JOIN lines l ON l.doc_id=i.doc_id AND l.line_no=i.start
+ WHERE list_contains(regexp_extract_all(b.text, '[A-Za-z_][A-Za-z0-9_]*'), regexp_extract(l.text, '[A-Za-z_][A-Za-z0-9_]*'))""", "issue_docs", "lines")
+def f3c(spark, sf):
+    """A class at the line where a passage begins, named by the line's first identifier: a seed where the issue says that name."""
+    pairs = B.issue_docs(spark, sf)
+    issue = pairs.join(B.table(spark, sf, "benchmark"), "item_id").select(*ID, F.col("text").alias("issue"))
+    starts = B.lines(spark, sf).select("doc_id", F.col("line_no").alias("start"), "text")
+    classes = pairs.select(*ID, "start").join(starts, ["doc_id", "start"]).select(*ID, F.regexp_extract("text", IDENTIFIER, 0).alias("name"), "start")
+    none = pairs.select(*ID, F.lit("").alias("name"), F.lit(0).alias("start"), F.lit(0).alias("end")).filter("false")
+    lines = pairs.select(*ID, F.lit(1).alias("line"), F.lit(1).alias("stmt"), F.lit("").alias("text"), F.lit(False).alias("in_func")).filter("false")
+    return G.seed_lines(none, classes, lines, issue, none.select(*ID, F.col("start").alias("line")), none.select(*ID, "name"), ID)
+
+
+@query("c11_bucket_gold", """SELECT gold, files, count(*) AS n FROM (SELECT instance_id, CASE WHEN count(*)<=1 THEN '1' WHEN count(*)<=3 THEN '2-3' ELSE '>=4' END AS gold,
+ CASE WHEN count(DISTINCT line%10)<=1 THEN '1' ELSE '>=2' END AS files FROM gold GROUP BY ALL) GROUP BY ALL""", "gold")
+def c11g(spark, sf):
+    per = B.vote_gold(spark, sf).groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("line") % 10).alias("f"))
+    return per.groupBy(K.bucket_gold(F.col("n")).alias("gold"), K.bucket_files(F.col("f")).alias("files")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("c11_bucketize", """SELECT source, bucket, count(*) AS n FROM (SELECT source, CASE WHEN n_chars<=200 THEN '<=200' WHEN n_chars<=1000 THEN '200-1000' WHEN n_chars<=3000 THEN '1000-3000' ELSE '>3000' END AS bucket FROM documents
  WHERE source IN (SELECT source FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 6)) GROUP BY ALL""")
 def c11(spark, sf):
