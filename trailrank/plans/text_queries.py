@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailrank.functions.columns import IDENTIFIER, is_code, tokens
+from trailrank.functions.columns import identifiers, is_code, tokens
 from trailrank.functions.ordered import frozen
 from trailrank.operators import classify as K
 from trailrank.operators import graph as G
@@ -244,13 +244,13 @@ def f3(spark, sf):
 
 
 @query("f3_seed_classes", """SELECT DISTINCT i.item_id, i.doc_id, l.line_no AS line FROM issue_docs i JOIN benchmark b USING (item_id) JOIN lines l ON l.doc_id=i.doc_id AND l.line_no=i.start
- WHERE list_contains(regexp_extract_all(b.text, '[A-Za-z_][A-Za-z0-9_]*'), regexp_extract(l.text, '[A-Za-z_][A-Za-z0-9_]*'))""", "issue_docs", "lines")
+ WHERE len(list_intersect(regexp_extract_all(b.text, '[A-Za-z_][A-Za-z0-9_]*'), regexp_extract_all(l.text, '[A-Za-z_][A-Za-z0-9_]*')))>0""", "issue_docs", "lines")
 def f3c(spark, sf):
-    """A class at the line where a passage begins, named by the line's first identifier: a seed where the issue says that name."""
+    """A class for every identifier of the line where a passage begins: a seed where the issue says its name."""
     pairs = B.issue_docs(spark, sf)
     issue = pairs.join(B.table(spark, sf, "benchmark"), "item_id").select(*ID, F.col("text").alias("issue"))
     starts = B.lines(spark, sf).select("doc_id", F.col("line_no").alias("start"), "text")
-    classes = pairs.select(*ID, "start").join(starts, ["doc_id", "start"]).select(*ID, F.regexp_extract("text", IDENTIFIER, 0).alias("name"), "start")
+    classes = pairs.select(*ID, "start").join(starts, ["doc_id", "start"]).select(*ID, F.explode(F.array_distinct(identifiers(F.col("text")))).alias("name"), "start")
     none = pairs.select(*ID, F.lit("").alias("name"), F.lit(0).alias("start"), F.lit(0).alias("end")).filter("false")
     lines = pairs.select(*ID, F.lit(1).alias("line"), F.lit(1).alias("stmt"), F.lit("").alias("text"), F.lit(False).alias("in_func")).filter("false")
     return G.seed_lines(none, classes, lines, issue, none.select(*ID, F.col("start").alias("line")), none.select(*ID, "name"), ID)
