@@ -310,6 +310,22 @@ def test_bpe_appends_and_edits():
                 assert enc.read(t) == ref.encode_ordinary(s)
 
 
+def test_bpe_edits_stop_where_the_tables_agree(monkeypatch):
+    """Edits of a long piece: the table of the whole, from a look at little more than the edit."""
+    enc = bpe.prefix_encoder(queries.MULTI_50K)
+    random.seed(3)
+    piece = "".join(random.choice("thenationéà .") for _ in range(4000)).encode()
+    last, read = enc.extend(piece, []), []
+    plain = bpe.PrefixEncoder.extend
+    monkeypatch.setattr(bpe.PrefixEncoder, "extend", lambda self, p, t: read.append(len(p) + 1 - max(len(t), 1)) or plain(self, p, t))
+    for _ in range(20):
+        at, removed, added = random.randrange(len(piece)), random.randrange(4), random.choice([b"", b"x", b"ing the", b"  "])
+        read.clear()
+        changed, table = enc.edit(piece, last, at, removed, added)
+        assert table == plain(enc, changed, []) and sum(read) < len(piece) / 2 + 4 * enc.longest
+    assert sum(read) <= len(added) + 6 * enc.longest or at > len(piece) - 6 * enc.longest
+
+
 @pytest.mark.parametrize("operator", [
     substring_dedup.remove_repeats, merkle.compare_edited, secrets.scan, secrets.redact, bagminhash.near_duplicates, bagminhash.deduplicated, line_dedup.remove_lines,
     lambda d: packing.pack(d, queries.JSON_50K), lambda d: bpe.decode(bpe.encode(d, queries.MULTI_50K), queries.MULTI_50K),

@@ -79,6 +79,8 @@ def test_tables(spark, docs, texts, library):
     rows = sentencepieces.decode(sentencepieces.encode(docs, queries.PIECES_32K), queries.PIECES_32K).collect()
     assert {r.doc_id: list(zip(r.ids, r.begins, r.ends)) for r in rows} == {d: _spans(library, t or "") for d, t in texts.items()} and len(rows) == len(texts)
     assert {r.doc_id: r.decoded for r in rows} == {d: t or "" for d, t in texts.items()}
+    at_once = sentencepieces.encode(docs, queries.PIECES_32K, decoded=True).collect()
+    assert {r.doc_id: r.decoded for r in at_once} == {r.doc_id: r.decoded for r in rows} and {r.doc_id: r.ends for r in at_once} == {r.doc_id: r.ends for r in rows}
     assert sentencepieces.encode(docs.filter("false"), queries.PIECES_32K).collect() == []
 
 

@@ -30,8 +30,8 @@ KEPT = 1_000_000  # pieces, and pairs of tokens, that a worker remembers; others
 class PrefixEncoder:
     """Ranks (bytes to id) as an encoder of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], kept: int = KEPT):
+        self.ranks, self.kept = ranks, kept
         self.token = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self._parts: dict[int, tuple[int, int] | None] = {}
@@ -67,7 +67,7 @@ class PrefixEncoder:
         the two, step by step, no merge across the border comes before the ones still standing."""
         key = s << 32 | t
         if key not in self._stable:
-            if len(self._stable) > KEPT:
+            if len(self._stable) > self.kept:
                 self._stable.clear()
             self._stable[key] = self._border(s, t)
         return self._stable[key]
@@ -122,9 +122,18 @@ class PrefixEncoder:
         return out[::-1]
 
     def edit(self, piece: bytes, last: list[int], at: int, removed: int, added: bytes) -> tuple[bytes, list[int]]:
-        """The piece and its table after ``removed`` bytes at ``at`` gave way to ``added``; what lies before stays."""
+        """The piece and its table after ``removed`` bytes at ``at`` gave way to ``added``. What lies before stays; behind, entries are worked out until as many as the longest
+        token has bytes are what they were, since no later one looks further back: the rest is taken over."""
         changed = piece[:at] + added + piece[at + removed:]
-        return changed, self.extend(changed, last[:at + 1])
+        done, shift = at + len(added), len(added) - removed
+        table = self.extend(changed[:done], last[:at + 1])
+        while done < len(changed):
+            to = min(done + self.longest, len(changed))
+            table = self.extend(changed[:to], table)
+            if to - done == self.longest and table[done + 1:] == last[done + 1 - shift:to + 1 - shift]:
+                return changed, table + last[to + 1 - shift:]
+            done = to
+        return changed, table
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)

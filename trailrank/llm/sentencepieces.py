@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import KEPT, PrefixEncoder
+from .bpe import PrefixEncoder
 from .common import documents, with_columns
 from .packing import _lists
 
@@ -39,6 +39,7 @@ MODEL_TYPE, BPE, SUFFIX, BYTE_FALLBACK, UNKNOWN_SURFACE = 3, 2, 24, 35, 44
 CHARSMAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE = 2, 3, 4, 5
 
 LONG = 1 << 20  # characters of a text that are looked up at a time
+KEPT = 800_000  # stretches, and pairs of pieces, that a worker remembers
 _MODELS: dict[str, Model] = {}
 
 
@@ -96,6 +97,19 @@ class _Merges(PrefixEncoder):
         return piece
 
 
+class _Known(dict):
+    """Encoded stretches, worked out when they are first asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, said: str) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        self[said] = out = self.encode(said)
+        return out
+
+
 class Model:
     """A sentencepiece model: normaliser, encoder of stretches, decoder."""
 
@@ -129,7 +143,7 @@ class Model:
         if len({score[i] for i in long}) < len(long) - max(len(tied) - 1, 0) or any(SPACE * 2 in self.text[i] if i not in set(tied) else self.text[i].strip(SPACE) for i in long if tied):
             raise ValueError("pieces of equal score")
         ordered = [i for i in ordered if i not in set(tied)]
-        self.merges = _Merges({self.text[i]: rank for rank, i in enumerate(ordered)})
+        self.merges = _Merges({self.text[i]: rank for rank, i in enumerate(ordered)}, KEPT)
         self.id_of = ordered
         self.alone = {t: i for i in normal.tolist() if len(t := self.text[i]) == 1}
         self.bytes = {int(t[3:5], 16): i for i, t in enumerate(self.text) if self.kind[i] == BYTE}
@@ -140,7 +154,9 @@ class Model:
         edges = re.escape(apart)
         self.stretches = re.compile(f"[{edges}]|[^{edges}]+" if whole else f"[{edges}]|{SPACE}*[^{SPACE}{edges}]+|{SPACE}+").findall
         self.cut = None if whole else re.compile(f"[^{SPACE}]{SPACE}")  # no piece lies on both sides of the second
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.stretch)
+        self.letters = frozenset(self.alone)
+        self.pair = {rank: np.array([i, len(self.text[i].encode())], np.int32).tobytes() for rank, i in enumerate(ordered)}
         # what each id is written as
         self.written = [self._written(i, trainer.get(UNKNOWN_SURFACE, UNKNOWN_TEXT.encode())) for i in range(len(pieces))]
 
@@ -212,6 +228,8 @@ class Model:
 
     def stretch(self, said: str) -> bytes:
         """Ids of a stretch, each beside the number of normalised bytes that it takes."""
+        if self.letters.issuperset(said) and not (self.runs and SPACE * 2 in said):
+            return b"".join([self.pair[rank] for rank in self.merges.read(self.merges.extend(said, []))])
         ids, start = [], 0
 
         def merged(part: str):
@@ -256,13 +274,7 @@ class Model:
         while at < len(said):
             cut = self.cut.search(said, at + LONG) if self.cut else None
             end = cut.start() + 1 if cut else len(said)
-            found = self.stretches(said, at, end)
-            new = set(found)
-            if len(known) > KEPT:
-                known.clear()
-            for one in new.difference(known):
-                known[one] = self.stretch(one)
-            told.append(b"".join([known[s] for s in found]))
+            told.append(b"".join(map(known.__getitem__, self.stretches(said, at, end))))
             at = end
         pairs = np.frombuffer(b"".join(told), np.int32).reshape(-1, 2)
         cuts = origin[np.append(0, np.cumsum(pairs[:, 1], dtype=np.int64))]
@@ -318,9 +330,11 @@ def model(path: str) -> Model:
 _INTS = T.ArrayType(T.IntegerType())
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
-    """``doc_id``, ``ids`` with the end id, ``begins`` and ``ends``: the bytes of the UTF-8 text that each piece stands for."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", _INTS), T.StructField("begins", _INTS), T.StructField("ends", _INTS)])
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 128, decoded: bool = False) -> DataFrame:
+    """``doc_id``, ``ids`` with the end id, ``begins`` and ``ends``: the bytes of the UTF-8 text that each piece stands for. With ``decoded`` the
+    worker that has the ids at hand decodes them too, which spares another one's memory and the way there."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", _INTS), T.StructField("begins", _INTS), T.StructField("ends", _INTS),
+                           *([T.StructField("decoded", T.StringType())] if decoded else [])])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
@@ -328,7 +342,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
                 told = [pieces.encode(text) for text in batch.column("text").to_pylist()]
-                yield with_columns(batch, schema, {"doc_id": batch.column("doc_id")} | {c: _lists([t[k].astype(np.int32) for t in told]) for k, c in enumerate(("ids", "begins", "ends"))})
+                out = {"doc_id": batch.column("doc_id")} | {c: _lists([t[k].astype(np.int32) for t in told]) for k, c in enumerate(("ids", "begins", "ends"))}
+                yield with_columns(batch, schema, out | ({"decoded": pa.array([pieces.decode(t[0]) for t in told], pa.string())} if decoded else {}))
     return documents(docs, id_col, text_col).select("doc_id", "text").mapInArrow(work, schema)
 
 
