@@ -94,7 +94,7 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
     return langid.predict(docs, langid.train(docs, ~F.col("held_out")), keep=("doc_id", "held_out"))
 
 
@@ -135,7 +135,7 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = sentencepieces.decode(sentencepieces.encode(_table(spark, sf_dir, "documents"), PIECES_32K), PIECES_32K)
+    both = sentencepieces.encode(_table(spark, sf_dir, "documents"), PIECES_32K, decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("n_bytes"))
 
