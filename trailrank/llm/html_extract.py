@@ -46,40 +46,48 @@ HARDLY = frozenset("""aside header banner widget widgets related recommended rec
 legal side foot rail teaser teasers tags meta disclaimer topbar""".split())
 THREAD = frozenset("comment comments commentlist disqus replies reply respond".split())
 AMBIGUOUS = frozenset({"discussion"})  # as an id it is rather a section of a paper
-SHORT = 300  # characters of a block that a label can cut
-MENU_LINK = 25  # mean characters of a link in a menu; references are longer
+#: Words for boxes, places and what lies in them, which say nothing about a text beside the words above.
+GENERIC = frozenset("""area article articles bar block blog body bottom box button buttons col column container content entry form global group icon icons inner item items
+left link links list module outer page panel policy post posts primary reader readers right row secondary section site slot stories story text title top unit user users
+visitor wrap wrapper zone widget widgets banner header header main primary""".split())
+#: Labels and headings of lists of links that belong to a text.
+REFERENCES = frozenset("""bibliografía bibliografia bibliographie bibliography citations einzelnachweise enlaces footnotes fuentes literatur literature notas notes quellen reading
+reference references referencias refs références source sources weblinks""".split())
+MENU_SHARE = 0.8  # of a list's text in links; the rest are separators
 LIKELY = frozenset("article articles body content main post entry story text page column".split())
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_RAW_END = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Element:
-    __slots__ = ("name", "parent", "apart", "points", "text", "linked", "weight", "links", "doubt", "threads", "headings")
+    __slots__ = ("name", "parent", "apart", "points", "text", "linked", "weight", "links", "doubt", "threads", "headings", "references")
 
     def __init__(self, name: str, parent: Element | None, apart: bool, weight: float):
         self.name, self.parent, self.apart, self.weight = name, parent, apart, weight
         self.points = self.text = self.linked = 0.0
         self.links = self.doubt = self.threads = self.headings = 0
+        self.references = False
 
 
-#: Doubts about an element: by a word among others in a class, by a whole class or id, by a whole class; with THREAD_DOUBT of comments.
-SOME, WHOLE, CLASS, THREAD_DOUBT = 1, 2, 4, 8
+#: Doubts about an element: by a word among others in a class, by a whole class or id, by a whole class; with THREAD_DOUBT of comments; by header alone.
+SOME, WHOLE, CLASS, THREAD_DOUBT, HEADER = 1, 2, 4, 8, 16
 
 
-def _judge(name: str, attributes: str) -> tuple[bool, float, int]:
-    """Whether an element is apart from any article, the weight of its name and class, and the doubts that these raise."""
+def _judge(name: str, attributes: str) -> tuple[bool, float, int, bool]:
+    """Whether an element is apart from any article, the weight of its name and class, the doubts that these raise, and whether they speak of references."""
     weight = {"article": 25.0, "main": 10.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "div": 5.0, "section": 5.0}.get(name, 0.0)
     if name in APART:
-        return True, weight, 0
+        return True, weight, 0, False
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False, weight, 0
+        return False, weight, 0, False
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True, weight, 0
+        return True, weight, 0, False
     role = found.get("role", "")
     if role in ROLES_APART:
-        return True, weight, 0
+        return True, weight, 0, False
     if role in ("main", "article") or "articleBody" in found.get("itemprop", ""):
         weight += 25
     labels = []
@@ -88,33 +96,43 @@ def _judge(name: str, attributes: str) -> tuple[bool, float, int]:
             said = [w.lower() for w in _WORD.findall(label)]
             if said and said[0] not in ("no", "has", "with", "without"):
                 labels.append((kind, said))
+    sources = any(not REFERENCES.isdisjoint(said) for _, said in labels)
     if name in ("html", "body", "main", *HEADINGS) or not labels:
-        return False, weight, 0
+        return False, weight, 0, sources
     likely = any(not LIKELY.isdisjoint(said) for _, said in labels)
     against = (NEVER if not likely or name != "article" else frozenset()) | (HARDLY if not likely and name != "article" else frozenset())
     doubt = 0
     for kind, said in labels:
         bad = against - AMBIGUOUS if kind == "id" else against
-        if bad.issuperset(said):
-            doubt |= SOME | WHOLE | (CLASS if kind == "class" else 0)
+        if bad.issuperset(said) or not (NEVER & bad).isdisjoint(said) and (bad | GENERIC).issuperset(said) or {"related", "recommended"} & bad & set(said) and (bad | GENERIC).issuperset(said):
+            doubt |= SOME | WHOLE | (CLASS if kind == "class" else 0) | (HEADER if said == ["header"] else 0)
         elif kind == "class" and not bad.isdisjoint(said):  # an id of several words is a slug, which says what a text is about
             doubt |= SOME
         if doubt and not THREAD.isdisjoint(said):
             doubt |= THREAD_DOUBT
-    return False, weight + 25 * likely - 25 * bool(doubt), doubt
+    return False, weight + 25 * likely - 25 * bool(doubt), doubt, sources
 
 
-def _cut(e: Element) -> bool:
-    """Whether the doubts about a block suffice to cut it, now that its text is known: inside an article a whole class that is
-    short and has no heading, elsewhere what is short or made of links; and threads of comments anywhere."""
-    if e.doubt & THREAD_DOUBT and e.threads:
-        return True
+def _within(e: Element, names: tuple[str, ...]) -> bool:
     up = e.parent
-    while up is not None and up.name != "article":
+    while up is not None and up.name not in names:
         up = up.parent
-    if up is not None:
-        return bool(e.doubt & CLASS) and e.text <= SHORT and not e.headings
-    return e.text <= SHORT or e.linked > 0.5 * e.text
+    return up is not None
+
+
+def _cut(e: Element, page: float) -> bool:
+    """Whether the doubts about a block suffice to cut it, now that its text and the page's text outside links are known: a label of nothing else, a thread of
+    comments, or, outside an article, a word among others where links outweigh text. A header that holds a heading of an article stays."""
+    if e.text - e.linked > 0.5 * page:
+        return False
+    if e.doubt & HEADER:
+        up = e.parent
+        while up is not None and up.name not in ("article", "main", "section") and up.weight < 25:
+            up = up.parent
+        return not (e.headings and up is not None)
+    if e.doubt & WHOLE or e.doubt & THREAD_DOUBT and e.threads:
+        return True
+    return not _within(e, ("article",)) and e.linked > 0.5 * e.text
 
 
 def _read(source: str) -> list[tuple[Element, str, float]]:
@@ -126,13 +144,14 @@ def _read(source: str) -> list[tuple[Element, str, float]]:
     linked = 0.0
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, heading
         if run:
             text = " ".join(entities.unescape("".join(run)).split())
             run.clear()
             if text:
                 e, share = holder, min(linked, len(text))
                 blocks.append((holder, text, share))
+                heading = text if holder.name in HEADINGS else heading
                 while e is not None:
                     e.text += len(text)
                     e.linked += share
@@ -155,7 +174,7 @@ def _read(source: str) -> list[tuple[Element, str, float]]:
             if in_link:
                 linked += len(text.strip())
 
-    at, lower = 0, None
+    at, heading = 0, ""
     while True:
         m = _TAG.search(source, at)
         if m is None:
@@ -181,13 +200,12 @@ def _read(source: str) -> list[tuple[Element, str, float]]:
             run.append(" ")
             continue
         if name in RAW:
-            lower = lower if lower is not None else source.lower()
-            stop = lower.find("</" + name, at)
             if m[3].rstrip().endswith("/"):
                 continue
-            if stop < 0:
+            stop = _RAW_END[name].search(source, at)
+            if stop is None:
                 break
-            at = stop
+            at = stop.start()
             end = _TAG.match(source, at)
             at = end.end() if end else len(source)
             continue
@@ -208,12 +226,16 @@ def _read(source: str) -> list[tuple[Element, str, float]]:
                     if name not in ("tr", "tbody", "tfoot"):
                         break
         parent = stack[-1]
-        apart, weight, doubt = _judge(name, m[3])
+        apart, weight, doubt, sources = _judge(name, m[3])
         if doubt and name not in BLOCKS:  # inside a sentence, a heading or code it is text
             apart = bool(doubt & CLASS) and not any(x.name in ("p", "pre", "code", *HEADINGS) for x in stack)
             doubt = 0
         e = Element(name, parent, parent.apart or apart, weight)
         elements.append(e)
+        e.references = parent.references or sources
+        if name in ("ul", "ol", "dl", "table"):
+            close()
+            e.references = e.references or not REFERENCES.isdisjoint(w.lower() for w in re.findall(r"\w+", heading))
         if doubt or name in HEADINGS:
             e.doubt, up = doubt, parent
             while up is not None:
@@ -238,8 +260,9 @@ def _read(source: str) -> list[tuple[Element, str, float]]:
                 up = up.parent
         stack.append(e)
     close()
+    page = sum(len(t) - share for e, t, share in blocks if not e.apart)
     for e in elements:  # parents come first
-        e.apart = e.apart or e.parent.apart or bool(e.doubt) and _cut(e)
+        e.apart = e.apart or e.parent.apart or bool(e.doubt) and _cut(e, page)
     return blocks
 
 
@@ -248,10 +271,10 @@ def _kept(e: Element, top: Element) -> bool:
     heading, below, menu = False, e, False
     while below is not None and below is not top:
         heading = heading or below.name in HEADINGS
-        if below.apart or below.name == "header" and not heading:
+        if below.apart or below.name == "header" and not heading and not _within(below, ("article", "main", "section")):
             return False
         if below.name in ("ul", "div", "section", "table"):
-            menu = menu or below.links > 1 and 0.6 * below.text < below.linked < MENU_LINK * below.links
+            menu = menu or below.links > 1 and MENU_SHARE * below.text < below.linked and not below.references
         below = below.parent
     up = top
     while menu and up is not None and up.name != "article":
