@@ -7,7 +7,8 @@ sets the softmax temperature and the score below which a prediction is rejected.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0 and rejected; rows without a label or text
 teach nothing; where nothing can be learned every text is ``und``, and only those without letters are rejected;
-repeated rows get equal answers; other columns are not read.
+repeated rows get equal answers; of two labels with equal scores the first by name is told; a null id is kept as it is; an empty table gives no
+rows; other columns are not read. A text is held whole, with some 30 bytes for each of its bytes.
 """
 from __future__ import annotations
 
@@ -25,7 +26,9 @@ from .textarrays import LETTER, SPACE, classes, code_points, slices
 
 BUCKETS, WIDTH, ORDERS = 8192, 16, 3
 #: Bounds of the training sample: rows of each language, and of all; many languages have fewer rows each, one at least.
-SAMPLE_ROWS, SAMPLE_ALL = 600, 120_000
+SAMPLE_ROWS, SAMPLE_ALL = 600, 30_000
+#: Texts counted at a time: a row of BUCKETS counts each, however short they are.
+TEXTS = 256
 UNKNOWN = "und"
 
 
@@ -40,7 +43,7 @@ class Model:
 
 def _bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each slice of texts: counts by (text, bucket), and whether each text has a letter."""
-    for part in slices(column):
+    for part in slices(column, rows=TEXTS):
         points, firsts = code_points(part)
         n, docs = len(points), len(firsts) - 1
         kind = classes()[points]
@@ -65,13 +68,28 @@ def _scaled(counts: np.ndarray) -> np.ndarray:
     return (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
+def _packed(shares: np.ndarray) -> bytes:
+    """The buckets of a text that have a share, two bytes each, and their shares."""
+    at = np.flatnonzero(shares)
+    return at.astype(np.uint16).tobytes() + shares[at].tobytes()
+
+
+def _rows(bags: list[bytes], chosen: np.ndarray) -> np.ndarray:
+    """The chosen packed texts as rows of BUCKETS shares."""
+    out = np.zeros((len(chosen), BUCKETS), np.float32)
+    for i, n in enumerate(chosen.tolist()):
+        size = len(bags[n]) // 6
+        out[i, np.frombuffer(bags[n], np.uint16, size)] = np.frombuffer(bags[n][2 * size:], np.float32)
+    return out
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 40, batch: int = 32, rate: float = 20.0, seed: int = 7) -> Model:
-    """Train on subword shares ``x`` and label numbers ``y``."""
+def fit(bags: list[bytes], y: np.ndarray, labels: list[str], epochs: int = 40, batch: int = 32, rate: float = 20.0, seed: int = 7) -> Model:
+    """Train on packed subword shares and label numbers ``y``; only a batch of texts is ever spread over BUCKETS columns."""
     random = np.random.default_rng(seed)
     order = random.permutation(len(y))
     back, train = order[:len(y) // 5], order[len(y) // 5:]
@@ -85,18 +103,19 @@ def fit(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 40, batch
         random.shuffle(train)
         for at in range(0, len(train), batch):
             rows = train[at:at + batch]
-            hidden = x[rows] @ table
+            x = _rows(bags, rows)
+            hidden = x @ table
             error = _softmax(hidden @ weights + bias)
             error[np.arange(len(rows)), y[rows]] -= 1
             error /= len(rows)
-            to_table = x[rows].T @ (error @ weights.T)
+            to_table = x.T @ (error @ weights.T)
             weights -= 0.05 * step * hidden.T @ error
             bias -= 0.01 * step * error.sum(axis=0)
             table -= 10 * step * to_table
     logits = table @ weights
-    z, truth = x[back] @ logits + bias, y[back]
     if not len(back):
         return Model(labels, logits, bias, 1.0, 0.0)
+    z, truth = np.concatenate([_rows(bags, back[at:at + TEXTS]) @ logits + bias for at in range(0, len(back), TEXTS)]), y[back]
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
     p = _softmax(z / temperature)
@@ -108,7 +127,7 @@ def fit(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 40, batch
 
 def train(docs: DataFrame, learn: Column | None = None, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
     """Fit on a bounded sample of the labelled rows that meet ``learn``: at most SAMPLE_ROWS of each language, none left out,
-    chosen by a hash of the id. Executors reduce each sampled text, read whole, to its BUCKETS counts."""
+    chosen by a hash of the id. Executors reduce each sampled text, read whole, to the buckets it has and their shares."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = (rows if learn is None else rows.filter(learn)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
                                                                   F.xxhash64(F.col(id_col), F.lit("sample")).alias("draw"))
@@ -127,16 +146,17 @@ def train(docs: DataFrame, learn: Column | None = None, lang_col: str = "lang",
             for counts, _ in _bags(batch.column("text")):
                 here = batch.slice(at, len(counts))
                 at += len(counts)
-                yield with_columns(here, schema, {"lang": here.column("lang"), "draw": here.column("draw"), "bag": [r.tobytes() for r in _scaled(counts)]})
+                yield with_columns(here, schema, {"lang": here.column("lang"), "draw": here.column("draw"), "bag": [_packed(r) for r in _scaled(counts)]})
 
     drawn = rows.filter((F.col("draw").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))) < share[F.col("lang")])
     from pyspark.sql import Window
     first = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))).filter(F.col("nth") <= each)
     got = first.select("lang", "text", "draw").mapInArrow(count, schema).toArrow().sort_by([("lang", "ascending"), ("draw", "ascending"), ("bag", "ascending")])
-    x = np.stack([np.frombuffer(b.as_py(), np.float32) for b in got.column("bag")])
     number = {v: i for i, v in enumerate(labels)}
     y = np.array([number[v] for v in got.column("lang").to_pylist()])
-    return fit(x, y, labels)
+    bags = got.column("bag").to_pylist()
+    del got
+    return fit(bags, y, labels)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:

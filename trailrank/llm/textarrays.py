@@ -29,8 +29,8 @@ class Slice:
         self.first, self.last, self.data, self.offsets = first, last, data, offsets
 
 
-def slices(column: pa.Array, limit: int = SLICE) -> Iterator[Slice]:
-    """Cut a text column into slices of about ``limit`` bytes; null texts are empty."""
+def slices(column: pa.Array, limit: int = SLICE, rows: int | None = None) -> Iterator[Slice]:
+    """Cut a text column into slices of about ``limit`` bytes, and of ``rows`` texts at most; null texts are empty."""
     column = column.cast(pa.large_string())
     n = len(column)
     if not n:
@@ -41,7 +41,7 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[Slice]:
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), n if rows is None else first + rows, n)
         yield Slice(first, last, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
         first = last
 
