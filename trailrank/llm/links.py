@@ -6,6 +6,10 @@
    the cluster, inside tasks that hold one block of either and put out spanning links only.
 
 Links within the largest group join nothing new, so the groups are those of comparing all pairs of a cluster.
+
+Where buckets meet by chance often (short texts), clusters grow far beyond them, and step 3 takes each bucket of up to ``PAIRED`` nodes by itself (``in_buckets``): of one whose nodes,
+but for the least, still fall into several groups, those outside the largest are compared with all. Larger buckets, which copies of a text share many of, form clusters as before.
+The groups are those of comparing all pairs of a bucket.
 """
 from __future__ import annotations
 
@@ -42,11 +46,37 @@ def _common(x: Sets, y: Sets) -> np.ndarray:
     n = len(x[0]) - 1
     owner = np.concatenate([np.repeat(np.arange(n), np.diff(s[0])) for s in (x, y)])
     values = np.concatenate((x[1], y[1]))
+    if n < 1 << 16 and len(values) and values.dtype == np.uint64 and int(values.max()) < 1 << 48:  # owner and value in one number sort at once
+        both = owner.astype(np.uint64) << np.uint64(48) | values
+        both.sort()
+        return np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=n)
     order = np.lexsort((values, owner))
     owner, values = owner[order], values[order]
     return np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (values[1:] == values[:-1])], minlength=n)
 
 
+def _take(sets: Sets, rows: np.ndarray) -> Sets:
+    """The sets of some rows."""
+    offsets, values = sets
+    size = np.diff(offsets)[rows]
+    ends = np.append(0, np.cumsum(size))
+    return ends, values[np.repeat(offsets[:-1][rows] - ends[:-1], size) + np.arange(int(ends[-1]))]
+
+
+def _alike(sets: Sets, i: np.ndarray, j: np.ndarray, similarity: float, values: int = 1 << 20) -> np.ndarray:
+    """Whether the sets of each pair of rows are alike, about so many values at a time."""
+    size = np.diff(sets[0])
+    out = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+    left = np.flatnonzero(out)
+    cuts = np.searchsorted(np.cumsum(size[i[left]] + size[j[left]]), np.arange(values, int((size[i[left]] + size[j[left]]).sum()) + values, values))
+    for some in np.split(left, np.minimum(cuts, len(left))):
+        for part in np.array_split(some, len(some) // 60_000 + 1):
+            if len(part):
+                common = _common(_take(sets, i[part]), _take(sets, j[part]))
+                out[part] = common >= similarity * (size[i[part]] + size[j[part]] - common)
+    return out
+
+
 def similar(pairs: DataFrame, bodies: DataFrame, sets: Callable[[pa.Array], Sets], similarity: float, rows: int = 64) -> DataFrame:
     """The ``pairs(a, b)`` whose bodies' sets have a Jaccard similarity of at least ``similarity``."""
     if "n" in bodies.columns:  # sizes too far apart need no texts
@@ -87,6 +117,10 @@ def _spanning(labels: np.ndarray, asking: np.ndarray, offsets: np.ndarray, value
     return links
 
 
+#: Rows of a group whose pairs are listed at once (in a task); larger ones go by postings. Rows compared at a time.
+PAIRED, AT_ONCE = 64, 4096
+
+
 def _compared(rows: DataFrame, sets: Callable[[pa.Array], Sets], similarity: float) -> DataFrame:
     """Spanning links of blocks: ``rows(cluster, ask, block, node, label, asks, body)``, one group for each (cluster, ask, block)."""
     node = rows.schema["node"].dataType
@@ -94,58 +128,95 @@ def _compared(rows: DataFrame, sets: Callable[[pa.Array], Sets], similarity: flo
     keys = ("cluster", "ask", "block")
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
 
-    def found(parts: list[pa.Table]) -> pa.RecordBatch | None:
-        part = pa.concat_tables(parts).combine_chunks()
-        column = {c: part.column(c).combine_chunks() for c in part.column_names}
+    def found(part: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
+        column = {c: part.column(c).combine_chunks() for c in ("node", "label", "asks", "body")}
         column = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in column.items()}
-        links = _spanning(column["label"].to_numpy(), np.flatnonzero(column["asks"].to_numpy(zero_copy_only=False)), *sets(column["body"]), similarity)
-        if not links:
-            return None
-        a, b = (pa.array(x) for x in zip(*links))
-        return with_columns(None, schema, {"a": column["node"].take(a), "b": column["node"].take(b)})
+        label, asks, held = column["label"].to_numpy(), column["asks"].to_numpy(zero_copy_only=False), sets(column["body"])
+        ends = np.append(starts[1:], len(label))
+        size = np.repeat(ends - starts, ends - starts)
+        row = np.arange(len(label))
+        after = np.where(size <= PAIRED, np.repeat(ends, ends - starts) - row - 1, 0)
+        i = np.repeat(row, after)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+        open_ = (label[i] != label[j]) & (asks[i] | asks[j])
+        i, j = i[open_], j[open_]
+        yes = _alike(held, i, j, similarity)
+        links = [(i[yes], j[yes])]
+        for low, high in zip(starts.tolist(), ends.tolist()):
+            if high - low > PAIRED:
+                mine = np.arange(low, high)
+                spanning = _spanning(label[low:high], np.flatnonzero(asks[low:high]), *_take(held, mine), similarity)
+                if spanning:
+                    links.append(tuple(low + np.array(x) for x in zip(*spanning)))
+        a, b = (pa.array(np.concatenate(x)) for x in zip(*links))
+        return with_columns(None, schema, {"a": column["node"].take(a), "b": column["node"].take(b)}) if len(a) else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group = None, []
+        held = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                mine = tuple(key[low].tolist())
-                if mine != held:
-                    if group and (out := found(group)):
-                        yield out
-                    held, group = mine, []
-                group.append(pa.Table.from_batches([batch.slice(low, high - low).select(["node", "label", "asks", "body"])]))
-        if group and (out := found(group)):
-            yield out
+            held.append(batch)
+            if sum(x.num_rows for x in held) < AT_ONCE:
+                continue
+            whole, starts = cut(held)
+            if len(starts) > 1:  # the last group may go on
+                if out := found(whole.slice(0, int(starts[-1])), starts[:-1]):
+                    yield out
+                held = whole.slice(int(starts[-1])).to_batches()
+        if held:
+            if out := found(*cut(held)):
+                yield out
+
+    def cut(held: list) -> tuple[pa.Table, np.ndarray]:
+        whole = pa.Table.from_batches(held)
+        key = np.stack([whole.column(c).to_numpy() for c in keys], axis=1)
+        return whole, np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)
     return dealt.mapInArrow(work, schema)
 
 
-def connect(rows: DataFrame, bodies: DataFrame, sets: Callable[[pa.Array], Sets], similarity: float, block: int = BLOCK) -> DataFrame:
+def _mixed(rows: DataFrame, block: int) -> DataFrame:
+    """Clusters of ``rows(cluster, node, label)`` in which there are several labels: the largest one, and numbers of blocks."""
+    counts = rows.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).filter("n > main.n")
+    return mixed.select("cluster", F.col("main.label").alias("main"), F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("asks"))
+
+
+def _dealt(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of mixed clusters, each with the meetings of blocks that it takes part in."""
+    spread = rows.join(mixed, "cluster").withColumn("own", F.xxhash64("node", F.lit("block")))
+    zero, one = F.lit(0).cast("long"), F.col("label") != F.col("main")
+    small = (F.col("blocks") == 1) & (F.col("asks") == 1)
+    whole = spread.filter(small).select("cluster", zero.alias("ask"), zero.alias("block"), "node", "label", one.alias("asking"))
+    every = spread.filter(~small).select("cluster", F.explode(F.sequence(zero, F.col("asks") - 1)).alias("ask"), F.pmod("own", "blocks").alias("block"), "node", "label", F.lit(False).alias("asking"))
+    asking = spread.filter(~small & one).select("cluster", F.pmod("own", "asks").alias("ask"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"),
+                                                "node", "label", F.lit(True).alias("asking"))
+    return whole.unionByName(every).unionByName(asking).withColumnRenamed("asking", "asks")
+
+
+def connect(rows: DataFrame, bodies: DataFrame, sets: Callable[[pa.Array], Sets], similarity: float, block: int = BLOCK, in_buckets: bool = False) -> DataFrame:
     """Groups ``(node, component)`` of the nodes of ``rows(key, node)``, those alone left out: nodes of a cluster are linked if
     their sets are alike. ``bodies(node, body)`` has each node's text, and if ``n``, the size of its set; texts travel, and ``sets``
     turns them into sets where they are compared. Both tables are stored ones."""
     spark = rows.sparkSession
-    least = rows.groupBy("key").agg(F.min("node").alias("least"))
-    stars, stars_path = store(rows.join(least, "key").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    clusters, cluster_paths = _groups(stars)
+    least = rows.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("many"))
+    rest, rest_path = rows.join(least, "key").filter("node <> least"), None
+    if in_buckets:
+        rest, rest_path = store(rest)
+    star = [F.col("least").alias("a"), F.col("node").alias("b")]
+    stars, stars_path = store(rest.select(*star).distinct())
+    large = F.col("many") > PAIRED
+    clusters, cluster_paths = _groups(rest.filter(large).select(*star).distinct() if in_buckets else stars)
     links, _ = store(similar(stars, bodies, sets, similarity))
     groups, paths = _groups(links)
-    named = clusters.withColumnRenamed("component", "cluster").join(groups, "node", "left").select(
-        "node", F.xxhash64("cluster").alias("cluster"), F.xxhash64(F.coalesce("component", "node")).alias("label"))
+    named = clusters.select(F.xxhash64("component").alias("cluster"), "node")
+    if in_buckets:
+        named = named.unionByName(rest.filter(~large).select(F.col("key").alias("cluster"), "node"))
+    named = named.join(groups, "node", "left").select("cluster", "node", F.xxhash64(F.coalesce("component", "node")).alias("label"))
     named, named_path = store(named)
-    drop(spark, stars_path, *cluster_paths)
-    counts = named.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).filter("n > main.n")
-    mixed = mixed.select("cluster", F.col("main.label").alias("main"), F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("asks"))
-    mixed, mixed_path = store(mixed)
-    spread = named.join(mixed, "cluster").withColumn("own", F.xxhash64("node", F.lit("block")))
-    every = spread.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)).alias("ask"), F.pmod("own", "blocks").alias("block"), "node", "label", F.lit(False).alias("asks_"))
-    asking = spread.filter(F.col("label") != F.col("main")).select("cluster", F.pmod("own", "asks").alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-                                                                  "node", "label", F.lit(True).alias("asks_"))
-    dealt = every.unionByName(asking).withColumnRenamed("asks_", "asks").join(bodies.select("node", "body"), "node")
+    drop(spark, stars_path, *cluster_paths, *([rest_path] if rest_path else []))
+    mixed, mixed_path = store(_mixed(named, block))
+    dealt = _dealt(named, mixed).join(bodies.select("node", "body"), "node")
     more, _ = store(_compared(dealt, sets, similarity))
     drop(spark, named_path, mixed_path)
     if more.isEmpty():
