@@ -166,8 +166,8 @@ def _pair_costs(counts: dict[int, int], words: dict[int, int]) -> tuple[list[flo
 def _word_pairs(docs: DataFrame) -> DataFrame:
     """``p``, ``n``: how often characters begin words and pairs stand in words, over all texts: words are counted first, so each is taken apart once."""
     k = len(FOLDED)
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z0-9+/]+")).alias("w")).groupBy("w").agg(F.count("*").alias("times")).filter(F.length("w").between(1, LEAST_CANDIDATE - 1))  # a longer one may be a key
-    codes = words.select("times", F.expr(f"transform(filter(split(w, ''), c -> c <> ''), c -> instr('{FOLDED}', c) - 1)").alias("c"))
+    words = docs.select(F.explode(F.split("text", "[^A-Za-z0-9+/]+")).alias("w")).groupBy("w").agg(F.count("*").alias("times")).filter(F.length("w").between(1, LEAST_CANDIDATE - 1))  # a longer one may be a key
+    codes = words.select("times", F.expr(f"transform(filter(split(lower(w), ''), c -> c <> ''), c -> instr('{FOLDED}', c) - 1)").alias("c"))
     pairs = F.when(F.size("c") > 1, F.expr(f"transform(sequence(1, size(c) - 1), i -> c[i - 1] * {k} + c[i])")).otherwise(F.expr("cast(array() as array<int>)"))
     return codes.select("times", F.explode(F.concat(F.transform("c", lambda c: -1 - c), pairs)).alias("p")).groupBy("p").agg(F.sum("times").alias("n"))
 
