@@ -16,6 +16,7 @@ from trailrank.operators import metrics as M
 from trailrank.operators import parse as P
 from trailrank.operators import rank as R
 from trailrank.operators import stats as T
+from trailrank.plans import bindings as B
 from trailrank.sources import ingest
 
 
@@ -190,6 +191,65 @@ def test_random_ties(spark):
                 assert abs(got[primary, g, top] - inside[top] / n) < 0.035
 
 
+def _mix(item, seed):
+    h = (item * C.HASH_FACTOR + seed * C.SEED_FACTOR) % C.HASH_RANGE
+    h = ((h ^ (h >> 15)) * 1103515245 + 12345) % C.HASH_RANGE
+    h = ((h ^ (h >> 13)) * 1664525 + 1013904223) % C.HASH_RANGE
+    return h ^ (h >> 16)
+
+
+def test_seeded_ties(spark):
+    """Places of the gold items in the order of every seed, sorted one by one; null items and null groups hold nothing."""
+    draw, rows = random.Random(6), []
+    for g in [*range(7), None]:
+        rows += [(g, i, draw.randrange(3), int(draw.random() < 0.2 or i == g)) for i in range(14)]
+    rows += [(5, None, 2, 1), (6, None, 2, 0)]
+    items = spark.createDataFrame(rows, "g int, i int, v int, gold int").repartition(3)
+    for primary in ("v", None):
+        want = {}
+        for g in {r[0] for r in rows if r[3]}:
+            mine = [r for r in rows if r[0] == g]
+            for top in (3, 6, 12):
+                held = 0
+                for seed in range(9):
+                    order = sorted(mine, key=lambda r: (-r[2] if primary else 0, C.HASH_RANGE if r[1] is None else _mix(r[1], seed)))
+                    held += g is not None and all(r[1] is not None and order.index(r) < top for r in mine if r[3])
+                want[g, top] = held / 9
+        got = {(r.g, r.n_top): r.prob for r in T.seeded_tie_control(items, ["g"], "i", "gold", primary, [3, 6, 12], 9).collect()}
+        assert got == want and any(0 < p < 1 for p in got.values())
+
+
+@pytest.mark.parametrize("size", [(1 << 21, 1 << 14), (7, 4)])
+def test_rows_are_drawn_one_by_one(spark, monkeypatch, size):
+    """Every draw of every replicate, whether a replicate is drawn at once or in parts that meet many blocks; null values are not averaged."""
+    monkeypatch.setattr(T, "DRAWS", size[0])
+    monkeypatch.setattr(T, "BLOCK", size[1])
+    draw = random.Random(7)
+    table = {g: [None if draw.random() < 0.1 else round(draw.random(), 2) for _ in range(n)] for g, n in (("a", 45), ("b", 1), ("c", 600))}
+    rows = spark.createDataFrame([(g, 3 * u, v) for g, vs in table.items() for u, v in enumerate(vs)], "arm string, u long, v double").repartition(4)
+    got = {(r.arm, r.b): r.m for r in T.bootstrap_means(rows, ["arm"], "u", "v", 30, "rows").collect()}
+    light = {(r.arm, r.b): r.m for r in T.bootstrap_means(rows, ["arm"], "u", "v", 30, "poisson_rows").collect()}
+    for g, vs in table.items():
+        for b in range(30):
+            picked = [x for x in (vs[_mix(slot, b) % len(vs)] for slot in range(len(vs))) if x is not None]
+            assert got[g, b] == (pytest.approx(np.mean(picked)) if picked else None)
+            weights = [sum(_mix(3 * u, b) / C.HASH_RANGE >= s for s in T.POISSON_STEPS) for u in range(len(vs))]
+            total = sum(weights)
+            if all(v is not None for v in vs):
+                assert light[g, b] == (pytest.approx(sum(w * v for w, v in zip(weights, vs)) / total) if total else None)
+
+
+def test_votes_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """More votes are more tasks with the same ranks: what one task sorts does not grow with the table."""
+    votes = spark.range(2000).selectExpr("id % 300 AS l_partkey", "CAST(id % 7 AS int) AS l_linenumber", "id % 11 AS l_suppkey", "CAST(id * 37 % 101 AS double) AS l_extendedprice",
+                                         "CAST(id % 50 AS double) AS l_quantity", "CASE WHEN id % 3 = 0 THEN 'R' ELSE 'N' END AS l_returnflag", "CASE WHEN id % 2 = 0 THEN 'O' ELSE 'F' END AS l_linestatus")
+    votes.write.parquet(f"{tmp_path}/lineitem.parquet")
+    few = sorted(map(tuple, B.arm_positions(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(B, "TASK_VOTES", 25)
+    wide = B.arm_positions(spark, str(tmp_path))
+    assert wide.rdd.getNumPartitions() == 80 and sorted(map(tuple, wide.collect())) == few
+
+
 @pytest.mark.parametrize("limit", ["2000000", "3"])
 def test_medians(spark, limit):
     draw = random.Random(8)
