@@ -53,6 +53,8 @@ visitor wrap wrapper zone widget widgets banner header header main primary""".sp
 #: Labels and headings of lists of links that belong to a text.
 REFERENCES = frozenset("""bibliografía bibliografia bibliographie bibliography citations einzelnachweise enlaces footnotes fuentes literatur literature notas notes quellen reading
 reference references referencias refs références source sources weblinks""".split())
+MENU_LINK = 25  # mean characters of a link in a menu; titles are longer
+PROSE = 60  # characters of a paragraph that a list of titles can follow
 MENU_SHARE = 0.8  # of a list's text in links; the rest are separators
 LIKELY = frozenset("article articles body content main post entry story text page column".split())
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z))""", re.S)
@@ -62,13 +64,13 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Element:
-    __slots__ = ("name", "parent", "apart", "points", "text", "linked", "weight", "links", "doubt", "threads", "headings", "references")
+    __slots__ = ("name", "parent", "apart", "points", "text", "linked", "weight", "links", "doubt", "threads", "headings", "references", "titles")
 
     def __init__(self, name: str, parent: Element | None, apart: bool, weight: float):
         self.name, self.parent, self.apart, self.weight = name, parent, apart, weight
         self.points = self.text = self.linked = 0.0
         self.links = self.doubt = self.threads = self.headings = 0
-        self.references = False
+        self.references = self.titles = False
 
 
 #: Doubts about an element: by a word among others in a class, by a whole class or id, by a whole class; with THREAD_DOUBT of comments; by header alone.
@@ -235,6 +237,8 @@ def _read(source: str) -> list[tuple[Element, str, float]]:
         e.references = parent.references or sources
         if name in ("ul", "ol", "dl", "table"):
             close()
+            before = blocks[-1] if blocks else None
+            e.titles = before is not None and before[0].name == "p" and before[0].parent is parent and len(before[1]) >= PROSE
             e.references = e.references or not REFERENCES.isdisjoint(w.lower() for w in re.findall(r"\w+", heading))
         if doubt or name in HEADINGS:
             e.doubt, up = doubt, parent
@@ -274,7 +278,8 @@ def _kept(e: Element, top: Element) -> bool:
         if below.apart or below.name == "header" and not heading and not _within(below, ("article", "main", "section")):
             return False
         if below.name in ("ul", "div", "section", "table"):
-            menu = menu or below.links > 1 and MENU_SHARE * below.text < below.linked and not below.references
+            titles = below.titles and below.linked >= MENU_LINK * below.links  # a list that goes on from a paragraph beside it
+            menu = menu or below.links > 1 and MENU_SHARE * below.text < below.linked and not below.references and not titles
         below = below.parent
     up = top
     while menu and up is not None and up.name != "article":
