@@ -250,6 +250,21 @@ def test_votes_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     assert wide.rdd.getNumPartitions() == 80 and sorted(map(tuple, wide.collect())) == few
 
 
+def test_windowed_sweep_over_given_tasks(spark):
+    """Dilated cuts against plain sets; a null gold line is in none of them."""
+    draw = random.Random(9)
+    ranking = [(g, line, pos) for g in range(6) for pos, line in enumerate(draw.sample(range(1, 40), 12), 1)]
+    gold = [(g, i) for g in range(6) for i in draw.sample(range(1, 40), 1 + g % 3)] + [(2, None)]
+    got = M.sweep_curve(spark.createDataFrame(ranking, "instance_id int, line int, pos int"), spark.createDataFrame(gold, "instance_id int, line int"), ["line"], [1, 4, 10],
+                        window=2, parts=5)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        near = {g: {x for h, line, pos in ranking if h == g and pos <= r.n_top for x in range(max(1, line - 2), line + 3)} for g in range(6)}
+        held = [[i in near[g] for h, i in gold if h == g] for g in range(6)]
+        assert (r.n, r.superset, r.any_hit) == (6, pytest.approx(100 * sum(map(all, held)) / 6, abs=1e-6), pytest.approx(100 * sum(map(any, held)) / 6, abs=1e-6))
+        assert r["loc"] == pytest.approx(sum(map(len, near.values())) / 6, abs=1e-6)
+
+
 @pytest.mark.parametrize("limit", ["2000000", "3"])
 def test_medians(spark, limit):
     draw = random.Random(8)

@@ -91,11 +91,11 @@ def summarize_sets(scored: DataFrame, by: list[str]) -> DataFrame:
 
 
 def sweep_curve(ranking: DataFrame, gold: DataFrame, item: list[str], grid: list[int], window: int | None = None,
-                length: str | None = None, instance: str = "instance_id", line: str = "line") -> DataFrame:
+                length: str | None = None, instance: str = "instance_id", line: str = "line", parts: int | None = None) -> DataFrame:
     """Superset / any / size of the top-N cut for every N of a grid. Without a window an item enters
     the curve once, at the first grid value that admits it: counts per step, then a running sum over
     the (short) grid. With a window the dilated cuts overlap, so each line enters at the smallest
-    position that reaches it."""
+    position that reaches it, and meets the gold in one aggregate by instance, over ``parts`` tasks where given."""
     cut = ranking.filter(F.col("pos") <= max(grid))
     if window is not None:
         low = F.greatest(F.lit(1), F.col(line) - window)
@@ -103,8 +103,13 @@ def sweep_curve(ranking: DataFrame, gold: DataFrame, item: list[str], grid: list
         cut = cut.withColumn(line, F.explode(F.when(high >= low, F.sequence(low, high)))).groupBy(instance, *item).agg(F.min("pos").alias("pos"))
     marked = gold.select(instance, *item).distinct().withColumn("_g", F.lit(1))
     step = F.explode(F.filter(F.array(*[F.lit(n) for n in grid]), lambda n: n >= F.col("pos")))
-    per_cut = (cut.join(marked, [instance, *item], "left")
-               .groupBy(instance, "pos").agg(F.count(F.lit(1)).alias("c"), F.count("_g").alias("g"))
+    if window is None:
+        flagged = cut.join(marked, [instance, *item], "left")
+    else:  # lines are there once
+        both = cut.unionByName(marked.dropna(subset=item), allowMissingColumns=True)
+        both = both.repartition(parts, instance) if parts else both.repartition(instance)
+        flagged = both.groupBy(instance, *item).agg(F.min("pos").alias("pos"), F.max("_g").alias("_g")).filter("pos is not null")
+    per_cut = (flagged.groupBy(instance, "pos").agg(F.count(F.lit(1)).alias("c"), F.count("_g").alias("g"))
                .withColumn("n_top", step).groupBy(instance, "n_top").agg(F.sum("c").alias("n_pred"), F.sum("g").alias("hits")))
     expected = (gold_sizes(gold, item, instance).withColumn("n_top", F.explode(F.array(*[F.lit(n) for n in grid])))
                 .join(per_cut, [instance, "n_top"], "left").fillna(0, ["n_pred", "hits"]))
