@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from trailrank.llm import html_extract, langid, line_dedup, links, secrets
+from trailrank.llm import html_extract, langid, line_dedup, links, secrets, textarrays
 from trailrank.llm.html_extract import main_text
 
 ALPHABETS = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "HEX": "0123456789ABCDEF"}
@@ -122,6 +122,19 @@ def test_links_in_buckets(spark, monkeypatch, block, paired):
         assert all(got.get(i, i) == got.get(groups.find(i), groups.find(i)) and whole.find(i) == whole.find(got.get(i, i)) for i in sets)
 
 
+def test_powers_kept_are_as_long_as_texts_ask(monkeypatch):
+    """A worker keeps powers for every seed: not much longer than the longest slice, and with the same hashes after they grew."""
+    monkeypatch.setattr(textarrays, "_POWERS", {})
+    values = np.arange(200_000, dtype=np.uint64)
+    short = textarrays.range_hash(values[:1000], np.array([0, 10]), np.array([10, 1000]), 5)
+    assert sum(x.nbytes for x in textarrays._POWERS[5]) <= 1 << 20
+    long = textarrays.range_hash(values, np.array([0, 10, 0]), np.array([10, 1000, 200_000]), 5)
+    assert sum(x.nbytes for x in textarrays._POWERS[5]) <= 16 * 300_000
+    up, down = textarrays._POWERS[5]
+    assert (up * down == 1).all() and long[:2].tolist() == short.tolist()
+    assert textarrays.range_hash(np.concatenate((values[:7], values[:7])), np.array([0, 7]), np.array([7, 14]), 5).tolist() == [textarrays.range_hash(values, np.array([0]), np.array([7]), 5)[0]] * 2
+
+
 def test_short_texts_are_counted_a_few_at_a_time():
     import tracemalloc
     column = pa.array(["hi there"] * 10_000)
