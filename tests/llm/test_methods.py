@@ -1,7 +1,9 @@
 """What the methods promise beyond the contracts: recall of keys by length, of lines by similarity, bounded memory, pages of several templates."""
 import base64
 import random
+from collections import Counter
 import time
+from collections import Counter
 
 import brute
 import numpy as np
@@ -193,3 +195,38 @@ def test_what_holds_most_of_a_page_is_its_text():
 def test_letters_whose_small_form_is_longer():
     assert main_text("<article><p>İstanbul, a city.</p><SCRIPT>var x = '</p>';</SCRIPT><p>İ more text</p></article>") == "İstanbul, a city.\nİ more text"
     assert html_extract.main_text("<p>a</p><script>x") == "a"
+
+
+def test_shared_keys(spark, monkeypatch):
+    """Keys that several nodes have, with all of their nodes: met in one list, in lists of one task, in several tasks."""
+    monkeypatch.setattr(links, "SORTED", 40)
+    draw = random.Random(3)
+    keys = {n: [draw.randrange(-400, 400) << 54 for _ in range(6)] + [7, n + (1 << 40)] for n in range(200)}  # one key of all nodes, one of each
+    flat = pa.array([np.array(k, np.int64).tobytes() for k in keys.values()], pa.binary())
+    assert links.unpacked(flat.slice(3, 2))[0].view(np.int64).tolist() == keys[3] + keys[4]
+    rows = spark.createDataFrame([(n, bytearray(b.as_py())) for n, b in zip(keys, flat)], "node long, keys binary").repartition(5)
+    many = Counter(k for ks in keys.values() for k in ks)
+    got = [(r.key, r.node) for r in links.shared_keys(rows)[0].collect()]
+    assert sorted(got) == sorted((k, n) for n, ks in keys.items() for k in ks if many[k] > 1)
+
+
+def test_lines_without_their_blanks():
+    """Long runs of white space at either end, blank lines, lines of one character in texts beside each other."""
+    texts = ["", " \n", "a\n\n b \t", " " * 100 + "x y" + "\t" * 90 + "\n" + " " * 200, "q", "r", "\u00fc\n \u00f6\u00f6", "z" * 300 + "\r"]
+    points, doc, line, start, stop = line_dedup._lines(next(iter(line_dedup.slices(pa.array(texts)))))
+    want = [(d, i, x.strip(" \t\n\r\x0b\x0c")) for d, t in enumerate(texts) for i, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
+    assert [(d, i, points[a:b].tobytes().decode("utf-32-le")) for d, i, a, b in zip(doc.tolist(), line.tolist(), start.tolist(), stop.tolist())] == want
+
+
+def test_unlike_sets_are_told_by_counts():
+    """Counts of values by range rule out unlike sets only."""
+    draw = np.random.default_rng(8)
+    base = draw.integers(0, 1 << 48, size=400, dtype=np.uint64)
+    rows = [np.unique(np.concatenate((base[:n], draw.integers(0, 1 << 48, size=400 - n, dtype=np.uint64)))) for n in (400, 390, 370, 360, 350, 300, 200, 0)]
+    sets = np.append(0, np.cumsum([len(r) for r in rows])), np.concatenate(rows)
+    i, j = np.triu_indices(len(rows), 1)
+    like = [len(np.intersect1d(rows[a], rows[b])) >= 0.8 * len(np.union1d(rows[a], rows[b])) for a, b in zip(i, j)]
+    assert links._alike(sets, i, j, 0.8).tolist() == like
+    counts, size = links._counts(sets), np.diff(sets[0])
+    maybe = links._may_be_alike(counts[i], counts[j], size[i] + size[j], 0.8)
+    assert (maybe >= np.array(like)).all() and not maybe[-1]
