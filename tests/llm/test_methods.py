@@ -1,7 +1,6 @@
 """What the methods promise beyond the contracts: recall of keys by length, of lines by similarity, bounded memory, pages of several templates."""
 import base64
 import random
-from collections import Counter
 import time
 from collections import Counter
 
