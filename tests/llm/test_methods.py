@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from trailrank.llm import html_extract, langid, line_dedup, links, secrets, textarrays
+from trailrank.llm import bagminhash, html_extract, langid, line_dedup, links, packing, secrets, textarrays
 from trailrank.llm.html_extract import main_text
 
 ALPHABETS = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "HEX": "0123456789ABCDEF"}
@@ -146,6 +146,63 @@ def test_short_texts_are_counted_a_few_at_a_time():
     assert n == 10_000 and peak < 200 << 20
 
 
+def _peak(work):
+    import tracemalloc
+    tracemalloc.start()
+    out = work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak >> 20
+
+
+def test_shares_of_texts_need_little_beside_them():
+    """One slice of TEXTS texts: its shares are 8 MB."""
+    texts = [f"text {i} of many words " * 80 for i in range(langid.TEXTS)]
+    (shares, letter), peak = _peak(lambda: next(langid._bags(pa.array(texts))))
+    assert peak < 24 and letter.all()
+    for i in (0, 31, 32, 200, 255):
+        (alone, _), = langid._bags(pa.array([texts[i]]))
+        assert (alone[0] == shares[i]).all()
+
+
+def test_signatures_are_made_in_small_slices(monkeypatch):
+    """The shingles of a large batch are taken a slice at a time, and powers are made for no more."""
+    monkeypatch.setattr(textarrays, "_POWERS", {})
+    column = pa.array([f"w{i} and w{i + 1} or " * 120 for i in range(1000)])
+    (first, values), peak = _peak(lambda: bagminhash.occurrences(column))
+    assert peak < 60
+    for i in (0, 500, 999):
+        assert (bagminhash.occurrences(column.slice(i, 1))[1] == values[first[i]:first[i + 1]]).all()
+
+
+def test_a_worker_gives_memory_back():
+    """Free memory that small arrays have left between kept ones, and the tables of powers, do not stay in the worker."""
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) >> 10
+    textarrays.byte_hash(np.zeros(1 << 20, np.uint8), np.array([0]), np.array([9]), 5)
+    some = [np.ones(64 << 7) for _ in range(2000)]  # 64 kB each, 125 MB in all
+    kept = some[::100]
+    del some
+    before = held()
+    textarrays.give_back()
+    assert not textarrays._POWERS and held() < before - 80 and len(kept) == 20
+
+
+def test_pieces_leave_a_few_rows_at_a_time():
+    """However many rows of ids Spark hands over at once, pieces of no more than ``rows`` of them go back together; they are the same."""
+    sizes = np.array([1, 40, 16, 3, 100, *[9] * 45])
+    ids = pa.array([list(range(n)) for n in sizes], pa.list_(pa.int32()))
+    whole = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([2] * 50, pa.int32()), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes), ids], names=packing.IDS.fieldNames())
+    few = list(packing.cut(iter([whole, whole.slice(50)]), {2: 5}, 16, rows=7))
+    assert [len(set(b.column("doc_id").to_pylist())) for b in few] == [7] * 7 + [1]
+    pieces = [r for b in few for r in b.to_pylist()]
+    assert pieces == [r for b in packing.cut(iter([whole]), {2: 5}, 16) for r in b.to_pylist()]
+    stream = np.concatenate([np.arange(n) for n in sizes]).tolist()
+    assert [i for r in pieces for i in r["ids"]] == stream
+    assert pieces[0] | {"ids": 0, "ids_crc32": 0} == {"doc_id": 0, "start": 0, "length": 1, "ids_crc32": 0, "doc_tokens": 1, "sequence_id": 0, "offset": 5, "ids": 0}
+
+
 # ---- pages -------------------------------------------------------------------------------------
 
 PART = "Some text, of the article, with commas, and words that go on and on, to make it long enough to be scored as the main part of the page. " * 3

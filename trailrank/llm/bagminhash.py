@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import documents, drop, store, whole_rows, with_columns
 from .links import connect, shared
-from .textarrays import byte_hash, mix, range_hash, slices, words
+from .textarrays import byte_hash, give_back, mix, range_hash, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair at the threshold shares a band with probability 0.99993
@@ -101,7 +101,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = S
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column("text"), 1 << 21):
+            for part in slices(batch.column("text")):
                 here, n = batch.slice(part.first, part.last - part.first), part.last - part.first
                 doc, hashes, weight = bags(part, shingle)
                 values = np.ascontiguousarray(signatures(doc, hashes, weight, n, m).astype(np.float32)).view(np.uint32).ravel().astype(np.uint64)
@@ -118,13 +118,14 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = S
                     "doc_id": here.column("doc_id"), "text_key": here.column("text_key"), "n_shingles": np.bincount(doc, weights=weight, minlength=n).astype(np.int64),
                     "c1": pa.array(_SIGNED(c[0]), mask=none), "c2": pa.array(_SIGNED(c[1]), mask=none),
                     "bands": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * bands)).astype(np.int32)), pa.array(_SIGNED(keys[some].ravel())))})
+        give_back()
     return docs.mapInArrow(work, schema)
 
 
 def occurrences(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of each text, each occurrence as one number, so that set overlap is multiset overlap."""
     sizes, values = [], []
-    for part in slices(column, 1 << 21):
+    for part in slices(column):
         doc, hashes, weight = bags(part, shingle)
         each = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
         values.append(mix(np.repeat(hashes, weight) + each.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 28))

@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import with_columns
-from .textarrays import LETTER, SPACE, classes, code_points, slices
+from .textarrays import LETTER, SPACE, Slice, classes, code_points, give_back, slices
 
 BUCKETS, WIDTH, ORDERS = 8192, 16, 3
 #: Bounds of the training sample: rows of each language, and of all; many languages have fewer rows each, one at least.
 SAMPLE_ROWS, SAMPLE_ALL = 600, 30_000
-#: Texts counted at a time: a row of BUCKETS counts each, however short they are.
-TEXTS = 256
+#: Texts told at a time, and counted at a time: a row of BUCKETS shares or counts each, however short they are.
+TEXTS, FEW = 256, 32
 UNKNOWN = "und"
 
 
@@ -42,30 +42,37 @@ class Model:
 
 
 def _bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each slice of texts: counts by (text, bucket), and whether each text has a letter."""
+    """For each slice of texts: the share of each bucket in a text's subwords by (text, bucket), and whether each text has a letter."""
     for part in slices(column, rows=TEXTS):
-        points, firsts = code_points(part)
-        n, docs = len(points), len(firsts) - 1
-        kind = classes()[points]
-        doc = np.repeat(np.arange(docs), np.diff(firsts))
-        letter = np.zeros(docs, bool)
-        letter[doc[kind == LETTER]] = True
-        code = np.where(kind == SPACE, np.uint32(32), points).astype(np.uint32)
-        counts = np.zeros(docs * BUCKETS, np.int64)
-        rolled = np.zeros(n, np.uint32)
-        for order in range(ORDERS):
-            if order >= n:
-                break
-            rolled = (rolled[:n - order] if order == 0 else rolled[:-1]) * np.uint32(0x01000193) ^ code[order:]
-            spread = (rolled + np.uint32(order)) * np.uint32(0x9E3779B1)
-            inside = doc[:n - order] == doc[order:]
-            counts += np.bincount(doc[:n - order][inside] * BUCKETS + (spread[inside] >> np.uint32(19)), minlength=docs * BUCKETS)
-        yield counts.reshape(docs, BUCKETS), letter
-
-
-def _scaled(counts: np.ndarray) -> np.ndarray:
-    """Mean weights of the rows, as shares of the subwords of a text."""
-    return (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+        docs = len(part.offsets) - 1
+        shares, letter = np.empty((docs, BUCKETS), np.float32), np.empty(docs, bool)
+        for at in range(0, docs, FEW):
+            to = min(at + FEW, docs)
+            low, high = part.offsets[at], part.offsets[to]
+            counts, letter[at:to] = _counts(Slice(at, to, part.data[low:high], part.offsets[at:to + 1] - low))
+            shares[at:to] = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        yield shares, letter
+
+
+def _counts(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by (text, bucket), and whether each text has a letter."""
+    points, firsts = code_points(part)
+    n, docs = len(points), len(firsts) - 1
+    kind = classes()[points]
+    doc = np.repeat(np.arange(docs), np.diff(firsts))
+    letter = np.zeros(docs, bool)
+    letter[doc[kind == LETTER]] = True
+    code = np.where(kind == SPACE, np.uint32(32), points).astype(np.uint32)
+    counts = np.zeros(docs * BUCKETS, np.int64)
+    rolled = np.zeros(n, np.uint32)
+    for order in range(ORDERS):
+        if order >= n:
+            break
+        rolled = (rolled[:n - order] if order == 0 else rolled[:-1]) * np.uint32(0x01000193) ^ code[order:]
+        spread = (rolled + np.uint32(order)) * np.uint32(0x9E3779B1)
+        inside = doc[:n - order] == doc[order:]
+        counts += np.bincount(doc[:n - order][inside] * BUCKETS + (spread[inside] >> np.uint32(19)), minlength=docs * BUCKETS)
+    return counts.reshape(docs, BUCKETS), letter
 
 
 def _packed(shares: np.ndarray) -> bytes:
@@ -143,10 +150,10 @@ def train(docs: DataFrame, learn: Column | None = None, lang_col: str = "lang",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for counts, _ in _bags(batch.column("text")):
-                here = batch.slice(at, len(counts))
-                at += len(counts)
-                yield with_columns(here, schema, {"lang": here.column("lang"), "draw": here.column("draw"), "bag": [_packed(r) for r in _scaled(counts)]})
+            for shares, _ in _bags(batch.column("text")):
+                here = batch.slice(at, len(shares))
+                at += len(shares)
+                yield with_columns(here, schema, {"lang": here.column("lang"), "draw": here.column("draw"), "bag": [_packed(r) for r in shares]})
 
     drawn = rows.filter((F.col("draw").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))) < share[F.col("lang")])
     from pyspark.sql import Window
@@ -169,17 +176,18 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple =
         names = np.array([*model.labels, UNKNOWN], object)
         for batch in batches:
             at = 0
-            for counts, letter in _bags(batch.column(batch.num_columns - 1)):
-                here = batch.slice(at, len(counts))
-                at += len(counts)
+            for shares, letter in _bags(batch.column(batch.num_columns - 1)):
+                here = batch.slice(at, len(shares))
+                at += len(shares)
                 if model.labels:
-                    p = _softmax((_scaled(counts) @ model.logits + model.bias).astype(np.float64) / model.temperature)
+                    p = _softmax((shares @ model.logits + model.bias).astype(np.float64) / model.temperature)
                     best, score = p.argmax(axis=1), p.max(axis=1)
                 else:
-                    best, score = np.zeros(len(counts), np.int64), np.zeros(len(counts))
+                    best, score = np.zeros(len(shares), np.int64), np.zeros(len(shares))
                 best = np.where(letter & bool(model.labels), best, len(model.labels))
                 score = np.where(letter, score, 0.0)
                 rejected = ~letter | (bool(model.labels) & (score < model.least))
                 yield pa.RecordBatch.from_arrays([*here.columns[:-1], pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)],
                                                  names=[f.name for f in schema])
+        give_back()
     return source.mapInArrow(work, schema)

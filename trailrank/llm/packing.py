@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, store, with_columns
+from .textarrays import give_back
 
 IDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()),
                     T.StructField("before", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -105,6 +106,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 1, rows: int = 256, id
         from pyspark import TaskContext
         part, before, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         end = np.array([end_id], np.int32)
+        give_back()  # what earlier stages have left in this worker
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
@@ -114,22 +116,15 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 1, rows: int = 256, id
                 before += int(lengths.sum())
                 yield with_columns(batch, IDS, {"doc_id": batch.column("doc_id"), "part": np.full(len(ids), part, np.int32),
                                                 "before": starts, "n_tokens": lengths, "ids": _lists(ids)})
+        give_back()
     return documents(docs, id_col, text_col).select("doc_id", "text").mapInArrow(work, IDS)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: ``doc_id``, ``start`` (its document's ids before it), ``length``, ``ids_crc32`` (of
-    the ids as little-endian 32-bit numbers), ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``."""
-    tokens, _ = store(encode(docs, tokenizer, end_id, id_col=id_col, text_col=text_col))
-    # one row per input partition, however many documents there are
-    totals = sorted(tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    bases, total = {}, 0
-    for part, n in totals:
-        bases[part] = total
-        total += n
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def cut(batches: Iterator[pa.RecordBatch], bases: dict[int, int], window: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The pieces of the rows of ``encode``, so many rows at a time; ``bases`` has the place of each partition's first token in the whole stream."""
+    for whole in batches:
+        for top in range(0, whole.num_rows, rows):
+            batch = whole.slice(top, rows)
             flat = batch.column("ids")
             values, offsets = flat.flatten().to_numpy(zero_copy_only=False), np.zeros(len(flat) + 1, np.int64)
             np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False), out=offsets[1:])
@@ -147,4 +142,21 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
             ids = batch.column("doc_id")
             yield with_columns(batch, PIECES, {"doc_id": ids.take(pa.array(row)), "start": start, "length": high - low, "ids_crc32": crc,
                                                "doc_tokens": n[row], "sequence_id": sequence, "offset": low - sequence * window, "ids": _lists(packed)})
-    return tokens.mapInArrow(cut, PIECES)
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: ``doc_id``, ``start`` (its document's ids before it), ``length``, ``ids_crc32`` (of
+    the ids as little-endian 32-bit numbers), ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``."""
+    tokens, _ = store(encode(docs, tokenizer, end_id, id_col=id_col, text_col=text_col))
+    # one row per input partition, however many documents there are
+    totals = sorted(tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    bases, total = {}, 0
+    for part, n in totals:
+        bases[part] = total
+        total += n
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from cut(batches, bases, window)
+        give_back()
+    return tokens.mapInArrow(work, PIECES)
