@@ -286,3 +286,36 @@ def test_unlike_sets_are_told_by_counts():
     counts, size = links._counts(sets), np.diff(sets[0])
     maybe = links._may_be_alike(counts[i], counts[j], size[i] + size[j], 0.8)
     assert (maybe >= np.array(like)).all() and not maybe[-1]
+
+
+def test_sketches_lose_no_pair():
+    """The least number of different runs and the bound of sketches, for repeated runs, one run, very long lines; pairs that cannot be alike are told."""
+    draw = random.Random(9)
+    texts = [("abc def ghi" * 60)[:n] for n in range(1, 400, 7)] + [_line(draw, n) for n in (1, 6, 7, 40, 300, 300, 300, 40_000)]
+    texts += [t[:-1 - draw.randrange(len(t) // 8)] + "zz" for t in texts if len(t) > 20]
+    column = pa.array(texts)
+    points, firsts = textarrays.code_points(next(iter(textarrays.slices(column))))
+    size, sketch = line_dedup._sketches(*line_dedup._shingles(points, firsts[:-1], firsts[1:], 6))
+    sets = line_dedup.shingle_sets(column)
+    assert (size <= np.diff(sets[0])).all() and (size >= 0.99 * np.diff(sets[0])).all()
+    i, j = np.triu_indices(len(texts), 1)
+    most, like = links._most(links._rows_of(links.packed_rows(sketch))), links._alike(sets, i, j, 0.8)
+    may = links._may_be_alike(most[i], most[j], size[i] + size[j], 0.8)
+    assert like.any() and not (like & ~may).any()
+    unlike = [n for n, t in enumerate(texts) if len(t) == 300 and "abc def" not in t]
+    assert len(unlike) == 3 and not may[np.isin(i, unlike) & np.isin(j, unlike)].any()
+
+
+def test_chance_meetings_stay_without_texts(spark):
+    """Buckets of unlike nodes go, copies stay with all that may be alike, equal buckets come once, and a bucket of more than PAIRED nodes stays whole."""
+    draw = random.Random(12)
+    lines = {n: _line(draw, 300) for n in range(400)}
+    lines |= {1000 + n: lines[n][:290] for n in range(100)}  # copies
+    column = pa.array(list(lines.values()))
+    points, firsts = textarrays.code_points(next(iter(textarrays.slices(column))))
+    size, sketch = line_dedup._sketches(*line_dedup._shingles(points, firsts[:-1], firsts[1:], 6))
+    sketches = spark.createDataFrame([(n, int(s), bytearray(x)) for n, s, x in zip(lines, size, sketch)], "node long, size long, sketch binary")
+    buckets = [[n, (n + 1) % 400, (n + 2) % 400] for n in range(400)] + [[n, 1000 + n, 200 + n] for n in range(100)] + [[300 + n, n, 1000 + n] for n in range(100)] + [list(range(100))]
+    rows = spark.createDataFrame([(k, n, len(b)) for k, b in enumerate(buckets) for n in b], "key long, node long, many long")
+    got = [r.asDict() for r in links.narrowed(rows, sketches, 0.8).collect()]
+    assert sorted((r["node"], r["least"], r["many"], r["near"]) for r in got) == sorted([(1000 + n, n, 2, True) for n in range(100)] + [(n, 0, 100, True) for n in range(1, 100)])
