@@ -319,6 +319,24 @@ def test_facts_leave_in_chunks(spark, monkeypatch):
     assert sorted(map(str, A.code_facts(files, ["f"]).collect())) == whole and len(whole) > 4000
 
 
+def test_facts_of_some_kinds():
+    """Kinds that are not asked for are not made, and those that are come as among all."""
+    text = ("import os\nfrom p import q\nclass A(B, c.D):\n    def m(self, *a, k=f(1)):\n        def inner():\n            return g.h(lambda: z())\n        return inner()\n"
+            "try:\n    def t(x): pass\nexcept E:\n    async def u(): await v()\nmatch w:\n    case 1:\n        def y(): return [b() for i in j()]\n")
+    whole = A.file_facts(text)
+    assert [(f[1], f[6], f[8]) for f in whole if f[0] == "function"] == [("m", 0, ["f", "h", "inner", "z"]), ("t", 1, []), ("u", 2, ["v"]), ("inner", 3, ["h", "z"]), ("y", 4, ["b", "j"])]
+    for kind in ("status", "class", "function", "header", "statement", "import"):
+        assert A.file_facts(text, frozenset([kind])) == [f for f in whole if f[0] == kind] != []
+    assert A.file_facts("def (", frozenset(["class"])) == [] and A.file_facts("def (")[0][:2] == ("status", "error")
+
+
+def test_a_skeleton_parses_a_file_once(spark, monkeypatch):
+    """The outline reads facts that are written down; none of its plans holds the parser."""
+    from trailrank.plans import source_queries
+    plan = source_queries.b12s(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan and "Scan parquet" in plan
+
+
 def test_blocks_go_to_the_file_they_name(spark):
     files = spark.createDataFrame([(1, "a.py", "x\ny = 1\nz"), (1, "b.py", "y = 1\nq"), (2, "a.py", "y = 1")], "i int, file string, text string")
     block = "<<<<<<< SEARCH{}\n{}\n=======\nnew\n>>>>>>> REPLACE\n"

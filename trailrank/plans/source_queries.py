@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trailrank.functions.ordered import written
 from trailrank.operators import facts as A
 from trailrank.operators import joins as J
 from trailrank.operators import parse as P
@@ -46,7 +47,7 @@ def b11i(spark, sf):
 @query("b12_skeleton_from_source", """SELECT doc_id, 'class C  [L4-7]'||chr(10)||string_agg('def f'||i||'(x, y)  [L'||(9+5*i)||'-'||(12+5*i)||']'||CASE WHEN i+1<nb THEN '  -> calls: f'||(i+1) ELSE '' END, chr(10) ORDER BY i) FILTER (i<20)
  ||CASE WHEN nb<20 THEN chr(10)||'def C.m(self, a)  [L5-7]' ELSE '' END||CASE WHEN nb+1>20 THEN chr(10)||'... (+'||(nb+1-20)||' more functions)' ELSE '' END AS skeleton FROM pyf GROUP BY doc_id, nb""", "pyf")
 def b12s(spark, sf):
-    f = facts(spark, sf, "class", "function")
+    f = written(facts(spark, sf, "class", "function"), "facts")  # the outline reads them five times
     return P.skeleton(A.classes(f, D), A.functions(f, D), D, 20)
 
 
