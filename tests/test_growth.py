@@ -1,4 +1,5 @@
 """Operators at sizes where a plain plan fails: long files, hubs, common names, many values; and the same results as plain code."""
+import ast
 import math
 import random
 from collections import defaultdict
@@ -324,17 +325,21 @@ def test_facts_of_some_kinds():
     text = ("import os\nfrom p import q\nclass A(B, c.D):\n    def m(self, *a, k=f(1)):\n        def inner():\n            return g.h(lambda: z())\n        return inner()\n"
             "try:\n    def t(x): pass\nexcept E:\n    async def u(): await v()\nmatch w:\n    case 1:\n        def y(): return [b() for i in j()]\n")
     whole = A.file_facts(text)
-    assert [(f[1], f[6], f[8]) for f in whole if f[0] == "function"] == [("m", 0, ["f", "h", "inner", "z"]), ("t", 1, []), ("u", 2, ["v"]), ("inner", 3, ["h", "z"]), ("y", 4, ["b", "j"])]
+    assert [(f[1], f[6], f[8]) for f in whole if f[0] == "function"] == [("m", 0, ["f", "h", "inner", "z"]), ("t", 1, []), ("inner", 2, ["h", "z"]), ("u", 3, ["v"]), ("y", 4, ["b", "j"])]
+    assert [f[1] for f in whole if f[0] == "function"] == [n.name for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
     for kind in ("status", "class", "function", "header", "statement", "import"):
         assert A.file_facts(text, frozenset([kind])) == [f for f in whole if f[0] == kind] != []
     assert A.file_facts("def (", frozenset(["class"])) == [] and A.file_facts("def (")[0][:2] == ("status", "error")
 
 
-def test_a_skeleton_parses_a_file_once(spark, monkeypatch):
+def test_a_skeleton_parses_a_file_once(spark, tmp_path):
     """The outline reads facts that are written down; none of its plans holds the parser."""
     from trailrank.plans import source_queries
-    plan = source_queries.b12s(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    spark.createDataFrame([(1, "a\nb", "en"), (2, "c", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = source_queries.b12s(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapIn" not in plan and "Scan parquet" in plan
+    assert [tuple(r) for r in got.collect()] == [(1, "class C  [L4-7]\ndef f0(x, y)  [L9-12]  -> calls: f1\ndef f1(x, y)  [L14-17]\ndef C.m(self, a)  [L5-7]")]
 
 
 def test_blocks_go_to_the_file_they_name(spark):
